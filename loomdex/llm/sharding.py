@@ -39,23 +39,40 @@ PARTS = 256
 class Node:
     leaves: int
     first: int  # number of its first leaf
-    cut: tuple[str, int, int, int] | None = None  # dimension, then the least key of the right side
+    cut: tuple[str, int] | None = None  # dimension, then the least key of the right side
     left: Node | None = None
     right: Node | None = None
 
-    def place(self, leaf: bool) -> Column:
-        """The leaf (or, while the tree grows, the open node) of a row."""
-        if self.cut is None:
-            return F.lit(self.first)
-        d, v, t, i = self.cut
-        lower = (F.col(d) < v) | ((F.col(d) == v) & ((F.col("by_text") < t) | ((F.col("by_text") == t) & (F.col("by_row") < i))))
-        return F.when(lower, self.left.place(leaf)).otherwise(self.right.place(leaf))
-
     def open(self) -> list[Node]:
         if self.cut is None:
             return [self] if self.leaves > 1 else []
         return self.left.open() + self.right.open()
 
+    def depth(self) -> int:
+        return 0 if self.cut is None else 1 + max(self.left.depth(), self.right.depth())
+
+    def listed(self) -> list[Node]:
+        return [self] + ([] if self.cut is None else self.left.listed() + self.right.listed())
+
+
+def placed_in(rows: DataFrame, root: Node) -> DataFrame:
+    """Add `node`: the number of the first leaf of the row's node. Rows walk the
+    tree a level at a time through literal tables of its nodes."""
+    nodes = root.listed()
+    number = {id(n): k for k, n in enumerate(nodes)}
+    at = lambda of: F.get(F.array(*[F.lit(of(n)) for n in nodes]), F.col("node"))
+    out = rows.withColumn("node", F.lit(0))
+    for _ in range(root.depth()):
+        value = F.get(F.array(*DIMENSIONS), at(lambda n: DIMENSIONS.index(n.cut[0]) if n.cut else 0))
+        key = F.shiftleft(value.cast("bigint"), 32) + F.shiftleft(F.col("by_text").cast("bigint"), 16) + F.col("by_row")
+        lower = key < at(lambda n: n.cut[1] if n.cut else 0)
+        left = at(lambda n: number[id(n.left)] if n.cut else number[id(n)])
+        right = at(lambda n: number[id(n.right)] if n.cut else number[id(n)])
+        # A generator is not inlined, so the levels don't multiply in one expression.
+        step = F.explode(F.array(F.when(lower, left).otherwise(right)))
+        out = out.select(*rows.columns, step.alias("node"))
+    return out.withColumn("node", at(lambda n: n.first))
+
 
 def metadata(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
@@ -83,19 +100,19 @@ def _median(rows: DataFrame, value: Column, goals: dict[int, float]) -> dict[int
     return {r.node: (r.bin, float(r.upto - r["size"]), r["size"]) for r in found.collect()}
 
 
-def _choice(of: dict[int, object], otherwise: Column | None = None) -> Column:
+def _choice(of: dict[int, object]) -> Column:
     out = None
     for node, value in of.items():
         value = value if isinstance(value, Column) else F.lit(value)
         out = F.when(F.col("node") == node, value) if out is None else out.when(F.col("node") == node, value)
-    return out if otherwise is None else out.otherwise(otherwise)
+    return out
 
 
 def grow(rows: DataFrame, leaves: int, target: float) -> Node:
     """The tree: a level at a time, all open nodes of a level in the same jobs."""
     root = Node(leaves, 0)
     while open_ := root.open():
-        placed = rows.withColumn("node", root.place(False)).where(F.col("node").isin([n.first for n in open_]))
+        placed = placed_in(rows, root).where(F.col("node").isin([n.first for n in open_]))
         spans = [f(d).alias(f"{d}_{k}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))]
         sums = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("size"), *spans).collect()}
         widest, goals = {}, {}
@@ -103,7 +120,7 @@ def grow(rows: DataFrame, leaves: int, target: float) -> Node:
             half = n.leaves // 2
             n.left, n.right = Node(half, n.first), Node(n.leaves - half, n.first + half)
             if n.first not in sums:
-                n.cut = (DIMENSIONS[0], 0, 0, 0)
+                n.cut = (DIMENSIONS[0], 0)
                 continue
             r = sums[n.first]
             widest[n.first] = max(DIMENSIONS, key=lambda d: r[f"{d}_high"] - r[f"{d}_low"])
@@ -125,9 +142,9 @@ def grow(rows: DataFrame, leaves: int, target: float) -> Node:
             text, before, held = two[k]
             if k in three:
                 row, inner, mass = three[k]
-                n.cut = (widest[k], one[k][0], text, row + (rest[k] - before - inner > mass / 2))
+                n.cut = (widest[k], (one[k][0] << 32) + (text << 16) + row + (rest[k] - before - inner > mass / 2))
             else:
-                n.cut = (widest[k], one[k][0], text + (rest[k] - before > held / 2), 0)
+                n.cut = (widest[k], (one[k][0] << 32) + ((text + (rest[k] - before > held / 2)) << 16))
     return root
 
 
@@ -139,7 +156,7 @@ def shard(docs: DataFrame, target_bytes: int | None = None, shards: int = 40) ->
     target = target_bytes or max(1, -(-total // shards))
     tree = grow(rows, max(1, -(-total // target)), target)
     part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(PARTS)).cast("int")
-    placed = rows.select("doc_id", "size", "text_crc32", tree.place(True).cast("int").alias("shard"), part.alias("part"))
+    placed = placed_in(rows, tree).select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"), part.alias("part"))
     counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
