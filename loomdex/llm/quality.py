@@ -168,6 +168,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(texts(docs), run, "doc_id bigint, score double, predicted int")
 
 
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of `docs`, with all columns, whose score is 0.5 or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(astuple(model))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+
+    def run(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
+        held = Model(*shared.value)
+        scales = _held(state, held.good, held.bad)
+        x = [scales.features((t or "").encode()) for t in batch.column("text").to_pylist()]
+        return batch.filter(pa.array(held.score(np.array(x, dtype=float).reshape(-1, 4)) >= 0.5))
+
+    return arrow_map(docs, run, schema)
+
+
 def teaching_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents with a label, without those held out: crc32(doc_id) mod 3 is 1."""
     known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select(

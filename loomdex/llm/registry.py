@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
-from loomdex.llm import bpe, lines, mixing, quality, warc
+import corpus_pipeline
+from loomdex.llm import bpe, jaccard, lines, minhash, mixing, nearest, quality, sharding, suffixes, warc
 
 
 def queries() -> dict:
     return {
         "op1_bpe": bpe.op1_bpe,
         "op2_lines": lines.op2_lines,
+        "op3_minhash": minhash.op3_minhash,
         "op4_quality": quality.op4_quality,
+        "op5_nearest": nearest.op5_nearest,
         "op6_warc": warc.op6_warc,
+        "op7_sharding": sharding.op7_sharding,
+        "op8_jaccard": jaccard.op8_jaccard,
         "op9_mixing": mixing.op9_mixing,
+        "op10_suffixes": suffixes.op10_suffixes,
+        "pipeline": corpus_pipeline.run,
     }
 
 
