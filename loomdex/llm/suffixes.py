@@ -306,8 +306,8 @@ def decide(pieces: list[bytes], f: np.ndarray, rolling: Rolling) -> list[np.ndar
     begin = np.cumsum(sizes) - sizes
     hashes = rolling.windows(whole, WIDTH)
     n = sizes - WIDTH + 1
-    owner = np.repeat(np.arange(len(pieces)), n)
-    offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), n)
+    offset = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
     h = hashes[begin[owner] + offset] ^ mix64(f.view(np.uint64))[owner]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
@@ -335,7 +335,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _identified(docs)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     held = written(repeated_anchors(texts, shards_for(size * 0.2)))
-    stretches = _stretches(texts, held, shards_for(size * 0.6))
+    stretches = _stretches(texts, held, shards_for(size * 1.5, 8e6))
 
     def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["doc_id", "a", "b", "lo"]).reset_index(drop=True)
