@@ -16,8 +16,9 @@ product sparse without losing a link:
 
 The order puts n-grams that many first columns hold last (counted over all rows,
 twice, as new ones move up). Groups of near copies are tied to one of their own
-before the product, by exact counts; columns whose rows are all tied together
-need no pairs. Equal word sequences are one row of the matrix.
+before the product, by exact counts in a few rounds of pivots; columns whose rows are
+all tied together need no pairs, nor do two rows tied together. Rows with many
+common columns bring their bitmaps into the product. Equal word sequences are one row of the matrix.
 
 Defined cases: null and blank texts have no n-grams and link with nothing; fewer
 words than `width` make one n-gram of the whole sequence; rows with a null
@@ -39,15 +40,29 @@ from loomdex.llm.common import arrow_map, mix64, shards_for, table, texts, writt
 
 WIDTH, PERCENT = 5, 80
 #: Columns that more first columns hold than this go last in the order.
-COMMON = 64
+COMMON = 16
 #: Values sent to the mappers at once (common n-grams, row ids): above it, the
 #: threshold doubles for n-grams and ids are joined instead.
 SENT = 2_000_000
 KEYS = 6
+#: Cells for each element in the bitmaps that the product reads.
+FINE = 8
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 
-def grams(body: bytes, width: int = WIDTH) -> tuple[np.ndarray, bytes]:
+class Words(dict):
+    """Hash of each word met so far, as eight bytes."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        import xxhash
+
+        if len(self) > 300_000:
+            self.clear()
+        found = self[word] = xxhash.xxh64_digest(word)
+        return found
+
+
+def grams(body: bytes, width: int = WIDTH, known: Words | None = None) -> tuple[np.ndarray, bytes]:
     """Sorted different n-gram hashes of a text and the digest of its words.
     bytes.lower and bytes.split know ASCII alone: A-Z and [\\x20\\x09-\\x0D]."""
     import xxhash
@@ -56,7 +71,8 @@ def grams(body: bytes, width: int = WIDTH) -> tuple[np.ndarray, bytes]:
     if not words:
         return np.zeros(0, np.uint64), b""
     digest = xxhash.xxh3_128_digest(b" ".join(words))
-    h = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    known = Words() if known is None else known
+    h = np.frombuffer(b"".join(map(known.__getitem__, words)), np.uint64)
     if len(words) < width:
         return mix64(np.frombuffer(digest[:8], np.uint64) ^ np.uint64(len(words))), digest
     n = len(h) - width + 1
@@ -71,22 +87,24 @@ def needed(total: int | np.ndarray, percent: int = PERCENT):
     return -(-percent * total // (100 + percent))
 
 
-def first_columns(sets: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
-    """The columns in which a partner must meet this set, and how many of them
-    serve as the smaller side."""
+def first_columns(sets: np.ndarray, common: np.ndarray, percent: int) -> tuple[np.ndarray, int, bool]:
+    """The columns in which a partner must meet this set, how many of them serve
+    as the smaller side, and whether a tenth of its columns are common."""
     n = len(sets)
     many = n - -(-percent * n // 100) + 1
     if len(common):
-        late = np.zeros(n, bool)
         at = np.searchsorted(common, sets)
         at[at == len(common)] = 0
         late = common[at] == sets
         sets = np.concatenate([sets[~late], sets[late]])
-    return sets[:many], n - int(needed(2 * n, percent)) + 1
+    rare = n - int(late.sum()) if len(common) else n
+    return sets[:many], n - int(needed(2 * n, percent)) + 1, rare < many or 10 * rare <= 9 * n
 
 
-def bitmap(sets: np.ndarray) -> bytes:
-    bits = max(64, min(1 << 16, 1 << max(0, len(sets) - 1).bit_length()))
+def bitmap(sets: np.ndarray, scale: int = 1) -> bytes:
+    """Parity of the elements in each of about scale * n cells; a finer map gives
+    a tighter bound."""
+    bits = max(64, min(1 << 16, scale << max(0, len(sets) - 1).bit_length()))
     odd = np.bincount((sets & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -101,6 +119,37 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     return (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
+class Bitmaps:
+    """Bitmaps of the rows of a block, in a matrix for each length."""
+
+    def __init__(self, bits: list[bytes]):
+        self.size = np.array([len(b) for b in bits], np.int64)
+        self.at = np.zeros(len(bits), np.int64)
+        self.of: dict[int, np.ndarray] = {}
+        for n in np.unique(self.size[self.size > 0]).tolist():
+            mine = np.flatnonzero(self.size == n)
+            self.at[mine] = np.arange(len(mine))
+            self.of[n] = np.frombuffer(b"".join([bits[i] for i in mine]), np.uint64).reshape(len(mine), -1)
+
+    def overlap_bounds(self, i: int, js: np.ndarray, n: int, ns: np.ndarray) -> np.ndarray:
+        """Most that row i can share with each of rows js; unbounded (the smaller
+        size) where a row brought no bitmap."""
+        out = np.minimum(n, ns)
+        if not self.size[i]:
+            return out
+        for length in np.unique(self.size[js]).tolist():
+            if not length:
+                continue
+            mine = np.flatnonzero(self.size[js] == length)
+            x, y = self.of[int(self.size[i])][self.at[i]][None, :], self.of[length][self.at[js[mine]]]
+            while x.shape[1] > y.shape[1]:
+                x = x[:, : x.shape[1] // 2] ^ x[:, x.shape[1] // 2 :]
+            while y.shape[1] > x.shape[1]:
+                y = y[:, : y.shape[1] // 2] ^ y[:, y.shape[1] // 2 :]
+            out[mine] = np.minimum(out[mine], (n + ns[mine] - np.bitwise_count(x ^ y).sum(1)) // 2)
+        return out
+
+
 _SIG = "doc_id bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, bits binary"
 
 
@@ -109,7 +158,7 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
         c, n, keys, bits = [], [], [], []
         edges = (np.arange(3 * KEYS, dtype=np.uint64) * np.uint64((1 << 64) // (3 * KEYS))).astype(np.uint64)
         for body in batch.column("body").to_pylist():
-            sets, digest = grams(body, width)
+            sets, digest = grams(body, width, state.setdefault("words", Words()))
             c.append(np.frombuffer(digest or bytes(16), "<i8"))
             n.append(len(sets))
             if not len(sets):
@@ -161,7 +210,7 @@ class Rows:
         asked = left.select(F.col("a").alias("doc_id")).union(left.select("b")).distinct()
 
         def collect(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
-            sets = [grams(b, width)[0].tobytes() for b in batch.column("body").to_pylist()]
+            sets = [grams(b, width, state.setdefault("words", Words()))[0].tobytes() for b in batch.column("body").to_pylist()]
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["doc_id", "sets"])
 
         sets = written(arrow_map(with_rows(texts(self.docs), asked).select("doc_id", "body"), collect, "doc_id bigint, sets binary"))
@@ -178,12 +227,29 @@ class Rows:
         two = sets.select(F.col("doc_id").alias("b"), F.col("sets").alias("y"))
         return arrow_map(left.select("a", "b").join(one, "a").join(two, "b"), count, "a bigint, b bigint").distinct()
 
-    def ties(self) -> DataFrame:
-        """a, b: near copies and the smallest row of one of their groups, linked."""
-        keyed = self.sig.select("doc_id", "n", F.explode("keys").alias("key"))
-        pivots = keyed.groupBy("key").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
-        near = keyed.join(pivots, "key").where("doc_id > b").select(F.col("doc_id").alias("a"), "b").distinct()
-        return self.verified(near)
+    def ties(self, rounds: int = 3) -> tuple[DataFrame, DataFrame]:
+        """Verified links (a, b) of near copies to pivots of their groups, and the
+        label (doc_id, label) that rows tied together share. A row has KEYS groups
+        (by three least hashes of its set); each round takes another pivot of each
+        group and asks the rows that don't share its label yet."""
+        keyed = self.sig.select("doc_id", F.explode("keys").alias("key")).distinct()
+        many = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("key")
+        keyed = written(keyed.join(many, "key").withColumn("turn", F.xxhash64("doc_id", F.lit(5))))
+        label = own = self.sig.select("doc_id").distinct().withColumn("label", F.col("doc_id"))
+        links = self.sig.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")).limit(0)
+        for r in range(rounds):
+            # The pivot: least in this round's order, different in every round.
+            order = F.struct(F.xxhash64("turn", F.lit(r)), "doc_id")
+            pivots = keyed.groupBy("key").agg(F.min(order).alias("p")).select("key", F.col("p.doc_id").alias("b"))
+            near = keyed.join(pivots, "key").where("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+            la = label.select(F.col("doc_id").alias("a"), F.col("label").alias("x"))
+            lb = label.select(F.col("doc_id").alias("b"), F.col("label").alias("y"))
+            new = written(self.verified(near.join(la, "a").join(lb, "b").where("x <> y").select("a", "b")))
+            links = written(links.union(new))
+            reached = components(links)
+            label = own.select("doc_id").join(reached.withColumnRenamed("v", "doc_id"), "doc_id", "left")
+            label = written(label.select("doc_id", F.coalesce("c", "doc_id").alias("label")))
+        return links, label
 
     def _blobs(self, labelled: DataFrame, common: np.ndarray, shards: int, labels: bool) -> DataFrame:
         """First columns by block of columns: shard, f, row (with the smaller-side
@@ -192,12 +258,15 @@ class Rows:
         shared = self.docs.sparkSession.sparkContext.broadcast(common)
 
         def run(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
-            fs, rows, sizes = [], [], []
+            fs, rows, sizes, bits = [], [], [], []
             for i, body in enumerate(batch.column("body").to_pylist()):
-                sets, _ = grams(body, width)
+                sets, _ = grams(body, width, state.setdefault("words", Words()))
                 sizes.append(len(sets))
+                bits.append(b"")
                 if len(sets):
-                    f, small = first_columns(sets, shared.value, percent)
+                    f, small, late = first_columns(sets, shared.value, percent)
+                    if labels and late:
+                        bits[-1] = bitmap(sets, FINE)
                     fs.append(f)
                     rows.append(np.full(len(f), i, np.uint16) | (np.arange(len(f)) < small).astype(np.uint16) * np.uint16(1 << 15))
             f = np.concatenate([np.zeros(0, np.uint64), *fs])
@@ -212,11 +281,12 @@ class Rows:
                 who = np.stack([ids, label, np.array(sizes, np.int64)], 1).astype("<i8").tobytes()
             return pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in spans], pa.int32()), pa.array([f[i].tobytes() for _, i in spans], pa.binary()),
-                 pa.array([row[i].tobytes() if labels else b"" for _, i in spans], pa.binary()), pa.array([who] * len(spans), pa.binary())],
-                ["shard", "f", "row", "who"],
+                 pa.array([row[i].tobytes() if labels else b"" for _, i in spans], pa.binary()), pa.array([who] * len(spans), pa.binary()),
+                 pa.array([bits if labels else []] * len(spans), pa.list_(pa.binary()))],
+                ["shard", "f", "row", "who", "bits"],
             )
 
-        return arrow_map(labelled, run, "shard int, f binary, row binary, who binary")
+        return arrow_map(labelled, run, "shard int, f binary, row binary, who binary, bits array<binary>")
 
     def common(self, labelled: DataFrame, before: np.ndarray, shards: int) -> np.ndarray:
         """n-grams that more than COMMON rows hold among their first columns, with
@@ -248,19 +318,25 @@ class Rows:
             row = [np.frombuffer(x, np.uint16) for x in rows.row]
             small = np.concatenate([r >> np.uint16(15) for r in row]).astype(bool)
             who = np.concatenate([np.frombuffer(w, "<i8").reshape(-1, 3)[r & np.uint16((1 << 15) - 1)] for w, r in zip(rows.who, row, strict=True)])
+            base = np.cumsum([0, *map(len, rows.bits)])
+            place = np.concatenate([(r & np.uint16((1 << 15) - 1)).astype(np.int64) + x for r, x in zip(row, base, strict=False)])
+            maps = Bitmaps([b for batch in rows.bits for b in batch])
             order = np.lexsort((who[:, 0], who[:, 2], f))
-            f, small, who = f[order], small[order], who[order]
+            f, small, who, place = f[order], small[order], who[order], place[order]
             edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
             stop = np.r_[edge[1:], len(f)]
             mixed = np.maximum.reduceat(who[:, 1], edge) != np.minimum.reduceat(who[:, 1], edge)
             out: list[np.ndarray] = []
             for x, y in zip(edge[mixed].tolist(), stop[mixed].tolist(), strict=True):
-                ids, label, size, ok = who[x:y, 0], who[x:y, 1], who[x:y, 2], small[x:y]
+                ids, label, size, ok, at = who[x:y, 0], who[x:y, 1], who[x:y, 2], small[x:y], place[x:y]
                 # Sizes ascend: a row's partners that are not smaller are one span.
                 reach = np.searchsorted(size, size * 100 // percent, side="right")
                 for i in np.flatnonzero(ok).tolist():
                     j = np.arange(i + 1, reach[i])
                     j = j[label[i + 1 : reach[i]] != label[i]]
+                    if len(j):
+                        most = maps.overlap_bounds(at[i], at[j], size[i], size[j])
+                        j = j[most >= needed(size[i] + size[j], percent)]
                     if len(j):
                         a, b = np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])
                         out.append(np.stack([a, b], 1))
@@ -301,13 +377,7 @@ def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Linked:
     classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
     rows = written(filled.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "c1", "c2"]).dropDuplicates(["doc_id", "c1", "c2"]))
     matrix = Rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), rows, width, percent)
-    ties = written(matrix.ties())
-    tied = ties.groupBy(F.col("a").alias("doc_id")).agg(F.min("b").alias("up"))
-    own = rows.select("doc_id").distinct().join(tied, "doc_id", "left").select("doc_id", F.coalesce("up", "doc_id").alias("label"))
-    own = written(own)
-    # One jump: rows tied to a row that is itself tied share its label.
-    jump = own.select(F.col("doc_id").alias("label"), F.col("label").alias("up"))
-    labels = written(own.join(jump, "label").select("doc_id", F.col("up").alias("label")))
+    ties, labels = matrix.ties()
     links = written(ties.union(matrix.verified(written(matrix.product(labels)))).distinct())
     reached = components(links)
     named = classes.join(reached.withColumnRenamed("v", "rep"), "rep", "left").select("c1", "c2", F.coalesce("c", "rep").alias("comp"))
