@@ -335,7 +335,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     texts = _identified(docs)
     size = texts.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     held = written(repeated_anchors(texts, shards_for(size * 0.2)))
-    stretches = _stretches(texts, held, shards_for(size * 1.5, 8e6))
+    stretches = _stretches(texts, held, shards_for(size * 1.5, 3e6))
 
     def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.drop_duplicates(["doc_id", "a", "b", "lo"]).reset_index(drop=True)
