@@ -115,15 +115,16 @@ def _next_head(heads: DataFrame, level: int) -> DataFrame:
     return inside.join(above, "up").select("cell", F.coalesce("inside", "above").alias("next_head"))
 
 
-def with_next(docs: DataFrame, columns: list[str], levels: int = 2) -> DataFrame:
-    """Each document beside `next_<column>` of the next by descending doc_id. The
-    ids are cut into ranges; the head of the next lower range visits each range as
-    a guest, so texts move once and no window spans more than a range."""
+def with_next(docs: DataFrame, columns: list[str], add, levels: int = 2) -> DataFrame:
+    """Each document, after `add`, beside `next_<column>` of the next by descending
+    doc_id. The ids are cut into ranges; the head of the next lower range visits
+    each range as a guest, so texts move once and no window spans more than a
+    range. Heads are found on ids alone, before `add` computes anything."""
     docs = docs.where("doc_id is not null").withColumn("cell", F.shiftright("doc_id", RANGE_BITS))
     heads = docs.groupBy("cell").agg(F.max("doc_id").alias("head"))
     visits = _next_head(heads, levels).select(F.col("cell").alias("host"), F.col("next_head").alias("doc_id"))
     guests = docs.join(visits, "doc_id").withColumn("cell", F.col("host")).drop("host")
-    both = docs.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1)))
+    both = add(docs.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1))))
     order = Window.partitionBy("cell").orderBy("guest", F.desc("doc_id"), "row")
     return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("guest = 0").drop("guest", "cell")
 
@@ -131,7 +132,7 @@ def with_next(docs: DataFrame, columns: list[str], levels: int = 2) -> DataFrame
 def fingerprints(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
-    base = with_next(with_signature(base, "text", "sig"), ["text", "sig"])
+    base = with_next(base, ["text", "sig"], lambda rows: with_signature(rows, "text", "sig"))
     n = F.char_length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.left("text", n - half), F.left("next_text", half))
