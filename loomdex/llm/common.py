@@ -8,15 +8,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import loomdex
-
-# Executors need no copy of this package: its functions travel with the task.
-cloudpickle.register_pickle_by_value(loomdex)
-
 #: Rows in one Arrow batch: a bound on what a Python worker holds at once.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
