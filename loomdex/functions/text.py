@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The English and French words that a query drops.
 STOP = tuple(
@@ -126,7 +127,7 @@ def porter(w: str) -> str:
     return w[:-1] if w.endswith("ll") and _measure(w) > 1 else w
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(text: pd.Series) -> pd.Series:
     """Folded, stemmed tokens; Spark has no built-in for either."""
     return text.map(lambda t: [porter(fold(w)) for w in re.findall(r"[^\W_]+", t or "")])
