@@ -1,6 +1,6 @@
 """WARC archives with an external index merge.
 
-Records are written by Spark's text sink with the record separator as the line
+Records are written by Spark's text sink, each archive one gzip stream, with the record separator as the line
 separator, so archives appear through the commit protocol of a shared store and
 survive lost executors. Each archive read back yields one run of captures,
 sorted locally by URL key and timestamp. Runs meet in ranges of (key, timestamp,
@@ -16,6 +16,7 @@ never serve as the response of others; further columns are ignored.
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
@@ -76,7 +77,7 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
 def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
     (
         records(pages, least).select("value").write
-        .option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+        .option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
     )
 
 
@@ -117,7 +118,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
         rows = []
         for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             own = []
-            for at, heads, block in parse(content.as_py()):
+            for at, heads, block in parse(gzip.decompress(content.as_py())):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 kind = heads["WARC-Type"]
                 if kind == "response":
