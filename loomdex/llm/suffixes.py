@@ -16,6 +16,11 @@ may repeat (equal strings have equal hashes, so none is lost); equal stretches
 are one string with a count, and the suffix array over the different ones of an
 anchor decides which windows occur twice. Bytes are compared, not hashes.
 
+An anchor that lies in more than HOT places would be one large group (a common
+line in many contexts). Its windows are dealt out further, by the STEP offsets of
+the anchor among which theirs lies and by the bytes that all windows with such an
+offset hold around it (the core). Equal windows still meet; others mostly part.
+
 Equal documents are one text with a count: with WIDTH bytes or more all of it is
 repeated. Copies are told by two 64-bit hashes of the whole text.
 
@@ -37,6 +42,8 @@ from pyspark.sql import functions as F
 from loomdex.llm.common import arrow_map, mix64, shards_for, table, written
 
 WIDTH, K = 200, 64
+#: Places of one anchor beyond which its windows are parted, and the offsets of a part.
+HOT, STEP = 10_000, 16
 _PLACE = 28  # bits of a position in the key of a minimum
 _BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -188,18 +195,31 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(body: bytes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor and the first and last window start that belong to it."""
+def anchors(body: bytes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of each anchor, the first and last window start that belong to it, its place."""
     none = np.zeros(0, np.int64)
     if len(body) < WIDTH:
-        return np.zeros(0, np.uint64), none, none
+        return np.zeros(0, np.uint64), none, none, none
     grams = rolling.windows(np.frombuffer(body, np.uint8), K)
     place = np.uint64((1 << _PLACE) - 1)
     keys = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
     at = (_least(keys, WIDTH - K + 1) & place).astype(np.int64)
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
     last = np.r_[first[1:] - 1, len(at) - 1]
-    return grams[at[first]], first, last
+    return grams[at[first]], first, last, at[first]
+
+
+def parted(f: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, cores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Key, first and last window start of the parts of some anchors' windows.
+    cores: hashes of all strings of WIDTH - STEP + 1 bytes of the body. A part's
+    core begins at its greatest possible start, so each of its windows holds it."""
+    low, high = (place - last) // STEP, (place - first) // STEP
+    n = high - low + 1
+    of = np.repeat(np.arange(len(f)), n)
+    part = low[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    greatest = place[of] - STEP * part
+    key = mix64(f[of] ^ mix64(cores[greatest] + part.astype(np.uint64)))
+    return key, np.maximum(first[of], greatest - STEP + 1), np.minimum(last[of], greatest)
 
 
 _TEXT = "doc_id bigint, a bigint, b bigint"
@@ -222,8 +242,8 @@ def _by_shard(home: np.ndarray, shards: int):
 
 
 def repeated_anchors(texts: DataFrame, shards: int) -> DataFrame:
-    """_TEXT and `held` (binary: sorted anchor hashes that occur twice) of one
-    document of each text."""
+    """_TEXT, `held` (binary: sorted anchor hashes that occur twice) and `hot`
+    (those of them in more than HOT places) of one document of each text."""
 
     def find(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
         rolling = state.setdefault("rolling", Rolling())
@@ -257,37 +277,46 @@ def repeated_anchors(texts: DataFrame, shards: int) -> DataFrame:
         f, who, ids = f[keep], who[keep], ids[keep]
         edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])
         size = np.diff(np.r_[edge, len(f)])
-        many = np.repeat(size > 1, size)
-        f, who, ids = f[many], who[many], ids[many]
+        many, hot = np.repeat(size > 1, size), np.repeat(size > HOT, size)
+        f, who, ids, hot = f[many], who[many], ids[many], hot[many]
         order = np.lexsort((f, who[:, 1], who[:, 0]))
-        f, who, ids = f[order], who[order], ids[order]
+        f, who, ids, hot = f[order], who[order], ids[order], hot[order]
         edge = np.flatnonzero(np.r_[True, (who[1:] != who[:-1]).any(1)]) if len(f) else np.zeros(0, np.int64)
         ends = np.r_[edge[1:], len(f)] if len(f) else edge
         return pd.DataFrame({
             "doc_id": ids[edge], "a": who[edge, 0], "b": who[edge, 1],
             "held": [np.unique(f[x:y]).tobytes() for x, y in zip(edge, ends, strict=True)],
+            "hot": [np.unique(f[x:y][hot[x:y]]).tobytes() for x, y in zip(edge, ends, strict=True)],
         })
 
     blobs = arrow_map(texts, find, "shard int, f binary, doc binary, who binary, ids binary")
-    found = blobs.groupBy("shard").applyInPandas(meet, f"{_TEXT}, held binary")
-    return found.groupBy("doc_id", "a", "b").agg(F.array_join(F.collect_list(F.hex("held")), "").alias("held")).withColumn("held", F.unhex("held"))
+    found = blobs.groupBy("shard").applyInPandas(meet, f"{_TEXT}, held binary, hot binary")
+    joined = [F.unhex(F.array_join(F.collect_list(F.hex(c)), "")).alias(c) for c in ("held", "hot")]
+    return found.groupBy("doc_id", "a", "b").agg(*joined)
 
 
 def _stretches(texts: DataFrame, held: DataFrame, shards: int) -> DataFrame:
     """shard, f, doc_id, a, b, lo, piece: the bytes of all windows of one anchor."""
-    h = held.select(F.col("doc_id").alias("i"), F.col("a").alias("x"), F.col("b").alias("y"), "held")
+    h = held.select(F.col("doc_id").alias("i"), F.col("a").alias("x"), F.col("b").alias("y"), "held", "hot")
     body = texts.join(h, texts.doc_id.eqNullSafe(F.when(h.i != -(2**63), h.i)) & (texts.a == h.x) & (texts.b == h.y))
 
     def cut(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
         rolling = state.setdefault("rolling", Rolling())
         at, fs, los, pieces = [], [], [], []
-        for row, (body, own) in enumerate(zip(batch.column("body").to_pylist(), batch.column("held").to_pylist(), strict=True)):
-            f, first, last = anchors(body, rolling)
-            for i in np.flatnonzero(np.isin(f, np.frombuffer(own, np.uint64))).tolist():
-                at.append(row)
-                fs.append(int(f[i]))
-                los.append(int(first[i]))
-                pieces.append(body[first[i] : last[i] + WIDTH])
+        columns = (batch.column(c).to_pylist() for c in ("body", "held", "hot"))
+        for row, (body, own, hot) in enumerate(zip(*columns, strict=True)):
+            found = anchors(body, rolling)
+            mine = np.isin(found[0], np.frombuffer(own, np.uint64))
+            much = mine & np.isin(found[0], np.frombuffer(hot, np.uint64))
+            kinds = [[x[mine & ~much] for x in found[:3]]]
+            if much.any():
+                cores = rolling.windows(np.frombuffer(body, np.uint8), WIDTH - STEP + 1)
+                kinds.append(parted(*[x[much] for x in found], cores))
+            for f, first, last in kinds:
+                at += [row] * len(f)
+                fs += f.tolist()
+                los += first.tolist()
+                pieces += [body[x : y + WIDTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
         f = np.array(fs, np.uint64)
         take = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays(
@@ -296,7 +325,7 @@ def _stretches(texts: DataFrame, held: DataFrame, shards: int) -> DataFrame:
             ["shard", "f", "doc_id", "a", "b", "lo", "piece"],
         )
 
-    return arrow_map(body.select("doc_id", "a", "b", "body", "held"), cut, f"shard int, f bigint, {_TEXT}, lo bigint, piece binary")
+    return arrow_map(body.select("doc_id", "a", "b", "body", "held", "hot"), cut, f"shard int, f bigint, {_TEXT}, lo bigint, piece binary")
 
 
 def decide(pieces: list[bytes], f: np.ndarray, rolling: Rolling) -> list[np.ndarray]:
