@@ -19,7 +19,9 @@ anchor decides which windows occur twice. Bytes are compared, not hashes.
 An anchor that lies in more than HOT places would be one large group (a common
 line in many contexts). Its windows are dealt out further, by the STEP offsets of
 the anchor among which theirs lies and by the bytes that all windows with such an
-offset hold around it (the core). Equal windows still meet; others mostly part.
+offset hold around it (the core). Equal windows still meet; others mostly part. Equal
+stretches of a text travel once with all their places, and equal ones of several
+texts are judged once with their number.
 
 Equal documents are one text with a count: with WIDTH bytes or more all of it is
 repeated. Copies are told by two 64-bit hashes of the whole text.
@@ -296,7 +298,8 @@ def repeated_anchors(texts: DataFrame, shards: int) -> DataFrame:
 
 
 def _stretches(texts: DataFrame, held: DataFrame, shards: int) -> DataFrame:
-    """shard, f, doc_id, a, b, lo, piece: the bytes of all windows of one anchor."""
+    """shard, f, doc_id, a, b, los, piece: the bytes of all windows of one anchor
+    (or of a part of them) and the places in the text where they begin."""
     h = held.select(F.col("doc_id").alias("i"), F.col("a").alias("x"), F.col("b").alias("y"), "held", "hot")
     body = texts.join(h, texts.doc_id.eqNullSafe(F.when(h.i != -(2**63), h.i)) & (texts.a == h.x) & (texts.b == h.y))
 
@@ -312,24 +315,27 @@ def _stretches(texts: DataFrame, held: DataFrame, shards: int) -> DataFrame:
             if much.any():
                 cores = rolling.windows(np.frombuffer(body, np.uint8), WIDTH - STEP + 1)
                 kinds.append(parted(*[x[much] for x in found], cores))
-            for f, first, last in kinds:
-                at += [row] * len(f)
-                fs += f.tolist()
-                los += first.tolist()
-                pieces += [body[x : y + WIDTH] for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            same: dict[tuple[int, bytes], list[int]] = {}
+            for kind in kinds:
+                for key, x, y in zip(*(column.tolist() for column in kind), strict=True):
+                    same.setdefault((key, body[x : y + WIDTH]), []).append(x)
+            at += [row] * len(same)
+            fs += [key for key, _ in same]
+            pieces += [piece for _, piece in same]
+            los += [np.array(x, "<i8").tobytes() for x in same.values()]
         f = np.array(fs, np.uint64)
         take = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays(
             [pa.array((f % np.uint64(shards)).astype(np.int32)), pa.array(f.view(np.int64)), *[batch.column(c).take(take) for c in ("doc_id", "a", "b")],
-             pa.array(los, pa.int64()), pa.array(pieces, pa.binary())],
-            ["shard", "f", "doc_id", "a", "b", "lo", "piece"],
+             pa.array(los, pa.binary()), pa.array(pieces, pa.binary())],
+            ["shard", "f", "doc_id", "a", "b", "los", "piece"],
         )
 
-    return arrow_map(body.select("doc_id", "a", "b", "body", "held", "hot"), cut, f"shard int, f bigint, {_TEXT}, lo bigint, piece binary")
+    return arrow_map(body.select("doc_id", "a", "b", "body", "held", "hot"), cut, f"shard int, f bigint, {_TEXT}, los binary, piece binary")
 
 
-def decide(pieces: list[bytes], f: np.ndarray, rolling: Rolling) -> list[np.ndarray]:
-    """For each piece, which of its windows occur in another place."""
+def decide(pieces: list[bytes], f: np.ndarray, counts: np.ndarray, rolling: Rolling) -> list[np.ndarray]:
+    """For each piece, found counts times, which of its windows occur in another place."""
     sizes = np.array([len(p) for p in pieces])
     whole = np.frombuffer(b"".join(pieces), np.uint8)
     begin = np.cumsum(sizes) - sizes
@@ -340,7 +346,7 @@ def decide(pieces: list[bytes], f: np.ndarray, rolling: Rolling) -> list[np.ndar
     h = hashes[begin[owner] + offset] ^ mix64(f.view(np.uint64))[owner]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
-    maybe = np.zeros(len(h), bool)
+    maybe = counts[owner] > 1
     maybe[order[1:][same]] = True
     maybe[order[:-1][same]] = True
     flags = np.zeros(len(h), bool)
@@ -352,7 +358,7 @@ def decide(pieces: list[bytes], f: np.ndarray, rolling: Rolling) -> list[np.ndar
         piece = pieces[owner[x]]
         strings.setdefault(int(f[owner[x]]), {}).setdefault(piece[offset[x] : offset[y] + WIDTH], []).append(k)
     for of in strings.values():
-        for runs, found in zip(of.values(), repeated_starts(list(of), [len(r) for r in of.values()]), strict=True):
+        for runs, found in zip(of.values(), repeated_starts(list(of), [int(counts[owner[edge[r]]].sum()) for r in of.values()]), strict=True):
             for k in runs:
                 flags[edge[k] : stop[k] + 1] = found
     return np.split(flags, np.cumsum(n)[:-1])
@@ -367,18 +373,21 @@ def repeats(docs: DataFrame) -> DataFrame:
     stretches = _stretches(texts, held, shards_for(size * 1.5, 3e6))
 
     def judge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["doc_id", "a", "b", "lo"]).reset_index(drop=True)
-        found = decide(rows.piece.tolist(), rows.f.to_numpy(), Rolling())
-        out = []
-        for i, flags in enumerate(found):
-            on = np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8)))
-            out += [(i, int(x), int(y) - 1) for x, y in on.reshape(-1, 2)]
-        at = np.array([o[0] for o in out], np.int64)
-        lo = rows.lo.to_numpy()[at]
-        return pd.DataFrame({
-            "doc_id": rows.doc_id.to_numpy()[at], "a": rows.a.to_numpy()[at], "b": rows.b.to_numpy()[at],
-            "first": lo + np.array([o[1] for o in out], np.int64), "last": lo + np.array([o[2] for o in out], np.int64),
-        })
+        rows = rows.drop_duplicates(["doc_id", "a", "b", "los"]).reset_index(drop=True)
+        los = [np.frombuffer(x, "<i8") for x in rows.los]
+        places = np.array([len(x) for x in los], np.int64)
+        number: dict[tuple[int, bytes], int] = {}
+        which = np.array([number.setdefault(k, len(number)) for k in zip(rows.f.tolist(), rows.piece.tolist(), strict=True)], np.int64)
+        counts = np.bincount(which, weights=places, minlength=len(number)).astype(np.int64)
+        found = decide([piece for _, piece in number], np.array([f for f, _ in number], np.int64), counts, Rolling())
+        runs = [np.flatnonzero(np.diff(np.r_[False, flags, False].astype(np.int8))).reshape(-1, 2) for flags in found]
+        n = np.array([len(r) for r in runs], np.int64)[which]
+        # Every run of a piece at every place of it.
+        at = np.repeat(np.arange(len(rows)), n * places)
+        none = np.zeros(0, np.int64)
+        first = np.concatenate([none, *[np.add.outer(lo, runs[w][:, 0]).ravel() for lo, w in zip(los, which, strict=True)]])
+        last = np.concatenate([none, *[np.add.outer(lo, runs[w][:, 1] - 1).ravel() for lo, w in zip(los, which, strict=True)]])
+        return pd.DataFrame({**{c: rows[c].to_numpy()[at] for c in ("doc_id", "a", "b")}, "first": first, "last": last})
 
     runs = stretches.groupBy("shard").applyInPandas(judge, f"{_TEXT}, first bigint, last bigint")
     return runs.groupBy("doc_id", "a", "b").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))

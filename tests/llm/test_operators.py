@@ -216,7 +216,9 @@ def test_suffix_array():
         assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-def test_suffix_dedup(docs, empty):
+@pytest.mark.parametrize("hot", [1, suffixes.HOT])
+def test_suffix_dedup(docs, empty, monkeypatch, hot):
+    monkeypatch.setattr(suffixes, "HOT", hot)
     width, seen, want = suffixes.WIDTH, {}, []
     bodies = [(i, (t or "").encode()) for i, t, *_ in ROWS]
     for _, b in bodies:
