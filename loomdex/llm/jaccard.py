@@ -150,17 +150,21 @@ class Bitmaps:
         return out
 
 
-_SIG = "doc_id bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, bits binary"
+_SIG = "doc_id bigint, c1 bigint, c2 bigint, n bigint, keys array<bigint>, bits binary, first binary"
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Digest, size, group keys, bitmap and first columns (in the order of the
+    hashes alone) of every text: all that most rows need of their set."""
+
     def run(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
-        c, n, keys, bits = [], [], [], []
+        c, n, keys, bits, first = [], [], [], [], []
         edges = (np.arange(3 * KEYS, dtype=np.uint64) * np.uint64((1 << 64) // (3 * KEYS))).astype(np.uint64)
         for body in batch.column("body").to_pylist():
             sets, digest = grams(body, width, state.setdefault("words", Words()))
             c.append(np.frombuffer(digest or bytes(16), "<i8"))
             n.append(len(sets))
+            first.append(first_columns(sets, np.zeros(0, np.uint64), percent)[0].tobytes() if len(sets) else b"")
             if not len(sets):
                 keys.append([])
                 bits.append(b"")
@@ -171,8 +175,8 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
             bits.append(bitmap(sets))
         c = np.array(c).reshape(-1, 2)
         return pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary())],
-            ["doc_id", "c1", "c2", "n", "keys", "bits"],
+            [batch.column("doc_id"), pa.array(c[:, 0]), pa.array(c[:, 1]), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.binary()), pa.array(first, pa.binary())],
+            ["doc_id", "c1", "c2", "n", "keys", "bits", "first"],
         )
 
     return arrow_map(texts(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")), run, _SIG)
@@ -191,6 +195,7 @@ class Rows:
 
     docs: DataFrame  # doc_id, text
     sig: DataFrame  # of the rows alone
+    first: DataFrame  # doc_id, n, first of at least the rows
     width: int
     percent: int
 
@@ -251,44 +256,71 @@ class Rows:
             label = written(label.select("doc_id", F.coalesce("c", "doc_id").alias("label")))
         return links, label
 
-    def _blobs(self, labelled: DataFrame, common: np.ndarray, shards: int, labels: bool) -> DataFrame:
+    def _blobs(self, labels: DataFrame, common: np.ndarray, shards: int, whole: bool) -> DataFrame:
         """First columns by block of columns: shard, f, row (with the smaller-side
-        bit), and the table of the batch's rows."""
+        bit), and the table of the batch's rows. Rows none of whose first columns
+        is common keep those that the signatures hold; the sets of the others are
+        made again from their texts."""
         width, percent = self.width, self.percent
         shared = self.docs.sparkSession.sparkContext.broadcast(common)
+        schema = "shard int, f binary, row binary, who binary, bits array<binary>"
 
-        def run(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
-            fs, rows, sizes, bits = [], [], [], []
-            for i, body in enumerate(batch.column("body").to_pylist()):
-                sets, _ = grams(body, width, state.setdefault("words", Words()))
-                sizes.append(len(sets))
-                bits.append(b"")
-                if len(sets):
-                    f, small, late = first_columns(sets, shared.value, percent)
-                    if labels and late:
-                        bits[-1] = bitmap(sets, FINE)
-                    fs.append(f)
-                    rows.append(np.full(len(f), i, np.uint16) | (np.arange(len(f)) < small).astype(np.uint16) * np.uint16(1 << 15))
-            f = np.concatenate([np.zeros(0, np.uint64), *fs])
-            row = np.concatenate([np.zeros(0, np.uint16), *rows]).astype(np.uint16)
+        def pack(batch: pa.RecordBatch, firsts: list[np.ndarray], smalls: list[int], sizes: list[int], bits: list[bytes]) -> pa.RecordBatch:
+            f = np.concatenate([np.zeros(0, np.uint64), *firsts])
+            row = np.concatenate([np.zeros(0, np.uint16), *(np.full(len(x), i, np.uint16) | (np.arange(len(x)) < small).astype(np.uint16) * np.uint16(1 << 15) for i, (x, small) in enumerate(zip(firsts, smalls, strict=True)))]).astype(np.uint16)
             home = (f >> np.uint64(20)) % np.uint64(shards)
             order = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[order], np.arange(shards + 1, dtype=np.uint64))
             spans = [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s] < cuts[s + 1]]
             who = b""
-            if labels:
+            if whole:
                 ids, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label"))
                 who = np.stack([ids, label, np.array(sizes, np.int64)], 1).astype("<i8").tobytes()
             return pa.RecordBatch.from_arrays(
                 [pa.array([s for s, _ in spans], pa.int32()), pa.array([f[i].tobytes() for _, i in spans], pa.binary()),
-                 pa.array([row[i].tobytes() if labels else b"" for _, i in spans], pa.binary()), pa.array([who] * len(spans), pa.binary()),
-                 pa.array([bits if labels else []] * len(spans), pa.list_(pa.binary()))],
+                 pa.array([row[i].tobytes() if whole else b"" for _, i in spans], pa.binary()), pa.array([who] * len(spans), pa.binary()),
+                 pa.array([bits if whole else []] * len(spans), pa.list_(pa.binary()))],
                 ["shard", "f", "row", "who", "bits"],
             )
 
-        return arrow_map(labelled, run, "shard int, f binary, row binary, who binary, bits array<binary>")
+        def touched(batch: pa.RecordBatch) -> np.ndarray:
+            firsts = [np.frombuffer(x, np.uint64) for x in batch.column("first").to_pylist()]
+            if not len(shared.value):
+                return np.zeros(len(firsts), bool)
+            f = np.concatenate([np.zeros(0, np.uint64), *firsts])
+            at = np.searchsorted(shared.value, f)
+            at[at == len(shared.value)] = 0
+            row = np.repeat(np.arange(len(firsts)), [len(x) for x in firsts])
+            return np.bincount(row[shared.value[at] == f], minlength=len(firsts)) > 0
+
+        def held(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch | None:
+            batch = batch.filter(pa.array(~touched(batch)))
+            sizes = batch.column("n").to_pylist()
+            firsts = [np.frombuffer(x, np.uint64) for x in batch.column("first").to_pylist()]
+            return pack(batch, firsts, [n - int(needed(2 * n, percent)) + 1 for n in sizes], sizes, [b""] * len(sizes)) if sizes else None
+
+        def remade(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
+            firsts, smalls, sizes, bits = [], [], [], []
+            for body in batch.column("body").to_pylist():
+                sets, _ = grams(body, width, state.setdefault("words", Words()))
+                f, small, late = first_columns(sets, shared.value, percent) if len(sets) else (sets, 0, False)
+                firsts.append(f)
+                smalls.append(small)
+                sizes.append(len(sets))
+                bits.append(bitmap(sets, FINE) if whole and late else b"")
+            return pack(batch, firsts, smalls, sizes, bits)
+
+        def ask(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
+            return batch.select(["doc_id", "label"]).filter(pa.array(touched(batch)))
+
+        labelled = with_rows(self.first, labels, ("label",)).select("doc_id", "label", "n", "first")
+        blobs = arrow_map(labelled, held, schema)
+        if len(common):
+            asked = written(arrow_map(labelled, ask, "doc_id bigint, label bigint")).distinct()
+            blobs = blobs.unionByName(arrow_map(with_rows(texts(self.docs), asked, ("label",)), remade, schema))
+        return blobs
 
-    def common(self, labelled: DataFrame, before: np.ndarray, shards: int) -> np.ndarray:
+    def common(self, labels: DataFrame, before: np.ndarray, shards: int) -> np.ndarray:
         """n-grams that more than COMMON rows hold among their first columns, with
         `before`; the threshold doubles until they are at most SENT."""
 
@@ -296,7 +328,7 @@ class Rows:
             f, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in rows.f]), return_counts=True)
             return pd.DataFrame({"f": f[n > COMMON].view(np.int64), "n": n[n > COMMON]})
 
-        found = written(self._blobs(labelled, before, shards, False).select("shard", "f").groupBy("shard").applyInPandas(count, "f bigint, n bigint"))
+        found = written(self._blobs(labels, before, shards, False).select("shard", "f").groupBy("shard").applyInPandas(count, "f bigint, n bigint"))
         least = COMMON
         while (many := found.where(F.col("n") > least)).count() > SENT:
             least *= 2
@@ -307,11 +339,10 @@ class Rows:
         """a, b, shared: pairs of rows under different labels that share first
         columns, with the counts of all blocks added."""
         percent = self.percent
-        labelled = with_rows(texts(self.docs), labels, ("label",))
         columns = self.sig.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - percent) / 100
         shards = shards_for(columns * 10, 16e6)
-        common = self.common(labelled, np.zeros(0, np.uint64), shards)
-        common = self.common(labelled, common, shards)
+        common = self.common(labels, np.zeros(0, np.uint64), shards)
+        common = self.common(labels, common, shards)
 
         def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             f = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.f])
@@ -344,7 +375,7 @@ class Rows:
             pairs, shared = np.unique(pairs, axis=0, return_counts=True)
             return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1], "shared": shared})
 
-        blocks = self._blobs(labelled, common, shards, True).groupBy("shard").applyInPandas(multiply, "a bigint, b bigint, shared bigint")
+        blocks = self._blobs(labels, common, shards, True).groupBy("shard").applyInPandas(multiply, "a bigint, b bigint, shared bigint")
         return blocks.groupBy("a", "b").agg(F.sum("shared").alias("shared")).where("a <> b")
 
 
@@ -372,11 +403,11 @@ class Linked:
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Linked:
-    sig = written(signatures(docs, width))
+    sig = written(signatures(docs, width, percent))
     filled = sig.where("n > 0 and doc_id is not null")
     classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
-    rows = written(filled.join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "c1", "c2"]).dropDuplicates(["doc_id", "c1", "c2"]))
-    matrix = Rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), rows, width, percent)
+    rows = written(filled.drop("first").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "c1", "c2"]).dropDuplicates(["doc_id", "c1", "c2"]))
+    matrix = Rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), rows, filled.select("doc_id", "n", "first"), width, percent)
     ties, labels = matrix.ties()
     links = written(ties.union(matrix.verified(written(matrix.product(labels)))).distinct())
     reached = components(links)
