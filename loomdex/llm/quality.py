@@ -19,6 +19,7 @@ teach; repeated rows are scored alike; further columns are ignored.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import astuple, dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, table, texts
+from loomdex.llm.common import arrow_map, table, texts, written
 
 PIECE, SAMPLE, LEVEL = 512, 256, 5
 
@@ -95,22 +96,35 @@ def _measured(docs: DataFrame, good: bytes, bad: bytes, column: str) -> DataFram
     return arrow_map(texts(docs, column), run, f"doc_id bigint, `{column}` {kind}, features array<double>")
 
 
-def _pieces(rows: DataFrame, n: int) -> bytes:
-    """The n pieces of smallest hash, at most eight from a document."""
+@dataclass(frozen=True)
+class Teaching:
+    """Texts and labels apart: rows are chosen by id and length, and only the
+    chosen ids (bounded) meet the texts."""
+
+    docs: DataFrame  # doc_id, text
+    labels: DataFrame  # doc_id, quality
+
+
+def _pieces(docs: DataFrame, rows: DataFrame, n: int) -> bytes:
+    """The n pieces of smallest hash, at most eight from a document. `rows` has
+    the ids and sizes of the documents that may give pieces."""
 
     def cut(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
         import xxhash
 
-        keys, pieces = [], []
-        for doc_id, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist(), strict=True):
-            found = ((xxhash.xxh64_intdigest(f"{doc_id}/{at}") >> 1, at) for at in range(0, len(body), SAMPLE))
-            for key, at in sorted(found)[:8]:
+        keys, ids, places = [], [], []
+        for doc_id, size in zip(batch.column("doc_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
+            found = ((xxhash.xxh64_intdigest(f"{doc_id}/{at}") >> 1, at) for at in range(0, size, SAMPLE))
+            for key, at in heapq.nsmallest(8, found):
                 keys.append(key)
-                pieces.append(body[at : at + SAMPLE])
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(pieces, pa.binary())], ["key", "piece"])
+                ids.append(doc_id)
+                places.append(at)
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(places, pa.int32())], ["key", "doc_id", "at"])
 
-    best = arrow_map(texts(rows), cut, "key bigint, piece binary").orderBy("key", "piece").limit(n)
-    return b"".join(bytes(r.piece) for r in best.collect())
+    best = arrow_map(rows.select("doc_id", "size"), cut, "key bigint, doc_id bigint, at int").distinct().orderBy("key", "doc_id", "at").limit(n)
+    piece = F.substring(F.col("text").cast("binary"), F.col("at") + 1, F.lit(SAMPLE)).alias("piece")
+    found = docs.join(F.broadcast(best), "doc_id").select("key", piece).orderBy("key", "piece").limit(n)
+    return b"".join(bytes(r.piece) for r in found.collect())
 
 
 def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,20 +140,26 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarr
     return w, mean, scale
 
 
-def fit(labelled: DataFrame, pieces: int = 2048, rows: int = 3000) -> Model:
-    """`labelled`: doc_id, text, quality (1 good, 0 bad, null: ignored)."""
+def fit(labelled: DataFrame | Teaching, pieces: int = 2048, rows: int = 3000) -> Model:
+    """`labelled`: doc_id, text, quality (1 good, 0 bad, null: ignored), together
+    or as Teaching."""
+    if isinstance(labelled, DataFrame):
+        labelled = Teaching(labelled.select("doc_id", "text"), labelled.select("doc_id", "quality"))
+    docs = labelled.docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    known = labelled.labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)").distinct()
     turn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("turn")), F.lit(2))
-    labelled = labelled.select("doc_id", "text", F.col("quality").cast("int").alias("quality"), turn.alias("turn"))
-    counts = {r.quality: r["count"] for r in labelled.where("quality in (0, 1)").groupBy("quality").count().collect()}
+    sizes = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size"))
+    may = written(sizes.join(known, "doc_id").withColumn("turn", turn))
+    counts = {r.quality: r["count"] for r in may.groupBy("quality").count().collect()}
     n_good, n_bad = counts.get(1, 0), counts.get(0, 0)
     prior = n_good / (n_good + n_bad) if counts else 0.5
-    content = [_pieces(labelled.where(f"quality = {q} and turn = 0"), pieces) for q in (1, 0)]
+    content = [_pieces(docs, may.where(f"quality = {q} and turn = 0"), pieces) for q in (1, 0)]
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("row"))
     taught = []
     for q in (1, 0):
-        some = labelled.where(f"quality = {q} and turn = 1").orderBy(order, "doc_id").limit(rows)
-        found = _measured(some, *content, "quality").select("features").collect()
-        taught.append(np.array([r.features for r in found], dtype=float).reshape(-1, 4))
+        some = may.where(f"quality = {q} and turn = 1").select("doc_id", "quality").distinct().orderBy(order, "doc_id").limit(rows)
+        found = _measured(docs.join(F.broadcast(some), "doc_id"), *content, "quality")
+        taught.append(np.array([r.features for r in found.orderBy(order, "doc_id", "features").limit(rows).collect()], dtype=float).reshape(-1, 4))
     if not all(content) or min(map(len, taught)) < 2:
         return Model(*content, (), (), (), prior)
     x = np.concatenate(taught)
@@ -182,12 +202,10 @@ def accepted(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(docs, run, schema)
 
 
-def teaching_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def teaching_rows(docs: DataFrame, labels: DataFrame) -> Teaching:
     """Documents with a label, without those held out: crc32(doc_id) mod 3 is 1."""
-    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select(
-        "doc_id", F.col("quality").cast("int").alias("quality")
-    )
-    return docs.select("doc_id", "text").join(known, "doc_id")
+    known = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull()).select("doc_id", "quality")
+    return Teaching(docs.select("doc_id", "text"), known)
 
 
 def held_out(doc_id) -> F.Column:
