@@ -3,7 +3,9 @@
 Vectors are scaled to unit length and turned by a random rotation, after which a
 block of their columns is a random projection. They lie in lists around centres
 fitted on a bounded sample; every vector is indexed. A query visits the lists of
-its PROBES nearest centres. Inside a list the columns are read block by block:
+its nearest centres: PROBES, or as many more, up to all, as a sample of JUDGED
+queries needs to meet RECALL of its neighbours, which are found by brute force
+over all entries. Inside a list the columns are read block by block:
 after d of D columns the partial squared distance, scaled by D / d, is tested
 against the current k-th distance times (1 + EPSILON / sqrt(d))^2, and the
 candidates that fail are abandoned. Survivors are scored by the cosine of the
@@ -22,6 +24,9 @@ smaller vec_id; further columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -32,6 +37,8 @@ from loomdex.llm.common import arrow_map, table, written
 
 EPSILON, COLUMNS = 2.1, 16
 PROBES, MAX_LISTS, SAMPLE = 64, 4096, 20_000
+#: Above 0.9 by what a sample of queries may err and what the scan abandons.
+RECALL, JUDGED = 0.95, 256
 BLOCK = 4096
 
 
@@ -96,6 +103,39 @@ def _assigned(rows: DataFrame, centres: np.ndarray, probes: int, ids: str) -> Da
     return arrow_map(rows.select("a", "b", "v", ids), run, f"list int, a bigint, b bigint, v array<double>, `{ids}` {kind}")
 
 
+def probes_for(index: DataFrame, asked: DataFrame, centres: np.ndarray, k: int) -> int:
+    """The least number of lists, PROBES at least, that holds RECALL of the k
+    nearest other entries of JUDGED queries of least hash, which every entry is
+    compared with."""
+    some = asked.select("a", "b", "v").orderBy("a", "b").limit(JUDGED).collect() if len(centres) > PROBES else []
+    if not some:
+        return PROBES
+    y = unit(np.array([r.v for r in some]))
+    turns = np.argsort(np.argsort(-(y @ rotation(y.shape[1])) @ centres.T, axis=1, kind="stable"), axis=1)
+    own = np.array([(r.a, r.b) for r in some])
+    shared = index.sparkSession.sparkContext.broadcast((y, turns, own))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        y, turns, own = shared.value
+        best, turn = np.full((len(y), k), -np.inf), np.zeros((len(y), k), np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                a, b, lists = (batch.column(n).to_numpy() for n in ("a", "b", "list"))
+                score = y @ unit(np.array(batch.column("v").to_pylist())).T
+                score[(own[:, :1] == a) & (own[:, 1:] == b)] = -np.inf
+                best, turn = np.hstack([best, score]), np.hstack([turn, turns[:, lists]])
+                few = np.argpartition(-best, k - 1, axis=1)[:, :k]
+                best, turn = np.take_along_axis(best, few, 1), np.take_along_axis(turn, few, 1)
+        q, at = np.nonzero(np.isfinite(best))
+        yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(best[q, at]), pa.array(turn[q, at])], ["q", "score", "turn"])
+
+    near = index.select("list", "a", "b", "v").mapInArrow(run, "q bigint, score double, turn bigint")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "turn")
+    found = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k).select("turn").collect()
+    need = sorted(r.turn for r in found)
+    return max(PROBES, need[math.ceil(RECALL * len(need)) - 1] + 1) if need else PROBES
+
+
 def scan(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     """Rows of `x` that may be among the k nearest to `y`; both rotated."""
     d = x.shape[1]
@@ -112,8 +152,9 @@ def scan(x: np.ndarray, y: np.ndarray, k: int) -> np.ndarray:
     return alive
 
 
-def search(rows: DataFrame, queries: F.Column, k: int = 5, probes: int = PROBES) -> DataFrame:
-    """query_id, rank, vec_id, score for the rows that `queries` picks."""
+def search(rows: DataFrame, queries: F.Column, k: int = 5, probes: int | None = None) -> DataFrame:
+    """query_id, rank, vec_id, score for the rows that `queries` picks; `probes`
+    lists a query, or as many as RECALL takes."""
     rows = written(usable(rows))
     entries = written(_entries(rows, k))
     n = entries.count()
@@ -123,6 +164,8 @@ def search(rows: DataFrame, queries: F.Column, k: int = 5, probes: int = PROBES)
     index = written(_assigned(entries, centres, 1, "ids"))
     asked = rows.where(queries).select(F.xxhash64("v").alias("a"), F.xxhash64(F.lit(1), "v").alias("b"), "vec_id", "v")
     asked = asked.select("a", "b", "v", F.lit(0).alias("q")).dropDuplicates(["a", "b"])
+    if probes is None:
+        probes = probes_for(index, asked, centres, k)
     probed = written(_assigned(asked, centres, probes, "q"))
     # Numbers of blocks of each list: at most MAX_LISTS rows.
     blocks = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))

@@ -135,6 +135,22 @@ def test_nearest(spark):
     assert nearest.search(spark.createDataFrame([], "vec_id bigint, embedding array<double>"), F.col("vec_id") >= 0).count() == 0
 
 
+def test_nearest_keeps_its_recall_with_many_lists(spark, monkeypatch):
+    fit, x = nearest.fit, np.random.default_rng(2).standard_normal((3000, 64))
+    monkeypatch.setattr(nearest, "fit", lambda entries, n, d: fit(entries, 30 * n, d))  # 300 lists
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in nearest.search(rows, F.col("vec_id") % 30 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for q in range(0, len(x), 30):
+        s = x @ x[q]
+        s[q] = -9
+        hit += len(got[q] & set(np.argpartition(-s, 5)[:5].tolist()))
+    assert hit >= 0.9 * 5 * len(got) and len(got) == 100
+
+
 def test_warc(spark):
     big = "<html>" + "word " * 50 + "\r\n\r\nWARC/1.1\r\n</html>"
     pages = [(1, "https://a.example/x", big), (2, "http://b.example/y?q=1", big), (3, None, None), (4, "https://a.example/x", "tiny"), (5, "u\r\nv", "tiny"), (6, "https://a.example/é", "é" * 200)]
