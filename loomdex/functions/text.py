@@ -133,6 +133,14 @@ def stems(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [porter(fold(w)) for w in re.findall(r"[^\W_]+", t or "")])
 
 
+def query_stems(text: str) -> list[str]:
+    """Different folded stems of a query's words, without stop words unless
+    nothing else is left."""
+    words = re.findall(r"[^\W_]+", text)
+    kept = [w for w in words if w.casefold() not in STOP] or words
+    return list(dict.fromkeys(porter(fold(w)) for w in kept))[:MAX_TERMS]
+
+
 def excerpt(text: Column, terms: list[str]) -> Column:
     """At most EXCERPT_TOKENS words from shortly before the first match."""
     words = F.split(collapse(text), " ")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomdex.functions.text import query_terms, tokens
+from loomdex.functions.text import query_stems, query_terms, stems, tokens
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"title": 10.0, "text": 1.0, "names": 0.5}
@@ -13,17 +13,19 @@ WEIGHTS = {"title": 10.0, "text": 1.0, "names": 0.5}
 DEMOTED = ("deprecated", "archived")
 
 
-def lengths(passages: DataFrame) -> DataFrame:
+def lengths(passages: DataFrame, stemmed: bool = False) -> DataFrame:
     """Adds d: the tokens of a passage over its searched columns."""
+    split = stems if stemmed else tokens
     fields = [c for c in WEIGHTS if c in passages.columns]
-    return passages.withColumn("d", sum((F.size(tokens(F.col(c))) for c in fields[1:]), F.size(tokens(F.col(fields[0])))))
+    return passages.withColumn("d", sum((F.size(split(F.col(c))) for c in fields[1:]), F.size(split(F.col(fields[0])))))
 
 
-def postings(passages: DataFrame, terms: list[str]) -> DataFrame:
+def postings(passages: DataFrame, terms: list[str], stemmed: bool = False) -> DataFrame:
     """passage columns, term, f (weighted frequency), d; a row per matching term.
     Occurrences are counted inside the row, so texts are not exploded."""
+    split = stems if stemmed else tokens
     fields = [c for c in WEIGHTS if c in passages.columns]
-    tokened = passages.select(*[c for c in passages.columns if c not in fields], *[tokens(F.col(c)).alias(f"_{c}") for c in fields])
+    tokened = passages.select(*[c for c in passages.columns if c not in fields], *[split(F.col(c)).alias(f"_{c}") for c in fields])
     d = sum((F.size(f"_{c}") for c in fields[1:]), F.size(f"_{fields[0]}"))
 
     def freq(term: str):
@@ -35,16 +37,17 @@ def postings(passages: DataFrame, terms: list[str]) -> DataFrame:
     return rows.select(*kept, "d", "m.term", "m.f").where("f > 0")
 
 
-def statistics(passages: DataFrame) -> DataFrame:
-    return lengths(passages).agg(F.count(F.lit(1)).alias("n_passages"), F.sum("d").alias("n_tokens"), F.avg("d").alias("avg_len"))
+def statistics(passages: DataFrame, stemmed: bool = False) -> DataFrame:
+    return lengths(passages, stemmed).agg(F.count(F.lit(1)).alias("n_passages"), F.sum("d").alias("n_tokens"), F.avg("d").alias("avg_len"))
 
 
-def bm25(passages: DataFrame, query: str, keep: list[str]) -> DataFrame:
+def bm25(passages: DataFrame, query: str, keep: list[str], stemmed: bool = False) -> DataFrame:
     """keep..., score. Statistics span all passages, whatever the scope; a term in
-    half of them or more scores next to nothing but still matches."""
-    terms = query_terms(query)
-    found = postings(passages, terms)
-    stats = F.broadcast(statistics(passages))  # one row
+    half of them or more scores next to nothing but still matches. `stemmed`
+    matches words by their stems without accents, in texts and query alike."""
+    terms = query_stems(query) if stemmed else query_terms(query)
+    found = postings(passages, terms, stemmed)
+    stats = F.broadcast(statistics(passages, stemmed))  # one row
     df = F.broadcast(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")))  # a row per query term
     idf = F.ln((F.col("n_passages") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)

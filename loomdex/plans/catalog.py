@@ -50,6 +50,12 @@ def search_terms(spark, sf_dir):
     return search.ranked(_scored(spark, sf_dir).select("ref", "score"), 10)
 
 
+@query()
+def search_stemmed(spark, sf_dir):
+    items = corpus.document_items(spark, sf_dir).select("ref", "text")
+    return search.ranked(search.bm25(items, QUERY, ["ref"], stemmed=True), 10)
+
+
 @query(f"WITH {_BM25} SELECT ref, score, row_number() OVER (ORDER BY score DESC, ref) AS rank FROM scored WHERE ref LIKE 'concepts/fr/%' ORDER BY score DESC, ref LIMIT 10")
 def search_scoped_lang(spark, sf_dir):
     from loomdex.functions.temporal import below

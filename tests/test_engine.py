@@ -63,6 +63,14 @@ def test_bm25_weighs_titles_and_keeps_best_passage(spark):
     assert search.ranked(spark.createDataFrame(best), 1).first().ref == "a"
 
 
+def test_stemmed_search_finds_inflected_and_accented_words(spark):
+    rows = [("a", "Decisions made"), ("b", "the CAFÉS of Paris"), ("c", "one decision"), ("d", "hay"), ("e", None)]
+    passages = spark.createDataFrame(rows, "ref string, text string")
+    found = lambda q, **how: {r.ref for r in search.bm25(passages, q, ["ref"], **how).collect()}
+    assert found("decision", stemmed=True) == found("the deciSIONS", stemmed=True) == {"a", "c"} and found("decision") == {"c"}
+    assert found("cafe", stemmed=True) == found("café", stemmed=True) == {"b"} and found("cafe") == set()
+
+
 def test_section_links_and_ambiguity(spark):
     links = spark.createDataFrame([("m", "projects/x.md#decision"), ("n", "projects/x.md"), ("o", "projects/xy.md")], "item string, target string")
     wanted = spark.createDataFrame([("projects/x.md",)], "target string")
