@@ -399,7 +399,7 @@ def components(edges: DataFrame) -> DataFrame:
 @dataclass
 class Linked:
     members: DataFrame  # doc_id, n_shingles, component_id of every row
-    links: DataFrame  # a, b: verified links between different word sequences
+    links: DataFrame  # a, b: verified links that span the components; not all links inside a group of near copies
 
 
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Linked:
