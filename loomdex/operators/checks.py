@@ -1,4 +1,4 @@
-"""Validation, retrieval evaluation, evidence, health and usage."""
+"""Validation of partitions and targets, evaluation of expected refs, evidence and usage."""
 
 from __future__ import annotations
 
