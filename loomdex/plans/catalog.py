@@ -116,6 +116,16 @@ def backlink_totals(spark, sf_dir):
     return corpus.order_edges(spark, sf_dir).groupBy("target", "relation").agg(F.countDistinct("item").alias("total"))
 
 
+_ALL_EDGES = f"""{_EDGES}, lines AS (SELECT 'lineitem:' || l_orderkey || '-' || l_linenumber AS item, * FROM lineitem),
+all_edges AS (SELECT item, relation, target FROM edges UNION ALL SELECT item, 'contains', 'part:' || l_partkey FROM lines
+  UNION ALL SELECT item, 'supplied-by', 'supplier:' || l_suppkey FROM lines)"""
+
+
+@query(f"WITH {_ALL_EDGES} SELECT target, relation, count(DISTINCT item) AS total FROM all_edges GROUP BY target, relation")
+def backlink_totals_all(spark, sf_dir):
+    return corpus.all_edges(spark, sf_dir).groupBy("target", "relation").agg(F.countDistinct("item").alias("total"))
+
+
 @query(f"""WITH {_EDGES} SELECT relation, item, rank FROM (SELECT relation, item, row_number() OVER (PARTITION BY relation ORDER BY time DESC NULLS LAST, item) AS rank
   FROM (SELECT DISTINCT relation, item, time FROM edges WHERE target IN ('customer:7', 'nation:3'))) WHERE rank <= 20""")
 def backlinks_grouped(spark, sf_dir):

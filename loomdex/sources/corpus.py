@@ -55,6 +55,21 @@ def order_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("s").alias("item"), F.col("s").alias("subject"), F.col("r").alias("relation"), F.col("t").alias("target"), F.col("s").alias("origin"), "time")
 
 
+def line_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of order_edges for the part and the supplier of each line item."""
+    name = F.concat(F.lit("lineitem:"), F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+    ends = F.array(
+        F.struct(F.lit("contains").alias("relation"), _name("part", "l_partkey").alias("target")),
+        F.struct(F.lit("supplied-by").alias("relation"), _name("supplier", "l_suppkey").alias("target")),
+    )
+    rows = table(spark, sf_dir, "lineitem").select(name.alias("item"), F.explode(ends).alias("end"), F.col("l_shipdate").cast("timestamp_ntz").alias("time"))
+    return rows.select("item", F.col("item").alias("subject"), "end.relation", "end.target", F.col("item").alias("origin"), "time")
+
+
+def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_edges(spark, sf_dir).unionByName(line_edges(spark, sf_dir))
+
+
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """page_id, target of every href, as a set."""
     found = F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))

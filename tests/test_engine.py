@@ -71,6 +71,19 @@ def test_stemmed_search_finds_inflected_and_accented_words(spark):
     assert found("cafe", stemmed=True) == found("café", stemmed=True) == {"b"} and found("cafe") == set()
 
 
+def test_totals_of_all_edges_equal_their_sql(spark):
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    sf, db = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("orders", "lineitem", "customer", "supplier", "nation"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    got = [tuple(r) for r in entry.queries()["backlink_totals_all"](spark, sf).select("target", "relation", "total").collect()]
+    assert sorted(got) == sorted(db.execute(entry.oracle_sql()["backlink_totals_all"]).fetchall())
+    assert {"contains", "supplied-by"} < {r[1] for r in got}
+
+
 def test_section_links_and_ambiguity(spark):
     links = spark.createDataFrame([("m", "projects/x.md#decision"), ("n", "projects/x.md"), ("o", "projects/xy.md")], "item string, target string")
     wanted = spark.createDataFrame([("projects/x.md",)], "target string")
