@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -13,7 +15,6 @@ from pyspark.sql import functions as F
 
 #: Rows in one Arrow batch: a bound on what a Python worker holds at once.
 BATCH_ROWS = 1000
-_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,15 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the session's shared checkpoint folder. Only where
-    that is unset (a local test session) does a temporary folder stand in."""
+    """A new folder below the session's shared checkpoint folder. Where that is
+    unset, a session on one machine (tests) gets a temporary folder; any other
+    master is an error, since its executors see no local folder of the driver."""
     sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         found = sc._jsc.sc().getCheckpointDir()
         base = found.get() if found.isDefined() else None
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="loomdex-")
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        here = tempfile.mkdtemp(prefix="loomdex-")
+        atexit.register(shutil.rmtree, here, ignore_errors=True)
+        base = "file://" + here
         sc.setCheckpointDir(base)
     return f"{base}/loomdex-{uuid.uuid4().hex}"
 
@@ -39,24 +45,38 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables of `written` that nothing reads any more; others are left."""
+    for df in frames:
+        path = getattr(df, "_written_at", None)
+        if path is not None:
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def arrow_map(
     df: DataFrame, fn: Callable[[pa.RecordBatch, dict], pa.RecordBatch | None], schema: str
 ) -> DataFrame:
     """mapInArrow over small batches; `fn` sees one batch and a dict that lasts
-    for the task, and may return None."""
-    conf = df.sparkSession.conf
-    if int(conf.get(_BATCH)) > BATCH_ROWS:
-        conf.set(_BATCH, str(BATCH_ROWS))
+    for the task, and may return None. The session bounds what arrives at once
+    (rows and bytes); slices of BATCH_ROWS bound what `fn` makes of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {}
         for batch in batches:
-            out = fn(batch, state)
-            if out is not None and out.num_rows:
-                yield out
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                out = fn(batch.slice(at, BATCH_ROWS), state)
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
