@@ -1,38 +1,49 @@
 """K-d tree partitioning by bytes, in DataFrame functions alone.
 
-Dimensions of the metadata, each as a number of 16 bits: the logarithm of the
-size, a hash of the source, a hash of the language, the doc_id's place between
-the least and the largest. A node with more bytes than the target is split along
+Documents with equal texts are one weighted unit of the tree: they share the place
+of their representative (least doc_id, source and language) and lie in one shard.
+Only a unit of more than WHOLE of the target's bytes is cut, by a hash of its
+doc_ids, since the law is `bytes`: sizes near equal.
+
+Dimensions of the metadata, each as a place of 16 bits between the least and the
+largest value of the table, so that widths can be compared: the logarithm of the
+size, the source and the language by their rank among the values (code point, null
+first), and the doc_id. A node with more bytes than the target is split along
 its widest dimension at the weighted median (the quantile that leaves each side
-its share of leaves). Rows with the median's value are split further by the
-text's checksum, so equal texts stay together while their cell is small against
-the target, and then by a hash of the doc_id.
+its share of leaves). Units with the median's value are split further by the
+text's checksum.
 
 A median needs up to three histograms of at most 65,536 bins for each node,
 pre-aggregated before they are shuffled; what reaches the driver is one row for
-each node. The tree has as many leaves as shards, whatever the data.
-
-Defined cases: null text counts 16 bytes and checksum 0; null metadata have a
-place of their own; repeated rows are placed one by one; an empty table gives an
-empty result; further columns are ignored; with fewer bytes than shards some
-shards stay empty.
+each node, and the sources and languages, MAX_VALUES at most (else an error). The
+tree has as many leaves as shards, whatever the data.
+
+Defined cases: null text counts 16 bytes and checksum 0 and equals an empty one;
+null metadata have a place of their own; a null doc_id has the least place; slots
+follow doc_id, null first; rows equal in doc_id and text get slots of their own; an
+empty table gives an empty result; further columns are ignored; with fewer bytes
+than shards some shards stay empty.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import table, written
+from loomdex.llm.common import release, table, written
 
 DIMENSIONS = ("by_size", "by_source", "by_lang", "by_id")
 CELLS = 1 << 16
-#: A cell of equal checksums is kept whole below this share of the target.
-WHOLE = 0.005
-#: Parts of a shard that number their rows on their own.
-PARTS = 256
+#: Equal texts, and cells of equal checksums, are kept whole below this share of the target.
+WHOLE = 0.03
+#: Rows of a part of a shard that numbers its rows on its own.
+PART_ROWS = 8192
+MAX_VALUES = 1_000_000
+#: Rows of equal texts that meet in one task; more of them by broadcast, MANY texts at most.
+HOT, MANY = 10_000, 50_000
 
 
 @dataclass
@@ -74,26 +85,68 @@ def placed_in(rows: DataFrame, root: Node) -> DataFrame:
     return out.withColumn("node", at(lambda n: n.first))
 
 
-def metadata(docs: DataFrame) -> DataFrame:
+def _ranked(docs: DataFrame, column: str) -> DataFrame:
+    """A row for each value of `column` with its place; broadcast by the caller."""
+    found = docs.select(F.col(column).cast("string").alias(column)).distinct().limit(MAX_VALUES + 1)
+    values = F.sort_array(F.collect_set(column)).alias("values")
+    n = found.where(F.col(column).isNotNull()).count()
+    if n > MAX_VALUES:
+        raise ValueError(f"more than {MAX_VALUES} values of {column}")
+    listed = found.agg(values).select(F.posexplode("values").alias("at", f"{column}_"))
+    place = F.floor((F.col("at") + 1) * (CELLS - 1) / max(1, n)).cast("int")
+    return listed.select(f"{column}_", place.alias(f"by_{column}"))
+
+
+def metadata(docs: DataFrame, shards_of: int) -> DataFrame:
+    """doc_id, size, text_crc32, m (equal rows) and the dimensions of each different
+    row. `shards_of`: bytes of a shard, from which equal texts may be cut."""
     text = F.coalesce("text", F.lit(""))
     size = (F.octet_length(text) + 16).cast("bigint")
-    crc = F.crc32(text.cast("binary"))
-    least = docs.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
-    low, width = least.low or 0, max(1, (least.high or 0) - (least.low or 0) + 1)
-    hashed = lambda *c: F.pmod(F.xxhash64(*c), F.lit(CELLS)).cast("int")
-    return docs.select(
-        F.col("doc_id").cast("bigint").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"),
-        F.least(F.floor(F.log2(size.cast("double")) * 1024), F.lit(CELLS - 1)).cast("int").alias("by_size"),
-        hashed("source").alias("by_source"), hashed("lang").alias("by_lang"),
-        F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / F.lit(float(width)) * (CELLS - 1)), F.lit(0)).cast("int").alias("by_id"),
-        F.shiftright(crc, 16).cast("int").alias("by_text"), hashed("doc_id", F.lit(7)).alias("by_row"),
+    rows = docs.select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
+        size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b"),
     )
+    # Equal rows are one with a count, so no group of them is a task's work.
+    rows = written(rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("m")))
+    units = rows.groupBy("a", "b").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("size") * F.col("m")).alias("bytes"),
+        F.min(F.struct("doc_id", "source", "lang")).alias("first"),
+    )
+    units = written(units.where("n > 1").select(F.col("a").alias("a_"), F.col("b").alias("b_"), "n", "bytes", "first"))
+    total = units.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    often = F.col("n") > max(HOT, total // MANY)  # at most MANY texts
+    same = lambda u: (F.col("a") == u.a_) & (F.col("b") == u.b_)
+    hot, rest = F.broadcast(units.where(often)), units.where(~often)
+    plain = rows.join(hot, same(hot), "left_anti")
+    joined = rows.join(hot, same(hot)).unionByName(plain.join(rest, same(rest), "left"), allowMissingColumns=True)
+    of = lambda c: F.when(F.col("n").isNull(), F.col(c)).otherwise(F.col(f"first.{c}")).alias(c)
+    cut = F.coalesce(F.col("bytes") > WHOLE * shards_of, F.lit(False))
+    ends = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.min("size").alias("least"), F.max("size").alias("most")).first()
+    low, width = ends.low or 0, max(1, (ends.high or 0) - (ends.low or 0))
+    small, steps = math.log2(ends.least or 1), max(1e-9, math.log2(ends.most or 1) - math.log2(ends.least or 1))
+    placed = joined.select(
+        F.col("doc_id").alias("id"), "size", "text_crc32", "m", of("doc_id"), of("source"), of("lang"),
+        F.when(cut, F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(CELLS))).otherwise(0).cast("int").alias("by_row"),
+    )
+    for column in ("source", "lang"):
+        ranks = F.broadcast(_ranked(rows, column))
+        placed = placed.join(ranks, F.col(column) == F.col(f"{column}_"), "left").withColumn(f"by_{column}", F.coalesce(f"by_{column}", F.lit(0))).drop(f"{column}_")
+    top = F.lit(CELLS - 1)
+    part_of = (F.col("doc_id").cast("double") - F.lit(float(low))) / F.lit(float(width))
+    out = written(placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", "m", (F.col("size") * F.col("m")).alias("bytes"),
+        F.least(F.greatest(F.floor((F.log2(F.col("size").cast("double")) - F.lit(small)) / F.lit(steps) * top), F.lit(0)), top).cast("int").alias("by_size"),
+        "by_source", "by_lang", F.coalesce(F.least(F.floor(part_of * top), top), F.lit(0)).cast("int").alias("by_id"),
+        F.shiftright("text_crc32", 16).cast("int").alias("by_text"), "by_row",
+    ))
+    release(rows, units)
+    return out
 
 
 def _median(rows: DataFrame, value: Column, goals: dict[int, float]) -> dict[int, tuple[int, float, int]]:
     """For each node the bin in which the running size reaches the goal: bin, size
     before it, size in it."""
-    bins = rows.groupBy("node", value.alias("bin")).agg(F.sum("size").alias("size"))
+    bins = rows.groupBy("node", value.alias("bin")).agg(F.sum("bytes").alias("size"))
     running = F.sum("size").over(Window.partitionBy("node").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0))
     goal = F.create_map(*[F.lit(x) for pair in goals.items() for x in (pair[0], float(pair[1]))])[F.col("node")]
     found = bins.withColumn("upto", running).where((F.col("upto") >= goal) & (F.col("upto") - F.col("size") < goal))
@@ -114,7 +167,7 @@ def grow(rows: DataFrame, leaves: int, target: float) -> Node:
     while open_ := root.open():
         placed = placed_in(rows, root).where(F.col("node").isin([n.first for n in open_]))
         spans = [f(d).alias(f"{d}_{k}") for d in DIMENSIONS for k, f in (("low", F.min), ("high", F.max))]
-        sums = {r.node: r for r in placed.groupBy("node").agg(F.sum("size").alias("size"), *spans).collect()}
+        sums = {r.node: r for r in placed.groupBy("node").agg(F.sum("bytes").alias("size"), *spans).collect()}
         widest, goals = {}, {}
         for n in open_:
             half = n.leaves // 2
@@ -151,19 +204,20 @@ def grow(rows: DataFrame, leaves: int, target: float) -> Node:
 def shard(docs: DataFrame, target_bytes: int | None = None, shards: int = 40) -> DataFrame:
     """doc_id, size, text_crc32, shard and slot of every row. The target is given
     or the total over `shards`; the tree has total / target leaves, rounded up."""
-    rows = written(metadata(docs))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    target = target_bytes or max(1, -(-total // shards))
-    tree = grow(rows, max(1, -(-total // target)), target)
-    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(PARTS)).cast("int")
-    placed = placed_in(rows, tree).select("doc_id", "size", "text_crc32", F.col("node").cast("int").alias("shard"), part.alias("part"))
-    counts = placed.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    sizes = docs.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16), F.lit(0)).alias("total"), F.count(F.lit(1)).alias("n")).first()
+    target = target_bytes or max(1, -(-sizes.total // shards))
+    rows = metadata(docs, target)
+    tree = grow(rows, max(1, -(-sizes.total // target)), target)
+    parts = max(1, -(-sizes.n // PART_ROWS))
+    part = F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(parts)).cast("int")
+    placed = placed_in(rows, tree).select("doc_id", "size", "text_crc32", "m", F.col("node").cast("int").alias("shard"), part.alias("part"))
+    counts = placed.groupBy("shard", "part").agg(F.sum("m").alias("held"))
     ahead = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("shard", "part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    own = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")
-    # At most shards * PARTS rows of starts.
-    numbered = placed.withColumn("own", F.row_number().over(own)).join(F.broadcast(starts), ["shard", "part"])
-    return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("own") - 1).cast("bigint").alias("slot"))
+    starts = counts.select("shard", "part", F.coalesce(F.sum("held").over(ahead), F.lit(0)).alias("start"))
+    own = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = placed.withColumn("own", F.coalesce(F.sum("m").over(own), F.lit(0))).join(starts, ["shard", "part"])
+    each = numbered.select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)).alias("turn"))
+    return each.select("doc_id", "size", "text_crc32", "shard", (F.col("start") + F.col("own") + F.col("turn")).cast("bigint").alias("slot"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
