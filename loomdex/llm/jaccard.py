@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, mix64, shards_for, table, texts, written
+from loomdex.llm.common import arrow_map, mix64, release, shards_for, table, texts, written
 
 WIDTH, PERCENT = 5, 80
 #: Columns that more first columns hold than this go last in the order.
@@ -258,7 +258,7 @@ class Rows:
 
     def _blobs(self, labels: DataFrame, common: np.ndarray, shards: int, whole: bool) -> DataFrame:
         """First columns by block of columns: shard, f, row (with the smaller-side
-        bit), and the table of the batch's rows. Rows none of whose first columns
+        bit), and the table of those rows. Rows none of whose first columns
         is common keep those that the signatures hold; the sets of the others are
         made again from their texts."""
         width, percent = self.width, self.percent
@@ -272,14 +272,18 @@ class Rows:
             order = np.argsort(home, kind="stable")
             cuts = np.searchsorted(home[order], np.arange(shards + 1, dtype=np.uint64))
             spans = [(s, order[cuts[s] : cuts[s + 1]]) for s in range(shards) if cuts[s] < cuts[s + 1]]
-            who = b""
+            none = [b""] * len(spans)
+            fs, rows, who, maps = [f[i].tobytes() for _, i in spans], none, none, [[]] * len(spans)
             if whole:
+                # A shard gets the rows its columns lie in, not the batch's.
                 ids, label = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "label"))
-                who = np.stack([ids, label, np.array(sizes, np.int64)], 1).astype("<i8").tobytes()
+                table, low, top = np.stack([ids, label, np.array(sizes, np.int64)], 1).astype("<i8"), np.uint16((1 << 15) - 1), np.uint16(1 << 15)
+                met = [np.unique(row[i] & low, return_inverse=True) for _, i in spans]
+                rows = [(at.astype(np.uint16) | (row[i] & top)).tobytes() for (_, i), (_, at) in zip(spans, met, strict=True)]
+                who, maps = [table[own].tobytes() for own, _ in met], [[bits[k] for k in own.tolist()] for own, _ in met]
             return pa.RecordBatch.from_arrays(
-                [pa.array([s for s, _ in spans], pa.int32()), pa.array([f[i].tobytes() for _, i in spans], pa.binary()),
-                 pa.array([row[i].tobytes() if whole else b"" for _, i in spans], pa.binary()), pa.array([who] * len(spans), pa.binary()),
-                 pa.array([bits if whole else []] * len(spans), pa.list_(pa.binary()))],
+                [pa.array([s for s, _ in spans], pa.int32()), pa.array(fs, pa.binary()), pa.array(rows, pa.binary()),
+                 pa.array(who, pa.binary()), pa.array(maps, pa.list_(pa.binary()))],
                 ["shard", "f", "row", "who", "bits"],
             )
 
@@ -384,15 +388,17 @@ def components(edges: DataFrame) -> DataFrame:
     (a, b). Each round takes the least label of the neighbours and jumps to the
     label's own label; it ends when no label changes."""
     both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    label = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
+    label = held = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("b"), F.first("a")).alias("c")))
     while True:
         near = both.join(label.select(F.col("v").alias("b"), "c"), "b").groupBy(F.col("a").alias("v")).agg(F.min("c").alias("m"))
         least = label.join(near, "v").select("v", "c", F.least("c", "m").alias("m"))
         own = label.select(F.col("v").alias("m"), F.col("c").alias("up"))
         new = written(least.join(own, "m").select("v", "c", F.least("m", "up").alias("m")))
         changed = new.where("m <> c").limit(1).count()
-        label = new.select("v", F.col("m").alias("c"))
+        release(held)
+        held, label = new, new.select("v", F.col("m").alias("c"))
         if not changed:
+            release(both)
             return label
 
 
