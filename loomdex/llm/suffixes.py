@@ -46,7 +46,8 @@ from loomdex.llm.common import arrow_map, mix64, shards_for, table, written
 WIDTH, K = 200, 64
 #: Places of one anchor beyond which its windows are parted, and the offsets of a part.
 HOT, STEP = 10_000, 16
-_PLACE = 28  # bits of a position in the key of a minimum
+#: Window starts that are looked at together, and bits of a place among them.
+CHUNK, _PLACE = 1 << 22, 24
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -197,30 +198,34 @@ def _least(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def anchors(body: bytes, rolling: Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each anchor, the first and last window start that belong to it, its place."""
-    none = np.zeros(0, np.int64)
-    if len(body) < WIDTH:
-        return np.zeros(0, np.uint64), none, none, none
-    grams = rolling.windows(np.frombuffer(body, np.uint8), K)
-    place = np.uint64((1 << _PLACE) - 1)
-    keys = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
-    at = (_least(keys, WIDTH - K + 1) & place).astype(np.int64)
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    last = np.r_[first[1:] - 1, len(at) - 1]
-    return grams[at[first]], first, last, at[first]
-
-
-def parted(f: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, cores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(body: bytes, rolling: Rolling, parting: bool = False):
+    """Yield, for each CHUNK of the window starts of a text: hash of each anchor,
+    the first and last window start that belong to it, its place and, if `parting`,
+    a function that gives the hashes of the strings of WIDTH - STEP + 1 bytes at
+    given places. A window's anchor depends on its bytes alone, so the cuts only
+    divide an anchor's range; memory follows CHUNK, whatever the text's length."""
+    whole, place = np.frombuffer(body, np.uint8), np.uint64((1 << _PLACE) - 1)
+    for start in range(0, len(body) - WIDTH + 1, CHUNK):
+        own = whole[start : start + CHUNK + WIDTH - 1]
+        grams = rolling.windows(own, K)
+        keys = (grams & ~place) | np.arange(len(grams), dtype=np.uint64)
+        at = (_least(keys, WIDTH - K + 1) & place).astype(np.int64)
+        first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+        last = np.r_[first[1:] - 1, len(at) - 1]
+        cores = rolling.windows(own, WIDTH - STEP + 1) if parting else None
+        yield grams[at[first]], first + start, last + start, at[first] + start, (lambda x, c=cores, s=start: c[x - s])
+
+
+def parted(f: np.ndarray, first: np.ndarray, last: np.ndarray, place: np.ndarray, cores) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Key, first and last window start of the parts of some anchors' windows.
-    cores: hashes of all strings of WIDTH - STEP + 1 bytes of the body. A part's
+    cores: hashes of the strings of WIDTH - STEP + 1 bytes at given places. A part's
     core begins at its greatest possible start, so each of its windows holds it."""
     low, high = (place - last) // STEP, (place - first) // STEP
     n = high - low + 1
     of = np.repeat(np.arange(len(f)), n)
     part = low[of] + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     greatest = place[of] - STEP * part
-    key = mix64(f[of] ^ mix64(cores[greatest] + part.astype(np.uint64)))
+    key = mix64(f[of] ^ mix64(cores(greatest) + part.astype(np.uint64)))
     return key, np.maximum(first[of], greatest - STEP + 1), np.minimum(last[of], greatest)
 
 
@@ -249,17 +254,20 @@ def repeated_anchors(texts: DataFrame, shards: int) -> DataFrame:
 
     def find(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
         rolling = state.setdefault("rolling", Rolling())
-        hashes = [anchors(b, rolling)[0] for b in batch.column("body").to_pylist()]
+        none = np.zeros(0, np.uint64)
+        hashes = [np.concatenate([none, *[found[0] for found in anchors(b, rolling)]]) for b in batch.column("body").to_pylist()]
         f = np.concatenate([np.zeros(0, np.uint64), *hashes])
         doc = np.repeat(np.arange(len(hashes), dtype=np.uint16), [len(h) for h in hashes])
-        out = [(s, f[i].tobytes(), doc[i].tobytes()) for s, i in _by_shard((f % np.uint64(shards)).astype(np.int64), shards)]
-        who = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], 1).astype("<i8").tobytes()
-        ids = np.array([-(2**63) if x is None else x for x in batch.column("doc_id").to_pylist()], "<i8").tobytes()
-        cols = list(zip(*out, strict=True)) or [(), (), ()]
+        who = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b")], 1).astype("<i8")
+        ids = np.array([-(2**63) if x is None else x for x in batch.column("doc_id").to_pylist()], "<i8")
+        out = []
+        for s, i in _by_shard((f % np.uint64(shards)).astype(np.int64), shards):
+            # A shard gets the texts its anchors lie in, not the batch's.
+            own, at = np.unique(doc[i], return_inverse=True)
+            out.append((s, f[i].tobytes(), at.astype(np.uint16).tobytes(), who[own].tobytes(), ids[own].tobytes()))
+        cols = list(zip(*out, strict=True)) or [()] * 5
         return pa.RecordBatch.from_arrays(
-            [pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary()),
-             pa.array([who] * len(out), pa.binary()), pa.array([ids] * len(out), pa.binary())],
-            ["shard", "f", "doc", "who", "ids"],
+            [pa.array(cols[0], pa.int32()), *[pa.array(c, pa.binary()) for c in cols[1:]]], ["shard", "f", "doc", "who", "ids"],
         )
 
     def meet(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -308,17 +316,17 @@ def _stretches(texts: DataFrame, held: DataFrame, shards: int) -> DataFrame:
         at, fs, los, pieces = [], [], [], []
         columns = (batch.column(c).to_pylist() for c in ("body", "held", "hot"))
         for row, (body, own, hot) in enumerate(zip(*columns, strict=True)):
-            found = anchors(body, rolling)
-            mine = np.isin(found[0], np.frombuffer(own, np.uint64))
-            much = mine & np.isin(found[0], np.frombuffer(hot, np.uint64))
-            kinds = [[x[mine & ~much] for x in found[:3]]]
-            if much.any():
-                cores = rolling.windows(np.frombuffer(body, np.uint8), WIDTH - STEP + 1)
-                kinds.append(parted(*[x[much] for x in found], cores))
+            held, many = np.frombuffer(own, np.uint64), np.frombuffer(hot, np.uint64)
             same: dict[tuple[int, bytes], list[int]] = {}
-            for kind in kinds:
-                for key, x, y in zip(*(column.tolist() for column in kind), strict=True):
-                    same.setdefault((key, body[x : y + WIDTH]), []).append(x)
+            for *found, cores in anchors(body, rolling, len(many) > 0):
+                mine = np.isin(found[0], held)
+                much = mine & np.isin(found[0], many)
+                kinds = [[x[mine & ~much] for x in found[:3]]]
+                if much.any():
+                    kinds.append(parted(*[x[much] for x in found], cores))
+                for kind in kinds:
+                    for key, x, y in zip(*(column.tolist() for column in kind), strict=True):
+                        same.setdefault((key, body[x : y + WIDTH]), []).append(x)
             at += [row] * len(same)
             fs += [key for key, _ in same]
             pieces += [piece for _, piece in same]
