@@ -10,25 +10,38 @@ one order the bins, so a text costs O(n log n) and nothing is exploded.
 
 Likeness: equal pairs over the bins that either text fills.
 
+Each document meets the next one by descending doc_id. All documents are cut into
+CELLS at most by quantiles of their ids (an id that very many rows share has cells
+of its own, cut by the texts' hashes), whatever ids look like; the first document of
+the next cell visits each cell as a guest. A cell has about CELL_ROWS documents, or
+1 / CELLS of all, and a text moves once.
+
 Defined cases: null and empty texts have an empty fingerprint; two empty ones
 are alike by 1, an empty and another by 0; fewer than K words make one k-mer;
-a bin with one k-mer hashes it alone; positions from 2^24 on count as one place;
-rows with a null doc_id take no part; rows that repeat a doc_id follow each
-other in the order of their text's hash; further columns are ignored.
+a bin with one k-mer hashes it alone; documents with a null doc_id follow those
+with the least one; rows that repeat a doc_id follow each other in the order of
+their text's hash; the only row of a table is its own next; further columns are
+ignored. Hashes have 32 bits and places 31, as many as a string can have words.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.llm.common import table
 
 K, BINS = 3, 64
-_POS = (1 << 24) - 1
-_HASH = (1 << 39) - 1
-#: Documents of one range of ids, in which the next document is found by a window.
-RANGE_BITS = 8
+#: Bits of a place in the text, below those of a hash, in one long.
+PLACE, HASH = 31, 32
+_POS, _HASH = (1 << PLACE) - 1, (1 << HASH) - 1
+#: Documents of a cell, in which the next document is found by a window; most cells.
+CELL_ROWS, CELLS = 4096, 1 << 16
+#: Cells of an id that more rows share than a cell should have: by the top bits of a hash.
+SHARED_BITS = 8
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -50,14 +63,12 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
     n = F.when(F.size(w) >= K, F.size(w) - (K - 1)).otherwise(F.least(F.size(w), F.lit(1)))
     packed = F.transform(
         _upto(n),
-        lambda i: F.shiftleft(F.xxhash64(*[F.get(w, i + j) for j in range(K)]).bitwiseAND(F.lit(_HASH)), 24).bitwiseOR(
-            F.least(i, F.lit(_POS)).cast("bigint")
-        ),
+        lambda i: F.shiftleft(F.xxhash64(*[F.get(w, i + j) for j in range(K)]).bitwiseAND(F.lit(_HASH)), PLACE).bitwiseOR(i.cast("bigint")),
     )
     df = _held(df, "_s", F.sort_array(packed)).drop("_w")
     s = F.col("_s")
     of = lambda i, bits: F.shiftrightunsigned(F.get(s, i), bits)
-    df = _held(df, "_r", F.filter(_upto(F.size(s)), lambda i: (i == 0) | (of(i, 24) != of(i - 1, 24))))
+    df = _held(df, "_r", F.filter(_upto(F.size(s)), lambda i: (i == 0) | (of(i, PLACE) != of(i - 1, PLACE))))
     runs = F.col("_r")
     numbered = F.flatten(
         F.transform(
@@ -65,21 +76,21 @@ def with_signature(df: DataFrame, text: str, name: str) -> DataFrame:
             lambda start, r: F.transform(
                 F.slice(s, start + 1, F.coalesce(F.get(runs, r + 1), F.size(s)) - start),
                 lambda x, turn: F.shiftleft(
-                    F.xxhash64(F.shiftrightunsigned(x, 24), turn).bitwiseAND(F.lit(_HASH)), 24
+                    F.xxhash64(F.shiftrightunsigned(x, PLACE), turn).bitwiseAND(F.lit(_HASH)), PLACE
                 ).bitwiseOR(x.bitwiseAND(F.lit(_POS))),
             ),
         )
     )
     df = _held(df, "_o", F.sort_array(numbered)).drop("_s", "_r")
     o = F.col("_o")
-    bin_bits = 24 + 39 - (BINS - 1).bit_length()
+    bin_bits = PLACE + HASH - (BINS - 1).bit_length()
     cell = lambda i: F.shiftrightunsigned(F.get(o, i), bin_bits)
     df = _held(df, "_b", F.filter(_upto(F.size(o)), lambda i: (i == 0) | (cell(i) != cell(i - 1))))
 
     def pair(i: Column) -> Column:
         first, second = F.get(o, i), F.when(cell(i + 1) == cell(i), F.get(o, i + 1))
         ahead = second.isNull() | (first.bitwiseAND(F.lit(_POS)) <= second.bitwiseAND(F.lit(_POS)))
-        one, two = F.shiftrightunsigned(first, 24), F.shiftrightunsigned(second, 24)
+        one, two = F.shiftrightunsigned(first, PLACE), F.shiftrightunsigned(second, PLACE)
         tuple_hash = F.xxhash64(F.when(ahead, one).otherwise(two), F.when(ahead, two).otherwise(one))
         low = tuple_hash.bitwiseAND(F.lit((1 << 26) - 1))
         # bin above hash in 32 bits, moved into the range of int
@@ -100,33 +111,60 @@ def text_of(signature: str) -> Column:
     )
 
 
-def _next_head(heads: DataFrame, level: int) -> DataFrame:
-    """`heads`: cell, head. Adds the head of the next lower cell, around the end.
-    Each level looks inside ranges of 2^RANGE_BITS cells and asks the level above
-    for the last of each range, so no window holds more than that many rows."""
-    if level == 0:
-        down = Window.orderBy(F.desc("cell"))
-        return heads.select("cell", F.coalesce(F.lead("head").over(down), F.max("head").over(Window.partitionBy())).alias("next_head"))
-    up = F.shiftright("cell", RANGE_BITS)
-    ranged = heads.withColumn("up", up)
-    above = _next_head(ranged.groupBy(F.col("up").alias("cell")).agg(F.max("head").alias("head")), level - 1)
-    above = above.select(F.col("cell").alias("up"), F.col("next_head").alias("above"))
-    inside = ranged.withColumn("inside", F.lead("head").over(Window.partitionBy("up").orderBy(F.desc("cell"))))
-    return inside.join(above, "up").select("cell", F.coalesce("inside", "above").alias("next_head"))
-
-
-def with_next(docs: DataFrame, columns: list[str], add, levels: int = 2) -> DataFrame:
-    """Each document, after `add`, beside `next_<column>` of the next by descending
-    doc_id. The ids are cut into ranges; the head of the next lower range visits
-    each range as a guest, so texts move once and no window spans more than a
-    range. Heads are found on ids alone, before `add` computes anything."""
-    docs = docs.where("doc_id is not null").withColumn("cell", F.shiftright("doc_id", RANGE_BITS))
-    heads = docs.groupBy("cell").agg(F.max("doc_id").alias("head"))
-    visits = _next_head(heads, levels).select(F.col("cell").alias("host"), F.col("next_head").alias("doc_id"))
-    guests = docs.join(visits, "doc_id").withColumn("cell", F.col("host")).drop("host")
+def _place(bounds: list[int]) -> Column:
+    """How many of the sorted `bounds` are at most `key`: two steps over a literal
+    array of arrays, each of about the square root of their number."""
+    wide = max(1, math.isqrt(len(bounds)))
+    cut = [bounds[i : i + wide] for i in range(0, len(bounds), wide)]
+    tops = F.from_json(F.lit(json.dumps([x[0] for x in cut])), "array<bigint>")
+    parts = F.from_json(F.lit(json.dumps(cut)), "array<array<bigint>>")
+    upto = lambda held: F.size(F.filter(held, lambda x: x <= F.col("key")))
+    row = upto(tops)
+    return F.when(row > 0, (row - 1) * F.lit(wide) + upto(F.get(parts, row - 1))).otherwise(0)
+
+
+def _cells(docs: DataFrame) -> Column:
+    """The cell of a row (columns key and row); greater cells come first."""
+    keys = docs.where("key is not null").select("key")
+    n = keys.count()
+    cells = min(CELLS, n // CELL_ROWS)
+    bounds: set[int] = set()
+    if cells > 1:
+        found = keys.agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], max(10_000, 4 * cells))).first()[0]
+        bounds |= set(found)
+    # An id with more rows than four cells should have: at most CELLS / 4 of them.
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * max(CELL_ROWS, n // CELLS)).select("key").collect()
+    often = sorted(r.key for r in often)
+    bounds |= {k for x in often for k in (x, x + 1) if k < 1 << 63}
+    cell = (_place(sorted(bounds)) if bounds else F.lit(0)).cast("bigint")
+    part = F.lit(0).cast("bigint")
+    if often:
+        # Rows of one id follow each other by ascending hash, so the least comes first.
+        top = F.lit((1 << SHARED_BITS) - 1) - (F.shiftright("row", 64 - SHARED_BITS) + F.lit(1 << (SHARED_BITS - 1)))
+        part = F.when(F.array_contains(F.from_json(F.lit(json.dumps(often)), "array<bigint>"), F.col("key")), top).otherwise(0).cast("bigint")
+    return F.when(F.col("key").isNull(), F.lit(-1).cast("bigint")).otherwise(F.shiftleft(cell, SHARED_BITS) + part)
+
+
+def with_next(docs: DataFrame, columns: list[str], add) -> DataFrame:
+    """Each row of `docs` (doc_id, row, ...), after `add`, beside `next_<column>`
+    of the next by descending doc_id, nulls last, the first after the last. The
+    first row of the next cell visits each cell as a guest; first rows are found on
+    ids alone, before `add` computes anything, and are one for each cell."""
+    docs = docs.withColumn("key", F.col("doc_id"))
+    docs = docs.withColumn("cell", _cells(docs)).drop("key")
+    order = [F.desc_nulls_last("doc_id"), F.asc("row")]
+    # Sorts like `order`, descending: nulls are less than any value in a struct.
+    rank = F.struct("doc_id", F.bitwise_not("row").alias("turned"))
+    heads = docs.groupBy("cell").agg(F.max(rank).alias("head"))
+    down = Window.orderBy(F.desc("cell"))  # one row a cell: at most CELLS and those of shared ids
+    around = F.max(F.struct("cell", "head")).over(Window.partitionBy())
+    heads = heads.select(F.col("cell").alias("host"), F.coalesce(F.lead(F.struct("cell", "head")).over(down), around).alias("next"))
+    visits = F.broadcast(heads.select("host", F.col("next.cell").alias("home"), F.col("next.head.doc_id").alias("id"), F.bitwise_not("next.head.turned").alias("hash")))
+    met = (F.col("cell") == F.col("home")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("hash"))
+    guests = docs.join(visits, met).dropDuplicates(["host"]).withColumn("cell", F.col("host")).drop("host", "home", "id", "hash")
     both = add(docs.withColumn("guest", F.lit(0)).unionByName(guests.withColumn("guest", F.lit(1))))
-    order = Window.partitionBy("cell").orderBy("guest", F.desc("doc_id"), "row")
-    return both.select("*", *[F.lead(c).over(order).alias(f"next_{c}") for c in columns]).where("guest = 0").drop("guest", "cell")
+    inside = Window.partitionBy("cell").orderBy("guest", *order)
+    return both.select("*", *[F.lead(c).over(inside).alias(f"next_{c}") for c in columns]).where("guest = 0").drop("guest", "cell")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
