@@ -1,23 +1,32 @@
 """WARC archives with an external index merge.
 
-Records are written by Spark's text sink, each archive one gzip stream, with the record separator as the line
-separator, so archives appear through the commit protocol of a shared store and
-survive lost executors. Each archive read back yields one run of captures,
-sorted locally by URL key and timestamp. Runs meet in ranges of (key, timestamp,
-page); in each range a loser tree merges the k runs, so that the ranges in turn
-are one globally ordered capture history. A hot URL key is cut by timestamp.
+Each record is a gzip member of its own, so its offset and length in the archive
+find it without what lies before (`record_at`). Members are packed in the task that
+makes them and rolled into archives of ARCHIVE_BYTES; Spark's text sink writes them
+as they are, with an empty gzip member as the line separator, so archives appear
+through the commit protocol of a shared store and survive lost executors.
+
+Each archive read back, a member at a time, yields one run of captures, sorted
+locally by URL key and timestamp, and runs are stored. They are dealt by ranges of
+(key, timestamp, page) without sorting them again: what a range gets of a run is
+still sorted. In each range a loser tree merges these k stretches, so that the
+ranges in turn are one globally ordered capture history. A range has about
+RANGE_ROWS captures and lies in memory; a hot URL key is cut by timestamp and page.
 
 Defined cases: null html is an empty payload; a null url writes no target URI
 and has an empty key; line breaks in a url become spaces; rows that repeat a
 page_id write a record each; a record equal to its response's page_id is a
 response; rows with a null page_id are archived without a reference to them and
-never serve as the response of others; further columns are ignored.
+never serve as the response of others; an archive ends after the record that
+passes ARCHIVE_BYTES, so a very long page has one of its own; an empty table gives
+no captures; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import gzip
 import hashlib
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -25,21 +34,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, scratch, table, written
+from loomdex.llm.common import arrow_map, remove, scratch, table, written
 
 LEAST = 100
-RECORDS_PER_FILE = 4000
+#: Bytes of an archive, and the share of its pages' bytes that compression leaves.
+ARCHIVE_BYTES, PACKED = 16 << 20, 0.25
+RANGE_ROWS = 50_000
 END = "\r\n\r\n"
+#: An empty gzip member: archives are valid gzip with or without it.
+NOTHING = gzip.compress(b"", mtime=0)
 #: Capture time of page 0; a page's own is so many seconds later as its id says.
 EPOCH = 1_704_067_200
 CAPTURES = (
     "run string, url_key string, captured string, page_id bigint, payload_bytes bigint, "
-    "payload_digest string, record_type string, refers_to bigint, record_offset bigint"
+    "payload_digest string, record_type string, refers_to bigint, record_offset bigint, record_length bigint"
 )
 
 
-def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
-    """page_id and `value`: the WARC record without its final separator."""
+def records(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> DataFrame:
+    """page_id and `value`: the WARC record, dealt in `parts` by page."""
     html = F.coalesce("html", F.lit(""))
     base = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("url"), html.alias("html"),
@@ -52,7 +65,9 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
     # Only ids and digests meet the groups; the payloads move once, by page.
     refers = base.select("page_id", "digest").join(first, "digest").where("page_id is not null and page_id <> response")
     refers = refers.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("response").alias("refers_to")).distinct()
-    whole = base.join(refers, base.page_id.eqNullSafe(refers.p) & (base.digest == refers.d), "left")
+    if parts:
+        base, refers = base.repartition(parts, "page_id", "digest"), refers.repartition(parts, "p", "d")
+    whole = base.join(refers, (base.page_id == refers.p) & (base.digest == refers.d), "left")
     revisit = F.col("refers_to").isNotNull()
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(END))
     block = F.when(revisit, http).otherwise(F.concat(http, F.col("html")))
@@ -71,28 +86,66 @@ def records(pages: DataFrame, least: int = LEAST) -> DataFrame:
         line("Content-Length", F.octet_length(block).cast("string")),
         F.lit("\r\n"),
     )
-    return whole.select("page_id", F.concat(head, block).alias("value"))
+    return whole.select("page_id", F.concat(head, block, F.lit(END)).alias("value"))
 
 
-def write(pages: DataFrame, path: str, least: int = LEAST) -> None:
+def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
+    held = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500), F.lit(0))).first()[0]
+    parts = int(held * PACKED / archive_bytes) + 1
+
+    def pack(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
+        members, roll = [], []
+        for value in batch.column("value"):
+            if state.get("bytes", 0) >= archive_bytes:
+                state["roll"], state["bytes"] = state.get("roll", 0) + 1, 0
+            members.append(gzip.compress(value.as_buffer(), 6, mtime=0))
+            roll.append(state.get("roll", 0))
+            state["bytes"] = state.get("bytes", 0) + len(members[-1]) + len(NOTHING)
+        return pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(roll, pa.int32())], ["value", "roll"])
+
+    packed = arrow_map(records(pages, least, max(8, parts)).select(F.col("value").cast("binary").alias("value")), pack, "value binary, roll int")
     (
-        records(pages, least).select("value").write
-        .option("lineSep", END).option("maxRecordsPerFile", RECORDS_PER_FILE).option("compression", "gzip").text(path)
+        packed.select(F.col("value").cast("string").alias("value"), "roll").write.partitionBy("roll")
+        .option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).text(path)
     )
 
 
-def parse(archive: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Offset, headers and block of each record; lengths rule, not separators."""
-    at = 0
+def parse(archive: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
+    """Offset, length, headers and block of each record, a gzip member at a time."""
+    at, whole = 0, memoryview(archive)
     while at < len(archive):
-        cut = archive.index(b"\r\n\r\n", at)
-        lines = archive[at:cut].decode().split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        heads = dict(x.split(": ", 1) for x in lines[1:])
-        n = int(heads["Content-Length"])
-        yield at, heads, archive[cut + 4 : cut + 4 + n]
-        at = cut + 4 + n + 4
+        record, n = _member(whole, at)
+        if record:
+            yield at, n, *_record(record, at)
+        at += n
+
+
+def record_at(archive: bytes, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """Headers and block of one record of the index, from its own bytes alone."""
+    return _record(gzip.decompress(archive[offset : offset + length]), offset)
+
+
+def _member(whole: memoryview, at: int) -> tuple[bytes, int]:
+    unpack, out, read = zlib.decompressobj(31), [], at
+    while not unpack.eof:
+        piece = whole[read : read + (1 << 16)]
+        if not len(piece):
+            raise ValueError(f"the archive ends inside the member at byte {at}")
+        out.append(unpack.decompress(piece))
+        read += len(piece)
+    return b"".join(out), read - len(unpack.unused_data) - at
+
+
+def _record(record: bytes, at: int) -> tuple[dict[str, str], bytes]:
+    head, _, rest = record.partition(b"\r\n\r\n")
+    lines = head.decode().split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError(f"no WARC record at byte {at}")
+    heads = dict(x.split(": ", 1) for x in lines[1:])
+    n = int(heads["Content-Length"])
+    if rest[n:] != END.encode():
+        raise ValueError(f"damaged record at byte {at}")
+    return heads, rest[:n]
 
 
 def url_key(url: str | None) -> str:
@@ -118,7 +171,7 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
         rows = []
         for name, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
             own = []
-            for at, heads, block in parse(gzip.decompress(content.as_py())):
+            for at, length, heads, block in parse(content.as_buffer()):
                 http, _, payload = block.partition(b"\r\n\r\n")
                 kind = heads["WARC-Type"]
                 if kind == "response":
@@ -128,18 +181,18 @@ def runs(spark: SparkSession, path: str) -> DataFrame:
                 else:
                     size = int(http.rpartition(b"Content-Length: ")[2])
                     digest = heads["WARC-Payload-Digest"].removeprefix("sha256:")
-                own.append((name, url_key(heads.get("WARC-Target-URI")), heads["WARC-Date"], _page(heads.get("WARC-Record-ID")), size, digest, kind, _page(heads.get("WARC-Refers-To")), at))
+                own.append((name, url_key(heads.get("WARC-Target-URI")), heads["WARC-Date"], _page(heads.get("WARC-Record-ID")), size, digest, kind, _page(heads.get("WARC-Refers-To")), at, length))
             rows += sorted(own, key=_order)
-        columns = list(zip(*rows, strict=True)) or [()] * 9
-        kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int64()] * 2
+        columns = list(zip(*rows, strict=True)) or [()] * 10
+        kinds = [pa.string()] * 3 + [pa.int64()] * 2 + [pa.string()] * 2 + [pa.int64()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [c.split()[0] for c in CAPTURES.split(", ")])
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     return arrow_map(files.select("path", "content"), read, CAPTURES)
 
 
 def _order(row: tuple) -> tuple:
-    return (row[1], row[2], -1 if row[3] is None else row[3], row[8])
+    return (row[1], row[2], row[3] is not None, row[3] or 0, row[0], row[8])
 
 
 class LoserTree:
@@ -179,21 +232,21 @@ class LoserTree:
 
 
 def merge(captures: DataFrame, ranges: int) -> DataFrame:
-    """Captures in `ranges` partitions, globally ordered by (url_key, captured,
-    page_id): partition by partition, each in the order of its loser tree."""
-    order = [F.col("url_key"), F.col("captured"), F.col("page_id")]
-    dealt = captures.repartitionByRange(ranges, *order).sortWithinPartitions("run", *order, "record_offset")
+    """Captures (rows of sorted runs) in `ranges` partitions, globally ordered by
+    (url_key, captured, page_id): partition by partition, each in the order of its
+    loser tree. A new stretch begins wherever the arriving rows stop ascending, so
+    the result doesn't depend on the order in which parts of runs arrive."""
+    order = [F.col(c) for c in ("url_key", "captured", "page_id", "run", "record_offset")]
+    dealt = captures.repartitionByRange(ranges, *order)
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        names = rows.column("run").to_pylist()
-        starts = [i for i, name in enumerate(names) if i == 0 or name != names[i - 1]] + [len(names)]
-        data = list(zip(*(rows.column(c).to_pylist() for c in rows.column_names), strict=True))
-        spans = [iter(range(a, b)) for a, b in zip(starts, starts[1:], strict=False)]
-        tree = LoserTree(spans, lambda i: _order(data[i]))
+        keys = [_order(row) for row in zip(*(rows.column(c).to_pylist() for c in rows.column_names), strict=True)]
+        starts = [0, *[i for i in range(1, len(keys)) if keys[i] < keys[i - 1]], len(keys)]
+        tree = LoserTree([iter(range(a, b)) for a, b in zip(starts, starts[1:], strict=False)], keys.__getitem__)
         yield from rows.take(pa.array(list(tree), pa.int64())).combine_chunks().to_batches()
 
     return dealt.mapInArrow(merged, CAPTURES)
@@ -201,12 +254,14 @@ def merge(captures: DataFrame, ranges: int) -> DataFrame:
 
 def archive(pages: DataFrame, path: str | None = None, least: int = LEAST) -> DataFrame:
     """Write `pages` as WARC below `path`, read the archives back and return the
-    capture history."""
+    capture history. Without `path` the archives go after they were read."""
     spark = pages.sparkSession
-    path = path or scratch(spark)
-    write(pages, path, least)
-    captures = written(runs(spark, path))
-    return merge(captures, max(8, int(captures.count() / 50_000) + 1))
+    at = path or scratch(spark)
+    write(pages, at, least)
+    captures = written(runs(spark, at))
+    if path is None:
+        remove(spark, at)
+    return merge(captures, max(8, captures.count() // RANGE_ROWS + 1))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
