@@ -9,12 +9,16 @@ counts; a key that falls below the threshold leaves its filter again, so an
 insertion followed by the deletion of the same documents gives the old state.
 
 The filters travel to the mappers only while all of them together are below
-FILTER_BYTES; beyond that every line goes to the exact join.
+FILTER_BYTES (about 28 million repeated keys); beyond that they stay stored and
+every long line goes to the exact join, which needs no filter to be right. A key
+that very many documents hold is not one task's work: keys with more than HOT
+references (more, if that were more than HOT_KEYS keys) meet their lines by
+broadcast, the others by shuffle.
 
 Defined cases: a null or empty text is one empty line; every row counts as a
-document, repeated rows included; rows with the largest doc_id of a key all keep
-its lines; a null doc_id is smaller than any other; further columns are ignored
-or kept by `apply`.
+document, repeated rows included (and so in the SQL beside the query); rows with
+the largest doc_id of a key all keep its lines; a null doc_id is smaller than any
+other; further columns are kept by `apply`, but those named as its counts.
 """
 
 from __future__ import annotations
@@ -31,7 +35,8 @@ from loomdex.llm.common import arrow_map, mix64, table, written
 
 STRIP = " \t\n\x0b\x0c\r"
 FILTER_BYTES = 64 << 20
-SALTS = 16
+#: Keys with more references than HOT, and at most HOT_KEYS of them, are joined by broadcast.
+HOT, HOT_KEYS = 10_000, 50_000
 KEYS_PER_SHARD = 200_000
 
 
@@ -53,7 +58,8 @@ class CuckooFilter:
         return self.slots.tobytes()
 
     def places(self, h1: np.ndarray, h2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        prints = ((h2.astype(np.uint64) >> np.uint64(48)) | np.uint64(1)).astype(np.uint16)
+        prints = (h2.astype(np.uint64) >> np.uint64(48)).astype(np.uint16)
+        prints[prints == 0] = 1  # 0 is a free slot
         one = mix64(h1.astype(np.uint64)) & self.mask
         return prints, one, one ^ (mix64(prints.astype(np.uint64)) & self.mask)
 
@@ -183,8 +189,8 @@ class LineIndex:
         made.filters = written(sharded.groupBy("shard").applyInPandas(fill, "shard int, payload binary"))
         return made
 
-    def repeated(self) -> DataFrame:
-        return self.refs.where(F.col("refs") >= self.min_docs).select("h1", "h2", "holder")
+    def repeated(self, least: int | None = None) -> DataFrame:
+        return self.refs.where(F.col("refs") >= (least or self.min_docs)).select("h1", "h2", "holder")
 
     def _changed(self, refs: DataFrame) -> LineIndex:
         """Only keys that cross the threshold enter or leave their filter."""
@@ -244,32 +250,43 @@ class LineIndex:
         """doc_id, row, drop (array of line numbers) of documents that lose lines."""
         size = self.filters.agg(F.coalesce(F.sum(F.octet_length("payload")), F.lit(0))).first()[0]
         filters = {r.shard: bytes(r.payload) for r in self.filters.collect()} if size <= FILTER_BYTES else None
-        asked = _lines(docs, self.min_chars, filters, self.shards)
-        salted = asked.withColumn("salt", F.pmod(F.hash("doc_id", "row"), F.lit(SALTS)))
-        exact = self.repeated().withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        lost = salted.join(exact, ["h1", "h2", "salt"]).where(~F.col("doc_id").eqNullSafe(F.col("holder")))
-        return (
-            lost.withColumn("salt", F.col("salt")).groupBy("doc_id", "row")
-            .agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("drop"))
-        )
-
-    def apply(self, docs: DataFrame) -> DataFrame:
-        """Every row of `docs` with `text` rewritten, n_lines and n_dropped added."""
-        drops = self.drops(docs).select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("drop").alias("__drop"))
+        asked = written(_lines(docs, self.min_chars, filters, self.shards))
+        exact, met = self.repeated(), self._hot()
+        lost = asked.join(exact, ["h1", "h2"])
+        if met is not None:
+            often = F.broadcast(met)
+            lost = asked.join(often, ["h1", "h2"]).unionByName(
+                asked.join(often.select("h1", "h2"), ["h1", "h2"], "left_anti").join(exact, ["h1", "h2"])
+            )
+        lost = lost.where(~F.col("doc_id").eqNullSafe(F.col("holder")))
+        return lost.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_list("numbers"))).alias("drop"))
+
+    def _hot(self) -> DataFrame | None:
+        """h1, h2, holder of the keys that too many lines hold for one task: at
+        most HOT_KEYS rows, since no more keys can have that share of all references."""
+        total = self.refs.where(F.col("refs") >= max(HOT, self.min_docs)).agg(F.coalesce(F.sum("refs"), F.lit(0))).first()[0]
+        least = max(HOT, total // HOT_KEYS)
+        return self.repeated(least + 1) if total else None
+
+    def apply(self, docs: DataFrame, counts: bool = True) -> DataFrame:
+        """Every row of `docs` with `text` rewritten; with `counts`, n_lines and
+        n_dropped are added in place of input columns with these names."""
+        own = {c: f"lines_{c}" + "_" * sum(x.startswith(f"lines_{c}") for x in docs.columns) for c in ("id", "row", "drop", "key")}
+        drops = self.drops(docs).select(F.col("doc_id").alias(own["id"]), F.col("row").alias(own["row"]), F.col("drop").alias(own["drop"]))
         text = F.coalesce("text", F.lit(""))
-        whole = docs.withColumn("__text_row", F.xxhash64(text))
+        whole = docs.withColumn(own["key"], F.xxhash64(text))
         joined = whole.join(
-            drops, whole.doc_id.cast("bigint").eqNullSafe(drops["__id"]) & (whole["__text_row"] == drops["__row"]), "left"
+            drops, whole.doc_id.cast("bigint").eqNullSafe(drops[own["id"]]) & (whole[own["key"]] == drops[own["row"]]), "left"
         )
-        lines = F.split(text, "\n")
-        lost = F.col("__drop")
-        kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(lost, i)), "\n")
+        lines, lost = F.split(text, "\n"), F.col(own["drop"])
+        # The numbers of the lines that stay, by a hash set of those that go.
+        stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
+        kept = F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n")
         n = F.when(F.col("text").isNull(), 1).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
+        added = [n.cast("bigint").alias("n_lines"), F.coalesce(F.size(lost), F.lit(0)).cast("bigint").alias("n_dropped")] if counts else []
+        names = ("n_lines", "n_dropped") if counts else ()
         return joined.select(
-            *[c for c in docs.columns if c != "text"],
-            F.when(lost.isNull(), text).otherwise(kept).alias("text"),
-            n.cast("bigint").alias("n_lines"),
-            F.coalesce(F.size(lost), F.lit(0)).cast("bigint").alias("n_dropped"),
+            *[F.when(lost.isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in names], *added
         )
 
 
@@ -285,21 +302,22 @@ def op2_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = {
     "op2_lines": r"""
-WITH cut AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents),
+WITH rows AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+cut AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line,
+         generate_subscripts(string_split(text, chr(10)), 1) AS n FROM rows),
 keyed AS (
-  SELECT doc_id, n, line,
+  SELECT r, doc_id, n, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM cut),
 hot AS (
   SELECT k, max(doc_id) AS holder FROM keyed WHERE length(k) >= 40
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+  GROUP BY k HAVING count(DISTINCT r) >= 5),
 judged AS (
-  SELECT y.doc_id, y.n, y.line, hot.k IS NOT NULL AND y.doc_id <> hot.holder AS gone
+  SELECT y.r, y.doc_id, y.n, y.line, hot.k IS NOT NULL AND y.doc_id IS DISTINCT FROM hot.holder AS gone
   FROM keyed y LEFT JOIN hot ON y.k = hot.k)
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '')) AS kept_sha256
-FROM judged GROUP BY doc_id
+FROM judged GROUP BY r, doc_id
 """,
 }
