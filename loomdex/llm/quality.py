@@ -8,8 +8,9 @@ ratios to the text's length. A logistic model, fitted by Newton steps on
 labelled rows that gave no dictionary piece, calibrates them to a score.
 
 Bounds of the fit (parameters of `fit`): `pieces` dictionary pieces of SAMPLE
-bytes for each class, `rows` calibration rows for each class. They are the
-smallest by hash, so a rerun fits the same model. Scoring reads every row.
+bytes for each class, `each` of them at most from one document, `rows` calibration
+rows for each class. They are the smallest by hash, so a rerun fits the same model.
+Scoring reads every row.
 
 Defined cases: a null or empty text has the score the model gives to zero
 difference and ratio one; without labelled rows of both classes the score is
@@ -105,8 +106,8 @@ class Teaching:
     labels: DataFrame  # doc_id, quality
 
 
-def _pieces(docs: DataFrame, rows: DataFrame, n: int) -> bytes:
-    """The n pieces of smallest hash, at most eight from a document. `rows` has
+def _pieces(docs: DataFrame, rows: DataFrame, n: int, each: int) -> bytes:
+    """The n pieces of smallest hash, at most `each` from a document. `rows` has
     the ids and sizes of the documents that may give pieces."""
 
     def cut(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
@@ -115,7 +116,7 @@ def _pieces(docs: DataFrame, rows: DataFrame, n: int) -> bytes:
         keys, ids, places = [], [], []
         for doc_id, size in zip(batch.column("doc_id").to_pylist(), batch.column("size").to_pylist(), strict=True):
             found = ((xxhash.xxh64_intdigest(f"{doc_id}/{at}") >> 1, at) for at in range(0, size, SAMPLE))
-            for key, at in heapq.nsmallest(8, found):
+            for key, at in heapq.nsmallest(each, found):
                 keys.append(key)
                 ids.append(doc_id)
                 places.append(at)
@@ -140,7 +141,7 @@ def _newton(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> tuple[np.ndarr
     return w, mean, scale
 
 
-def fit(labelled: DataFrame | Teaching, pieces: int = 2048, rows: int = 3000) -> Model:
+def fit(labelled: DataFrame | Teaching, pieces: int = 2048, rows: int = 3000, each: int = 8) -> Model:
     """`labelled`: doc_id, text, quality (1 good, 0 bad, null: ignored), together
     or as Teaching."""
     if isinstance(labelled, DataFrame):
@@ -153,7 +154,7 @@ def fit(labelled: DataFrame | Teaching, pieces: int = 2048, rows: int = 3000) ->
     counts = {r.quality: r["count"] for r in may.groupBy("quality").count().collect()}
     n_good, n_bad = counts.get(1, 0), counts.get(0, 0)
     prior = n_good / (n_good + n_bad) if counts else 0.5
-    content = [_pieces(docs, may.where(f"quality = {q} and turn = 0"), pieces) for q in (1, 0)]
+    content = [_pieces(docs, may.where(f"quality = {q} and turn = 0"), pieces, each) for q in (1, 0)]
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit("row"))
     taught = []
     for q in (1, 0):
