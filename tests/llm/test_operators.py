@@ -68,6 +68,16 @@ def test_lines(docs, empty):
     assert lines.LineIndex.build(empty, 3, 40).apply(empty).count() == 0
 
 
+def test_lines_keep_columns_with_the_names_of_counts(docs, monkeypatch):
+    odd = docs.withColumns({"n_lines": F.lit("mine"), "n_dropped": F.lit("too"), "lines_id": F.lit(1)})
+    monkeypatch.setattr(lines, "HOT", 1)
+    index = lines.LineIndex.build(odd, 3, 40)
+    plain, counted = index.apply(odd, counts=False), index.apply(odd)
+    assert plain.columns == odd.columns and {r.n_lines for r in plain.collect()} == {"mine"}
+    assert len(counted.columns) == len(odd.columns) and {r.n_lines for r in counted.where("doc_id = 9").collect()} == {2}
+    assert sorted([(r.doc_id, r.text) for r in plain.collect()], key=str) == brute_lines(ROWS, 3, 40)
+
+
 def test_line_index_is_reversible(docs):
     some, rest = docs.where("doc_id < 4"), docs.where("doc_id >= 4")
     index = lines.LineIndex.build(some, 3, 40)
@@ -88,20 +98,65 @@ def test_cuckoo_filter():
     assert held.contains(h[1500:, 0], h[1500:, 1]).all() and held.contains(h[:1500, 0], h[:1500, 1]).mean() < 0.02
 
 
-def test_minhash(docs, empty):
-    rows = minhash.fingerprints(docs).collect()
-    assert len(rows) == len(ROWS) - 1
-    by = {}
-    for r in rows:
-        by.setdefault(r.doc_id, r)
-    assert by[2].fingerprint == by[3].fingerprint != by[4].fingerprint and by[0].fingerprint == ""
-    ordered = sorted((r for r in ROWS if r[0] is not None), key=lambda r: -r[0])
-    text, after = ordered[0][1], ordered[1][1]
-    half = len(text) // 2
-    assert by[9].edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
-    last = by[0]
-    assert last.n_chars == 0 and last.near_next == 0.0
-    assert all(0 <= r.near_edited <= 1 for r in rows) and minhash.fingerprints(empty).count() == 0
+def _h64(*values):
+    """Spark's xxhash64: each value's hash is the seed of the next one."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        if v is not None:
+            raw = v.encode() if isinstance(v, str) else v.to_bytes(8 if abs(v) >= 1 << 31 or isinstance(v, Long) else 4, "little", signed=True)
+            seed = xxhash.xxh64_intdigest(raw, seed)
+    return seed
+
+
+class Long(int):
+    """A number that Spark holds in eight bytes."""
+
+
+def brute_signature(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text)
+    n = max(len(words) - 2, min(len(words), 1))
+    turns, hashed = {}, []
+    for at in range(n):
+        kmer = _h64(*words[at : at + 3]) & 0xFFFFFFFF
+        turns[kmer] = turn = turns.get(kmer, -1) + 1
+        hashed.append((_h64(Long(kmer), turn) & 0xFFFFFFFF, at))
+    out = []
+    for cell in range(64):
+        least = sorted((h, at) for h, at in hashed if h >> 26 == cell)[:2]
+        if least:
+            pair = [Long(h) for h, _ in sorted(least, key=lambda x: x[1])]
+            out.append(cell << 26 | _h64(*pair) & ((1 << 26) - 1))
+    return out
+
+
+def brute_fingerprints(rows):
+    import xxhash
+
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), np.int64(np.uint64(xxhash.xxh64_intdigest((r[1] or "").encode(), 42)))))
+    out = []
+    for i, (doc, text, *_) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        edited = text[: len(text) - len(text) // 2] + after[: len(text) // 2]
+        sig, other, then = brute_signature(text), brute_signature(edited), brute_signature(after)
+        near = lambda x, y: len(set(x) & set(y)) / len({v >> 26 for v in x + y}) if x or y else 1.0
+        hexed = lambda x: "".join(f"{v:08x}" for v in x)
+        out.append((doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), hexed(sig), hexed(other), near(sig, other), near(sig, then)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows_in_cell", [minhash.CELL_ROWS, 2])
+def test_minhash(spark, docs, empty, monkeypatch, rows_in_cell):
+    monkeypatch.setattr(minhash, "CELL_ROWS", rows_in_cell)
+    got = [tuple(r) for r in minhash.fingerprints(docs).collect()]
+    assert sorted(got, key=str) == brute_fingerprints(ROWS)
+    by = {r[0]: r for r in got}
+    assert by[2][3] == by[3][3] != by[4][3] and by[0][3] == "" and minhash.fingerprints(empty).count() == 0
+    # Ids far apart, and one id that very many rows share.
+    far = [(i if i is None else 77 if i % 2 else i * 2**55 - 2**58, t) for i, t, *_ in ROWS] + [(77, f"w{k} x y z") for k in range(30)] + [(k * 2**50, "a b c d e") for k in range(40)]
+    got = [tuple(r) for r in minhash.fingerprints(spark.createDataFrame(far, "doc_id bigint, text string")).collect()]
+    assert sorted(got, key=str) == brute_fingerprints(far)
 
 
 def test_quality(spark, docs, empty):
@@ -135,6 +190,24 @@ def test_nearest(spark):
     assert nearest.search(spark.createDataFrame([], "vec_id bigint, embedding array<double>"), F.col("vec_id") >= 0).count() == 0
 
 
+def test_nearest_odd_rows(spark):
+    rows = [(0, [2.0**660, 2.0**660, 0.0]), (1, [2.0**-660, 2.0**-660, 0.0]), (2, [1.0, 0.9, 0.0]), (3, [0.0, 0.0, 1.0]), (3, [0.0, 1.0, 0.0]), (3, [0.0, 0.0, 1.0]), (50, [1.0, 1.0, 0.0]), (None, [1.0, 1.0, 0.0])]
+    found = nearest.search(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in found}
+    assert [got[0, k][0] for k in (1, 2, 3, 4)] == [1, 50, 2, 3] and [got[50, k][0] for k in (1, 2, 3, 4)] == [0, 1, 2, 3]
+    assert abs(got[0, 1][1] - 1) < 1e-12 and len(got) == 8
+
+
+def test_scan_keeps_the_nearest():
+    rng = np.random.default_rng(8)
+    x, y = nearest.unit(rng.standard_normal((2000, 64))), nearest.unit(rng.standard_normal((1, 64)))[0]
+    far = ((x - y) ** 2).sum(1)
+    found, kth = nearest.scan(x, y, 6)
+    assert kth == pytest.approx(np.sort(far)[5]) and len(found) < 1500
+    again, same = nearest.scan(x, y, 6, kth)
+    assert set(np.argsort(far)[:6]) <= set(again) and len(again) < len(found) and same == kth
+
+
 def test_nearest_keeps_its_recall_with_many_lists(spark, monkeypatch):
     fit, x = nearest.fit, np.random.default_rng(2).standard_normal((3000, 64))
     monkeypatch.setattr(nearest, "fit", lambda entries, n, d: fit(entries, 30 * n, d))  # 300 lists
@@ -165,6 +238,23 @@ def test_warc(spark):
     assert warc.archive(frame.limit(0)).count() == 0
 
 
+def test_warc_index_finds_records_alone(spark, tmp_path, monkeypatch):
+    import gzip
+
+    pages = [(i % 40, f"http://h{i % 7}.example/{i}", f"<p>{i}</p>" * (20_000 if i == 5 else 30)) for i in range(60)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string")
+    warc.write(frame, str(tmp_path / "w"), archive_bytes=2000)
+    monkeypatch.setattr(warc, "RANGE_ROWS", 10)
+    rows = warc.merge(warc.runs(spark, str(tmp_path / "w")), 6).collect()
+    assert len(rows) == 60 and len({r.run for r in rows}) > 3
+    assert [(r.url_key, r.captured, r.page_id) for r in rows] == sorted((r.url_key, r.captured, r.page_id) for r in rows)
+    for r in rows:
+        held = open(r.run.removeprefix("file:"), "rb").read()
+        heads, block = warc.record_at(held, r.record_offset, r.record_length)
+        assert heads["WARC-Record-ID"] == f"<urn:page:{r.page_id}>" and gzip.decompress(held).count(heads["WARC-Target-URI"].encode()) >= 1
+        assert hashlib.sha256(block.partition(b"\r\n\r\n")[2]).hexdigest() == r.payload_digest
+
+
 def test_loser_tree():
     rng = random.Random(5)
     for k in range(0, 9):
@@ -185,6 +275,29 @@ def test_sharding(spark, docs, empty):
     assert sharding.shard(docs, shards=5).count() == len(ROWS) and sharding.shard(empty).count() == 0
 
 
+def test_sharding_keeps_equal_texts_together(spark):
+    rows = [(None if i % 50 == 0 else i * 7919 % 100_003, f"text {i % 90} " * (1 + i % 5), ("en", None, "fr")[i % 3], f"s{i % 11}") for i in range(900)]
+    rows += [(10**9 + i, "the very common one " * 20, "en", "s1") for i in range(900)] + [(5, "repeated row", "de", None)] * 40
+    found = sharding.shard(spark.createDataFrame(rows, SCHEMA), shards=6).collect()
+    import zlib
+
+    places, sums, slots = {}, {}, {}
+    for r in found:
+        places.setdefault(r.text_crc32, set()).add(r.shard)
+        sums[r.shard] = sums.get(r.shard, 0) + r["size"]
+        slots.setdefault(r.shard, []).append(r)
+    hot = zlib.crc32(("the very common one " * 20).encode())
+    limit = sharding.WHOLE * sum(sums.values()) / 6
+    for crc, held in places.items():
+        if crc != hot and sum(r["size"] for r in found if r.text_crc32 == crc) <= limit:
+            assert len(held) == 1
+    assert len(found) == len(rows) and len(places[hot]) > 1 and max(sums.values()) < 1.1 * min(sums.values())
+    for held in slots.values():
+        assert sorted(r.slot for r in held) == list(range(len(held)))
+    want = sorted((str(i), len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r["size"], r.text_crc32) for r in found) == want
+
+
 def brute_sets(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
@@ -217,12 +330,66 @@ def test_jaccard(spark, docs, empty):
     assert jaccard.link(docs).members.count() == len(ROWS) and jaccard.link(empty).members.count() == 0
 
 
-def test_mixing(docs, empty):
+def brute_classes(rows):
+    """Copies that all documents of a source and size take together."""
+    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
+    sizes = {s: [len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows if r[3] == s] for s in sources}
+    total = [sum(sizes[s]) for s in sources]
+    goals = mixing.targets(total, [(3, 1, 2)[i % 3] for i in range(len(sources))], 1.5 * sum(total))
+    out = {}
+    for s, goal, whole in zip(sources, goals, total, strict=True):
+        mean = max(whole, 1) / len(sizes[s])
+        rate = lambda lam, n: min(2.0, np.exp(min(700, lam * n / mean)))
+        low, high = -1e6, 1e6
+        for _ in range(200):
+            mid = (low + high) / 2
+            low, high = (mid, high) if sum(rate(mid, n) * n for n in sizes[s]) < goal else (low, mid)
+        debt = 0.0
+        for n in sorted({n for n in sizes[s] if n}, reverse=True):
+            held = sizes[s].count(n)
+            want = debt + held * n * (2.0 if goal >= 2 * whole else rate(low, n))
+            out[s, n] = min(2 * held, max(0, int(np.floor(want / n + 0.5))))
+            debt = want - out[s, n] * n
+    return out, dict(zip(sources, goals, strict=True))
+
+
+@pytest.mark.parametrize("part_rows", [mixing.PART_ROWS, 3])
+def test_mixing(spark, docs, empty, monkeypatch, part_rows):
+    monkeypatch.setattr(mixing, "PART_ROWS", part_rows)
     assert mixing.targets([10, 10, 10], [3, 1, 2], 45) == pytest.approx([20, 25 / 3, 50 / 3])
-    rows = mixing.mix(docs).collect()
-    assert len(rows) == len(ROWS) and all(r.taken <= 2 * r["size"] for r in rows)
+    rng = random.Random(9)
+    many = [(i, " ".join(["w"] * rng.choice([0, 1, 3, 5, 8, 40, 90])), "en", (None, "a", "b", "c", "d")[i % 5 if i % 3 else 1]) for i in range(400)] + [(7, "one two three", "en", "b")] * 50
+    for table, rows in ((docs, ROWS), (spark.createDataFrame(many, SCHEMA), many)):
+        found = mixing.shares(table).collect()
+        got, of, taken = {}, {}, {}
+        for r in found:
+            got[r.source, r["size"]] = got.get((r.source, r["size"]), 0) + r.total
+            of.setdefault((r.source, r["size"]), []).append(r)
+            taken[r.source] = taken.get(r.source, 0) + r.total * r["size"]
+        want, goals = brute_classes(rows)
+        assert {k: v for k, v in got.items() if k[1]} == want and all(v == 0 for k, v in got.items() if not k[1])
+        for key, held in of.items():
+            share = got[key] / sum(r.m for r in held)
+            assert all(abs(r.total - share * r.m) < 1 for r in held)
+        for source, goal in goals.items():
+            least = min([n for s, n in want if s == source], default=0)
+            # A source of a few rows may have no small document left to take the rest.
+            assert table is docs or abs(taken[source] - goal) <= least / 2 + 1e-3 * goal
+        each = mixing.mix(table).collect()
+        assert len(each) == len(rows) and all(r.taken <= 2 * r["size"] and r.taken == r.copies * r["size"] for r in each)
+        assert sorted(map(str, each)) == sorted(map(str, mixing.mix(table).collect()))
     assert mixing.mix(empty).count() == 0
-    assert sorted(map(str, rows)) == sorted(map(str, mixing.mix(docs).collect()))
+
+
+def test_the_dual_converges(spark):
+    ratios, sizes = [0.1, 0.5, 0.99, 1.0, 1.3, 1.68, 1.7, 1.9, 1.999, 2.0], [(1, 500), (5, 300), (40, 100), (900, 20), (20_000, 1)]
+    mean, whole = sum(n * m for n, m in sizes) / sum(m for _, m in sizes), sum(n * m for n, m in sizes)
+    rows = spark.createDataFrame([(s, n / mean, n, m) for s in range(len(ratios)) for n, m in sizes], "s int, x double, size bigint, n bigint")
+    lam, steps = mixing.solve(rows, {s: r * whole for s, r in enumerate(ratios)})
+    for s, r in enumerate(ratios):
+        got = sum(min(2, np.exp(min(700, lam[s] * n / mean))) * n * m for n, m in sizes)
+        assert abs(got - r * whole) <= 1e-6 * r * whole
+    assert steps < 40
 
 
 def test_suffix_array():
@@ -232,9 +399,10 @@ def test_suffix_array():
         assert suffixes.suffix_array(s) == sorted(range(len(s)), key=lambda i: s[i:])
 
 
-@pytest.mark.parametrize("hot", [1, suffixes.HOT])
-def test_suffix_dedup(docs, empty, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "chunk"), [(1, 1 << 22), (suffixes.HOT, 1 << 22), (1, 97), (suffixes.HOT, 300)])
+def test_suffix_dedup(docs, empty, monkeypatch, hot, chunk):
     monkeypatch.setattr(suffixes, "HOT", hot)
+    monkeypatch.setattr(suffixes, "CHUNK", chunk)
     width, seen, want = suffixes.WIDTH, {}, []
     bodies = [(i, (t or "").encode()) for i, t, *_ in ROWS]
     for _, b in bodies:

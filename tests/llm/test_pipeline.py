@@ -1,13 +1,13 @@
 """The stages on a small table, in order, without writing between them."""
 
-import math
 import random
 from collections import Counter
 
-from test_operators import brute_lines, brute_sets
+from pyspark.sql import functions as F
+from test_operators import brute_classes, brute_lines, brute_sets
 
 import corpus_pipeline
-from loomdex.llm import bpe, mixing, quality
+from loomdex.llm import bpe, quality
 from loomdex.llm.common import table, written
 
 SF = "/root/testdata/sf0.001"
@@ -68,20 +68,18 @@ def brute_near(rows):
     return sorted({r for r in rows if r[0] is not None and least[r[0]] == r[0]}, key=str) + [r for r in rows if r[0] is None]
 
 
-def brute_mix(rows):
-    sources = sorted({r[3] for r in rows}, key=lambda s: (s is None, s or ""))
-    sized = [(len((r[1] or "").split()), r) for r in rows]
-    total = [sum(n for n, r in sized if r[3] == s) for s in sources]
-    goals = mixing.targets(total, [(3, 1, 2)[i % 3] for i in range(len(sources))], 1.5 * sum(total))
-    copies, held = Counter(), Counter(rows)
-    for s, size, goal in zip(sources, total, goals, strict=True):
-        debt = 0.0
-        for n, r in sorted((x for x in sized if x[1][3] == s and x[0]), key=lambda x: (-x[0], x[1][0] is None, x[1][0])):
-            debt += min(2, goal / size) * n
-            take = min(2, max(0, math.floor(debt / n + 0.5)))
-            copies[r] += take
-            debt -= take * n
-    return [r for r in copies for _ in range(math.ceil(copies[r] / held[r]) * held[r])]
+def agrees_with_brute_mix(rows, mixed):
+    """Copies by source and size as brute force has them, dealt evenly inside."""
+    classes, _ = brute_classes(rows)
+    size, got, held = (lambda r: len((r[1] or "").split())), Counter(), Counter()
+    for r, n in mixed.items():
+        got[r[3], size(r)] += n
+    for r in rows:
+        held[r[3], size(r)] += 1
+    assert +got == +Counter(classes)
+    for r, m in Counter(rows).items():
+        key = r[3], size(r)
+        assert abs(mixed[r] - m * got[key] / held[key]) < 1
 
 
 def test_every_stage_equals_brute_force(spark, tmp_path):
@@ -106,7 +104,10 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     want = Counter(brute_near(rows))
     assert run(corpus_pipeline.near_stage) == want and len(want) < len(set(rows)) - 5
 
-    assert run(corpus_pipeline.mix_stage) == Counter(brute_mix(rows))
+    agrees_with_brute_mix(rows, run(corpus_pipeline.mix_stage))
+    thrice = rows + [rows[7]] * 30
+    again = spark.createDataFrame(thrice, docs.schema)
+    agrees_with_brute_mix(thrice, Counter(map(tuple, corpus_pipeline.mix_stage(spark, again, sf).collect())))
 
     ranks, pattern = bpe.vocabulary()
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -114,3 +115,17 @@ def test_every_stage_equals_brute_force(spark, tmp_path):
     want = Counter((i, tuple(library.encode_ordinary(t or "")), lang, source) for i, t, lang, source, _ in rows)
     assert Counter((r.doc_id, tuple(r.ids), r.lang, r.source) for r in got) == want
     assert all(r.n_tokens == len(r.ids) for r in got)
+
+
+def test_stages_take_odd_tables(spark, tmp_path):
+    """Empty tables, nulls in every column and columns with the stages' own names."""
+    docs = spark.createDataFrame(stage_rows(), "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    spark.createDataFrame([(None, None), (3, None)], "doc_id bigint, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    clash = {c: F.lit(7) for c in ("n_lines", "n_dropped", "row", "total", "m", "mix_id", "mix_row", "text_key", "label", "features", "score", "copies")}
+    nothing = spark.createDataFrame([(None, None, None, None, None)] * 3, docs.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        wide = stage(spark, docs.withColumns(clash), str(tmp_path))
+        assert wide.columns == docs.withColumns(clash).columns and wide.count() > 0, name
+        assert {tuple(r)[:1] for r in stage(spark, nothing, str(tmp_path)).collect()} <= {(None,)}, name
+    assert corpus_pipeline.token_stage(spark, nothing, str(tmp_path)).count() == 3
