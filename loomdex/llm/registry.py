@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from loomdex.llm import bpe, jaccard, lines, minhash, mixing, nearest, quality, sharding, suffixes, warc
 
 
@@ -18,7 +17,6 @@ def queries() -> dict:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_mixing": mixing.op9_mixing,
         "op10_suffixes": suffixes.op10_suffixes,
-        "pipeline": corpus_pipeline.run,
     }
 
 
