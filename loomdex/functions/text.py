@@ -141,11 +141,18 @@ def query_stems(text: str) -> list[str]:
     return list(dict.fromkeys(porter(fold(w)) for w in kept))[:MAX_TERMS]
 
 
-def excerpt(text: Column, terms: list[str]) -> Column:
-    """At most EXCERPT_TOKENS words from shortly before the first match."""
+def excerpt(text: Column, terms: list[str], stemmed: bool = False) -> Column:
+    """At most EXCERPT_TOKENS words from shortly before the first match; of a text
+    without one, its beginning."""
     words = F.split(collapse(text), " ")
-    wanted = F.array(*[F.lit(t) for t in terms])
-    hit = F.array_position(F.transform(words, lambda w: F.size(F.array_intersect(tokens(w), wanted)) > 0), True)
+    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
+    if stemmed:
+        # A stem begins its words, but for a last letter that stemming changes (y, e).
+        short = [t if len(t) < 4 else t[:-1] for t in terms]
+        first = lambda w: F.exists(tokens(w), lambda t: F.exists(F.array(*[F.lit(x) for x in short] or [F.lit("")]), lambda s: t.startswith(s)))
+    else:
+        first = lambda w: F.size(F.array_intersect(tokens(w), wanted)) > 0
+    hit = F.array_position(F.transform(words, first), True)
     start = F.greatest(F.lit(1), hit.cast("int") - 8)
     body = F.array_join(F.slice(words, start, EXCERPT_TOKENS), " ")
     return F.concat(F.when(start > 1, F.lit(" … ")).otherwise(F.lit("")), body, F.when(F.size(words) >= start + EXCERPT_TOKENS, F.lit(" … ")).otherwise(F.lit("")))

@@ -1,16 +1,25 @@
-"""The core tables (items, passages, names, links, edges) from driver tables and
-from a brain directory of notes and JSON Lines records."""
+"""The driver's tables as a brain: notes, records, names, links and claims."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.functions.identity import strict_json
-from loomdex.functions.text import html_text, lead, plain
+from loomdex.functions.markdown import parse_notes
+from loomdex.functions.text import html_text
+from loomdex.sources.brain import ITEM, Brain, distilled
+from loomdex.sources.config import Config, Field, Program
 
-RECORD = "id string, title string, text string, time string, url string, links array<string>, aliases array<string>, attributes string, fields string"
-MAX_NOTE = 4 << 20
+#: The brain that the tables are projected to.
+CONFIG = Config(
+    "demo",
+    schema={"located-in": Field("identity", relation=True), "k": Field("integer", "one"), "user": Field("identity", relation=True), "tags": Field("string", "many")},
+    sensors={
+        "click": Program(refresh=3600, trust="owner"), "view": Program(refresh=86_400), "purchase": Program(enabled=False, refresh=3600, mode="snapshot"),
+        "mail": Program(refresh=3600, fields={"k": {"path": "/props/k"}}), "notes": Program(),
+    },
+    routines={"weekly": Program(refresh=604_800, lookback=604_800), "daily": Program(refresh=86_400), "manual": Program()},
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,31 +89,98 @@ def page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
 
 
-def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, problems). A file with a bad line is rejected as a whole; blank
-    lines are skipped."""
-    lines = spark.read.text(path, recursiveFileLookup=True).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
-    bad = strict_json(F.col("value")).isNull() | F.get_json_object("value", "$.id").isNull() | F.get_json_object("value", "$.title").isNull()
-    marked = lines.withColumn("bad", bad)
-    problems = marked.where("bad").groupBy("file").agg(F.count(F.lit(1)).alias("bad_lines"))
-    good = marked.join(problems.select("file"), "file", "left_anti").select(F.from_json("value", RECORD).alias("r"), "file")
-    return good.select("file", "r.*"), problems
-
-
-def read_notes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(notes: path, title, body, lead, tasks_open, tasks_done; problems)."""
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md").select(F.col("_metadata.file_path").alias("file"), "value")
-    large = F.octet_length("value") > MAX_NOTE
-    body = F.regexp_replace("value", r"(?s)\A---\r?\n.*?\n---\r?\n", "")
-    heading = F.regexp_extract("value", r"(?m)^# +(.+?)\s*$", 1)
-    stem = F.regexp_replace(F.regexp_extract("file", r"([^/]+)\.md$", 1), "-", " ")
-    title = F.coalesce(F.nullif(F.regexp_extract("value", r"(?m)\A---[\s\S]*?^title: *(.+?) *$[\s\S]*?^---", 1), F.lit("")), F.nullif(heading, F.lit("")), stem)
-    count = lambda mark: F.size(F.regexp_extract_all("value", F.lit(rf"(?m)^\s*[-*] \[{mark}\]"), F.lit(0)))
-    notes = files.where(~large).select("file", title.alias("title"), body.alias("body"), lead(plain(body)).alias("lead"), count(" ").alias("tasks_open"), count("[xX]").alias("tasks_done"))
-    return notes, files.where(large).select("file", F.lit("note above 4 MiB").alias("problem"))
-
-
-def sections(notes: DataFrame) -> DataFrame:
-    """file, fragment number, heading, text of each H2+ section, preamble first."""
-    parts = F.split("body", r"(?m)^(?=#{2,6} )")
-    return notes.select("file", F.posexplode(parts).alias("n", "text")).withColumn("heading", F.regexp_extract("text", r"\A#{2,6} +(.+?)\s*(?:\n|\z)", 1))
+# --- the five tables ---
+
+STATUSES = ("active", "blocked", "paused", "done", "archived")
+
+
+def customer_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """path, text: a Markdown note of each customer, with metadata, links, tasks and
+    sections; every seventh has no date."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    text = lambda c: c.cast("string")
+    status = F.element_at(F.array(*[F.lit(x) for x in STATUSES]), (k % 5 + 1).cast("int"))
+    day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")), "yyyy-MM-dd")
+    parts = [
+        F.lit("---\ntitle: "), name, F.lit("\nstatus: "), status, F.when(k % 7 == 0, F.lit("")).otherwise(F.concat(F.lit("\nupdated: "), day)), F.lit("\naliases: [customer:"), text(k), F.lit("]\n---\n# "), name,
+        F.lit("\n\nHeld in [nation](../concepts/nations.md#n-"), text(F.col("c_nationkey")), F.lit(") by [desk](brain://demo/projects/"), text(k + 1), F.lit(".md?rel=located-in).\n\n## Orders\n- [ ] call "), text(k),
+        F.lit("\n- [x] mail *"), text(k), F.lit("*\n"), F.when(k % 3 == 0, F.lit("- [ ] visit\n")).otherwise(F.lit("")), F.lit("\n## Next actions!\nBalance "), text(F.floor("c_acctbal")), F.lit(" `code [x](y)`.\n"),
+    ]
+    return table(spark, sf_dir, "customer").select(_project(k).alias("path"), F.concat(*parts).alias("text"))
+
+
+def _project(key: Column) -> Column:
+    return F.concat(F.lit("projects/"), key.cast("string"), F.lit(".md"))
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The struct of each customer's note, read from its Markdown."""
+    return parse_notes(customer_notes(spark, sf_dir))
+
+
+def items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ITEM of customers (projects), suppliers (actions), documents (concepts) and
+    events (records, every fourth revised 20 days later). No Markdown is read."""
+    none = F.lit(None)
+    blank = F.lit("")
+
+    def row(rows: DataFrame, **columns: Column) -> DataFrame:
+        fill = {"source": blank, "type": blank, "status": blank, "lead": blank, "url": blank, "next": none, "partial": F.lit(False), "weight": F.lit(1)}
+        held = fill | columns
+        return rows.select(*[held.get(c.split()[0], none).cast(c.split()[1]).alias(c.split()[0]) for c in ITEM.split(", ")])
+
+    k, s = F.col("c_custkey"), F.col("s_suppkey")
+    status = F.element_at(F.array(*[F.lit(x) for x in STATUSES]), (k % 5 + 1).cast("int"))
+    day = F.when(k % 7 != 0, F.date_add(F.lit("2024-01-01").cast("date"), (k % 60).cast("int")))
+    action = F.concat(F.lit("actions/2024-01-"), F.lpad((1 + s % 28).cast("string"), 2, "0"), F.lit("_s-"), s.cast("string"), F.lit("/ACTION.md"))
+    docs, events = document_items(spark, sf_dir), event_items(spark, sf_dir)
+    later = F.when(F.col("event_id") % 4 == 0, F.col("time") + F.expr("INTERVAL 20 DAYS"))
+    parts = [
+        row(table(spark, sf_dir, "customer"), ref=_project(k), path=_project(k), kind=F.lit("note"), title=F.col("c_name"), day=day, type=F.lit("project"), status=status, weight=F.lit(2)),
+        row(table(spark, sf_dir, "supplier"), ref=action, path=action, kind=F.lit("note"), title=F.col("s_name"), day=F.date_add(F.lit("2024-01-01").cast("date"), (s % 28).cast("int")), type=F.lit("action"), weight=F.lit(2)),
+        row(docs, ref=F.col("ref"), path=F.col("ref"), kind=F.lit("note"), title=F.concat(F.lit("Document "), F.col("doc_id").cast("string")), type=F.lit("concept"), status=F.col("status"), weight=distilled(F.col("ref"))),
+        row(events, ref=F.col("ref"), path=F.concat(F.lit("memories/"), "source", F.lit("/"), "month", F.lit(".jsonl")), kind=F.lit("record"), source=F.col("source"), title=F.col("source"), time=F.col("time"), updated=later),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, item: a customer's identity and its market segment (shared) are names of
+    its note, a supplier's of its action."""
+    c = table(spark, sf_dir, "customer").select(_project(F.col("c_custkey")).alias("item"), F.array(_name("customer", "c_custkey"), F.concat(F.lit("segment:"), "c_mktsegment"), F.concat(F.lit("crm:"), F.col("c_custkey").cast("string"))).alias("n"))
+    return c.select(F.explode("n").alias("name"), "item")
+
+
+def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item, target, time: every claim as a link, and untyped ones from each third
+    order to a nation or to a section of its customer's identity."""
+    every = order_edges(spark, sf_dir).select("item", "target", "time")
+    third = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    section = F.concat(_name("customer", "o_custkey"), F.lit("#note-"), (F.col("o_orderkey") % 4).cast("string"))
+    target = F.when(F.col("o_orderkey") % 2 == 0, section).otherwise(F.concat(F.lit("nation:"), (F.col("o_custkey") % 25).cast("string")))
+    return every.unionByName(third.select(_name("orders", "o_orderkey").alias("item"), target.alias("target"), F.col("o_orderdate").alias("time"))).distinct()
+
+
+def brain(spark: SparkSession, sf_dir: str) -> Brain:
+    words = document_items(spark, sf_dir)
+    passages = words.select("ref", F.lit("").alias("fragment"), F.concat(F.lit("Document "), F.col("doc_id").cast("string")).alias("heading"), "text", F.concat_ws(" ", "lang", "source").alias("names"), distilled(F.col("ref")).alias("weight"), "status")
+    return Brain(CONFIG.name, items(spark, sf_dir), passages, names(spark, sf_dir), links(spark, sf_dir), order_edges(spark, sf_dir))
+
+
+def record_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_id, value: a JSON line of each event; seven of ten have a fault of their own."""
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+    q = lambda k, v: F.concat(F.lit(f'"{k}":"'), v, F.lit('"'))
+    key, n = F.concat_ws(":", "event_type", F.col("event_id").cast("string")), F.col("event_id") % 10
+    good = F.concat_ws(",", q("id", key), q("title", F.col("event_type")), q("time", F.concat(at, F.lit("+02:00"))), F.concat(F.lit('"links":["person:'), F.col("user_id").cast("string"), F.lit('"]')), F.concat(F.lit('"attributes":'), "props"))
+    bad = [
+        (1, F.concat(good, F.lit(',"extra":1'))), (2, F.concat_ws(",", q("id", key), q("title", F.col("event_type")), q("time", at))), (3, F.concat(F.lit('"id":'), F.col("event_id").cast("string"), F.lit(',"title":"x"'))),
+        (4, F.concat_ws(",", q("id", key), F.lit('"title":"a\\u0007b"'))), (5, F.concat_ws(",", q("id", key), F.lit('"title":" "'))), (6, F.concat(good, F.lit(',"title":"again"'))), (7, F.concat_ws(",", q("id", key), q("title", F.col("event_type")), F.lit('"links":"x"'))),
+    ]
+    line = F.when(n == bad[0][0], bad[0][1])
+    for k, v in bad[1:]:
+        line = line.when(n == k, v)
+    return table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("{"), line.otherwise(good), F.lit("}")).alias("value"))
