@@ -2,9 +2,19 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomdex.functions.temporal import bound
+
+#: Wanted names that travel as literals, and as a broadcast table; more are shuffled.
+LITERALS, BROADCAST = 1000, 200_000
+ALIASES, CLAIMS, SECTION, GROUPS, REVIEW_DAYS = 1001, 50, 20, 64, 14
+
+Wanted = DataFrame | list[str]
+
 
 def candidate_targets(target: Column) -> Column:
     """A target and every prefix of it that ends before a '#': a link to a section
@@ -13,11 +23,30 @@ def candidate_targets(target: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "#"))
 
 
-def linking(links: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Links whose target, or the whole it is a section of, is in `wanted`
-    (column `target`); a row per link and wanted target."""
-    keyed = links.withColumn("wanted", F.explode(candidate_targets(F.col("target"))))
-    return keyed.join(wanted.select(F.col("target").alias("wanted")).distinct(), "wanted")
+def wanted_rows(rows: DataFrame, key: str, wanted: Wanted) -> DataFrame:
+    """Rows whose `key` is wanted: a literal set is a filter that reaches the scan,
+    a table is counted and broadcast while it is small."""
+    if isinstance(wanted, list):
+        return rows.where(F.col(key).isin(wanted))
+    names = wanted.select(F.col(wanted.columns[0]).alias(key)).distinct()
+    return rows.join(F.broadcast(names) if names.count() <= BROADCAST else names, key, "left_semi")
+
+
+def linking(links: DataFrame, wanted: Wanted) -> DataFrame:
+    """Links whose target, or the whole it is a section of, is wanted (a list, or a
+    table with a column `target`); a row per link and wanted target. What is wanted
+    meets each link before anything is exploded or moved."""
+    candidates = candidate_targets(F.col("target"))
+    if isinstance(wanted, list) and len(wanted) <= LITERALS:
+        asked = F.array(*[F.lit(w) for w in wanted]) if wanted else F.array().cast("array<string>")
+        return links.where(F.arrays_overlap(candidates, asked)).withColumn("wanted", F.explode(F.array_intersect(candidates, asked)))
+    table = links.sparkSession.createDataFrame([(w,) for w in wanted], "wanted string") if isinstance(wanted, list) else wanted.select(F.col("target").alias("wanted"))
+    table = table.distinct()
+    keyed = links.withColumn("wanted", F.explode(candidates))
+    return keyed.join(F.broadcast(table) if table.count() <= BROADCAST else table, "wanted")
+
+
+# --- identities ---
 
 
 def unique_owners(names: DataFrame) -> DataFrame:
@@ -36,39 +65,121 @@ def expand(names: DataFrame, identity: str) -> DataFrame:
     return names.join(owner, "item", "left_semi").join(sole.select("name"), "name", "left_semi").select("name").distinct()
 
 
-def identity_candidates(items: DataFrame, names: DataFrame, links: DataFrame, identity: str) -> DataFrame:
-    """ref, score: the item itself 2e6, an owner of the name 1e6, a linker 1e3."""
-    exact = items.where(F.col("ref") == identity).select("ref", F.lit(2e6).alias("score"))
-    owners = names.where(F.col("name") == identity).select(F.col("item").alias("ref"), F.lit(1e6).alias("score"))
-    wanted = items.sparkSession.createDataFrame([(identity,)], "target string")
+def expanded(names: DataFrame, identity: str) -> tuple[list[str], list[dict]]:
+    """(the identity and what it expands to, problems). names: name, item and, over
+    several brains, brain. An identity of several owners stays alone; aliases that
+    others claim too are left out; more than ALIASES are an error."""
+    key = F.struct(*[c for c in ("brain", "item") if c in names.columns]).alias("owner")
+    owners = names.where(F.col("name") == identity).select(key).distinct().limit(2).collect()
+    if len(owners) > 1:
+        return [identity], [{"error": f"ambiguous identity {identity}: use an exact reference"}]
+    if not owners:
+        return [identity], []
+    mine = names.withColumn("owner", key).where(F.col("owner") == F.struct(*[F.lit(v).alias(k) for k, v in owners[0].owner.asDict().items()]))
+    held = [r.name for r in mine.select("name").distinct().limit(ALIASES + 1).collect()]
+    if len(held) > ALIASES:
+        raise ValueError(f"{identity} has more than {ALIASES} aliases")
+    shared = {r.name for r in names.where(F.col("name").isin(held)).groupBy("name").agg(F.countDistinct(key).alias("n")).where("n > 1").collect()}
+    problems = [{"error": f"{len(shared)} aliases have other owners too and were not expanded"}] if shared else []
+    return sorted({identity} | (set(held) - shared)), problems
+
+
+def local_refs(names: DataFrame, identities: Wanted) -> DataFrame:
+    """ref: the identities, and the items that alone own one of them."""
+    owned = unique_owners(wanted_rows(names, "name", identities)).select(F.col("item").alias("ref"))
+    asked = names.sparkSession.createDataFrame([(i,) for i in identities], "ref string") if isinstance(identities, list) else identities.select(F.col(identities.columns[0]).alias("ref"))
+    return asked.union(owned).distinct()
+
+
+def owners(names: DataFrame, identity: str) -> DataFrame:
+    return names.where(F.col("name") == identity).select(F.col("item").alias("ref")).distinct()
+
+
+def identity_candidates(items: DataFrame, names: DataFrame, links: DataFrame, identity: str, aliases: list[str] | None = None) -> DataFrame:
+    """ref, score: the item itself 2e6, an owner of a name 1e6, a linker 1e3, of
+    the identity or of what it expands to."""
+    wanted = sorted({identity, *(aliases or [])})
+    exact = items.where(F.col("ref").isin(wanted)).select("ref", F.lit(2e6).alias("score"))
+    own = names.where(F.col("name").isin(wanted)).select(F.col("item").alias("ref"), F.lit(1e6).alias("score"))
     linkers = linking(links, wanted).select(F.col("item").alias("ref"), F.lit(1e3).alias("score"))
-    return exact.unionAll(owners).unionAll(linkers).groupBy("ref").agg(F.max("score").alias("score"))
+    return exact.unionAll(own).unionAll(linkers).groupBy("ref").agg(F.max("score").alias("score"))
+
+
+def identity_order(candidates: DataFrame, items: DataFrame, limit: int) -> DataFrame:
+    """ref, score, rank: the item, then owners, then linkers, the newest first."""
+    times = items.select("ref", "time")
+    order = [F.desc("score"), F.desc("time"), F.asc("ref")]
+    top = candidates.join(times, "ref", "left").orderBy(*order).limit(limit)
+    return top.select("ref", "score", F.row_number().over(Window.orderBy(*order)).alias("rank"))
 
 
 def known(items: DataFrame, names: DataFrame, links: DataFrame, asked: DataFrame) -> DataFrame:
-    """name, is_known of the asked identities, whatever the scope."""
-    said = items.select(F.col("ref").alias("name")).union(names.select("name"))
-    said = said.union(links.select(F.explode(candidate_targets(F.col("target"))).alias("name"))).distinct()
+    """name, is_known of the asked identities, whatever the scope. The asked side
+    filters each table before names are made distinct."""
+    said = wanted_rows(items.select(F.col("ref").alias("name")), "name", asked).union(wanted_rows(names.select("name"), "name", asked))
+    said = said.union(linking(links, asked.select(F.col("name").alias("target"))).select(F.col("wanted").alias("name"))).distinct()
     return asked.join(said.withColumn("is_known", F.lit(True)), "name", "left").withColumn("is_known", F.coalesce("is_known", F.lit(False)))
 
 
-def backlinks(edges: DataFrame, links: DataFrame, wanted: DataFrame, newest: int = 20) -> tuple[DataFrame, DataFrame]:
-    """(relation, total), typed first, and the newest items of each relation. An
-    item with a typed link is not repeated as an untyped one."""
-    typed = linking(edges.where("relation <> ''"), wanted).select("item", "relation", "time", "wanted").distinct()
-    bare = linking(links, wanted).select("item", F.lit("").alias("relation"), "time", "wanted").distinct()
-    both = typed.unionByName(bare.join(typed, ["item", "wanted"], "left_anti"))
-    both = both.where("item <> wanted").select("item", "relation", "time").distinct()
+# --- links and claims ---
+
+
+def incoming(edges: DataFrame, links: DataFrame, wanted: Wanted, exclude: str = "") -> DataFrame:
+    """item, relation, time of what links to the wanted: typed edges, and as
+    untyped ('') the links of items without a typed one. The item itself is out."""
+    typed = linking(edges.where("relation <> ''"), wanted).select("item", "relation", "time", "wanted")
+    bare = linking(links, wanted).select("item", F.lit("").alias("relation"), "time", "wanted")
+    both = typed.unionByName(bare.join(typed.select("item").distinct(), "item", "left_anti"))
+    return both.where((F.col("item") != F.col("wanted")) & (F.col("item") != exclude)).select("item", "relation", "time").distinct()
+
+
+def grouped(found: DataFrame, newest: int = SECTION) -> tuple[DataFrame, DataFrame]:
+    """(relation, total, place: typed relations first, GROUPS at most) and the
+    newest items of each relation with their rank."""
     order = Window.partitionBy("relation").orderBy(F.desc("time"), "item")
+    latest = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= newest)
+    totals = found.groupBy("relation").agg(F.count(F.lit(1)).alias("total")).orderBy(F.col("relation") == "", "relation").limit(GROUPS)
+    return totals.withColumn("place", F.row_number().over(Window.orderBy(F.col("relation") == "", "relation"))), latest
+
+
+def backlinks(edges: DataFrame, links: DataFrame, wanted: Wanted, newest: int = SECTION, exclude: str = "") -> tuple[DataFrame, DataFrame]:
+    return grouped(incoming(edges, links, wanted, exclude), newest)
+
+
+def merged(parts: dict[str, DataFrame], newest: int = SECTION) -> tuple[DataFrame, DataFrame]:
+    """Backlinks (rows of `incoming`) of several brains together: totals add up, the
+    newest of all stay. The newest have their brain."""
+    both = None
+    for name, rows in parts.items():
+        rows = rows.withColumn("brain", F.lit(name))
+        both = rows if both is None else both.unionByName(rows)
+    order = Window.partitionBy("relation").orderBy(F.desc("time"), "brain", "item")
     latest = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= newest)
-    return both.groupBy("relation").agg(F.count(F.lit(1)).alias("total")), latest
+    totals, _ = grouped(both, newest)
+    return totals, latest
 
 
-def claims(edges: DataFrame, subjects: DataFrame, limit: int = 50) -> DataFrame:
-    """Different typed claims of the subjects, at most `limit` of each."""
-    said = edges.join(subjects, "subject", "left_semi").select("subject", "relation", "target", "origin").distinct()
-    order = Window.partitionBy("subject").orderBy("relation", "target", "origin")
-    return said.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit)
+def claims(edges: DataFrame, subjects: Wanted, limit: int = CLAIMS) -> DataFrame:
+    """Different typed claims of the subjects, at most `limit` of each, with their
+    number `n` and whether there are more (`truncated`)."""
+    typed = edges.where("relation <> ''")
+    said = wanted_rows(typed, "subject", subjects).select("subject", "relation", "target", "origin").distinct()
+    return _few(said, ["subject"], ["relation", "target", "origin"], limit)
+
+
+def _few(rows: DataFrame, group: list[str], order: list[str], limit: int) -> DataFrame:
+    """The first `limit` rows of each group; one more is looked at to know of it."""
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    sentinel = rows.withColumn("n", number).where(F.col("n") <= limit + 1)
+    more = F.max("n").over(Window.partitionBy(*group)) > limit
+    return sentinel.withColumn("truncated", more).where(F.col("n") <= limit)
+
+
+def explanations(edges: DataFrame, refs: Wanted, targets: Wanted, limit: int = CLAIMS) -> DataFrame:
+    """Why the items `refs` are linked: their claims about the targets or sections
+    of them, at most `limit` an item, with n and truncated."""
+    said = linking(wanted_rows(edges, "item", refs), targets).select("item", "subject", "relation", "target", "origin").distinct()
+    return _few(said, ["item"], ["relation", "target", "origin", "subject"], limit)
 
 
 def newer_links(projects: DataFrame, links: DataFrame) -> DataFrame:
@@ -76,3 +187,12 @@ def newer_links(projects: DataFrame, links: DataFrame) -> DataFrame:
     hits = linking(links, projects.select(F.col("ref").alias("target"))).select(F.col("wanted").alias("ref"), "item", "time").distinct()
     late = projects.join(hits, "ref").where(F.col("time") >= F.date_add("updated", 1).cast("timestamp_ntz"))
     return late.groupBy("ref").agg(F.countDistinct("item").alias("newer"))
+
+
+def review(projects: DataFrame, newer: DataFrame, now: datetime) -> DataFrame:
+    """projects (ref, type, status, ts) with `newer` and `review`: an open project
+    is due without a date, after REVIEW_DAYS, or when newer items link to it."""
+    both = projects.join(newer.select("ref", "newer"), "ref", "left").withColumn("newer", F.coalesce("newer", F.lit(0)))
+    open_ = (F.col("type") == "project") & F.col("status").isin("active", "blocked")
+    old = F.col("ts").isNull() | (F.col("ts") < bound(now - timedelta(days=REVIEW_DAYS)))
+    return both.withColumn("review", open_ & (old | (F.col("newer") > 0)))

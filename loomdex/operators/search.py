@@ -1,59 +1,156 @@
-"""Word search: postings, corpus statistics, BM25, best passage, federation."""
+"""Word search: stored postings, corpus statistics, BM25, best passage, federation.
+
+The index of a corpus is written once: postings (a row for each term of a passage),
+bucketed by a hash of the term, passages without their texts, and one row of
+statistics. A query reads the buckets of its terms, and of the passages only those
+that it returns.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from loomdex.functions.text import query_stems, query_terms, stems, tokens
+from loomdex import sinks
+from loomdex.functions.text import excerpt, query_stems, query_terms, stems, tokens
 
 K1, B = 1.2, 0.75
-WEIGHTS = {"title": 10.0, "text": 1.0, "names": 0.5}
+WEIGHTS = {"heading": 10.0, "title": 10.0, "text": 1.0, "names": 0.5}
 #: Status values that rank after all others.
 DEMOTED = ("deprecated", "archived")
+#: Folders that postings are dealt to by their term, and tokens of a task that writes one.
+BUCKETS, TASK_TOKENS = 64, 20_000_000
+
+
+def _split(stemmed: bool):
+    return stems if stemmed else tokens
+
+
+def _fields(passages: DataFrame) -> list[str]:
+    return [c for c in WEIGHTS if c in passages.columns]
+
+
+def _tokened(passages: DataFrame, stemmed: bool) -> tuple[DataFrame, list[str], Column]:
+    """(passages with an array of tokens for each searched column, the other
+    columns, tokens in all)."""
+    fields = _fields(passages)
+    kept = [c for c in passages.columns if c not in fields]
+    out = passages.select(*kept, *[_split(stemmed)(F.col(c)).alias(f"_{c}") for c in fields])
+    return out, kept, sum((F.size(f"_{c}") for c in fields[1:]), F.size(f"_{fields[0]}"))
 
 
 def lengths(passages: DataFrame, stemmed: bool = False) -> DataFrame:
     """Adds d: the tokens of a passage over its searched columns."""
-    split = stems if stemmed else tokens
-    fields = [c for c in WEIGHTS if c in passages.columns]
+    split, fields = _split(stemmed), _fields(passages)
     return passages.withColumn("d", sum((F.size(split(F.col(c))) for c in fields[1:]), F.size(split(F.col(fields[0])))))
 
 
+def _counted(arrays: list[tuple[str, float]], term: Column) -> Column:
+    hits = [F.lit(w) * F.size(F.filter(c, lambda x: x == term)) for c, w in arrays]
+    return sum(hits[1:], hits[0])
+
+
 def postings(passages: DataFrame, terms: list[str], stemmed: bool = False) -> DataFrame:
     """passage columns, term, f (weighted frequency), d; a row per matching term.
     Occurrences are counted inside the row, so texts are not exploded."""
-    split = stems if stemmed else tokens
-    fields = [c for c in WEIGHTS if c in passages.columns]
-    tokened = passages.select(*[c for c in passages.columns if c not in fields], *[split(F.col(c)).alias(f"_{c}") for c in fields])
-    d = sum((F.size(f"_{c}") for c in fields[1:]), F.size(f"_{fields[0]}"))
-
-    def freq(term: str):
-        hits = [F.lit(WEIGHTS[c]) * F.size(F.filter(f"_{c}", lambda w: w == term)) for c in fields]
-        return F.struct(F.lit(term).alias("term"), sum(hits[1:], hits[0]).alias("f"))
-
-    rows = tokened.withColumn("d", d).withColumn("m", F.explode(F.array(*[freq(t) for t in terms])))
-    kept = [c for c in passages.columns if c not in fields]
-    return rows.select(*kept, "d", "m.term", "m.f").where("f > 0")
+    rows, kept, d = _tokened(passages, stemmed)
+    arrays = [(f"_{c}", WEIGHTS[c]) for c in _fields(passages)]
+    freq = F.array(*[F.struct(F.lit(t).alias("term"), _counted(arrays, F.lit(t)).alias("f")) for t in terms])
+    return rows.withColumn("d", d).withColumn("m", F.explode(freq)).select(*kept, "d", "m.term", "m.f").where("f > 0")
 
 
 def statistics(passages: DataFrame, stemmed: bool = False) -> DataFrame:
     return lengths(passages, stemmed).agg(F.count(F.lit(1)).alias("n_passages"), F.sum("d").alias("n_tokens"), F.avg("d").alias("avg_len"))
 
 
-def bm25(passages: DataFrame, query: str, keep: list[str], stemmed: bool = False) -> DataFrame:
-    """keep..., score. Statistics span all passages, whatever the scope; a term in
-    half of them or more scores next to nothing but still matches. `stemmed`
-    matches words by their stems without accents, in texts and query alike."""
-    terms = query_stems(query) if stemmed else query_terms(query)
-    found = postings(passages, terms, stemmed)
-    stats = F.broadcast(statistics(passages, stemmed))  # one row
+def _scores(found: DataFrame, stats: DataFrame, keep: list[str]) -> DataFrame:
+    """keep..., score of postings (term, f, d); stats is one row."""
     df = F.broadcast(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")))  # a row per query term
     idf = F.ln((F.col("n_passages") - F.col("n") + 0.5) / (F.col("n") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
     part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_len")))
-    scored = found.join(df, "term").crossJoin(stats).withColumn("part", part)
-    return scored.groupBy(*keep).agg(F.sum("part").alias("score"))
+    return found.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part).groupBy(*keep).agg(F.sum("part").alias("score"))
+
+
+def bm25(passages: DataFrame, query: str, keep: list[str], stemmed: bool = False) -> DataFrame:
+    """keep..., score, without an index. Statistics span all passages, whatever the
+    scope; a term in half of them or more scores next to nothing but still matches.
+    `stemmed` matches words by their stems without accents, in texts and query alike."""
+    terms = query_stems(query) if stemmed else query_terms(query)
+    return _scores(postings(passages, terms, stemmed), statistics(passages, stemmed), keep)
+
+
+# --- the stored index ---
+
+
+@dataclass(frozen=True)
+class Index:
+    """A committed index below `root`. Passages are (ref, fragment)."""
+
+    spark: SparkSession
+    root: str
+    stemmed: bool
+
+    def table(self, name: str) -> DataFrame:
+        return sinks.read_table(self.spark, self.root, name)
+
+    def find(self, query: str, where: Column | None = None) -> DataFrame:
+        """ref, fragment, score of every matching passage. The score is doubled for
+        distilled notes; `where` filters on the columns of passages, not the statistics."""
+        terms = query_stems(query) if self.stemmed else query_terms(query)
+        homes = [bucket_of(t) for t in terms]
+        hit = self.table("postings").where(F.col("bucket").isin(homes) & F.col("term").isin(terms))
+        keep = [c for c in ("ref", "fragment", "weight", "status", "lang", "source", "doc_id") if c in hit.columns]
+        scored = _scores(hit, self.table("statistics"), keep)
+        if "weight" in keep:
+            scored = scored.withColumn("score", F.col("score") * F.col("weight"))
+        return scored if where is None else scored.where(where)
+
+    def returned(self, top: DataFrame, query: str, texts: DataFrame) -> DataFrame:
+        """`top` (bounded rows) with an excerpt: only their texts are read again."""
+        terms = query_stems(query) if self.stemmed else query_terms(query)
+        few = F.broadcast(top.select("ref", "fragment").distinct())
+        held = texts.join(few, ["ref", "fragment"], "left_semi").select("ref", "fragment", excerpt(F.col("text"), terms, self.stemmed).alias("excerpt"))
+        return top.join(F.broadcast(held), ["ref", "fragment"], "left")
+
+
+def bucket_of(term: str) -> int:
+    import zlib
+
+    return zlib.crc32(term.encode()) % BUCKETS
+
+
+def build(passages: DataFrame, root: str, stemmed: bool = False, note: dict | None = None) -> Index:
+    """Write postings, statistics and document frequencies of `passages` (ref,
+    fragment, further columns to filter on, and the searched ones)."""
+    spark = passages.sparkSession
+    rows, kept, d = _tokened(passages, stemmed)
+    fields = _fields(passages)
+    arrays = [(f"_{c}", WEIGHTS[c]) for c in fields]
+    counts = [_weighed(c, w) for c, w in arrays]
+    each = rows.select(*kept, d.alias("d"), F.explode(F.concat(*counts)).alias("t")).groupBy(*kept, "d", "t.term").agg(F.sum("t.w").alias("f"))
+    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")
+    stats = statistics(passages, stemmed).first()
+    parts = int((stats.n_tokens or 0) // (BUCKETS * TASK_TOKENS)) + 1
+    posts = each.withColumn("bucket", bucket).repartition(BUCKETS if parts == 1 else BUCKETS * parts, "bucket", F.pmod(F.xxhash64("ref"), F.lit(parts)))
+    told = spark.createDataFrame([tuple(stats)], "n_passages bigint, n_tokens bigint, avg_len double")
+    tables = {"postings": posts.sortWithinPartitions("bucket", "term"), "statistics": told.coalesce(1)}
+    sinks.commit(spark, root, tables, {"stemmed": stemmed, **(note or {})}, {"postings": ["bucket"]})
+    return Index(spark, root, stemmed)
+
+
+def _weighed(column: str, weight: float) -> Column:
+    return F.transform(F.col(column), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+
+def open_index(spark: SparkSession, root: str) -> Index | None:
+    held = sinks.current(spark, root)
+    return Index(spark, root, bool(held["note"].get("stemmed"))) if held else None
+
+
+# --- what is returned ---
 
 
 def best_passage(scored: DataFrame) -> DataFrame:

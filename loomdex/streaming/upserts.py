@@ -1,23 +1,42 @@
-"""Streaming face of the window upsert: each micro-batch of new events updates a
-versioned table; the newest version is the highest number."""
+"""Streaming face of the window upsert: each micro-batch of new events updates the
+partitions (source) that it touches; the current version is named by a pointer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from loomdex import sinks
 from loomdex.operators.ingest import upsert
 
 
+def newest_reliable(batch: DataFrame) -> DataFrame:
+    """One revision of each id of a batch: the last update among those whose clock
+    holds (not after their own observation), else the last observed."""
+    sure = F.coalesce(F.col("updated") <= F.col("observed"), F.col("updated").isNull())
+    order = Window.partitionBy("source", "id").orderBy(F.desc(sure), F.desc(F.when(sure, F.col("updated"))), F.desc("observed"), F.desc("ts"), F.desc("body"))
+    return batch.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+
+
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """stream: source, id, body, updated, observed, ts. A micro-batch that is run
+    again finds its number in the pointer and changes nothing."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        batch = batch.dropDuplicates(["source", "id"])
-        if epoch:
-            stored = spark.read.parquet(f"{path}/version={epoch - 1}")
-        else:
+        held = sinks.current(spark, path)
+        if held is not None and held["note"].get("epoch", -1) >= epoch:
+            return
+        batch = newest_reliable(batch)
+        if held is None:
             stored = batch.limit(0)
-        upsert(stored, batch).drop("action").write.mode("overwrite").parquet(f"{path}/version={epoch}")
+        else:
+            stored = sinks.read_table(spark, path, "records").select(*batch.columns)
+        touched = [r.source for r in batch.select("source").distinct().limit(10_001).collect()]
+        mine = stored.where(F.col("source").isin(touched)) if len(touched) <= 10_000 else stored
+        rest = stored.where(~F.col("source").isin(touched)) if len(touched) <= 10_000 else stored.limit(0)
+        both = upsert(mine, batch).drop("action").unionByName(rest)
+        sinks.commit(spark, path, {"records": both}, {"epoch": epoch}, {"records": ["source"]})
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
