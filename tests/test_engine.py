@@ -20,6 +20,13 @@ def test_bad_moments(value):
         temporal.moment(value, NOW)
 
 
+def test_local_days(spark):
+    assert temporal.moment("today", NOW, "America/New_York").isoformat()[:16] == "2026-09-22T04:00" and temporal.moment("yesterday", NOW, "Europe/Paris").isoformat()[:16] == "2026-09-20T22:00"
+    row = spark.sql("select date'2026-03-29' d, date'2026-09-23' e").select(*[temporal.note_time(F.col(c), z).cast("string").alias(c + z[0]) for c in "de" for z in ("Europe/Paris", "America/New_York")]).first()
+    assert (row.dE, row.eE, row.eA) == ("2026-03-28 23:00:00", "2026-09-22 22:00:00", "2026-09-23 04:00:00")
+    assert (temporal.period("2026-03", NOW).previous, temporal.period("2026-12", NOW).next, temporal.period("2026-03-01", NOW).previous, temporal.period("7d", NOW).next) == ("2026-02", "2027-01", "2026-02-28", None)
+
+
 def test_scopes():
     assert temporal.period("2026-03-29", NOW, "Europe/Paris").since.isoformat()[:16] == "2026-03-28T23:00"
     assert temporal.scope("memories/meetings/2026-08", NOW).prefix == "memories/meetings"
@@ -29,18 +36,26 @@ def test_scopes():
             temporal.scope(bad, NOW)
 
 
-@pytest.mark.parametrize("bad", ["bf://u@x/y", "bf://x:1/y", "bf://x/../y", "bf://x/a%zz", "bf://x/a?b=c", "bf://x", "bf:x", "bf://x/a b"])
-def test_bad_addresses(bad):
-    with pytest.raises(ValueError):
-        identity.parse_address(bad)
+BAD = ["brain://u@x/y", "brain://x:1/y", "brain://x/../y", "brain://x/a%zz", "brain://x/a?b=c", "brain://x", "brain:x", "brain://x/a b", "brain://x/a//b", "brain://x/a\\b", "brain://X/a", "brain://x/a%00", "brain://x/" + "a" * 9000]
+GOOD = {"brain://b/p/a%20b.md?rel=role#s": ("b", "p/a b.md", "s", "role"), "BRAIN://b/mail:a/../b": ("b", "mail:a/../b", "", ""), "brain://b/a%23b+c.md": ("b", "a#b+c.md", "", "")}
 
 
-def test_addresses():
-    assert identity.parse_address("bf://b/p/a%20b.md?rel=role#s") == ("b", "p/a b.md", "s", "role")
-    assert identity.parse_address("https://x") is None
+def test_addresses(spark):
+    rows = spark.createDataFrame([(v,) for v in [*BAD, *GOOD, "https://x"]], "v string").select("v", identity.parse_address(F.col("v")).alias("a")).collect()
+    got = {r.v: r.a for r in rows}
+    assert all(not got[v].valid for v in BAD) and got["https://x"] is None
+    assert {v: tuple(got[v])[:4] for v in GOOD} == GOOD and all(got[v].valid for v in GOOD)
+    made = spark.range(1).select(identity.address("b", F.lit("p/a b#*~.md"), F.lit("x y")).alias("a"), identity.target_of(F.lit("brain://b/a%20b.md?rel=x#s")).alias("t")).first()
+    assert made.a == "brain://b/p/a%20b%23%2A~.md#x%20y" and made.t == "brain://b/a%20b.md#s"
     assert identity.resolve("projects/a.md", "../concepts/b.md#x") == "concepts/b.md" and identity.resolve("a.md", "../b.md") is None
 
 
+@pytest.mark.parametrize(("ref", "want"), [("concepts/a.md#x", ("concepts/a.md", "x")), ("projects/C# guide.md", ("projects/C# guide.md", "")), ("projects/C# guide.md#s", ("projects/C# guide.md", "s")), ("plain", ("plain", ""))])
+def test_split_ref(spark, ref, want):
+    path, fragment = identity.split_ref(F.lit(ref))
+    assert tuple(spark.range(1).select(path, fragment).first()) == want
+
+
 @pytest.mark.parametrize(("word", "stem"), [("caresses", "caress"), ("ponies", "poni"), ("relational", "relat"), ("hopping", "hop"), ("generalizations", "gener"), ("oscillators", "oscil"), ("happy", "happi"), ("rate", "rate"), ("controll", "control")])
 def test_porter(word, stem):
     assert text.porter(word) == stem
@@ -55,6 +70,13 @@ def test_terms_and_json(spark):
     assert (row.bad, row.v, row.s, row.p, row.t, row.n) == (True, "ok", "next-actions", "A b d", "2026-09-01T00:00:00.000000Z", None)
 
 
+def test_pointers(spark):
+    doc = F.parse_json(F.lit('{"a":{"b":[1,{"c":2}]},"s":"x"}'))
+    want = {"/a/b/1/c": (False, "2"), "/a/b/7": (False, None), "/none/x": (False, None), "/s/x": (True, None), "/a/b/x": (True, None), "/a/b/01": (True, None)}
+    row = spark.range(1).select(*[F.struct(identity.bad_traversal(doc, p), identity.at_pointer(doc, p)).alias(p) for p in want]).first()
+    assert {p: tuple(row[p]) for p in want} == want
+
+
 def test_bm25_weighs_titles_and_keeps_best_passage(spark):
     rows = [("a", "0", "needle", "hay", ""), ("a", "1", "", "needle hay", ""), ("b", "0", "", "needle hay hay", ""), ("c", "0", "hay", "hay", "")] + [(f"x{i}", "0", "", "hay", "") for i in range(6)]
     passages = spark.createDataFrame(rows, "ref string, fragment string, title string, text string, names string")
@@ -106,30 +128,62 @@ def test_coverage():
     assert ingest.coverage([(5, 8, 9), (0, 2, 9)]) == (5, 8)
     assert ingest.coverage([(0, 2, 9), (5, 8, 9)]) == (5, 8)
     assert ingest.coverage([(0, 9, 4), (20, 30, 4)]) == (0, 4)
+    assert ingest.covered((5, 8), 0, 2, 9) == ((5, 8), False) and ingest.covered((5, 8), 8, 9, 9) == ((5, 9), True) and ingest.covered((5, 20), 0, 2, 9) == ((5, 9), False)
 
 
-def test_records_and_notes(spark, tmp_path):
-    from loomdex.sources import corpus
+def test_stored_search_equals_search_without_an_index(spark, tmp_path):
+    rows = [(f"concepts/{i}.md", str(j), f"head {i % 3}", " ".join(f"word{(i * j + k) % 23} cafés" for k in range(i % 9)), "names and words", 2 if i % 2 else 1, "archived" if i % 5 == 0 else "") for i in range(60) for j in range(3)]
+    passages = spark.createDataFrame(rows, "ref string, fragment string, heading string, text string, names string, weight int, status string")
+    for stemmed, query in ((False, "word3 head words cafés"), (True, "word3 heads cafe")):
+        index = search.build(passages, str(tmp_path / f"i{stemmed}"), stemmed)
+        want = {(r.ref, r.fragment): round(r.score * r.weight, 9) for r in search.bm25(passages, query, ["ref", "fragment", "weight"], stemmed).collect()}
+        got = {(r.ref, r.fragment): round(r.score, 9) for r in index.find(query).collect()}
+        assert got == want and len(got) > 50
+    assert search.open_index(spark, str(tmp_path / "iTrue")).stemmed and search.open_index(spark, str(tmp_path / "none")) is None
+    top = search.ranked(search.best_passage(index.find("cafes")), 3, status="status").select("ref", "fragment", "rank")
+    assert all("cafés" in r.excerpt for r in index.returned(top, "cafés", passages).collect())
 
-    (tmp_path / "r").mkdir()
-    (tmp_path / "r/good.jsonl").write_text('{"id":"a","title":"t"}\n\n{"id":"b","title":"u"}\n')
-    (tmp_path / "r/bad.jsonl").write_text('{"id":"c","title":"t"}\n{"id":"d","id":"e","title":"t"}\n')
-    records, problems = corpus.read_records(spark, str(tmp_path / "r"))
-    assert {r.id for r in records.collect()} == {"a", "b"} and problems.count() == 1
-    (tmp_path / "some-name.md").write_text("---\ntype: project\n---\nIntro [x](y).\n\n## One\n- [ ] todo\n- [x] done\n")
-    note = corpus.read_notes(spark, str(tmp_path))[0].first()
-    assert (note.title, note.tasks_open, note.tasks_done) == ("some name", 1, 1)
-    assert [r.heading for r in corpus.sections(corpus.read_notes(spark, str(tmp_path))[0]).orderBy("n").collect()] == ["", "One"]
+
+def test_stems_equal_brute_force(spark):
+    texts = ["Decisions, relational caresses!", "cafés naïve Hopping", None, "", "a_b x2"]
+    got = [r.s for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", text.stems("t").alias("s")).orderBy("i").collect()]
+    assert got == [["decis", "relat", "caress"], ["cafe", "naiv", "hop"], [], [], ["a", "b", "x2"]]
+
+
+def test_excerpts(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    cut = lambda t, terms: spark.createDataFrame([(t,)], "t string").select(text.excerpt(F.col("t"), terms)).first()[0]
+    assert cut(long, ["w100"]).startswith(" … w92 ") and cut(long, ["w100"]).endswith(" … ") and len(cut(long, ["w100"]).split()) <= 50
+    assert cut("short text", ["none"]) == "short text" and cut("", ["x"]) == ""
+
+
+def test_upsert_ends_on_repeated_ids(spark):
+    schema = "source string, id string, body string, updated int, observed int, ts int"
+    one, two = spark.createDataFrame([("s", "a", "x", 1, 1, 1)], schema), spark.createDataFrame([("s", "b", "x", 1, 1, 1), ("s", "b", "y", 1, 1, 1)], schema)
+    for stored, new in ((one, two), (two, one)):
+        with pytest.raises(Exception, match="more than one record"):
+            ingest.upsert(stored, new).collect()
+    kept = ingest.upsert(spark.createDataFrame([("s", "a", "x", 1, None, 1)], schema), one).first()
+    assert (kept.action, kept.observed) == ("unchanged", 1)
 
 
 def test_streaming_upsert(spark, tmp_path):
-    from loomdex.streaming.upserts import upsert_stream
+    from loomdex import sinks
+    from loomdex.streaming.upserts import newest_reliable, upsert_stream
 
     schema = "source string, id string, body string, updated int, observed int, ts int"
-    spark.createDataFrame([("s", "a", "x", 1, 1, 1)], schema).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    upsert_stream(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(120)
-    assert spark.read.parquet(str(tmp_path / "out/version=0")).count() == 1
+    rows = [("s", "a", "old", 1, 9, 1), ("s", "a", "new", 5, 9, 1), ("s", "a", "clock", 99, 9, 1), ("t", "b", "x", 1, 1, 1)]
+    assert {r.body for r in newest_reliable(spark.createDataFrame(rows, schema)).collect()} == {"new", "x"}
+    out = str(tmp_path / "out")
+
+    def run(new):
+        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "cp")).awaitTermination(120)
+        return {(r.source, r.id): r.body for r in sinks.read_table(spark, out, "records").collect()}
+
+    assert run(rows) == {("s", "a"): "new", ("t", "b"): "x"}
+    assert run([("s", "a", "stale", 2, 9, 1), ("s", "c", "z", 1, 1, 1)]) == {("s", "a"): "new", ("t", "b"): "x", ("s", "c"): "z"}
+    assert sinks.recover(spark, out) == []
 
 
 def test_entry_names_match():
