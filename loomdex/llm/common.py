@@ -81,6 +81,26 @@ def arrow_map(
     return df.mapInArrow(run, schema)
 
 
+#: Rows of a key from which it is joined by broadcast, and most keys joined so.
+OFTEN, MANY = 1000, 50_000
+
+
+def spread_left(rows: DataFrame, table: DataFrame, on: tuple[str, str], count: str, salt: str, often: int = OFTEN) -> DataFrame:
+    """`rows` left joined with `table`, which has one row a key (two longs) and in
+    `count` how many rows the key has. Keys of very many rows, MANY keys at most,
+    meet them by broadcast; the rows are then dealt by `salt`, so that none of these
+    keys fills a task of the other keys' join."""
+    total = table.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+    big = F.col(count) > max(often, total // MANY)
+    values = [c for c in table.columns if c not in on]
+    one, two = on
+    named = lambda part, tag: part.select(F.col(one).alias("key_1"), F.col(two).alias("key_2"), *[F.col(v).alias(f"{tag}_{v}") for v in values])
+    met = rows.join(F.broadcast(named(table.where(big), "hot")), (F.col(one) == F.col("key_1")) & (F.col(two) == F.col("key_2")), "left").drop("key_1", "key_2")
+    met = met.withColumn("dealt", F.when(F.col(f"hot_{count}").isNotNull(), F.xxhash64(salt, one)).otherwise(F.col(one)))
+    both = met.join(named(table.where(~big), "own"), (F.col("dealt") == F.col("key_1")) & (F.col(two) == F.col("key_2")), "left")
+    return both.select(*rows.columns, *[F.coalesce(f"hot_{v}", f"own_{v}").alias(v) for v in values])
+
+
 def texts(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, the text as UTF-8 bytes (null: empty) and `more` columns."""
     return docs.select(

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, mix64, release, shards_for, table, texts, written
+from loomdex.llm.common import OFTEN, arrow_map, mix64, release, shards_for, spread_left, table, texts, written
 
 WIDTH, PERCENT = 5, 80
 #: Columns that more first columns hold than this go last in the order.
@@ -411,16 +411,15 @@ class Linked:
 def link(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Linked:
     sig = written(signatures(docs, width, percent))
     filled = sig.where("n > 0 and doc_id is not null")
-    classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep")))
-    rows = written(filled.drop("first").join(classes.withColumnRenamed("rep", "doc_id"), ["doc_id", "c1", "c2"]).dropDuplicates(["doc_id", "c1", "c2"]))
+    classes = written(filled.groupBy("c1", "c2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    rows = written(filled.drop("first").join(classes.select("c1", "c2", F.col("rep").alias("doc_id")), ["doc_id", "c1", "c2"]).dropDuplicates(["doc_id", "c1", "c2"]))
     matrix = Rows(docs.where("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), rows, filled.select("doc_id", "n", "first"), width, percent)
     ties, labels = matrix.ties()
     links = written(ties.union(matrix.verified(written(matrix.product(labels)))).distinct())
     reached = components(links)
-    named = classes.join(reached.withColumnRenamed("v", "rep"), "rep", "left").select("c1", "c2", F.coalesce("c", "rep").alias("comp"))
-    members = sig.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2").join(
-        named, ["c1", "c2"], "left"
-    )
+    named = classes.join(reached.withColumnRenamed("v", "rep"), "rep", "left").select("c1", "c2", "copies", F.coalesce("c", "rep").alias("comp"))
+    # A word sequence that very many rows hold fills no task.
+    members = spread_left(sig.select("doc_id", F.col("n").alias("n_shingles"), "c1", "c2"), written(named), ("c1", "c2"), "copies", "doc_id", OFTEN)
     members = members.select(
         "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -41,13 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, mix64, shards_for, table, written
+from loomdex.llm.common import OFTEN, arrow_map, mix64, shards_for, spread_left, table, written
 
 WIDTH, K = 200, 64
 #: Places of one anchor beyond which its windows are parted, and the offsets of a part.
 HOT, STEP = 10_000, 16
-#: Copies of a text from which it is joined by broadcast, and most texts joined so.
-OFTEN, MANY = 1000, 50_000
 #: Window starts that are looked at together, and bits of a place among them.
 CHUNK, _PLACE = 1 << 22, 24
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -403,21 +401,6 @@ def repeats(docs: DataFrame) -> DataFrame:
     return runs.groupBy("doc_id", "a", "b").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def _with_copies(plain: DataFrame, copies: DataFrame) -> DataFrame:
-    """`plain` with the number of copies of its text, null for one. Texts of very
-    many copies (at most MANY of them) meet their rows by broadcast; their rows are
-    then dealt by doc_id, so that none of them fills a task of the other join."""
-    copies = written(copies)
-    total = copies.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
-    often = F.col("copies") > max(OFTEN, total // MANY)
-    hot = F.broadcast(copies.where(often).select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("copies").alias("hot")))
-    rest = copies.where(~often).select(F.col("a").alias("x"), F.col("b").alias("y"), "copies")
-    met = plain.join(hot, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")), "left").drop("x", "y")
-    met = met.withColumn("key", F.when(F.col("hot").isNotNull(), F.xxhash64("doc_id", "a")).otherwise(F.col("a")))
-    both = met.join(rest, (F.col("key") == F.col("x")) & (F.col("b") == F.col("y")), "left")
-    return both.withColumn("copies", F.coalesce("hot", "copies")).drop("x", "y", "key", "hot")
-
-
 def dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept (binary) of every row."""
     texts = _identified(docs)
@@ -452,7 +435,8 @@ def dedup(docs: DataFrame) -> DataFrame:
 
     done = arrow_map(cut.select("doc_id", "a", "b", "body", "runs"), strip, "i bigint, x bigint, y bigint, removed bigint, spans bigint, kept string")
     done = done.dropDuplicates(["i", "x", "y"])
-    out = _with_copies(plain, copies).join(done, plain.doc_id.eqNullSafe(done.i) & (plain.a == done.x) & (plain.b == done.y), "left")
+    # Texts of very many copies fill no task.
+    out = spread_left(plain, written(copies), ("a", "b"), "copies", "doc_id", OFTEN).join(done, plain.doc_id.eqNullSafe(done.i) & (plain.a == done.x) & (plain.b == done.y), "left")
     whole = F.col("copies").isNotNull()
     return out.select(
         "doc_id", "n_bytes",

@@ -303,7 +303,8 @@ def brute_sets(text):
     return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
 
 
-def test_jaccard(spark, docs, empty):
+def test_jaccard(spark, empty, monkeypatch):
+    monkeypatch.setattr(jaccard, "OFTEN", 3)
     rng = random.Random(7)
     base = [f"w{rng.randrange(400)}" for _ in range(80)]
     rows = [(r[0], r[1]) for r in ROWS if r[0] is not None]
@@ -325,9 +326,16 @@ def test_jaccard(spark, docs, empty):
             if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
                 a, b = sorted((root(i), root(j)))
                 up[b] = a
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.link(spark.createDataFrame(rows, "doc_id bigint, text string")).members.collect()}
+    rows += [(500 + k, LONG) for k in range(5)] + [(None, LONG), (None, None)]
+    for i, t in rows:
+        if i is not None and i >= 500:
+            sets[i], up[i] = brute_sets(t), root(2)
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string").withColumns({"n": F.lit("x"), "c1": F.lit(1), "label": F.lit(2), "copies": F.lit(0)})
+    found = jaccard.link(odd).members.collect()
+    assert sorted((r.n_shingles, r.component_id) for r in found if r.doc_id is None) == [(0, None), (len(brute_sets(LONG)), None)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in found if r.doc_id is not None}
     assert got == {i: (len(s), root(i)) for i, s in sets.items()}
-    assert jaccard.link(docs).members.count() == len(ROWS) and jaccard.link(empty).members.count() == 0
+    assert jaccard.link(empty).members.count() == 0
 
 
 def brute_classes(rows):
