@@ -7,9 +7,7 @@ expression; decoded paths are then judged step by step. All of it runs on column
 
 from __future__ import annotations
 
-import posixpath
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -92,14 +90,6 @@ def split_ref(ref: Column) -> tuple[Column, Column]:
     return F.when(whole, ref).otherwise(head), F.when(whole, F.lit("")).otherwise(tail)
 
 
-def resolve(origin: str, link: str) -> str | None:
-    """Path of a relative link inside a brain; None when it leaves it."""
-    path = unquote(link.partition("#")[0])
-    base = "concepts" if path.startswith("/") and origin.startswith("concepts/") else posixpath.dirname(origin)
-    out = posixpath.normpath(posixpath.join(base, path.lstrip("/") if path.startswith("/") else path)) if path else origin
-    return None if out.startswith("..") else out
-
-
 def strict_json(text: Column) -> Column:
     """Null for duplicate keys, NaN and truncated JSON."""
     return F.try_parse_json(text)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomdex.functions.identity import SCHEME, address, parse_address, split_ref
 from loomdex.functions.markdown import section
 from loomdex.functions.temporal import IDENTITY, Scope, in_scope, scope
-from loomdex.functions.text import excerpt, query_terms
+from loomdex.functions.text import excerpt, query_stems
 from loomdex.operators import graph, pages, search
 from loomdex.sources.brain import Brain, dated
 
@@ -62,7 +62,7 @@ class Reply:
 def in_brain(brain: Brain, query: Query, names: list[str], targets: list[str], tz: str = "UTC") -> tuple[DataFrame, bool]:
     """(ref, fragment, title, status, ts, score, rank of one brain; whether the
     text is an identity the brain knows). An identity that it doesn't know is
-    searched as words."""
+    searched as words, by their stems, in the stored index where there is one."""
     items = dated(brain.items, tz)
     inside = _scoped(items, brain, query.scope, targets)
     if is_identity(query.text):
@@ -72,7 +72,10 @@ def in_brain(brain: Brain, query: Query, names: list[str], targets: list[str], t
             order = [F.desc("score"), F.desc("ts"), F.asc("ref")]
             top = found.orderBy(*order).limit(query.limit)
             return top.select("ref", F.lit("").alias("fragment"), "title", "status", "ts", "score", F.row_number().over(Window.orderBy(*order)).alias("rank")), True
-    scored = search.bm25(brain.passages, query.text, ["ref", "fragment", "weight", "status"]).withColumn("score", F.col("score") * F.col("weight")).drop("weight", "status")
+    if brain.index is not None:
+        scored = brain.index.find(query.text).select("ref", "fragment", "score")
+    else:
+        scored = search.bm25(brain.passages, query.text, ["ref", "fragment", "weight"], stemmed=True).select("ref", "fragment", (F.col("score") * F.col("weight")).alias("score"))
     best = search.best_passage(scored.join(inside.select("ref"), "ref", "left_semi"))
     top = search.ranked(best.join(items.select("ref", "title", "status", "ts"), "ref"), query.limit, status="status")
     return top.select("ref", "fragment", "title", "status", "ts", "score", "rank"), False
@@ -107,8 +110,8 @@ def federated(brains: dict[str, Brain], query: Query, trust: dict[str, str] | No
         rows, hit = in_brain(brain, query, names, local, tz)
         exact |= hit
         held = rows.join(brain.passages.select("ref", "fragment", "text"), ["ref", "fragment"], "left")
-        terms = query_terms(query.text)
-        rows = pages.labelled(held.withColumn("excerpt", excerpt(F.col("text"), terms)).drop("text"), name, "fragment").withColumns({"place": F.lit(place), "exact": F.lit(hit)})
+        terms = query_stems(query.text)
+        rows = pages.labelled(held.withColumn("excerpt", excerpt(F.col("text"), terms, stemmed=True)).drop("text"), name, "fragment").withColumns({"place": F.lit(place), "exact": F.lit(hit)})
         rows = rows.join(brain.items.select("ref", "kind", "source"), "ref", "left")
         found = rows if found is None else found.unionByName(rows)
         if brain.problems is not None:

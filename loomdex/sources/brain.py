@@ -18,6 +18,7 @@ from loomdex.functions.identity import AUTHORED, MAX_VALUE, address, clean, is_a
 from loomdex.functions.markdown import MAX_NOTE, parse_notes
 from loomdex.functions.temporal import canonical, modified, note_time
 from loomdex.functions.text import lead
+from loomdex.operators import search
 from loomdex.sources.config import Config, signature
 
 MAX_FILES, MAX_LEVELS, MAX_PARTITION = 100_000, 64, 256 << 20
@@ -41,6 +42,7 @@ class Brain:
     links: DataFrame  # item, target, time
     edges: DataFrame  # item, subject, relation, target, origin, time
     problems: DataFrame | None = None  # file, problem
+    index: search.Index | None = None  # stems of the passages
 
 
 # --- files ---
@@ -352,7 +354,8 @@ def open_brain(spark: SparkSession, root: str, config: Config, tz: str = "UTC",
             problems = problems.unionByName(bad.select(_inside(F.col("file"), root).alias("file"), "problem"))
         sinks.commit(spark, store, {t: getattr(brain, t) for t in TABLES[:-1]} | {"problems": problems}, told)
         sinks.remove(spark, step)
-    return Brain(config.name, *[sinks.read_table(spark, store, t) for t in TABLES])
+        search.build(sinks.read_table(spark, store, "passages"), f"{store}-index", stemmed=True, note=told)
+    return Brain(config.name, *[sinks.read_table(spark, store, t) for t in TABLES], search.open_index(spark, f"{store}-index"))
 
 
 def manifest_digest(manifest: DataFrame) -> str:

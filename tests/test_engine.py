@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loomdex.functions import identity, temporal, text
 from loomdex.operators import graph, ingest, search
+from loomdex.sources.brain import resolved_path
 
 NOW = datetime(2026, 9, 22, 15, 30, tzinfo=timezone.utc)
 
@@ -31,7 +32,7 @@ def test_scopes():
     assert temporal.period("2026-03-29", NOW, "Europe/Paris").since.isoformat()[:16] == "2026-03-28T23:00"
     assert temporal.scope("memories/meetings/2026-08", NOW).prefix == "memories/meetings"
     assert temporal.scope("repo:example/project", NOW).target == "repo:example/project"
-    for bad in ("bf.yaml", "sensors", "../x", "soon"):
+    for bad in ("brain.yaml", "sensors", "../x", "soon"):
         with pytest.raises(ValueError):
             temporal.scope(bad, NOW)
 
@@ -47,7 +48,9 @@ def test_addresses(spark):
     assert {v: tuple(got[v])[:4] for v in GOOD} == GOOD and all(got[v].valid for v in GOOD)
     made = spark.range(1).select(identity.address("b", F.lit("p/a b#*~.md"), F.lit("x y")).alias("a"), identity.target_of(F.lit("brain://b/a%20b.md?rel=x#s")).alias("t")).first()
     assert made.a == "brain://b/p/a%20b%23%2A~.md#x%20y" and made.t == "brain://b/a%20b.md#s"
-    assert identity.resolve("projects/a.md", "../concepts/b.md#x") == "concepts/b.md" and identity.resolve("a.md", "../b.md") is None
+    cases = {("projects/a.md", "../concepts/b%20c.md#x%20y"): ("concepts/b c.md", "x y"), ("projects/a.md", "../../out.md"): ("../out.md", ""), ("concepts/d/a.md", "/x.md"): ("concepts/x.md", ""), ("projects/a.md", "#s"): ("projects/a.md", "s"), ("projects/a.md", "data%231.csv"): ("projects/data#1.csv", "")}
+    for (path, link), want in cases.items():
+        assert tuple(spark.range(1).select(*resolved_path(F.lit(path), F.lit(link))).first()) == want
 
 
 @pytest.mark.parametrize(("ref", "want"), [("concepts/a.md#x", ("concepts/a.md", "x")), ("projects/C# guide.md", ("projects/C# guide.md", "")), ("projects/C# guide.md#s", ("projects/C# guide.md", "s")), ("plain", ("plain", ""))])
