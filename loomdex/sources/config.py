@@ -51,8 +51,9 @@ def yaml_object(text: str | bytes) -> dict:
     return found
 
 
-@functools.cache
 def _strict():
+    """The loader's class, made where it is used: a cached function would not travel
+    with a task."""
     import yaml
 
     class Strict(yaml.SafeLoader):
