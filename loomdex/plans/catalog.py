@@ -52,11 +52,9 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> search.Index:
     every query, and written anew when the tables' files are others."""
     name = "".join(c if c.isalnum() else "-" for c in sf_dir)
     root = sinks.shared_folder(spark, f"index-{kind}-{name}")
-    listed = None
-    for t in ("documents", "labels"):
-        files = brains.files(spark, f"{sf_dir}/{t}.parquet").select("path", F.concat_ws("-", F.col("size").cast("string"), F.unix_micros("modified").cast("string")).alias("digest"))
-        listed = files if listed is None else listed.unionByName(files)
-    if ingest.gate(spark, root, listed, kind) != "ready":
+    told = {"signature": kind, "manifest": " ".join(sinks.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))}
+    held = sinks.current(spark, root)
+    if held is None or held["note"] != {"stemmed": kind == "stemmed", **told}:
         items = corpus.document_items(spark, sf_dir)
         if kind == "lines":
             passages = corpus.document_passages(items).drop("status").withColumn("fragment", F.format_string("%010d", "fragment"))
@@ -64,7 +62,7 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> search.Index:
             passages = corpus.brain(spark, sf_dir).passages
         else:
             passages = items.drop("source").withColumn("fragment", F.lit(""))
-        search.build(passages, root, stemmed=kind == "stemmed", note={"signature": kind, "manifest": ingest.manifest_digest(listed)})
+        search.build(passages, root, stemmed=kind == "stemmed", note=told)
     return search.open_index(spark, root)
 
 

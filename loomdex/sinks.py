@@ -69,9 +69,22 @@ def replace_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
-    if not exists(spark, path):
+    """A small file, read by the driver without a job; None where there is none."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
         return None
-    return "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
+    stream = fs.open(at)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def fingerprint(spark: SparkSession, path: str) -> str:
+    """Of a table's files, without a job: their number, bytes and last change."""
+    fs, at = _fs(spark, path)
+    held = fs.getContentSummary(at)
+    return f"{held.getFileCount()}-{held.getLength()}-{fs.getFileStatus(at).getModificationTime()}"
 
 
 # --- versions of several tables ---
