@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomdex.llm import bpe, jaccard, lines, minhash, mixing, nearest, quality, sharding, suffixes, warc
+from loomdex.llm import bpe, contexts, divergence, filters, jaccard, lines, minhash, mixing, nearest, quality, sharding, suffixes, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_jaccard": jaccard.op8_jaccard,
         "op9_mixing": mixing.op9_mixing,
         "op10_suffixes": suffixes.op10_suffixes,
+        "op11_filters": filters.op11_filters,
+        "op12_contexts": contexts.op12_contexts,
+        "op13_divergence": divergence.op13_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**lines.ORACLE, **warc.ORACLE}
+    return {**lines.ORACLE, **warc.ORACLE, **filters.ORACLE, **divergence.ORACLE}
