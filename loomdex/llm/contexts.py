@@ -14,10 +14,10 @@ was seen takes what is left of the weight. The probability of a text is the prod
 over its bytes, so texts' probabilities sum to one.
 
 How it runs. The probability of a byte depends on its gram alone: the byte and DEPTH
-before it. A scan packs texts into blocks of about BLOCK positions and stores each
+before it. A scan packs texts into blocks of about BLOCK bytes and stores each
 block's texts, its distinct grams with their training counts, dealt into cells by
-the three last bytes of the context, and its distinct words. Cells form shards of
-about SHARD grams; a shard holds whole subtrees from depth LOW on, and gives up the
+the three last bytes of the context, and its distinct words, dealt by a hash. Cells
+of grams form shards of about SHARD grams; a shard holds whole subtrees from depth LOW on, and gives up the
 sums for the nodes above, which have at most 2^24 keys and are summed by Spark, the
 two upper levels (65,280 nodes at most) on the driver. With these, each shard scores the
 distinct grams of all blocks, and each block adds up its texts. So the grams move
@@ -35,6 +35,7 @@ from __future__ import annotations
 
 import math
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -49,8 +50,9 @@ from pyspark.sql import functions as F
 from loomdex.llm.common import mix64, release, table, written
 
 DEPTH, LOW = 6, 3
-#: Positions of a block, and of a text that are looked at together.
-BLOCK, PIECE = 4_000_000, 1_000_000
+#: Bytes of a block; positions whose grams are counted together, and of a text that
+#: are looked at together.
+BLOCK, SETTLED, PIECE = 24_000_000, 4_000_000, 1_000_000
 #: Grams of a shard, blocks' repetitions counted, and most cells.
 SHARD, CELLS = 1_500_000, 1 << 12
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -83,11 +85,11 @@ def pieces(text: bytes) -> Iterator[np.ndarray]:
 def packed(sorted_keys: np.ndarray) -> bytes:
     """Differences of sorted keys by byte planes, compressed."""
     planes = np.diff(sorted_keys, prepend=U(0)).view(np.uint8).reshape(-1, 8).T
-    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+    return squeezed(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
+    planes = np.frombuffer(opened(data), np.uint8).reshape(8, -1)
     return np.cumsum(np.ascontiguousarray(planes.T).view(U).ravel(), dtype=U)
 
 
@@ -252,16 +254,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(data)
+
+
+def opened(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 class _Block:
-    """Grams and words of the texts that a task has read since its last block."""
+    """Texts, grams and words that a task has read since its last block."""
 
     def __init__(self, cells: int):
         self.cells, self.id, self.positions = cells, uuid.uuid4().int >> 65, 0
+        self.texts: list[bytes] = []
+        self.rows_: list[tuple[int, int, int]] = []  # doc_id, flags (1: no id, 2: held out), bytes
         self.words: Counter = Counter()
         self.waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
         self.runs: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
 
-    def add(self, words: list[bytes], text: bytes, held: bool) -> None:
+    def add(self, doc_id: int | None, words: list[bytes], held: bool) -> None:
+        text = b" ".join(words) + END
+        self.texts.append(text)
+        self.rows_.append((doc_id or 0, (doc_id is None) | held << 1, len(text)))
         if held:
             self.words.update(dict.fromkeys(words, 0))
         else:
@@ -270,7 +285,7 @@ class _Block:
         for part in pieces(text):
             self.waiting[held].append(part)
             self.positions += len(part)
-            if sum(map(len, self.waiting[held])) >= BLOCK:
+            if sum(map(len, self.waiting[held])) >= SETTLED:
                 self.settle(held)
 
     def settle(self, held: bool) -> None:
@@ -280,34 +295,36 @@ class _Block:
             self.runs[1].append(np.zeros(len(keys)) if held else n.astype(float))
             self.waiting[held] = []
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
+    def stored(self) -> pa.RecordBatch:
         self.settle(True)
         self.settle(False)
+        out = [("text", 0, squeezed(b"".join(self.texts)), squeezed(np.array(self.rows_, np.int64).tobytes()), self.positions)]
         keys, counts = merged(*self.runs)
         cell = (mix64((keys >> U(8 * (DEPTH - 1)) << U(4)) | ((keys >> U(8 * (DEPTH - 2))) & U(15))) % U(self.cells)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        parts = np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []
-        yield _batch(
-            block=[self.id] * len(parts), cell=[int(cell[p[0]]) for p in parts], keys=[packed(keys[p]) for p in parts],
-            counts=[zstandard.ZstdCompressor(1).compress(counts[p].astype(np.uint32).tobytes()) for p in parts], size=[len(p) for p in parts],
-        )
-        yield _batch(block=[self.id] * len(self.words), word=list(self.words.keys()), n=list(self.words.values()))
-
-
-STORED = pa.schema([
-    ("block", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("text", pa.binary()), ("cell", pa.int32()),
-    ("keys", pa.binary()), ("counts", pa.binary()), ("size", pa.int64()), ("word", pa.binary()), ("n", pa.int64()),
-])
-STORED_SQL = "block bigint, doc_id bigint, held_out boolean, text binary, cell int, keys binary, counts binary, size bigint, word binary, n bigint"
-
-
-def _batch(**columns: list) -> pa.RecordBatch:
-    n = len(columns["block"])
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in STORED], schema=STORED)
+        for c, places in _parted(cell):
+            out.append(("gram", c, packed(keys[places]), squeezed(counts[places].astype(np.uint32).tobytes()), len(places)))
+        words = sorted(w for w in self.words if w != END)
+        cell = np.array([zlib.crc32(w) % self.cells for w in words], np.int64)
+        for c, places in _parted(cell):
+            own = [words[i] for i in places]
+            out.append(("word", c, squeezed(b" ".join(own)), squeezed(np.array([self.words[w] for w in own], np.int64).tobytes()), len(own)))
+        if self.words[END]:
+            out.append(("word", self.cells, squeezed(END), squeezed(np.array([self.words[END]], np.int64).tobytes()), 1))
+        kind, cell, data, extra, size = zip(*out, strict=True)
+        columns = [pa.array([self.id] * len(out), pa.int64()), pa.array(kind), pa.array(cell, pa.int32()), pa.array(data, pa.binary()), pa.array(extra, pa.binary()), pa.array(size, pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "kind", "cell", "data", "extra", "size"])
+
+
+def _parted(cell: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Places of each cell, in order."""
+    order = np.argsort(cell, kind="stable")
+    for places in np.split(order, np.flatnonzero(np.diff(cell[order])) + 1) if len(order) else []:
+        yield int(cell[places[0]]), places
 
 
 def stored(docs: DataFrame) -> DataFrame:
-    """Texts, grams and words of blocks, in one table: a row has one of the three."""
+    """Blocks: block, kind (text, gram, word), cell, data, extra, size. Texts lie
+    together with their ids and lengths, grams and words of a cell with their counts."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     cells = min(CELLS, 1 << max(4, int(total / (4 * SHARD)).bit_length()))
@@ -317,36 +334,31 @@ def stored(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200).to_pydict()
-                here: dict[str, list] = {"block": [], "doc_id": [], "held_out": [], "text": []}
                 for doc_id, held, body in zip(part["doc_id"], part["held_out"], part["body"], strict=True):
-                    words = tokens(body)
-                    text = b" ".join(words) + END
-                    if block.positions and block.positions + len(text) > BLOCK:
-                        yield from block.rows()
+                    if block.positions and block.positions + len(body) > BLOCK:
+                        yield block.stored()
                         block = _Block(cells)
-                    block.add(words, text, held)
-                    for name, value in (("block", block.id), ("doc_id", doc_id), ("held_out", held), ("text", text)):
-                        here[name].append(value)
-                yield _batch(**here)
+                    block.add(doc_id, tokens(body), held)
         if block.positions:
-            yield from block.rows()
+            yield block.stored()
 
-    return written(rows.mapInArrow(run, STORED_SQL))
+    return written(rows.mapInArrow(run, "block bigint, kind string, cell int, data binary, extra binary, size bigint"))
 
 
 def _together(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """The grams of each row; the distinct ones of all rows and their counts."""
-    each = [unpacked(x) for x in rows["keys"]]
-    counts = [np.frombuffer(zstandard.ZstdDecompressor().decompress(x), np.uint32).astype(float) for x in rows["counts"]]
+    each = [unpacked(x) for x in rows.data]
+    counts = [np.frombuffer(opened(x), np.uint32).astype(float) for x in rows.extra]
     return each, *merged(each, counts)
 
 
 def gram_scores(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """block, keys, logs: the log10 probability of each distinct gram of each block;
-    and the stored tables that this reads."""
+    """block, kind, data, extra: the distinct grams of each block and the log10
+    probabilities of their bytes; and the stored tables that this reads. Logs travel
+    as 32-bit floats."""
     spark = cells.sparkSession
     shards = max(1, math.ceil((cells.agg(F.sum("size")).first()[0] or 0) / SHARD))
-    dealt = cells.select((F.col("cell") % shards).alias("shard"), "block", "keys", "counts")
+    dealt = cells.select((F.col("cell") % shards).alias("shard"), "block", "data", "extra")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         _, keys, counts = _together(rows)
@@ -378,46 +390,77 @@ def gram_scores(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     def answer(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         each, keys, counts = _together(rows)
         logs = Subtrees(keys, counts).log10(keys, Top(*top.value), known.sort_values("node"))
-        return pd.DataFrame({"block": rows.block, "keys": rows["keys"], "logs": [logs[np.searchsorted(keys, x)].tobytes() for x in each]})
+        return pd.DataFrame({"block": rows.block, "kind": "gram", "data": rows.data, "extra": [logs[np.searchsorted(keys, x)].astype(np.float32).tobytes() for x in each]})
+
+    return dealt.groupBy("shard").cogroup(paths.groupBy("shard")).applyInPandas(answer, GIVEN), [asked, two]
+
+
+def word_counts(cells: DataFrame) -> DataFrame:
+    """block, kind, data, extra: the words of each block with how often each occurs in
+    all training texts; and in rows without a block, how many different ones a cell has."""
 
-    return dealt.groupBy("shard").cogroup(paths.groupBy("shard")).applyInPandas(answer, "block bigint, keys binary, logs binary"), [asked, two]
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        each = [opened(x).split() or [END] for x in rows.data]
+        counts: Counter = Counter()
+        for words, extra in zip(each, rows.extra, strict=True):
+            for w, n in zip(words, np.frombuffer(opened(extra), np.int64).tolist(), strict=True):
+                counts[w] += n
+        told = pd.DataFrame({"block": rows.block.astype("Int64"), "kind": "word", "data": rows.data, "extra": [squeezed(np.array([counts[w] for w in words], np.int64).tobytes()) for words in each]})
+        known = np.array([sum(n > 0 for n in counts.values())], np.int64)
+        return pd.concat([told, pd.DataFrame({"block": pd.array([None], "Int64"), "kind": ["known"], "data": [b""], "extra": [known.tobytes()]})])
+
+    return written(cells.groupBy("cell").applyInPandas(run, GIVEN))
 
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
     bits_per_byte (code length) of every row."""
     held = stored(docs)
-    words = held.where("word is not null").select("block", "word", "n")
-    counts = written(words.groupBy("word").agg(F.sum("n").alias("c")))
-    total, different = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    part = lambda kind, *columns: held.where(F.col("kind") == kind).select("block", *columns)
+    words = word_counts(part("word", "cell", "data", "extra"))
+    different = sum(int(np.frombuffer(r.extra, np.int64)[0]) for r in words.where("kind = 'known'").select("extra").collect())  # a row a cell
+    sums = held.where("kind = 'word'").select("extra").mapInArrow(_summed, "n bigint")
+    total = sums.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     share = total + 0.1 * (different + 1)
-    met = words.select("block", "word").join(counts, "word")
-    scored, used = gram_scores(held.where("keys is not null").select("block", "cell", "keys", "counts", "size"))
-    given = scored.unionByName(met, allowMissingColumns=True)
+    scored, used = gram_scores(part("gram", "cell", "data", "extra", "size"))
+    given = scored.unionByName(words.where("kind = 'word'"))
 
     def run(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        has = given[given["keys"].notna()]
-        keys = np.concatenate([unpacked(x) for x in has["keys"]])
-        logs = np.concatenate([np.frombuffer(x, float) for x in has["logs"]])
+        grams_, words_ = given[given.kind == "gram"], given[given.kind == "word"]
+        keys = np.concatenate([unpacked(x) for x in grams_.data])
+        logs = np.concatenate([np.frombuffer(x, np.float32) for x in grams_.extra])
         order = np.argsort(keys)
         keys, logs = keys[order], logs[order]
-        some = given[given.word.notna()]
-        count = dict(zip(map(bytes, some.word), map(int, some.c), strict=True))
+        count: dict[bytes, int] = {}
+        for data, extra in zip(words_.data, words_.extra, strict=True):
+            count.update(zip(opened(data).split() or [END], np.frombuffer(opened(extra), np.int64).tolist(), strict=True))
         out = []
-        for doc_id, held_, text in zip(texts.doc_id, texts.held_out, map(bytes, texts.text), strict=True):
-            own = Counter(text.split())
-            own[END] = 1
-            base = math.fsum(n * math.log10((count.get(w, 0) + 0.1) / share) for w, n in own.items())
-            model = math.fsum(float(logs[np.searchsorted(keys, part)].sum()) for part in pieces(text))
-            out.append((doc_id, held_, sum(own.values()), sum(n for w, n in own.items() if count.get(w, 0) > 0), total, base, model, len(text), -model * math.log2(10) / len(text)))
-        return pd.DataFrame(out, columns=[x.split()[0] for x in SCORED.split(", ")])
-
-    texts = held.where("text is not null").select("block", "doc_id", "held_out", "text")
+        for data, extra in zip(texts.data, texts.extra, strict=True):
+            whole, at = memoryview(opened(data)), 0
+            for doc_id, flags, n in np.frombuffer(opened(extra), np.int64).reshape(-1, 3).tolist():
+                text = bytes(whole[at : at + n])
+                at += n
+                own = Counter(text.split())
+                own[END] = 1
+                base = math.fsum(n * math.log10((count.get(w, 0) + 0.1) / share) for w, n in own.items())
+                model = math.fsum(logs[np.searchsorted(keys, part)].sum(dtype=float) for part in pieces(text))
+                known = sum(n for w, n in own.items() if count.get(w, 0) > 0)
+                out.append((None if flags & 1 else doc_id, bool(flags & 2), sum(own.values()), known, total, base, model, len(text), -model * math.log2(10) / len(text)))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in SCORED.split(", ")]).astype({"doc_id": "Int64"})
+
+    texts = part("text", "data", "extra")
     out = written(texts.groupBy("block").cogroup(given.groupBy("block")).applyInPandas(run, SCORED))
-    release(held, counts, *used)
+    release(held, words, *used)
     return out
 
 
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n = sum(int(np.frombuffer(opened(x), np.int64).sum()) for x in batch.column("extra").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+
+GIVEN = "block bigint, kind string, data binary, extra binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
 

@@ -147,19 +147,20 @@ def test_held_out_ids_of_the_fixture():
 @pytest.mark.parametrize("block, shard, piece", [(contexts.BLOCK, contexts.SHARD, contexts.PIECE), (700, 300, 64)])
 def test_context_trees(docs, monkeypatch, block, shard, piece):
     monkeypatch.setattr(contexts, "BLOCK", block)
+    monkeypatch.setattr(contexts, "SETTLED", block // 4)
     monkeypatch.setattr(contexts, "SHARD", shard)
     monkeypatch.setattr(contexts, "PIECE", piece)
     found = sorted((tuple(r)[:7] for r in contexts.score(docs).collect()), key=str)
     want = brute_model(ROWS)
     assert [r[:5] for r in found] == [r[:5] for r in want]
-    assert np.allclose([r[5:] for r in found], [r[5:] for r in want], rtol=1e-9)
+    assert np.allclose([r[5:] for r in found], [r[5:] for r in want], rtol=1e-7)  # logs travel as 32-bit floats
 
 
 def test_context_trees_without_teaching(spark):
     i = next(i for i in range(1000) if zlib.crc32(str(i).encode()) % 10 == 0)
     rows = spark.createDataFrame([(i, "ab", "en", "s")], SCHEMA)
     r = contexts.score(rows).first()
-    assert r.held_out and r.train_tokens == 0 and r.base_score == 0 and math.isclose(r.score, 24 * math.log10(0.5)) and math.isclose(r.bits_per_byte, 8)
+    assert r.held_out and r.train_tokens == 0 and r.base_score == 0 and math.isclose(r.score, 24 * math.log10(0.5), rel_tol=1e-7) and math.isclose(r.bits_per_byte, 8, rel_tol=1e-7)
     assert contexts.score(rows.limit(0)).count() == 0
 
 
