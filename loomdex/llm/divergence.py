@@ -18,7 +18,8 @@ all kept terms, most of which one of the two lacks, is
     sum over a's counts of f(p, b's p of none) * terms + the same for b
     + (V - terms of a - terms of b) * f(none, none)
     + over the postings that both have: f(p, q) - f(p, none) - f(none, q) + f(none, none)
-so a term costs as many pairs as sources that have it, summed before the shuffle.
+so a term costs the pairs of the sources that have it, summed before the shuffle.
+Terms are counted in each task before they are dealt by language and term.
 
 Defined cases: null text, lang and source are empty strings, and groups of their
 own; every row is a document, repeated rows included; a text without terms adds its
@@ -29,13 +30,21 @@ rows; further columns are ignored.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex.llm.common import release, table, written
 
-NOT_A_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Bytes below 128 that are no letters part terms; A-Z become a-z, all others stay.
+TERM_BYTES = bytes(b if b > 127 or chr(b).isalpha() else 32 for b in range(256)).lower()
+#: Different terms that a task counts before it hands them on.
+HELD_TERMS = 400_000
+#: Sources that are broadcast.
+FEW_SOURCES = 100_000
 LEAST_DOCS, TOP = 3, 200
 SCALE = 1_000_000_000
 #: A round evaluates so many times as many terms of a source as the one before.
@@ -43,8 +52,10 @@ WIDER = 8
 
 
 def _p(count: str, total: str, kept: str = "v") -> Column:
-    """1 + floor(SCALE * (count + 1) / (total + kept)); decimals hold what a long can't."""
-    return F.expr(f"1 + cast(cast({SCALE} as decimal(19,0)) * cast({count} + 1 as decimal(19,0)) div cast({total} + {kept} as decimal(20,0)) as bigint)")
+    """1 + floor(SCALE * (count + 1) / (total + kept)); decimals where a long can't hold it."""
+    small = f"{SCALE}L * ({count} + 1) div ({total} + {kept})"
+    large = f"cast(cast({SCALE} as decimal(19,0)) * cast({count} + 1 as decimal(19,0)) div cast({total} + {kept} as decimal(20,0)) as bigint)"
+    return F.expr(f"1 + case when {count} < 9000000000 then {small} else {large} end")
 
 
 def _f(p: str, q: str) -> Column:
@@ -52,50 +63,79 @@ def _f(p: str, q: str) -> Column:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """lang, source, term, n (occurrences), docs (documents that hold it)."""
-    text = F.translate(F.coalesce("text", F.lit("")), UPPER, LOWER)
-    # Sorted in the row, a term's first occurrence is the one unlike the last.
-    ordered = F.sort_array(F.array_remove(F.split(text, NOT_A_TERM), ""))
-    told = F.flatten(F.transform(F.array(ordered), lambda s: F.transform(s, lambda x, i: F.struct(x.alias("term"), (~x.eqNullSafe(F.get(s, i - 1))).cast("bigint").alias("first")))))
-    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.explode(told).alias("x"))
-    return rows.groupBy("lang", "source", F.col("x.term").alias("term")).agg(F.count(F.lit(1)).alias("n"), F.sum("x.first").alias("docs"))
+    """lang, source, term, n (occurrences), docs (documents that hold it), summed
+    over what a task has read; a term may have several rows."""
+    rows = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+
+    def told(held: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs_) in held.items():
+            terms = pa.array(list(n), pa.binary()).cast(pa.string())
+            columns = [pa.array([lang] * len(n), pa.string()), pa.array([source] * len(n), pa.string()), terms, pa.array(n.values(), pa.int64()), pa.array([docs_[t] for t in n], pa.int64())]
+            if len(n):
+                yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        for batch in batches:
+            for at, (lang, source, body) in enumerate(zip(*[batch.column(c) for c in ("lang", "source", "body")], strict=True)):
+                if at % 256 == 0 and sum(len(n) for n, _ in held.values()) > HELD_TERMS:
+                    yield from told(held)
+                    held = {}
+                terms = body.as_py().translate(TERM_BYTES).split(b" ")
+                n, docs_ = held.setdefault((lang.as_py(), source.as_py()), (Counter(), Counter()))
+                own = Counter(terms)
+                own.pop(b"", None)
+                n.update(own)
+                docs_.update(own.keys())
+        yield from told(held)
+
+    return rows.mapInArrow(run, "lang string, source string, term string, n bigint, docs bigint")
 
 
 def postings(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """lang, source, term, n, lang_n of the terms that a language keeps."""
-    counts = term_counts(docs)
-    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    return counts.drop("docs").join(kept.drop("docs"), ["lang", "term"])
+    """lang, term, lang_n, held (source, n): a row for each term that a language
+    keeps. All sums are made where one shuffle by language and term has put them."""
+    counts = term_counts(docs).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    terms = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("held"))
+    return terms.where(F.col("docs") >= least_docs).drop("docs")
 
 
 def groups(docs: DataFrame, held: DataFrame) -> DataFrame:
     """A row for each (lang, source): total and terms of the source; lang_total and v
-    (kept terms) of the language."""
+    (kept terms) of the language; none, the likelihood of a term without occurrences."""
     here = docs.select(F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source")).distinct()
-    own = held.groupBy("lang", "source").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("terms"))
-    lang = held.groupBy("lang", "term").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sum("n").alias("lang_total"), F.count(F.lit(1)).alias("v"))
-    return here.join(own, ["lang", "source"], "left").join(lang, "lang", "left").na.fill(0, ["total", "terms", "lang_total", "v"])
+    own = held.select("lang", F.explode("held").alias("x")).groupBy("lang", F.col("x.source").alias("source")).agg(F.sum("x.n").alias("total"), F.count(F.lit(1)).alias("terms"))
+    lang = held.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("v"))
+    out = here.join(own, ["lang", "source"], "left").join(F.broadcast(lang), "lang", "left").na.fill(0, ["total", "terms", "lang_total", "v"])
+    return out.withColumn("none", F.when(F.col("v") > 0, _p("0L", "total")).otherwise(0))
+
+
+def likelihoods(held: DataFrame, sources: DataFrame) -> DataFrame:
+    """lang, source, term, n, p (of the source), q (of the language), none."""
+    flat = held.select("lang", "term", "lang_n", F.explode("held").alias("x")).select("lang", "term", "lang_n", "x.source", "x.n")
+    known = sources.select("lang", "source", "total", "lang_total", "v", "none")
+    few = known.limit(FEW_SOURCES + 1).count() <= FEW_SOURCES
+    met = flat.join(F.broadcast(known) if few else known, ["lang", "source"])
+    return met.select("lang", "source", "term", "n", _p("n", "total").alias("p"), _p("lang_n", "lang_total").alias("q"), "none")
 
 
-def pairs(held: DataFrame, sources: DataFrame) -> DataFrame:
+def pairs(valued: DataFrame, sources: DataFrame) -> DataFrame:
     """lang, source, item (another source), value: the sum of f over all kept terms."""
-    known = sources.withColumn("none", F.when(F.col("v") > 0, _p("0L", "total")).otherwise(0))
-    valued = held.join(known, ["lang", "source"]).select("lang", "source", "term", _p("n", "total").alias("p"), "none")
-    other = valued.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("q"), F.col("none").alias("absent"))
-    both = valued.join(other, ["lang", "term"]).where("source <> item").groupBy("lang", "source", "item").agg(
-        F.sum(_f("p", "q") - _f("p", "absent") - _f("none", "q") + _f("none", "absent")).alias("value"), F.count(F.lit(1)).alias("shared")
-    )
+    # The postings of a term: a source each. Two of them are a pair, summed in the row's task.
+    lists = valued.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "p", "none")).alias("held"))
+    each = lists.select("lang", "held", F.explode("held").alias("x")).select("lang", "x", F.explode("held").alias("y")).where("x.source <> y.source")
+    each = each.select("lang", "x.source", F.col("y.source").alias("item"), "x.p", F.col("y.p").alias("q"), "x.none", F.col("y.none").alias("absent"))
+    both = each.groupBy("lang", "source", "item").agg(F.sum(_f("p", "q") - _f("p", "absent") - _f("none", "q") + _f("none", "absent")).alias("value"))
     # Counts of a source and how many of its terms have them meet the other sources of the language.
     counts = valued.groupBy("lang", "source", "p", "none").agg(F.count(F.lit(1)).alias("m"))
-    a = known.select("lang", "source", "v", "terms", F.col("none").alias("p0"))
-    b = known.select("lang", F.col("source").alias("item"), F.col("terms").alias("item_terms"), F.col("none").alias("q0"))
+    a = sources.select("lang", "source", "v", "terms", F.col("none").alias("p0"))
+    b = sources.select("lang", F.col("source").alias("item"), F.col("terms").alias("item_terms"), F.col("none").alias("q0"))
     forth = counts.join(b, "lang").where("source <> item").groupBy("lang", "source", "item").agg(F.sum(_f("p", "q0") * F.col("m")).alias("value"))
     turned = counts.select("lang", F.col("source").alias("item"), F.col("p").alias("q"), "m").join(a, "lang").where("source <> item")
     back = turned.groupBy("lang", "source", "item").agg(F.sum(_f("p0", "q") * F.col("m")).alias("value"))
     rest = F.when(F.col("v") > 0, (F.col("v") - F.col("terms") - F.col("item_terms")) * F.expr("(p0 - q0) * (p0 - q0) div greatest(q0, 1L)")).otherwise(0)
     none = a.join(b, "lang").where("source <> item").select("lang", "source", "item", rest.alias("value"))
-    parts = both.drop("shared").unionByName(forth).unionByName(back).unionByName(none)
-    return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    return both.unionByName(forth).unionByName(back).unionByName(none).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def _ranked(found: DataFrame) -> DataFrame:
@@ -103,11 +143,9 @@ def _ranked(found: DataFrame) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order))
 
 
-def top_terms(held: DataFrame, sources: DataFrame, top: int = TOP, wider: int = WIDER) -> DataFrame:
+def top_terms(valued: DataFrame, top: int = TOP, wider: int = WIDER) -> DataFrame:
     """lang, source, item (a term), value, rank up to `top`: best buckets first."""
-    own = sources.select("lang", "source", "total", "lang_total", "v")
-    valued = held.join(F.broadcast(own) if own.limit(100_001).count() <= 100_000 else own, ["lang", "source"])
-    valued = written(valued.select("lang", "source", F.col("term").alias("item"), "n", _p("n", "total").alias("p"), _p("lang_n", "lang_total").alias("q")))
+    valued = valued.withColumnRenamed("term", "item")
     buckets = valued.where("p > q").groupBy("lang", "source", "n").agg(F.first("p").alias("p"), F.min("q").alias("low"), F.count(F.lit(1)).alias("m"))
     best = Window.partitionBy("lang", "source").orderBy(F.desc("bound"), "n").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.select("lang", "source", "n", _f("p", "low").alias("bound"), "m")
@@ -131,18 +169,19 @@ def top_terms(held: DataFrame, sources: DataFrame, top: int = TOP, wider: int =
         if not found.where("open").limit(1).count():
             break
     out = written(found.select("lang", "source", "item", "value", "rank"))
-    release(valued, buckets, found)
+    release(buckets, found)
     return out
 
 
 def audit(docs: DataFrame, least_docs: int = LEAST_DOCS, top: int = TOP) -> DataFrame:
     held = written(postings(docs, least_docs))
     sources = written(groups(docs, held))
-    near = _ranked(pairs(held, sources)).withColumn("part", F.lit("pair"))
-    terms = top_terms(held, sources, top)
+    valued = written(likelihoods(held, sources))
+    near = _ranked(pairs(valued, sources)).withColumn("part", F.lit("pair"))
+    terms = top_terms(valued, top)
     out = near.unionByName(terms.withColumn("part", F.lit("term"))).select("lang", "source", "part", "item", F.col("value").cast("bigint").alias("value"), "rank")
     out = written(out)
-    release(held, sources, terms)
+    release(held, sources, valued, terms)
     return out
 
 
