@@ -52,9 +52,9 @@ from loomdex.llm.common import mix64, release, table, written
 DEPTH, LOW = 6, 3
 #: Bytes of a block; positions whose grams are counted together, and of a text that
 #: are looked at together.
-BLOCK, SETTLED, PIECE = 24_000_000, 4_000_000, 1_000_000
+BLOCK, SETTLED, PIECE = 16_000_000, 2_000_000, 1_000_000
 #: Grams of a shard, blocks' repetitions counted, and most cells.
-SHARD, CELLS = 1_500_000, 1 << 12
+SHARD, CELLS = 500_000, 1 << 14
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 END = b"\n"
 HALF_LOG_TAU = 0.5 * math.log(2 * math.pi)
@@ -156,7 +156,8 @@ class Subtrees:
     """All nodes from depth LOW to DEPTH over grams with training counts."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        self.levels: dict[tuple[int, int], tuple[np.ndarray, ...]] = {}
+        self.levels: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.logs: dict[tuple[int, int], np.ndarray] = {}  # weighted probabilities of the upmost level
         seen = counts > 0
         keys, counts = keys[seen], counts[seen]
         for depth in range(DEPTH, LOW - 1, -1):
@@ -164,9 +165,10 @@ class Subtrees:
                 node, zeros, ones = tallied(keys, counts, bit)
                 children = None
                 if depth < DEPTH:
-                    below, _, _, log = self.levels[depth + 1, bit]
-                    children = np.bincount(np.searchsorted(node, up(below)), log, minlength=len(node))
-                self.levels[depth, bit] = (node, *weighted(zeros, ones, children))
+                    below = self.levels[depth + 1, bit][0]
+                    children = np.bincount(np.searchsorted(node, up(below)), self.logs.pop((depth + 1, bit)), minlength=len(node))
+                weight, chance, self.logs[depth, bit] = weighted(zeros, ones, children)
+                self.levels[depth, bit] = (node, weight, chance)
             keys, counts = merged([up(keys)], [counts])
 
     def above(self, keys: np.ndarray, counts: np.ndarray) -> pd.DataFrame:
@@ -176,8 +178,7 @@ class Subtrees:
         out = []
         for bit in range(8):
             node, zeros, ones = tallied(keys, counts, bit)
-            below, _, _, log = self.levels[LOW, bit]
-            sums = np.bincount(np.searchsorted(node, up(below)), log, minlength=len(node))
+            sums = np.bincount(np.searchsorted(node, up(self.levels[LOW, bit][0])), self.logs[LOW, bit], minlength=len(node))
             out.append(pd.DataFrame({"node": node.astype(np.int64), "zeros": zeros, "ones": ones, "log": sums}))
         return pd.concat(out)
 
@@ -195,7 +196,7 @@ class Subtrees:
             stop[live] = known.stop.to_numpy()[at[live]]
             mixed[live], left[live] = known.mixed.to_numpy()[at[live]], known.left.to_numpy()[at[live]]
             for depth in range(LOW, DEPTH + 1):
-                have, weight, chance, _ = self.levels[depth, bit]
+                have, weight, chance = self.levels[depth, bit]
                 at, found = _find(have, up(node, DEPTH - depth) if depth < DEPTH else node)
                 live &= found
                 w, p = weight[at[live]], chance[at[live]]
