@@ -52,7 +52,7 @@ from loomdex.llm.common import mix64, release, table, written
 DEPTH, LOW = 6, 3
 #: Bytes of a block; positions whose grams are counted together, and of a text that
 #: are looked at together.
-BLOCK, SETTLED, PIECE = 16_000_000, 2_000_000, 1_000_000
+BLOCK, SETTLED, PIECE = 16_000_000, 3_000_000, 1_000_000
 #: Grams of a shard, blocks' repetitions counted, and most cells.
 SHARD, CELLS = 500_000, 1 << 14
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
@@ -255,14 +255,87 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 10 == 0, F.lit(False))
 
 
-def squeezed(data: bytes) -> bytes:
-    return zstandard.ZstdCompressor(1).compress(data)
+def squeezed(data: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level).compress(data)
 
 
 def opened(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+class Distinct:
+    """The different grams of texts and their training counts. Positions wait until
+    there are SETTLED of them, so many texts are sorted together and few are held."""
+
+    def __init__(self) -> None:
+        self.waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
+        self.runs: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+
+    def add(self, text: bytes, held: bool) -> None:
+        for part in pieces(text):
+            self.waiting[held].append(part)
+            if sum(map(len, self.waiting[held])) >= SETTLED:
+                self.settle(held)
+
+    def settle(self, held: bool) -> None:
+        if self.waiting[held]:
+            keys, n = np.unique(np.concatenate(self.waiting[held]), return_counts=True)
+            self.runs[0].append(keys)
+            self.runs[1].append(np.zeros(len(keys)) if held else n.astype(float))
+            self.waiting[held] = []
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        self.settle(True)
+        self.settle(False)
+        return merged(*self.runs)
+
+
+def gram_cells(keys: np.ndarray, cells: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Cell and places of its grams in order: by the last two bytes of the context and
+    four bits of the third, so a subtree from depth LOW on lies in one cell."""
+    pair, third = keys >> U(8 * (DEPTH - 1)), (keys >> U(8 * (DEPTH - 2))) & U(15)
+    return _parted((mix64(pair << U(4) | third) % U(cells)).astype(np.int64))
+
+
+def word_cells(words: list[bytes], cells: int) -> Iterator[tuple[int, list[bytes]]]:
+    """Cell and words in order; the end has a cell of its own."""
+    for c, places in _parted(np.array([zlib.crc32(w) % cells if w != END else cells for w in words], np.int64)):
+        yield c, [words[i] for i in places]
+
+
+class Table:
+    """Values of 64-bit keys by open addressing; whole arrays are looked up at once,
+    which is several times as fast as a binary search."""
+
+    NONE = U(2**64 - 1)
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.mask = (1 << self.bits) - 1
+        self.keys = np.full(1 << self.bits, self.NONE)
+        self.values = np.zeros(1 << self.bits, values.dtype)
+        at, left = self._home(keys), np.arange(len(keys))
+        while len(left):
+            free = self.keys[at] == self.NONE
+            self.keys[at[free]] = keys[left[free]]
+            won = self.keys[at] == keys[left]
+            self.values[at[won]] = values[left[won]]
+            at, left = (at[~won] + 1) & self.mask, left[~won]
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (keys * U(0x9E3779B97F4A7C15) >> U(64 - self.bits)).astype(np.int64)
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys that are all there."""
+        at = self._home(keys)
+        off = np.flatnonzero(self.keys[at] != keys)
+        while len(off):
+            at[off] = (at[off] + 1) & self.mask
+            off = off[self.keys[at[off]] != keys[off]]
+        return self.values[at]
+
+
 class _Block:
     """Texts, grams and words that a task has read since its last block."""
 
@@ -271,46 +344,27 @@ class _Block:
         self.texts: list[bytes] = []
         self.rows_: list[tuple[int, int, int]] = []  # doc_id, flags (1: no id, 2: held out), bytes
         self.words: Counter = Counter()
-        self.waiting: dict[bool, list[np.ndarray]] = {True: [], False: []}
-        self.runs: tuple[list[np.ndarray], list[np.ndarray]] = ([], [])
+        self.grams = Distinct()
 
     def add(self, doc_id: int | None, words: list[bytes], held: bool) -> None:
         text = b" ".join(words) + END
         self.texts.append(text)
         self.rows_.append((doc_id or 0, (doc_id is None) | held << 1, len(text)))
+        self.positions += len(text)
+        self.words[END] += not held
         if held:
             self.words.update(dict.fromkeys(words, 0))
         else:
             self.words.update(words)
-            self.words[END] += 1
-        for part in pieces(text):
-            self.waiting[held].append(part)
-            self.positions += len(part)
-            if sum(map(len, self.waiting[held])) >= SETTLED:
-                self.settle(held)
-
-    def settle(self, held: bool) -> None:
-        if self.waiting[held]:
-            keys, n = np.unique(np.concatenate(self.waiting[held]), return_counts=True)
-            self.runs[0].append(keys)
-            self.runs[1].append(np.zeros(len(keys)) if held else n.astype(float))
-            self.waiting[held] = []
+        self.grams.add(text, held)
 
     def stored(self) -> pa.RecordBatch:
-        self.settle(True)
-        self.settle(False)
-        out = [("text", 0, squeezed(b"".join(self.texts)), squeezed(np.array(self.rows_, np.int64).tobytes()), self.positions)]
-        keys, counts = merged(*self.runs)
-        cell = (mix64((keys >> U(8 * (DEPTH - 1)) << U(4)) | ((keys >> U(8 * (DEPTH - 2))) & U(15))) % U(self.cells)).astype(np.int64)
-        for c, places in _parted(cell):
+        out = [("text", 0, squeezed(b"".join(self.texts), 3), squeezed(np.array(self.rows_, np.int64).tobytes()), self.positions)]
+        keys, counts = self.grams.all()
+        for c, places in gram_cells(keys, self.cells):
             out.append(("gram", c, packed(keys[places]), squeezed(counts[places].astype(np.uint32).tobytes()), len(places)))
-        words = sorted(w for w in self.words if w != END)
-        cell = np.array([zlib.crc32(w) % self.cells for w in words], np.int64)
-        for c, places in _parted(cell):
-            own = [words[i] for i in places]
+        for c, own in word_cells(sorted(self.words), self.cells):
             out.append(("word", c, squeezed(b" ".join(own)), squeezed(np.array([self.words[w] for w in own], np.int64).tobytes()), len(own)))
-        if self.words[END]:
-            out.append(("word", self.cells, squeezed(END), squeezed(np.array([self.words[END]], np.int64).tobytes()), 1))
         kind, cell, data, extra, size = zip(*out, strict=True)
         columns = [pa.array([self.id] * len(out), pa.int64()), pa.array(kind), pa.array(cell, pa.int32()), pa.array(data, pa.binary()), pa.array(extra, pa.binary()), pa.array(size, pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["block", "kind", "cell", "data", "extra", "size"])
@@ -323,9 +377,10 @@ def _parted(cell: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(cell[places[0]]), places
 
 
-def stored(docs: DataFrame) -> DataFrame:
+def stored(docs: DataFrame) -> tuple[DataFrame, int]:
     """Blocks: block, kind (text, gram, word), cell, data, extra, size. Texts lie
-    together with their ids and lengths, grams and words of a cell with their counts."""
+    together with their ids and lengths, grams and words of a cell with their counts.
+    And the number of cells."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     cells = min(CELLS, 1 << max(4, int(total / (4 * SHARD)).bit_length()))
@@ -343,7 +398,7 @@ def stored(docs: DataFrame) -> DataFrame:
         if block.positions:
             yield block.stored()
 
-    return written(rows.mapInArrow(run, "block bigint, kind string, cell int, data binary, extra binary, size bigint"))
+    return written(rows.mapInArrow(run, "block bigint, kind string, cell int, data binary, extra binary, size bigint")), cells
 
 
 def _together(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -354,12 +409,12 @@ def _together(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndar
 
 
 def gram_scores(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """block, kind, data, extra: the distinct grams of each block and the log10
-    probabilities of their bytes; and the stored tables that this reads. Logs travel
-    as 32-bit floats."""
+    """block, kind, cell, extra: the log10 probabilities of the bytes of each block's
+    distinct grams of a cell, in order, as 32-bit floats; and the stored tables that
+    this reads."""
     spark = cells.sparkSession
     shards = max(1, math.ceil((cells.agg(F.sum("size")).first()[0] or 0) / SHARD))
-    dealt = cells.select((F.col("cell") % shards).alias("shard"), "block", "data", "extra")
+    dealt = cells.select((F.col("cell") % shards).alias("shard"), "block", "cell", "data", "extra")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         _, keys, counts = _together(rows)
@@ -391,24 +446,25 @@ def gram_scores(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     def answer(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         each, keys, counts = _together(rows)
         logs = Subtrees(keys, counts).log10(keys, Top(*top.value), known.sort_values("node"))
-        return pd.DataFrame({"block": rows.block, "kind": "gram", "data": rows.data, "extra": [logs[np.searchsorted(keys, x)].astype(np.float32).tobytes() for x in each]})
+        return pd.DataFrame({"block": rows.block, "kind": "gram", "cell": rows.cell, "extra": [_planes(logs[np.searchsorted(keys, x)].astype(np.float32)) for x in each]})
 
     return dealt.groupBy("shard").cogroup(paths.groupBy("shard")).applyInPandas(answer, GIVEN), [asked, two]
 
 
 def word_counts(cells: DataFrame) -> DataFrame:
-    """block, kind, data, extra: the words of each block with how often each occurs in
-    all training texts; and in rows without a block, how many different ones a cell has."""
+    """block, kind, cell, extra: how often each of a block's words of a cell, in order,
+    occurs in all training texts; and in rows without a block, how many different
+    training words a cell has."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        each = [opened(x).split() or [END] for x in rows.data]
+        each = [_words(x) for x in rows.data]
         counts: Counter = Counter()
         for words, extra in zip(each, rows.extra, strict=True):
             for w, n in zip(words, np.frombuffer(opened(extra), np.int64).tolist(), strict=True):
                 counts[w] += n
-        told = pd.DataFrame({"block": rows.block.astype("Int64"), "kind": "word", "data": rows.data, "extra": [squeezed(np.array([counts[w] for w in words], np.int64).tobytes()) for words in each]})
+        told = pd.DataFrame({"block": rows.block.astype("Int64"), "kind": "word", "cell": rows.cell, "extra": [squeezed(np.array([counts[w] for w in words], np.int64).tobytes()) for words in each]})
         known = np.array([sum(n > 0 for n in counts.values())], np.int64)
-        return pd.concat([told, pd.DataFrame({"block": pd.array([None], "Int64"), "kind": ["known"], "data": [b""], "extra": [known.tobytes()]})])
+        return pd.concat([told, pd.DataFrame({"block": pd.array([None], "Int64"), "kind": ["known"], "cell": rows.cell.iloc[:1].to_list(), "extra": [known.tobytes()]})])
 
     return written(cells.groupBy("cell").applyInPandas(run, GIVEN))
 
@@ -416,7 +472,7 @@ def word_counts(cells: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
     bits_per_byte (code length) of every row."""
-    held = stored(docs)
+    held, cells = stored(docs)
     part = lambda kind, *columns: held.where(F.col("kind") == kind).select("block", *columns)
     words = word_counts(part("word", "cell", "data", "extra"))
     different = sum(int(np.frombuffer(r.extra, np.int64)[0]) for r in words.where("kind = 'known'").select("extra").collect())  # a row a cell
@@ -427,26 +483,35 @@ def score(docs: DataFrame) -> DataFrame:
     given = scored.unionByName(words.where("kind = 'word'"))
 
     def run(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        grams_, words_ = given[given.kind == "gram"], given[given.kind == "word"]
-        keys = np.concatenate([unpacked(x) for x in grams_.data])
-        logs = np.concatenate([np.frombuffer(x, np.float32) for x in grams_.extra])
-        order = np.argsort(keys)
-        keys, logs = keys[order], logs[order]
-        count: dict[bytes, int] = {}
-        for data, extra in zip(words_.data, words_.extra, strict=True):
-            count.update(zip(opened(data).split() or [END], np.frombuffer(opened(extra), np.int64).tolist(), strict=True))
-        out = []
-        for data, extra in zip(texts.data, texts.extra, strict=True):
-            whole, at = memoryview(opened(data)), 0
-            for doc_id, flags, n in np.frombuffer(opened(extra), np.int64).reshape(-1, 3).tolist():
-                text = bytes(whole[at : at + n])
-                at += n
-                own = Counter(text.split())
-                own[END] = 1
-                base = math.fsum(n * math.log10((count.get(w, 0) + 0.1) / share) for w, n in own.items())
-                model = math.fsum(logs[np.searchsorted(keys, part)].sum(dtype=float) for part in pieces(text))
-                known = sum(n for w, n in own.items() if count.get(w, 0) > 0)
-                out.append((None if flags & 1 else doc_id, bool(flags & 2), sum(own.values()), known, total, base, model, len(text), -model * math.log2(10) / len(text)))
+        data, extra = texts.data.iloc[0], texts.extra.iloc[0]  # a block has one row
+        whole, rows = memoryview(opened(data)), np.frombuffer(opened(extra), np.int64).reshape(-1, 3).tolist()
+        found, words_, at = Distinct(), {END}, 0
+        for _, _, n in rows:
+            text = bytes(whole[at : at + n])
+            at += n
+            found.add(text, False)
+            words_.update(text.split())
+        # The answers of a cell are in the order of its grams and words.
+        answers = {(k, c): x for k, c, x in zip(given.kind, given.cell, given.extra, strict=True)}
+        keys, _ = found.all()
+        logs = np.zeros(len(keys), np.float32)
+        for c, places in gram_cells(keys, cells):
+            logs[places] = _unplaned(answers["gram", c])
+        table_, count = Table(keys, logs), {}
+        for c, own in word_cells(sorted(words_), cells):
+            if ("word", c) in answers:
+                count.update(zip(own, np.frombuffer(opened(answers["word", c]), np.int64).tolist(), strict=True))
+        del answers, keys, logs, words_, found
+        out, at = [], 0
+        for doc_id, flags, n in rows:
+            text = bytes(whole[at : at + n])
+            at += n
+            own = Counter(text.split())
+            own[END] = 1
+            base = math.fsum(n * math.log10((count.get(w, 0) + 0.1) / share) for w, n in own.items())
+            model = math.fsum(table_.get(part).sum(dtype=float) for part in pieces(text))
+            known = sum(n for w, n in own.items() if count.get(w, 0) > 0)
+            out.append((None if flags & 1 else doc_id, bool(flags & 2), sum(own.values()), known, total, base, model, len(text), -model * math.log2(10) / len(text)))
         return pd.DataFrame(out, columns=[x.split()[0] for x in SCORED.split(", ")]).astype({"doc_id": "Int64"})
 
     texts = part("text", "data", "extra")
@@ -461,7 +526,20 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
 
 
-GIVEN = "block bigint, kind string, data binary, extra binary"
+def _words(data: bytes) -> list[bytes]:
+    return opened(data).split() or [END]
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Floats by byte planes, compressed."""
+    return squeezed(values.view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unplaned(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(opened(data), np.uint8).reshape(4, -1).T).view(np.float32).ravel()
+
+
+GIVEN = "block bigint, kind string, cell int, extra binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
 
