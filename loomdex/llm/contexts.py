@@ -377,10 +377,9 @@ def _parted(cell: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(cell[places[0]]), places
 
 
-def stored(docs: DataFrame) -> tuple[DataFrame, int]:
+def stored(docs: DataFrame) -> DataFrame:
     """Blocks: block, kind (text, gram, word), cell, data, extra, size. Texts lie
-    together with their ids and lengths, grams and words of a cell with their counts.
-    And the number of cells."""
+    together with their ids and lengths, grams and words of a cell with their counts."""
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     total = rows.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0))).first()[0]
     cells = min(CELLS, 1 << max(4, int(total / (4 * SHARD)).bit_length()))
@@ -398,7 +397,7 @@ def stored(docs: DataFrame) -> tuple[DataFrame, int]:
         if block.positions:
             yield block.stored()
 
-    return written(rows.mapInArrow(run, "block bigint, kind string, cell int, data binary, extra binary, size bigint")), cells
+    return written(rows.mapInArrow(run, "block bigint, kind string, cell int, data binary, extra binary, size bigint"))
 
 
 def _together(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
@@ -409,12 +408,12 @@ def _together(rows: pd.DataFrame) -> tuple[list[np.ndarray], np.ndarray, np.ndar
 
 
 def gram_scores(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
-    """block, kind, cell, extra: the log10 probabilities of the bytes of each block's
-    distinct grams of a cell, in order, as 32-bit floats; and the stored tables that
-    this reads."""
+    """block, kind, data, extra: a block's distinct grams of a cell and the log10
+    probabilities of their bytes, as 32-bit floats; and the stored tables that this
+    reads."""
     spark = cells.sparkSession
     shards = max(1, math.ceil((cells.agg(F.sum("size")).first()[0] or 0) / SHARD))
-    dealt = cells.select((F.col("cell") % shards).alias("shard"), "block", "cell", "data", "extra")
+    dealt = cells.select((F.col("cell") % shards).alias("shard"), "block", "data", "extra")
 
     def train(rows: pd.DataFrame) -> pd.DataFrame:
         _, keys, counts = _together(rows)
@@ -446,15 +445,15 @@ def gram_scores(cells: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     def answer(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         each, keys, counts = _together(rows)
         logs = Subtrees(keys, counts).log10(keys, Top(*top.value), known.sort_values("node"))
-        return pd.DataFrame({"block": rows.block, "kind": "gram", "cell": rows.cell, "extra": [_planes(logs[np.searchsorted(keys, x)].astype(np.float32)) for x in each]})
+        return pd.DataFrame({"block": rows.block, "kind": "gram", "data": rows.data, "extra": [_planes(logs[np.searchsorted(keys, x)].astype(np.float32)) for x in each]})
 
     return dealt.groupBy("shard").cogroup(paths.groupBy("shard")).applyInPandas(answer, GIVEN), [asked, two]
 
 
 def word_counts(cells: DataFrame) -> DataFrame:
-    """block, kind, cell, extra: how often each of a block's words of a cell, in order,
-    occurs in all training texts; and in rows without a block, how many different
-    training words a cell has."""
+    """block, kind, data, extra: a block's words of a cell and how often each occurs in
+    all training texts; and in rows without a block, how many different training words
+    a cell has."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         each = [_words(x) for x in rows.data]
@@ -462,9 +461,9 @@ def word_counts(cells: DataFrame) -> DataFrame:
         for words, extra in zip(each, rows.extra, strict=True):
             for w, n in zip(words, np.frombuffer(opened(extra), np.int64).tolist(), strict=True):
                 counts[w] += n
-        told = pd.DataFrame({"block": rows.block.astype("Int64"), "kind": "word", "cell": rows.cell, "extra": [squeezed(np.array([counts[w] for w in words], np.int64).tobytes()) for words in each]})
+        told = pd.DataFrame({"block": rows.block.astype("Int64"), "kind": "word", "data": rows.data, "extra": [squeezed(np.array([counts[w] for w in words], np.int64).tobytes()) for words in each]})
         known = np.array([sum(n > 0 for n in counts.values())], np.int64)
-        return pd.concat([told, pd.DataFrame({"block": pd.array([None], "Int64"), "kind": ["known"], "cell": rows.cell.iloc[:1].to_list(), "extra": [known.tobytes()]})])
+        return pd.concat([told, pd.DataFrame({"block": pd.array([None], "Int64"), "kind": ["known"], "data": [b""], "extra": [known.tobytes()]})])
 
     return written(cells.groupBy("cell").applyInPandas(run, GIVEN))
 
@@ -472,7 +471,7 @@ def word_counts(cells: DataFrame) -> DataFrame:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes,
     bits_per_byte (code length) of every row."""
-    held, cells = stored(docs)
+    held = stored(docs)
     part = lambda kind, *columns: held.where(F.col("kind") == kind).select("block", *columns)
     words = word_counts(part("word", "cell", "data", "extra"))
     different = sum(int(np.frombuffer(r.extra, np.int64)[0]) for r in words.where("kind = 'known'").select("extra").collect())  # a row a cell
@@ -485,33 +484,26 @@ def score(docs: DataFrame) -> DataFrame:
     def run(texts: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         data, extra = texts.data.iloc[0], texts.extra.iloc[0]  # a block has one row
         whole, rows = memoryview(opened(data)), np.frombuffer(opened(extra), np.int64).reshape(-1, 3).tolist()
-        found, words_, at = Distinct(), {END}, 0
-        for _, _, n in rows:
-            text = bytes(whole[at : at + n])
-            at += n
-            found.add(text, False)
-            words_.update(text.split())
-        # The answers of a cell are in the order of its grams and words.
-        answers = {(k, c): x for k, c, x in zip(given.kind, given.cell, given.extra, strict=True)}
-        keys, _ = found.all()
-        logs = np.zeros(len(keys), np.float32)
-        for c, places in gram_cells(keys, cells):
-            logs[places] = _unplaned(answers["gram", c])
-        table_, count = Table(keys, logs), {}
-        for c, own in word_cells(sorted(words_), cells):
-            if ("word", c) in answers:
-                count.update(zip(own, np.frombuffer(opened(answers["word", c]), np.int64).tolist(), strict=True))
-        del answers, keys, logs, words_, found
+        some = given[given.kind == "gram"]
+        table_ = Table(np.concatenate([unpacked(x) for x in some.data]), np.concatenate([_unplaned(x) for x in some.extra]))
+        some, logs = given[given.kind == "word"], {}
+        unknown: set[bytes] = set()
+        for words_, counts in zip(some.data, some.extra, strict=True):
+            counts = np.frombuffer(opened(counts), np.int64)
+            words_ = _words(words_)
+            logs.update(zip(words_, np.log10((counts + 0.1) / share).tolist(), strict=True))
+            unknown.update(words_[i] for i in np.flatnonzero(counts == 0))
         out, at = [], 0
         for doc_id, flags, n in rows:
             text = bytes(whole[at : at + n])
             at += n
             own = Counter(text.split())
             own[END] = 1
-            base = math.fsum(n * math.log10((count.get(w, 0) + 0.1) / share) for w, n in own.items())
-            model = math.fsum(table_.get(part).sum(dtype=float) for part in pieces(text))
-            known = sum(n for w, n in own.items() if count.get(w, 0) > 0)
-            out.append((None if flags & 1 else doc_id, bool(flags & 2), sum(own.values()), known, total, base, model, len(text), -model * math.log2(10) / len(text)))
+            base = math.fsum([n * logs[w] for w, n in own.items()])
+            model = math.fsum([table_.get(part).sum(dtype=float) for part in pieces(text)])
+            tokens_ = own.total()
+            known = tokens_ - sum(own[w] for w in own.keys() & unknown) if unknown else tokens_
+            out.append((None if flags & 1 else doc_id, bool(flags & 2), tokens_, known, total, base, model, len(text), -model * math.log2(10) / len(text)))
         return pd.DataFrame(out, columns=[x.split()[0] for x in SCORED.split(", ")]).astype({"doc_id": "Int64"})
 
     texts = part("text", "data", "extra")
@@ -539,7 +531,7 @@ def _unplaned(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(opened(data), np.uint8).reshape(4, -1).T).view(np.float32).ravel()
 
 
-GIVEN = "block bigint, kind string, cell int, extra binary"
+GIVEN = "block bigint, kind string, data binary, extra binary"
 SCORED = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double, n_bytes bigint, bits_per_byte double"
 
 
