@@ -31,7 +31,7 @@ def tokens(text: Column) -> Column:
 
 def query_terms(text: str) -> list[str]:
     """Different terms in order, without stop words unless nothing else is left."""
-    found = list(dict.fromkeys(re.findall(r"[^\W_]+", text.casefold())))
+    found = list(dict.fromkeys(re.findall(r"[^\W_]+", text.lower())))
     return ([t for t in found if t not in STOP] or found)[:MAX_TERMS]
 
 
@@ -43,19 +43,6 @@ def lead(text: Column) -> Column:
     return F.substring(collapse(text), 1, LEAD)
 
 
-def plain(text: Column) -> Column:
-    """Markdown without link targets, heading marks and emphasis."""
-    out = F.regexp_replace(text, r"!?\[([^\]]*)\]\([^)]*\)", "$1")
-    out = F.regexp_replace(out, r"(?m)^\s{0,3}#{1,6}\s+", "")
-    return collapse(F.regexp_replace(out, r"[*_`]+", ""))
-
-
-def slug(text: Column) -> Column:
-    kept = F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}_\s-]", "")
-    out = F.regexp_replace(F.trim(kept), r"\s", "-")
-    return F.when(out == "", F.lit("section")).otherwise(out)
-
-
 def html_text(html: Column) -> Column:
     """Visible text: script and style go, blocks begin a line."""
     out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", "")
@@ -133,6 +120,12 @@ def stems(text: pd.Series) -> pd.Series:
     return text.map(lambda t: [porter(fold(w)) for w in re.findall(r"[^\W_]+", t or "")])
 
 
+@F.pandas_udf(T.StringType())
+def stem_of(word: pd.Series) -> pd.Series:
+    """The folded stem of one word; for tables of different words."""
+    return word.map(lambda w: porter(fold(w)))
+
+
 def query_stems(text: str) -> list[str]:
     """Different folded stems of a query's words, without stop words unless
     nothing else is left."""

@@ -7,15 +7,13 @@ bad file never hides another.
 from __future__ import annotations
 
 import posixpath
-from collections.abc import Iterator
 from datetime import datetime
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.functions.identity import address, is_authored, parse_address, split_ref, strict_json
-from loomdex.functions.markdown import concept_problem
+from loomdex.functions.markdown import concept_problems  # noqa: F401
 from loomdex.functions.temporal import bound, month
 from loomdex.operators.ingest import value_problem
 from loomdex.sources.brain import once, resolved_path
@@ -97,18 +95,6 @@ def unresolved_addresses(edges: DataFrame, names: DataFrame, notes: DataFrame, r
     return held.select("value", problem.alias("problem")).where("problem is not null").distinct(), foreign
 
 
-def concept_problems(files: DataFrame) -> DataFrame:
-    """path, problem of files (path, text) below concepts/ without their structure."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths, texts = (batch.column(c).to_pylist() for c in ("path", "text"))
-            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array([concept_problem(p, t or "") for p, t in zip(paths, texts, strict=True)], pa.string())], ["path", "problem"])
-
-    mine = files.where(F.col("path").startswith("concepts/") & F.col("path").endswith(".md"))
-    return mine.select("path", "text").mapInArrow(run, "path string, problem string").where("problem is not null")
-
-
 def report(parts: dict[str, DataFrame], cap: int = CAP) -> DataFrame:
     """check, problem: the first `cap` problems of all checks (name: rows whose
     columns are told together)."""

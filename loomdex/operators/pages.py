@@ -64,11 +64,15 @@ def home(items: DataFrame, links: DataFrame, now: datetime) -> dict[str, DataFra
 
 
 def timeline(items: DataFrame, found: Scope, name: str) -> dict[str, DataFrame]:
-    """items and total of a period, what changed in it but lies elsewhere, shares."""
+    """items and total of a period, what changed in it but lies elsewhere, shares, and
+    for days and months one row of `around`: the periods before and after."""
     inside = in_scope(found, F.col("ts"), F.col("path"))
     rows, total = listing(items, inside, newest(), PAGE)
     moved, _ = listing(items, changed_elsewhere(found, F.col("ts"), F.col("changed")), newest("changed"), SECTION)
-    return {"items": rows, "total": total, "changed": moved, "sources": activity(items, found.since, found.until, name)}
+    page_ = {"items": rows, "total": total, "changed": moved, "sources": activity(items, found.since, found.until, name)}
+    if found.previous:
+        page_["around"] = items.sparkSession.createDataFrame([(found.previous, found.next)], "previous string, next string")
+    return page_
 
 
 def folder_order(top: str) -> list[Column]:
@@ -144,12 +148,12 @@ def page(items: DataFrame, links: DataFrame, ref: str, now: datetime, tz: str =
 def context(brain, ref: str, names_of: list[str], exclude: str = "") -> dict[str, DataFrame]:
     """Backlinks by relation and the typed claims of a whole note or record, or of
     an identity that nothing owns. `names_of`: what it expands to."""
-    wanted = [r.ref for r in graph.local_refs(brain.names, names_of).limit(graph.ALIASES + 1).collect()]
+    wanted = [r.ref for r in graph.local_refs(brain.graph.names, names_of).limit(graph.ALIASES + 1).collect()]
     if len(wanted) > graph.ALIASES:
         raise ValueError(f"more than {graph.ALIASES} owners")
-    totals, latest = graph.backlinks(brain.edges, brain.links, wanted, exclude=exclude or ref)
-    why = graph.explanations(brain.edges, latest.select("item").distinct(), wanted)
-    return {"backlinks": totals, "items": latest, "explanations": why, "claims": graph.claims(brain.edges, wanted)}
+    totals, latest = graph.backlinks(brain.graph.edges, brain.graph.links, wanted, exclude=exclude or ref)
+    why = graph.explanations(brain.graph.edges, latest.select("item").distinct(), wanted)
+    return {"backlinks": totals, "items": latest, "explanations": why, "claims": graph.claims(brain.graph.claims, wanted)}
 
 
 def action_context(brain, path: str) -> dict[str, DataFrame]:
@@ -165,7 +169,7 @@ def action_context(brain, path: str) -> dict[str, DataFrame]:
 def identity_page(brain, identity: str) -> tuple[dict[str, DataFrame] | None, list[dict]]:
     """(what links to an identity and what it claims, problems); None where nothing
     does, and an error if that could be because something could not be read."""
-    expanded, problems = graph.expanded(brain.names, identity)
+    expanded, problems = graph.expanded({brain.name: brain.graph}, identity)
     found = context(brain, identity, expanded)
     if found["backlinks"].isEmpty() and found["claims"].isEmpty():
         if problems or (brain.problems is not None and not brain.problems.isEmpty()):

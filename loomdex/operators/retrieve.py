@@ -14,11 +14,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomdex.functions.identity import SCHEME, address, parse_address, split_ref
-from loomdex.functions.markdown import section
+from loomdex.functions.markdown import sections
 from loomdex.functions.temporal import IDENTITY, Scope, in_scope, scope
 from loomdex.functions.text import excerpt, query_stems
 from loomdex.operators import graph, pages, search
 from loomdex.sources.brain import Brain, dated
+from loomdex.sources.segments import Keyed
 
 MAX_TEXT, MAX_LIMIT = 4096, 50
 
@@ -66,26 +67,31 @@ def in_brain(brain: Brain, query: Query, names: list[str], targets: list[str], t
     items = dated(brain.items, tz)
     inside = _scoped(items, brain, query.scope, targets)
     if is_identity(query.text):
-        asked = items.sparkSession.createDataFrame([(n,) for n in names], "name string")
-        if not graph.known(items, brain.names, brain.links, asked).where("is_known").isEmpty():
-            found = graph.identity_candidates(items, brain.names, brain.links, query.text, names).join(inside, "ref")
+        if not graph.known(brain.graph, names).where("is_known").isEmpty():
+            found = graph.identity_candidates(brain.graph, query.text, names).drop("time").join(inside, "ref")
             order = [F.desc("score"), F.desc("ts"), F.asc("ref")]
             top = found.orderBy(*order).limit(query.limit)
             return top.select("ref", F.lit("").alias("fragment"), "title", "status", "ts", "score", F.row_number().over(Window.orderBy(*order)).alias("rank")), True
     if brain.index is not None:
-        scored = brain.index.find(query.text).select("ref", "fragment", "score")
+        scored = brain.index.find(query.text).select("ref", "fragment", "status", "score")
     else:
-        scored = search.bm25(brain.passages, query.text, ["ref", "fragment", "weight"], stemmed=True).select("ref", "fragment", (F.col("score") * F.col("weight")).alias("score"))
-    best = search.best_passage(scored.join(inside.select("ref"), "ref", "left_semi"))
-    top = search.ranked(best.join(items.select("ref", "title", "status", "ts"), "ref"), query.limit, status="status")
-    return top.select("ref", "fragment", "title", "status", "ts", "score", "rank"), False
+        scored = search.bm25(brain.passages, query.text, ["ref", "fragment", "weight", "status"], stemmed=True).select("ref", "fragment", "status", (F.col("score") * F.col("weight")).alias("score"))
+    narrow = query.scope != Scope()
+    if narrow:
+        scored = scored.join(inside.select("ref"), "ref", "left_semi")
+    # Passages know their status; only what is returned meets its item.
+    top = search.ranked(search.best_passage(scored), query.limit, status="status").limit(query.limit)
+    held = top.collect()
+    top = top.sparkSession.createDataFrame(held, top.schema)
+    about = dated(graph.wanted_rows(brain.graph.items, "ref", [r.ref for r in held]), tz).select("ref", "title", "ts")
+    return top.join(F.broadcast(about), "ref").select("ref", "fragment", "title", "status", "ts", "score", "rank"), False
 
 
 def _scoped(items: DataFrame, brain: Brain, s: Scope, targets: list[str]) -> DataFrame:
     out = items.where(in_scope(s, F.col("ts"), F.col("path")))
     if not s.target:
         return out
-    linkers = graph.linking(brain.links, targets).select(F.col("item").alias("ref")).distinct()
+    linkers = graph.linking(brain.graph.links, targets).select(F.col("item").alias("ref")).distinct()
     return out.join(linkers, "ref", "left_semi")
 
 
@@ -96,23 +102,17 @@ def federated(brains: dict[str, Brain], query: Query, trust: dict[str, str] | No
     problems = [{"brain": b, "error": e} for b, e in (broken or {}).items()]
     if not brains:
         raise LookupError("; ".join(e for e in (broken or {}).values()) or "no brain")
-    every = None
-    for name, brain in brains.items():
-        rows = brain.names.withColumn("brain", F.lit(name))
-        every = rows if every is None else every.unionByName(rows)
+    every = {name: brain.graph for name, brain in brains.items()}
     expand = lambda x: graph.expanded(every, x) if x and is_identity(x) else ([x] if x else [], [])
     names, issues = expand(query.text)
     targets, more = expand(query.scope.target)
     problems += issues + more
     found, exact = None, False
     for place, (name, brain) in enumerate(brains.items()):
-        local = [r.ref for r in graph.local_refs(brain.names, targets).collect()] if targets else []
+        local = [r.ref for r in graph.local_refs(brain.graph.names, targets).collect()] if targets else []
         rows, hit = in_brain(brain, query, names, local, tz)
         exact |= hit
-        held = rows.join(brain.passages.select("ref", "fragment", "text"), ["ref", "fragment"], "left")
-        terms = query_stems(query.text)
-        rows = pages.labelled(held.withColumn("excerpt", excerpt(F.col("text"), terms, stemmed=True)).drop("text"), name, "fragment").withColumns({"place": F.lit(place), "exact": F.lit(hit)})
-        rows = rows.join(brain.items.select("ref", "kind", "source"), "ref", "left")
+        rows = pages.labelled(_decorated(rows, brain, query_stems(query.text)), name, "fragment").withColumns({"place": F.lit(place), "exact": F.lit(hit)})
         found = rows if found is None else found.unionByName(rows)
         if brain.problems is not None:
             problems += [{"brain": name, "file": r.file, "error": r.problem} for r in brain.problems.limit(200).collect()]
@@ -126,6 +126,18 @@ def federated(brains: dict[str, Brain], query: Query, trust: dict[str, str] | No
     return Reply(pages.guarded(top, trust or {}, searched=True).drop("place", "exact"), problems, identity, health or [])
 
 
+def _decorated(rows: DataFrame, brain: Brain, terms: list[str]) -> DataFrame:
+    """At most MAX_LIMIT rows of a search with excerpt, kind and source. They are
+    fetched once, and what belongs to them is looked up by their refs, so no text and
+    no item but theirs is read or moved."""
+    held = rows.limit(MAX_LIMIT).collect()
+    top, refs = rows.sparkSession.createDataFrame(held, rows.schema), sorted({r.ref for r in held})
+    texts = graph.wanted_rows(Keyed(brain.index.store, "passages", brain.index.at) if brain.stored else brain.passages, "ref", refs)
+    texts = texts.select("ref", "fragment", excerpt(F.col("text"), terms, stemmed=True).alias("excerpt"))
+    about = graph.wanted_rows(brain.graph.items, "ref", refs).select("ref", "kind", "source")
+    return top.join(F.broadcast(texts), ["ref", "fragment"], "left").join(F.broadcast(about), "ref", "left")
+
+
 def read_note(notes: DataFrame, ref: str) -> DataFrame:
     """path, text of a note (path, text), or of its section that `ref` names; none
     where either is missing."""
@@ -136,11 +148,7 @@ def read_note(notes: DataFrame, ref: str) -> DataFrame:
     if not fragment:
         return whole
 
-    @F.udf("string")
-    def cut(text: str) -> str | None:
-        return section(text or "", fragment)
-
-    return whole.withColumn("text", cut("text")).where("text is not null")
+    return sections(whole, fragment)
 
 
 def read(brains: dict[str, Brain], ref: str, now: datetime, tz: str = "UTC") -> dict:
@@ -167,10 +175,13 @@ def read(brains: dict[str, Brain], ref: str, now: datetime, tz: str = "UTC") ->
     found = {}
     for name, brain in chosen.items():
         path, fragment = split_ref(F.lit(wanted))
-        exact = brain.passages.where(((F.col("ref") == path) & (F.col("fragment") == fragment)) | ((F.col("ref") == F.lit(wanted)) & (F.col("fragment") == "")))
+        whole_path, part = spark.range(1).select(path.alias("p"), fragment.alias("f")).first()
+        texts = Keyed(brain.index.store, "passages", brain.index.at) if brain.stored else brain.passages
+        near = graph.wanted_rows(texts, "ref", sorted({whole_path, wanted}))
+        exact = near.where(((F.col("ref") == whole_path) & (F.col("fragment") == part)) | ((F.col("ref") == wanted) & (F.col("fragment") == "")))
         if exact.isEmpty():
-            owner = graph.unique_owners(brain.names.where(F.col("name") == ref)).select(F.col("item").alias("ref"))
-            exact = brain.passages.join(F.broadcast(owner), "ref", "left_semi")
+            owner = [r.item for r in graph.unique_owners(graph.wanted_rows(brain.graph.names, "name", [ref])).collect()]  # one name has one at most
+            exact = graph.wanted_rows(texts, "ref", owner)
         if not exact.isEmpty():
             found[name] = exact
     if len(found) > 1:
@@ -181,7 +192,7 @@ def read(brains: dict[str, Brain], ref: str, now: datetime, tz: str = "UTC") ->
         if "#" not in wanted:
             item = rows.select("ref").first().ref
             whole_name = spark.range(1).select(address(name, F.lit(item)).alias("a")).first().a
-            said, problems = graph.expanded(chosen[name].names, whole_name)
+            said, problems = graph.expanded({name: chosen[name].graph}, whole_name)
             reply["parts"] |= pages.context(chosen[name], item, sorted({*said, item}), item)
             reply["problems"] = problems
             if re.fullmatch(r"actions/[^/]+/ACTION\.md", item):

@@ -1,27 +1,29 @@
 """Word search: stored postings, corpus statistics, BM25, best passage, federation.
 
-The index of a corpus is written once: postings (a row for each term of a passage),
-bucketed by a hash of the term, passages without their texts, and one row of
-statistics. A query reads the buckets of its terms, and of the passages only those
-that it returns.
+An index is a store of segments: postings (a row for each term of a passage and
+field) in folders and in order of the term, a vocabulary from stems to words, and of
+each ref how many passages and tokens it has, so that statistics follow every change.
+A query opens the folders of its terms and reads their pages. A change writes the
+passages of the refs that are new or others, and marks what is gone. Stems are looked
+up in the vocabulary, so the same postings serve whole words and stems.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomdex import sinks
-from loomdex.functions.text import excerpt, query_stems, query_terms, stems, tokens
+from loomdex.functions.text import excerpt, query_stems, query_terms, stem_of, stems, tokens
+from loomdex.sources.segments import BROADCAST, LITERALS, Store
 
 K1, B = 1.2, 0.75
 WEIGHTS = {"heading": 10.0, "title": 10.0, "text": 1.0, "names": 0.5}
 #: Status values that rank after all others.
 DEMOTED = ("deprecated", "archived")
-#: Folders that postings are dealt to by their term, and tokens of a task that writes one.
-BUCKETS, TASK_TOKENS = 64, 20_000_000
 
 
 def _split(stemmed: bool):
@@ -65,13 +67,18 @@ def statistics(passages: DataFrame, stemmed: bool = False) -> DataFrame:
     return lengths(passages, stemmed).agg(F.count(F.lit(1)).alias("n_passages"), F.sum("d").alias("n_tokens"), F.avg("d").alias("avg_len"))
 
 
-def _scores(found: DataFrame, stats: DataFrame, keep: list[str]) -> DataFrame:
-    """keep..., score of postings (term, f, d); stats is one row."""
-    df = F.broadcast(found.groupBy("term").agg(F.count(F.lit(1)).alias("n")))  # a row per query term
-    idf = F.ln((F.col("n_passages") - F.col("n") + 0.5) / (F.col("n") + 0.5))
+def _parts(found: DataFrame, n_passages: Column, avg_len: Column) -> DataFrame:
+    """Postings (term, f, d) with `part`, what a term adds to a passage's score."""
+    df = F.broadcast(found.groupBy("term").agg(F.count(F.lit(1)).alias("df")))  # a row for each query term
+    idf = F.ln((n_passages - F.col("df") + 0.5) / (F.col("df") + 0.5))
     idf = F.when(idf <= 0, F.lit(1e-6)).otherwise(idf)
-    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / F.col("avg_len")))
-    return found.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("part", part).groupBy(*keep).agg(F.sum("part").alias("score"))
+    part = idf * F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("d") / avg_len))
+    return found.join(df, "term").withColumn("part", part)
+
+
+def _scores(found: DataFrame, n_passages: Column, avg_len: Column, keep: list[str]) -> DataFrame:
+    """keep..., score of postings (term, f, d)."""
+    return _parts(found, n_passages, avg_len).groupBy(*keep).agg(F.sum("part").alias("score"))
 
 
 def bm25(passages: DataFrame, query: str, keep: list[str], stemmed: bool = False) -> DataFrame:
@@ -79,75 +86,222 @@ def bm25(passages: DataFrame, query: str, keep: list[str], stemmed: bool = False
     scope; a term in half of them or more scores next to nothing but still matches.
     `stemmed` matches words by their stems without accents, in texts and query alike."""
     terms = query_stems(query) if stemmed else query_terms(query)
-    return _scores(postings(passages, terms, stemmed), statistics(passages, stemmed), keep)
+    held = postings(passages, terms, stemmed).join(F.broadcast(statistics(passages, stemmed)))  # one row
+    return _scores(held, F.col("n_passages"), F.col("avg_len"), keep)
 
 
 # --- the stored index ---
 
+#: Tables of an index in a store, and the columns they are looked up by.
+KEYS = {"postings": "term", "vocabulary": "stem"}
+#: Of what is stored; an index of another format is built anew.
+FORMAT = 3
+
 
 @dataclass(frozen=True)
 class Index:
-    """A committed index below `root`. Passages are (ref, fragment)."""
-
-    spark: SparkSession
-    root: str
-    stemmed: bool
-
-    def table(self, name: str) -> DataFrame:
-        return sinks.read_table(self.spark, self.root, name)
-
-    def find(self, query: str, where: Column | None = None) -> DataFrame:
+    """The index of one commit of a store: every read of a query sees that commit.
+    Owners are refs; passages are (ref, fragment)."""
+
+    store: Store
+    at: dict
+    stemmed: bool = False
+
+    def statistics(self) -> tuple[int, float]:
+        """Live passages and their mean length."""
+        n = self.at["sums"].get("passages", 0)
+        return n, self.at["sums"].get("tokens", 0) / n if n else 0.0
+
+    def hits(self, wanted: dict[str, list[str]]) -> DataFrame:
+        """Postings of the terms that `wanted` gives for each term of the store: a row
+        a term and passage, summed over fields and over words of one stem."""
+        rows = self.store.lookup("postings", list(wanted), self.at)
+        if all(to == [word] for word, to in wanted.items()):
+            named = rows
+        elif len(wanted) <= LITERALS:
+            pairs = [x for word, to in wanted.items() for x in (F.lit(word), F.array(*[F.lit(t) for t in to]))]
+            named = rows.withColumn("term", F.explode(F.element_at(F.create_map(*pairs), F.col("term"))))
+        else:
+            said = self.store.spark.createDataFrame([(word, t) for word, to in wanted.items() for t in to], "term string, stem string")
+            named = rows.join(F.broadcast(said), "term").drop("term").withColumnRenamed("stem", "term")
+        keep = [c for c in named.columns if c not in ("f", "n")]
+        return named.groupBy(*keep).agg(F.sum("f").alias("f"))
+
+    def words_of(self, stems_: list[str]) -> dict[str, list[str]]:
+        """The words of the texts that have one of these stems. A stem has few words;
+        they choose the folders that are opened."""
+        rows = self.store.lookup("vocabulary", stems_, self.at).select("stem", "term").distinct().collect() if stems_ else []
+        out: dict[str, list[str]] = {}
+        for r in rows:
+            out.setdefault(r.term, []).append(r.stem)
+        return out
+
+    def find(self, query: str, where: Column | None = None, stemmed: bool | None = None) -> DataFrame:
         """ref, fragment, score of every matching passage. The score is doubled for
         distilled notes; `where` filters on the columns of passages, not the statistics."""
-        terms = query_stems(query) if self.stemmed else query_terms(query)
-        homes = [bucket_of(t) for t in terms]
-        hit = self.table("postings").where(F.col("bucket").isin(homes) & F.col("term").isin(terms))
-        keep = [c for c in ("ref", "fragment", "weight", "status", "lang", "source", "doc_id") if c in hit.columns]
-        scored = _scores(hit, self.table("statistics"), keep)
+        stemmed = self.stemmed if stemmed is None else stemmed
+        wanted = self.words_of(query_stems(query)) if stemmed else {t: [t] for t in query_terms(query)}
+        hit = self.hits(wanted)
+        keep = [c for c in hit.columns if c not in ("term", "f", "d")]
+        n, mean = self.statistics()
+        scored = _scores(hit, F.lit(n), F.lit(mean), keep)
         if "weight" in keep:
             scored = scored.withColumn("score", F.col("score") * F.col("weight"))
         return scored if where is None else scored.where(where)
 
-    def returned(self, top: DataFrame, query: str, texts: DataFrame) -> DataFrame:
+    def returned(self, top: DataFrame, query: str, texts: DataFrame, stemmed: bool | None = None) -> DataFrame:
         """`top` (bounded rows) with an excerpt: only their texts are read again."""
-        terms = query_stems(query) if self.stemmed else query_terms(query)
+        stemmed = self.stemmed if stemmed is None else stemmed
+        terms = query_stems(query) if stemmed else query_terms(query)
         few = F.broadcast(top.select("ref", "fragment").distinct())
-        held = texts.join(few, ["ref", "fragment"], "left_semi").select("ref", "fragment", excerpt(F.col("text"), terms, self.stemmed).alias("excerpt"))
+        held = texts.join(few, ["ref", "fragment"], "left_semi").select("ref", "fragment", excerpt(F.col("text"), terms, stemmed).alias("excerpt"))
         return top.join(F.broadcast(held), ["ref", "fragment"], "left")
 
 
-def bucket_of(term: str) -> int:
-    import zlib
+def runs(words: Column) -> Column:
+    """term, n of the different words of an array, counted in the row: equal words
+    are neighbours in the sorted array, so a word's count is the way to the next one."""
+    def of(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
+        told = F.transform(F.array(first), lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("n"))))
+        return F.get(told, 0)
 
-    return zlib.crc32(term.encode()) % BUCKETS
+    return F.get(F.transform(F.array(F.sort_array(words)), of), 0)
 
 
-def build(passages: DataFrame, root: str, stemmed: bool = False, note: dict | None = None) -> Index:
-    """Write postings, statistics and document frequencies of `passages` (ref,
-    fragment, further columns to filter on, and the searched ones)."""
-    spark = passages.sparkSession
-    rows, kept, d = _tokened(passages, stemmed)
+def counted(passages: DataFrame) -> DataFrame:
+    """owner (the ref), the other columns of passages, digest (of the whole row), d
+    and `terms` (term, n, f) of each passage. Texts are tokenised here and only here."""
     fields = _fields(passages)
-    arrays = [(f"_{c}", WEIGHTS[c]) for c in fields]
-    counts = [_weighed(c, w) for c, w in arrays]
-    each = rows.select(*kept, d.alias("d"), F.explode(F.concat(*counts)).alias("t")).groupBy(*kept, "d", "t.term").agg(F.sum("t.w").alias("f"))
-    bucket = F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(BUCKETS)).cast("int")
-    stats = statistics(passages, stemmed).first()
-    parts = int((stats.n_tokens or 0) // (BUCKETS * TASK_TOKENS)) + 1
-    posts = each.withColumn("bucket", bucket).repartition(BUCKETS if parts == 1 else BUCKETS * parts, "bucket", F.pmod(F.xxhash64("ref"), F.lit(parts)))
-    told = spark.createDataFrame([tuple(stats)], "n_passages bigint, n_tokens bigint, avg_len double")
-    tables = {"postings": posts.sortWithinPartitions("bucket", "term"), "statistics": told.coalesce(1)}
-    sinks.commit(spark, root, tables, {"stemmed": stemmed, **(note or {})}, {"postings": ["bucket"]})
-    return Index(spark, root, stemmed)
+    kept = [c for c in passages.columns if c not in fields]
+
+    def weighed(column: str) -> Column:
+        return F.transform(runs(tokens(F.col(column))), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"), (F.lit(WEIGHTS[column]) * x["n"]).alias("f")))
 
+    each = [weighed(c) for c in fields]
+    out = passages.select(F.col("ref").alias("owner"), *kept, F.xxhash64(*passages.columns).alias("digest"), F.concat(*each).alias("terms"))
+    return out.withColumn("d", F.aggregate("terms", F.lit(0), lambda a, x: a + x["n"]))
 
-def _weighed(column: str, weight: float) -> Column:
-    return F.transform(F.col(column), lambda t: F.struct(t.alias("term"), F.lit(weight).alias("w")))
+
+def owners_of(staged: DataFrame) -> DataFrame:
+    """name, digest, passages, tokens of each ref."""
+    digest = F.concat_ws("-", F.count(F.lit(1)).cast("string"), F.sum(F.col("digest").cast("decimal(38,0)")).cast("string"))
+    return staged.groupBy(F.col("owner").alias("name")).agg(digest.alias("digest"), F.count(F.lit(1)).alias("passages"), F.sum("d").cast("bigint").alias("tokens"))
+
+
+def tables(staged: DataFrame, stemmed: bool) -> dict[str, DataFrame]:
+    """Postings and, for stemmed search, the vocabulary: each different word meets the
+    stemmer once, whatever its occurrences."""
+    kept = [c for c in staged.columns if c not in ("terms", "digest")]
+    posts = staged.select(*kept, F.explode("terms").alias("t")).select(*kept, "t.term", "t.n", "t.f")
+    out = {"postings": posts}
+    if stemmed:
+        words = staged.select(F.explode("terms.term").alias("term")).distinct()
+        out["vocabulary"] = words.select("term", stem_of(F.col("term")).alias("stem"))
+    return out
+
+
+def store_at(spark: SparkSession, root: str) -> Store:
+    return Store(spark, root, KEYS, ("vocabulary",))
+
+
+def _stage(passages: DataFrame, root: str) -> tuple[DataFrame, str, int]:
+    """The counted passages, written once below the store; their folder and how many
+    postings they make."""
+    spark, path = passages.sparkSession, f"{root}/stage-{uuid.uuid4().hex}"
+    counted(passages).write.parquet(path)
+    staged = spark.read.parquet(path)
+    return staged, path, int(staged.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0])
+
+
+def build(passages: DataFrame, root: str, stemmed: bool = False, note: dict | None = None) -> Index:
+    """Index `passages` (ref, fragment, further columns to filter on, and the searched
+    ones) anew: one tokenisation, one shuffle of the postings."""
+    spark, store = passages.sparkSession, store_at(passages.sparkSession, root)
+    staged, path, n = _stage(passages, root)
+    at = store.apply({"owners": owners_of(staged), **tables(staged, stemmed)}, note={"format": FORMAT, "stemmed": stemmed, **(note or {})}, fresh=True, sizes={"postings": n})
+    sinks.remove(spark, path)
+    return Index(store, at, stemmed)
+
+
+def refresh(index: Index, passages: DataFrame, removed: DataFrame | None = None, note: dict | None = None) -> tuple[Index, dict[str, int]]:
+    """The index after a change: `passages` has all passages of the refs that may be
+    new or changed, `removed` the refs (ref) that are gone. Only refs whose passages
+    are others than before are written. Returns how many were added, changed,
+    unchanged and removed."""
+    store, spark = index.store, index.store.spark
+    staged, path, _ = _stage(passages, store.root)
+    fresh, before = owners_of(staged), index.store.owners(index.at)
+    told = fresh.select("name", F.col("digest").alias("is")).join(before.select("name", F.col("digest").alias("was")), "name", "left")
+    kind = F.when(F.col("was").isNull(), "added").when(F.col("was") == F.col("is"), "unchanged").otherwise("changed")
+    told.select("name", kind.alias("kind")).write.parquet(f"{path}-kinds")
+    kinds = spark.read.parquet(f"{path}-kinds")
+    counts = {k: 0 for k in ("added", "changed", "unchanged", "removed")} | {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()}
+    new = kinds.where("kind <> 'unchanged'").select(F.col("name").alias("owner"))
+    gone = kinds.where("kind = 'changed'").select(F.col("name").alias("owner"))
+    if removed is not None:
+        lost = removed.select(F.col("ref").alias("owner")).distinct().join(before.select(F.col("name").alias("owner")), "owner", "left_semi")
+        lost = lost.join(fresh.select(F.col("name").alias("owner")), "owner", "left_anti")
+        counts["removed"] = lost.count()
+        gone = gone.unionByName(lost)
+    some = counts["added"] + counts["changed"]
+    if some or counts["removed"]:
+        live = staged.join(F.broadcast(new) if some <= BROADCAST else new, "owner", "left_semi")
+        add = {"owners": owners_of(live), **tables(live, index.stemmed)} if some else {}
+        at = store.apply(add, gone, {**index.at["note"], **(note or {})})
+        index = Index(store, at, index.stemmed)
+    sinks.remove(spark, path)
+    sinks.remove(spark, f"{path}-kinds")
+    return index, counts
 
 
 def open_index(spark: SparkSession, root: str) -> Index | None:
-    held = sinks.current(spark, root)
-    return Index(spark, root, bool(held["note"].get("stemmed"))) if held else None
+    store = store_at(spark, root)
+    held = store.head()
+    return Index(store, held, bool(held["note"].get("stemmed"))) if held and held["note"].get("format") == FORMAT else None
+
+
+# --- many questions at once ---
+
+
+def find_all(index: Index, queries: DataFrame, limit: int, stemmed: bool | None = None) -> DataFrame:
+    """name, ref, fragment, score, rank of the first `limit` refs of every query (name,
+    query): a table of queries and terms meets the postings once, and all queries are
+    scored and cut in one plan. The order is that of `ranked` with one best passage."""
+    spark = index.store.spark
+    stemmed = index.stemmed if stemmed is None else stemmed
+    cut = query_stems if stemmed else query_terms
+
+    @F.udf("array<string>")
+    def terms_of(text: str) -> list[str]:
+        return cut(text or "")
+
+    asked = queries.select("name", F.explode(terms_of("query")).alias("term")).distinct()
+    # A query has MAX_TERMS terms at most, so this is bounded by the queries.
+    if stemmed:
+        words = index.store.table("vocabulary", index.at).select("stem", "term").distinct()
+        asked = asked.withColumnRenamed("term", "stem").join(words, "stem").select("name", F.col("stem").alias("as"), "term")
+    else:
+        asked = asked.select("name", F.col("term").alias("as"), "term")
+    few = asked.limit(BROADCAST + 1).count() <= BROADCAST
+    posts = index.store.table("postings", index.at)
+    wanted = asked.select("term", "as").distinct()
+    hit = posts.join(F.broadcast(wanted) if few else wanted, "term").drop("term", "n").withColumnRenamed("as", "term")
+    keep = [c for c in hit.columns if c not in ("term", "f", "d")]
+    hit = hit.groupBy(*keep, "d", "term").agg(F.sum("f").alias("f"))
+    n, mean = index.statistics()
+    parts = _parts(hit, F.lit(n), F.lit(mean))
+    asks = asked.select("name", F.col("as").alias("term")).distinct()
+    scored = parts.join(F.broadcast(asks) if few else asks, "term").groupBy("name", *keep).agg(F.sum("part").alias("score"))
+    if "weight" in keep:
+        scored = scored.withColumn("score", F.col("score") * F.col("weight"))
+    scored = scored.withColumn("score", F.round("score", 6))
+    best = Window.partitionBy("name", "ref").orderBy(F.desc("score"), "fragment")
+    late = F.coalesce(F.col("status").isin(*DEMOTED), F.lit(False)) if "status" in keep else F.lit(False)
+    order = Window.partitionBy("name").orderBy(late, F.desc("score"), "ref")
+    one = scored.withColumn("_n", F.row_number().over(best)).where("_n = 1")
+    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("name", "ref", "fragment", "score", "rank")
 
 
 # --- what is returned ---

@@ -13,6 +13,7 @@ from loomdex.functions.temporal import below, period
 from loomdex.operators import checks, graph, health, ingest, pages, search
 from loomdex.sources import adapters, corpus
 from loomdex.sources import brain as brains
+from loomdex.sources.segments import Store
 
 QUERY = "the and of tion hand eauxle"
 NOW = datetime(2024, 1, 31, tzinfo=timezone.utc)
@@ -52,30 +53,34 @@ def _index(spark: SparkSession, sf_dir: str, kind: str) -> search.Index:
     every query, and written anew when the tables' files are others."""
     name = "".join(c if c.isalnum() else "-" for c in sf_dir)
     root = sinks.shared_folder(spark, f"index-{kind}-{name}")
-    told = {"signature": kind, "manifest": " ".join(sinks.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))}
-    held = sinks.current(spark, root)
-    if held is None or held["note"] != {"stemmed": kind == "stemmed", **told}:
-        items = corpus.document_items(spark, sf_dir)
-        if kind == "lines":
-            passages = corpus.document_passages(items).drop("status").withColumn("fragment", F.format_string("%010d", "fragment"))
-        elif kind == "weighted":
-            passages = corpus.brain(spark, sf_dir).passages
-        else:
-            passages = items.drop("source").withColumn("fragment", F.lit(""))
-        search.build(passages, root, stemmed=kind == "stemmed", note=told)
-    return search.open_index(spark, root)
+    told = {"kind": kind, "manifest": " ".join(sinks.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))}
+    held = search.open_index(spark, root)
+    if held is not None and told.items() <= held.at["note"].items():
+        return held
+    items = corpus.document_items(spark, sf_dir)
+    if kind == "lines":
+        passages = corpus.document_passages(items).drop("status").withColumn("fragment", F.format_string("%010d", "fragment"))
+    elif kind == "weighted":
+        passages = corpus.brain(spark, sf_dir).passages
+    else:
+        passages = items.drop("source").withColumn("fragment", F.lit(""))
+    return search.build(passages, root, stemmed=kind == "words", note=told)
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _index(spark, sf_dir, "words").find(QUERY).drop("fragment")
+    return _index(spark, sf_dir, "words").find(QUERY, stemmed=False).drop("fragment")
 
 
-@query("SELECT 1::BIGINT AS built")
+@query(f"""WITH {_ITEMS}, tok AS (SELECT {_TOKENS} AS toks FROM items)
+SELECT (SELECT count(*) FROM items) AS passages, sum(len(toks))::BIGINT AS tokens, (SELECT count(*) FROM (SELECT unnest(list_distinct(toks)) FROM tok))::BIGINT AS postings FROM tok""")
 def index_build(spark, sf_dir):
-    """Write the index of the documents anew, as after a change of the tables."""
+    """Index the documents anew, as after a change of all tables; what it then holds."""
     items = corpus.document_items(spark, sf_dir).drop("source").withColumn("fragment", F.lit(""))
-    search.build(items, sinks.shared_folder(spark, "index-built-anew"))
-    return spark.range(1).select(F.lit(1).cast("bigint").alias("built"))
+    name = "".join(c if c.isalnum() else "-" for c in sf_dir)
+    index = search.build(items, sinks.shared_folder(spark, f"index-anew-{name}"))
+    index.store.vacuum(0)
+    held = index.store.table("postings", index.at).agg(F.count(F.lit(1)).alias("postings"), F.sum("n").alias("tokens"))
+    return held.select(F.lit(index.at["sums"]["passages"]).cast("bigint").alias("passages"), "tokens", "postings")
 
 
 @query(f"WITH {_BM25} SELECT ref, score, row_number() OVER (ORDER BY score DESC, ref) AS rank FROM scored ORDER BY score DESC, ref LIMIT 10")
@@ -86,7 +91,7 @@ def search_terms(spark, sf_dir):
 @query()
 def search_stemmed(spark, sf_dir):
     """Stems and accents have no SQL: the tests compare them with brute force."""
-    return search.ranked(_index(spark, sf_dir, "stemmed").find(QUERY).select("ref", "score"), 10)
+    return search.ranked(_index(spark, sf_dir, "words").find(QUERY, stemmed=True).select("ref", "score"), 10)
 
 
 _WEIGHED = _BM25.split("tok AS (")[0] + f"""tok AS (SELECT ref, status, {_TOKENS} AS toks, regexp_extract_all(lower('Document ' || doc_id), '[\\p{{L}}\\p{{N}}]+') AS head,
@@ -110,9 +115,9 @@ def search_weighted(spark, sf_dir):
 def search_excerpt(spark, sf_dir):
     """The first ten with an excerpt; only the texts of these ten are read."""
     index = _index(spark, sf_dir, "words")
-    top = search.ranked(index.find(QUERY).select("ref", "fragment", "score"), 10)
+    top = search.ranked(index.find(QUERY, stemmed=False).select("ref", "fragment", "score"), 10)
     texts = corpus.document_items(spark, sf_dir).select("ref", F.lit("").alias("fragment"), "text")
-    return index.returned(top, QUERY, texts).select("rank", "ref", "excerpt")
+    return index.returned(top, QUERY, texts, stemmed=False).select("rank", "ref", "excerpt")
 
 
 @query(f"WITH {_BM25} SELECT ref, score, row_number() OVER (ORDER BY score DESC, ref) AS rank FROM scored WHERE ref LIKE 'concepts/fr/%' ORDER BY score DESC, ref LIMIT 10")
@@ -197,15 +202,35 @@ _INCOMING = f"""{_EDGES}, {_LINKS}, {_LINKING}, found AS (
 _WANTED = ["customer:7", "nation:3"]
 
 
+def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
+    """The stored graph of the star schema's keys, written once for the tables' files."""
+    name = "".join(c if c.isalnum() else "-" for c in sf_dir)
+    kept = Store(spark, sinks.shared_folder(spark, f"graph-{name}"), graph.KEYS)
+    told = {"format": "1", "manifest": " ".join(sinks.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "supplier", "nation"))}
+    held = kept.head()
+    if held is None or held["note"] != told:
+        held = _graph_build(spark, sf_dir, kept, told)
+    return graph.Graph.stored(kept, held)
+
+
+def _graph_build(spark: SparkSession, sf_dir: str, kept: Store, told: dict) -> dict:
+    edges = corpus.order_edges(spark, sf_dir)
+    items = edges.select(F.col("item").alias("ref"), "time").distinct()
+    owners = items.select(F.col("ref").alias("name"), F.lit("").alias("digest"))
+    return kept.apply({"owners": owners, **graph.tables(items, corpus.names(spark, sf_dir), corpus.links(spark, sf_dir), edges)}, note=told, fresh=True)
+
+
 @query(f"WITH {_INCOMING} SELECT * FROM (SELECT relation, item, row_number() OVER (PARTITION BY relation ORDER BY time DESC NULLS LAST, item) AS rank FROM found) WHERE rank <= 20")
 def backlinks_grouped(spark, sf_dir):
     """Typed edges, and as untyped the links of items without one (sections count)."""
-    return graph.backlinks(corpus.order_edges(spark, sf_dir), corpus.links(spark, sf_dir), _WANTED)[1].select("relation", "item", "rank")
+    held = _graph(spark, sf_dir)
+    return graph.backlinks(held.edges, held.links, _WANTED)[1].select("relation", "item", "rank")
 
 
 @query(f"WITH {_INCOMING} SELECT relation, count(*) AS total, row_number() OVER (ORDER BY relation = '', relation) AS place FROM found GROUP BY relation")
 def backlink_groups(spark, sf_dir):
-    return graph.backlinks(corpus.order_edges(spark, sf_dir), corpus.links(spark, sf_dir), _WANTED)[0]
+    held = _graph(spark, sf_dir)
+    return graph.backlinks(held.edges, held.links, _WANTED)[0]
 
 
 @query(f"""WITH {_INCOMING}, parts AS (SELECT *, 'a' AS brain FROM found WHERE right(item, 1) IN ('1', '3', '5', '7', '9') UNION ALL SELECT *, 'b' FROM found WHERE right(item, 1) NOT IN ('1', '3', '5', '7', '9'))
@@ -255,7 +280,7 @@ def identity_ambiguous(spark, sf_dir):
 SELECT name FROM mine""")
 def identity_expanded(spark, sf_dir):
     """What an identity's only owner is also called; shared names never merge."""
-    found, _ = graph.expanded(corpus.names(spark, sf_dir), "customer:7")
+    found, _ = graph.expanded({"demo": _graph(spark, sf_dir)}, "customer:7")
     return spark.createDataFrame([(n,) for n in found], "name string")
 
 
@@ -264,30 +289,25 @@ def identity_expanded(spark, sf_dir):
 SELECT * FROM (SELECT ref, score, row_number() OVER (ORDER BY score DESC, t.time DESC NULLS LAST, ref) AS rank FROM c LEFT JOIN (SELECT DISTINCT item, time FROM edges) t ON t.item = ref) WHERE rank <= 30""")
 def identity_search(spark, sf_dir):
     """Owners of the identity or an alias, then what links to it, the newest first."""
-    edges = corpus.order_edges(spark, sf_dir)
-    items = edges.select(F.col("item").alias("ref"), "time").distinct()
-    names = corpus.names(spark, sf_dir)
-    found = graph.identity_candidates(items, names, corpus.links(spark, sf_dir), "customer:7", graph.expanded(names, "customer:7")[0])
-    return graph.identity_order(found, items, 30)
+    held = _graph(spark, sf_dir)
+    return graph.identity_order(graph.identity_candidates(held, "customer:7", graph.expanded({"demo": held}, "customer:7")[0]), 30)
 
 
 @query(f"""WITH {_EDGES}, {_LINKS}, {_LINKING} SELECT name, name IN (SELECT item FROM edges UNION SELECT wanted FROM linking UNION SELECT name FROM names) AS is_known
 FROM (SELECT unnest(['customer:1', 'nation:2', 'nation:99', 'region:1', 'crm:5', 'crm:none', 'segment:BUILDING']) AS name)""")
 def identity_known(spark, sf_dir):
-    edges = corpus.order_edges(spark, sf_dir)
-    asked = spark.createDataFrame([(x,) for x in ("customer:1", "nation:2", "nation:99", "region:1", "crm:5", "crm:none", "segment:BUILDING")], "name string")
-    return graph.known(edges.select(F.col("item").alias("ref")), corpus.names(spark, sf_dir), corpus.links(spark, sf_dir), asked)
+    return graph.known(_graph(spark, sf_dir), ["customer:1", "nation:2", "nation:99", "region:1", "crm:5", "crm:none", "segment:BUILDING"])
 
 
 @query(f"""WITH {_EDGES}, {_LINKS}, o AS (SELECT name, min(item) AS item FROM names GROUP BY name HAVING count(DISTINCT item) = 1)
 SELECT unnest(['crm:4', 'segment:BUILDING', 'crm:none']) AS ref UNION SELECT item FROM o WHERE name IN ('crm:4', 'segment:BUILDING', 'crm:none')""")
 def identity_local_refs(spark, sf_dir):
-    return graph.local_refs(corpus.names(spark, sf_dir), ["crm:4", "segment:BUILDING", "crm:none"])
+    return graph.local_refs(_graph(spark, sf_dir).names, ["crm:4", "segment:BUILDING", "crm:none"])
 
 
 @query("SELECT item AS ref FROM (SELECT 'segment:' || c_mktsegment AS name, 'projects/' || c_custkey || '.md' AS item FROM customer) WHERE name = 'segment:BUILDING'")
 def identity_owners(spark, sf_dir):
-    return graph.owners(corpus.names(spark, sf_dir), "segment:BUILDING")
+    return graph.owners(_graph(spark, sf_dir).names, "segment:BUILDING")
 
 
 @query("""SELECT c.c_custkey, count(*) AS newer FROM customer c JOIN orders o ON o.o_custkey = c.c_custkey

@@ -1,8 +1,8 @@
 """Where results go: versioned tables with a pointer, partitions of records, replies, logs.
 
-A table is written as a new version and becomes current by one small file, so a
-reader sees all of the old version or all of the new one, and a job that dies
-leaves the old one.
+A table is written as a new version and becomes current by one numbered file that
+is created once, so a reader sees all of the old version or all of the new one, a job
+that dies leaves the old one, and of two writers one is told that it came second.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ import atexit
 import json
 import shutil
 import tempfile
+import time
 import uuid
 from datetime import datetime
 from pathlib import Path
@@ -53,19 +54,26 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def replace_text(spark: SparkSession, path: str, text: str) -> None:
-    """Write a small file beside its place and rename it there."""
+    """Write a small file beside its place and move it there in one step."""
     fs, at = _fs(spark, path)
     if fs.exists(at) and not fs.getFileStatus(at).isFile():
         raise ValueError(f"{path} is no file")
-    scratch = spark._jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
-    out = fs.create(scratch, True)
+    jvm = spark._jvm
+    scratch = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
+    _put(fs, scratch, text)
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark._jsc.hadoopConfiguration())
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    over = spark.sparkContext._gateway.new_array(rename, 1)
+    over[0] = rename.OVERWRITE
+    context.rename(scratch, fs.makeQualified(at), over)
+
+
+def _put(fs, at, text: str, overwrite: bool = True) -> None:
+    out = fs.create(at, overwrite)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
-    fs.delete(at, False)  # a rename doesn't replace in every store
-    if not fs.rename(scratch, at):
-        raise OSError(f"cannot replace {path}")
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:
@@ -87,29 +95,103 @@ def fingerprint(spark: SparkSession, path: str) -> str:
     return f"{held.getFileCount()}-{held.getLength()}-{fs.getFileStatus(at).getModificationTime()}"
 
 
+# --- numbered commits ---
+
+
+class Conflict(RuntimeError):
+    """Another writer has published the same number first."""
+
+
+def _names(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _fs(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at)) if fs.exists(at) else []
+
+
+def subfolders(spark: SparkSession, path: str, prefix: str) -> list[int]:
+    """Numbers of the folders `prefix`N below a path."""
+    return sorted(int(n.removeprefix(prefix)) for n in _names(spark, path) if n.startswith(prefix))
+
+
+def _numbers(spark: SparkSession, folder: str) -> list[int]:
+    return sorted((int(n) for n in _names(spark, folder) if n.isdigit()), reverse=True)
+
+
+def next_number(spark: SparkSession, folder: str) -> int:
+    return max(_numbers(spark, folder), default=0) + 1
+
+
+def publish(spark: SparkSession, folder: str, number: int, body: dict) -> None:
+    """Make `body` the commit of this number. The body is written whole first; then
+    the number's file is created, which fails where it exists, so of two writers one
+    wins and readers see the old commit or the new one."""
+    name = f"body-{uuid.uuid4().hex}"
+    fs, at = _fs(spark, f"{folder}/{name}")
+    _put(fs, at, json.dumps({**body, "number": number}, sort_keys=True))
+    pointer = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{number:012d}")
+    try:
+        _put(fs, pointer, name, overwrite=False)
+    except Exception as error:
+        fs.delete(at, False)
+        if fs.exists(pointer):
+            raise Conflict(f"commit {number} of {folder} exists already") from None
+        raise error
+
+
+def latest(spark: SparkSession, folder: str) -> dict | None:
+    """The body of the greatest number whose file is complete."""
+    for number in _numbers(spark, folder):
+        name = read_text(spark, f"{folder}/{number:012d}")
+        text = read_text(spark, f"{folder}/{name}") if name else None
+        if text:
+            return json.loads(text)
+    return None
+
+
+def commits_since(spark: SparkSession, folder: str, seconds: float) -> list[dict]:
+    """The last commit, and those that were current within the last `seconds`."""
+    out, fs = [], None
+    for number in _numbers(spark, folder):
+        path = f"{folder}/{number:012d}"
+        fs, at = _fs(spark, path)
+        if text := read_text(spark, f"{folder}/{read_text(spark, path)}"):
+            out.append(json.loads(text))
+            # The one before was current until this one came.
+            if time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > seconds:
+                break
+    return out
+
+
+def sweep(spark: SparkSession, root: str, prefixes: tuple[str, ...], named: set[str], seconds: float = 0.0) -> list[str]:
+    """Delete the folders below `root` with these prefixes that are not named and
+    older than `seconds` (a job may be writing younger ones)."""
+    fs, at = _fs(spark, root)
+    gone = []
+    for status in fs.listStatus(at) if fs.exists(at) else []:
+        name = status.getPath().getName()
+        if name.startswith(prefixes) and name not in named and time.time() - status.getModificationTime() / 1000 >= seconds:
+            fs.delete(status.getPath(), True)
+            gone.append(name)
+    return sorted(gone)
+
+
 # --- versions of several tables ---
 
 
 def commit(spark: SparkSession, root: str, tables: dict[str, DataFrame], note: dict | None = None, partition: dict[str, list[str]] | None = None) -> str:
-    """Write all tables as one version below `root` and make it current; older
-    versions than the one before go. Returns the version's folder."""
-    before = current(spark, root)
-    version = f"v-{uuid.uuid4().hex}"
+    """Write all tables as one version below `root` and make it current. Older
+    versions stay until `recover`, since queries may still read them."""
+    number, version = next_number(spark, f"{root}/commits"), f"v-{uuid.uuid4().hex}"
     for name, df in tables.items():
         out = df.write.mode("error")
         if partition and name in partition:
             out = out.partitionBy(*partition[name])
         out.parquet(f"{root}/{version}/{name}")
-    told = {"version": version, "before": before["version"] if before else None, "note": note or {}}
-    replace_text(spark, f"{root}/CURRENT", json.dumps(told, sort_keys=True))
-    if before and before.get("before"):
-        remove(spark, f"{root}/{before['before']}")
+    publish(spark, f"{root}/commits", number, {"version": version, "note": note or {}})
     return f"{root}/{version}"
 
 
 def current(spark: SparkSession, root: str) -> dict | None:
-    text = read_text(spark, f"{root}/CURRENT")
-    return json.loads(text) if text else None
+    return latest(spark, f"{root}/commits")
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -119,18 +201,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{held['version']}/{name}")
 
 
-def recover(spark: SparkSession, root: str) -> list[str]:
-    """Delete versions that no pointer names: what failed jobs left."""
-    held = current(spark, root) or {}
-    fs, at = _fs(spark, root)
-    gone = []
-    if fs.exists(at):
-        for status in fs.listStatus(at):
-            name = status.getPath().getName()
-            if name.startswith("v-") and name not in (held.get("version"), held.get("before")):
-                fs.delete(status.getPath(), True)
-                gone.append(name)
-    return sorted(gone)
+def recover(spark: SparkSession, root: str, keep_seconds: float = 3600.0) -> list[str]:
+    """Delete versions that were not current within the last `keep_seconds`, and what
+    failed jobs left."""
+    named = {b["version"] for b in commits_since(spark, f"{root}/commits", keep_seconds)}
+    return sweep(spark, root, ("v-",), named, keep_seconds)
 
 
 # --- records as files ---

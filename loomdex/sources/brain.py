@@ -18,8 +18,9 @@ from loomdex.functions.identity import AUTHORED, MAX_VALUE, address, clean, is_a
 from loomdex.functions.markdown import MAX_NOTE, parse_notes
 from loomdex.functions.temporal import canonical, modified, note_time
 from loomdex.functions.text import lead
-from loomdex.operators import search
+from loomdex.operators import graph, search
 from loomdex.sources.config import Config, signature
+from loomdex.sources.segments import Store
 
 MAX_FILES, MAX_LEVELS, MAX_PARTITION = 100_000, 64, 256 << 20
 RECORD_KEYS = ("id", "title", "text", "time", "url", "links", "aliases", "attributes", "fields")
@@ -31,7 +32,11 @@ ITEM = (
 
 
 TABLES = ("items", "passages", "names", "links", "edges", "problems")
-
+#: Tables of a stored brain that are looked up by a column, and their format.
+KEYS = {"passages": "ref", "links": "item", **graph.KEYS, **search.KEYS}
+FORMAT = 2
+#: Changed files that are named to Spark; of more, the whole folder is read.
+NAMED_FILES = 1000
 
 @dataclass(frozen=True)
 class Brain:
@@ -42,7 +47,12 @@ class Brain:
     links: DataFrame  # item, target, time
     edges: DataFrame  # item, subject, relation, target, origin, time
     problems: DataFrame | None = None  # file, problem
-    index: search.Index | None = None  # stems of the passages
+    index: search.Index | None = None  # of the passages
+    stored: graph.Graph | None = None  # names, links and claims by what is asked of them
+
+    @property
+    def graph(self) -> graph.Graph:
+        return self.stored or graph.Graph.of(self.items, self.names, self.links, self.edges)
 
 
 # --- files ---
@@ -84,9 +94,10 @@ def partitions(listed: DataFrame, source: str | None = None) -> DataFrame:
     return found if source is None else found.where(F.col("source") == source)
 
 
-def read_notes(spark: SparkSession, root: str) -> DataFrame:
-    """One row of the note struct for each file below the authored folders."""
-    folders = [f"{root}/{name}" for name in AUTHORED if _exists(spark, f"{root}/{name}")]
+def read_notes(spark: SparkSession, root: str, only: list[str] | None = None) -> DataFrame:
+    """One row of the note struct for each file below the authored folders, or of
+    those paths among them."""
+    folders = [f"{root}/{name}" for name in AUTHORED if _exists(spark, f"{root}/{name}")] if only is None else [f"{root}/{p}" for p in only]
     if not folders:
         return parse_notes(spark.createDataFrame([], "path string, text string"))
     text = spark.read.text(folders, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.md")
@@ -125,8 +136,8 @@ def record_problem(line: Column) -> Column:
     return out
 
 
-def read_records(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records with their file, problems). A file with a bad line is rejected as a
+def read_records(spark: SparkSession, path: str | list[str]) -> tuple[DataFrame, DataFrame]:
+    """(records with their file, problems) of a folder or of some files. A file with a bad line is rejected as a
     whole; blank lines are skipped; times are canonical, links and aliases sorted sets."""
     lines = spark.read.text(path, recursiveFileLookup=True, pathGlobFilter="*.jsonl").select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
     marked = lines.withColumn("problem", record_problem(F.col("value")))
@@ -314,13 +325,11 @@ def with_times(rows: DataFrame, items: DataFrame, tz: str = "UTC") -> DataFrame:
 
 
 def project(notes: DataFrame, records: DataFrame, config: Config, tz: str = "UTC") -> Brain:
-    """The five tables of a brain's notes and records. An item whose ref another has
+    """The five tables of a brain's notes and records. A record that another file has
     already is a problem: the least path stays."""
+    records, problems = sole(records)
     items = note_items(notes).unionByName(record_items(records))
-    twice = items.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first")).where("n > 1")
-    problems = notes.where("problem is not null").select(F.col("path").alias("file"), "problem")
-    problems = problems.unionByName(twice.select(F.col("first").alias("file"), F.concat("ref", F.lit(": stored more than once")).alias("problem")))
-    items = items.join(twice.select("ref", "first"), "ref", "left").where("first is null or path = first").drop("first")
+    problems = notes.where("problem is not null").select(F.col("path").alias("file"), "problem").unionByName(problems.select("file", "problem"))
     edges = note_claims(notes, config).unionByName(record_claims(records, config))
     links = note_links(notes, config).unionByName(edges.select("item", "target")).distinct()
     return Brain(
@@ -329,33 +338,120 @@ def project(notes: DataFrame, records: DataFrame, config: Config, tz: str = "UTC
     )
 
 
+def sole(records: DataFrame, taken: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(records without those whose id a lesser path has too, problems: file, problem,
+    again). `taken`: ref, path of records that are stored; `again` is the file to look
+    at when the one that stays changes."""
+    path = F.concat(F.lit("memories/"), "source", F.lit("/"), "partition", F.lit(".jsonl"))
+    here = records.select(F.concat_ws(":", "source", "id").alias("ref"), path.alias("path"))
+    every = here if taken is None else here.unionByName(taken.select("ref", "path"))
+    twice = every.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("first"), F.max("path").alias("last")).where("n > 1")
+    marked = records.withColumn("_path", path).withColumn("_ref", F.concat_ws(":", "source", "id"))
+    kept = marked.join(twice.select(F.col("ref").alias("_ref"), "first"), "_ref", "left").where("first is null or _path = first")
+    kept = kept.dropDuplicates(["_ref"]).drop("_ref", "_path", "first")
+    return kept, twice.select(F.col("first").alias("file"), F.concat("ref", F.lit(": stored more than once")).alias("problem"), F.col("last").alias("again"))
+
+
+# --- a brain that follows its files ---
+
+
+def _changes(listed: DataFrame, store: Store, held: dict | None) -> tuple[dict[str, str], DataFrame]:
+    """(path: digest of the files to read; the paths that are new, others or gone).
+    Files with a problem are read again whenever anything has changed."""
+    now = inputs(listed)
+    if held is None:
+        return {r.path: r.digest for r in now.collect()}, now.select("path")  # at most MAX_FILES
+    was = store.table("files", held)
+    both = was.withColumnRenamed("digest", "was").join(now.withColumnRenamed("digest", "is"), "path", "full_outer")
+    rows = both.where("was is null or is is null or was <> is").collect()
+    if rows:
+        again = {p for r in store.table("problems", held).select("file", "again").collect() for p in (r.file, r.again) if p}
+        rows += both.where(F.col("path").isin(sorted(again - {r.path for r in rows}))).collect() if again else []
+    paths = store.spark.createDataFrame([(r.path,) for r in rows], "path string")
+    return {r.path: r["is"] for r in rows if r["is"] is not None}, paths
+
+
+def _read(spark: SparkSession, root: str, changed: dict[str, str], whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """notes, records, bad files of the files that are new or others."""
+    notes = sorted(p for p in changed if p.split("/")[0] in AUTHORED)
+    parts = sorted(p for p in changed if p.startswith("memories/"))
+    blank = "file string, id string, title string, text string, time timestamp_ntz, url string, links array<string>, aliases array<string>, attributes string, fields map<string,string>, source string, partition string"
+    found = read_notes(spark, root, None if whole and len(notes) > NAMED_FILES else notes)
+    if not parts:
+        return found, spark.createDataFrame([], blank), spark.createDataFrame([], "file string, problem string")
+    records, bad = read_records(spark, f"{root}/memories" if whole and len(parts) > NAMED_FILES else [f"{root}/{p}" for p in parts])
+    return found, in_partitions(records), bad.select(_inside(F.col("file"), root).alias("file"), "problem")
+
+
+def refresh(spark: SparkSession, root: str, config: Config, tz: str = "UTC", store: str | None = None) -> tuple[Store, dict, dict[str, int]]:
+    """Bring the stored tables of a folder up to its files. Only files that are new or
+    others are read, and of them only notes and records that are others are written.
+    Returns the store, its commit and how many items were added, changed, unchanged,
+    removed."""
+    at = store or sinks.shared_folder(spark, f"brain-{hashlib.sha256(root.encode()).hexdigest()[:16]}")
+    kept = Store(spark, at, KEYS, ("vocabulary",))
+    told = {"format": FORMAT, "signature": f"{signature(config)}-{tz}"}
+    held = kept.head()
+    if held is not None and {k: held["note"].get(k) for k in told} != told:
+        held = None
+    counts = {k: 0 for k in ("added", "changed", "unchanged", "removed")}
+    changed, paths = _changes(files(spark, root), kept, held)
+    if held is not None and not changed and paths.isEmpty():
+        return kept, held, counts
+    step = f"{at}/read-{uuid.uuid4().hex}"
+    notes, records, bad = _read(spark, root, changed, held is None)
+    save = lambda df, name: (df.write.parquet(f"{step}/{name}"), spark.read.parquet(f"{step}/{name}"))[1]
+    # Markdown and JSON are read once; everything else is made of what was read.
+    notes, records, bad = save(notes, "notes"), save(records, "records"), save(bad, "bad")
+    before = kept.owners(held).select("name", "path", "digest") if held else spark.createDataFrame([], "name string, path string, digest string")
+    # Stored owners of other files than those that are read now.
+    elsewhere = before.join(paths, "path", "left_anti").where("path like 'memories/%' and name <> path").select(F.col("name").alias("ref"), "path")
+    records, twice = sole(records, elsewhere)
+    records, twice = save(records, "sole"), save(twice, "twice")
+    brain = project(notes, records, config, tz)
+    staged = save(search.counted(brain.passages), "counted")
+    size = search.owners_of(staged).select("name", "passages", "tokens")
+    digest = lambda df: F.sha2(F.to_json(F.struct(*sorted(df.columns))), 256)
+    own = notes.where("problem is null").select(F.col("path").alias("name"), "path", digest(notes).alias("digest"))
+    path = F.concat(F.lit("memories/"), "source", F.lit("/"), "partition", F.lit(".jsonl"))
+    said = records.withColumn("fields", F.to_json("fields")).drop("file")
+    own = own.unionByName(records.withColumn("fields", F.to_json("fields")).select(F.concat_ws(":", "source", "id").alias("name"), path.alias("path"), F.sha2(F.to_json(F.struct(*sorted(said.columns))), 256).alias("digest")))
+    own = own.join(size, "name", "left").na.fill(0, ["passages", "tokens"])
+    listed = spark.createDataFrame(sorted(changed.items()), "path string, digest string")
+    fresh = save(own, "owners")
+    kinds = fresh.join(before.select("name", F.col("digest").alias("was"), F.col("path").alias("old")), "name", "left")
+    same = (F.col("was") == F.col("digest")) & (F.col("old") == F.col("path"))
+    kinds = save(kinds.select("name", F.when(F.col("was").isNull(), "added").when(same, "unchanged").otherwise("changed").alias("kind")), "kinds")
+    lost = before.join(paths, "path", "left_semi").where("name <> path or path not like 'memories/%'").select("name").join(fresh.select("name"), "name", "left_anti")
+    counts |= {r.kind: r["count"] for r in kinds.groupBy("kind").count().collect()} | {"removed": lost.count()}
+    new = kinds.where("kind <> 'unchanged'").select(F.col("name").alias("owner"))
+    some = counts["added"] + counts["changed"]
+    live = F.broadcast(new) if some <= 200_000 else new
+    pick = lambda df, column: df.join(live, df[column] == live["owner"], "left_semi")
+    items, edges = pick(brain.items, "ref"), pick(brain.edges, "item")
+    tables = graph.tables(items, pick(brain.names, "item"), pick(brain.links, "item"), edges)
+    tables |= {"passages": pick(brain.passages, "ref").withColumn("owner", F.col("ref")), "links": pick(brain.links, "item").withColumn("owner", F.col("item")), **search.tables(staged.join(live, "owner", "left_semi"), True)}
+    problems = notes.where("problem is not null").select(F.col("path").alias("file"), "problem").unionByName(bad).withColumn("again", F.lit(""))
+    tables["problems"] = problems.unionByName(twice).withColumn("owner", F.concat(F.lit("!"), "file"))
+    # A file is an owner of its line in the manifest, and of its problems.
+    tables["files"] = listed.withColumn("owner", F.concat(F.lit("/"), "path"))
+    tables["owners"] = pick(fresh, "name").select("name", "path", "digest", "passages", "tokens").unionByName(
+        listed.select(F.concat(F.lit("/"), "path").alias("name"), F.lit("").alias("path"), "digest", F.lit(0).cast("bigint").alias("passages"), F.lit(0).cast("bigint").alias("tokens"))
+    )
+    old = kinds.where("kind = 'changed'").select(F.col("name").alias("owner")).unionByName(lost.select(F.col("name").alias("owner")))
+    old = old.unionByName(paths.select(F.explode(F.array(F.concat(F.lit("/"), "path"), F.concat(F.lit("!"), "path"))).alias("owner")))
+    body = kept.apply(tables, old, {**told}, fresh=held is None)
+    sinks.remove(spark, step)
+    return kept, body, counts
+
+
 def open_brain(spark: SparkSession, root: str, config: Config, tz: str = "UTC", store: str | None = None) -> Brain:
-    """The tables of a folder as they were last committed below `store`, made anew
-    when its files or its schema are others. Unreadable files are problems beside
-    the answer."""
-    store = store or sinks.shared_folder(spark, f"brain-{hashlib.sha256(root.encode()).hexdigest()[:16]}")
-    told = {"signature": f"{signature(config)}-{tz}", "manifest": manifest_digest(inputs(files(spark, root)))}
-    held = sinks.current(spark, store)
-    if held is None or held["note"] != told:
-        notes = read_notes(spark, root)
-        records = bad = None
-        if _exists(spark, f"{root}/memories"):
-            records, bad = read_records(spark, f"{root}/memories")
-            records = in_partitions(records)
-        else:
-            records = spark.createDataFrame([], "file string, id string, title string, text string, time timestamp_ntz, url string, links array<string>, aliases array<string>, attributes string, fields map<string,string>, source string, partition string")
-        # Markdown and JSON are read once; the tables are made of what was read.
-        step = f"{store}/read-{uuid.uuid4().hex}"
-        notes.write.parquet(f"{step}/notes")
-        records.write.parquet(f"{step}/records")
-        brain = project(spark.read.parquet(f"{step}/notes"), spark.read.parquet(f"{step}/records"), config, tz)
-        problems = brain.problems
-        if bad is not None:
-            problems = problems.unionByName(bad.select(_inside(F.col("file"), root).alias("file"), "problem"))
-        sinks.commit(spark, store, {t: getattr(brain, t) for t in TABLES[:-1]} | {"problems": problems}, told)
-        sinks.remove(spark, step)
-        search.build(sinks.read_table(spark, store, "passages"), f"{store}-index", stemmed=True, note=told)
-    return Brain(config.name, *[sinks.read_table(spark, store, t) for t in TABLES], search.open_index(spark, f"{store}-index"))
+    """The tables of a folder as its files are now; see `refresh`. Unreadable files
+    are problems beside the answer."""
+    kept, body, _ = refresh(spark, root, config, tz, store)
+    rows = [kept.table(t, body) for t in TABLES[:-1]]
+    rows[TABLES.index("names")] = rows[TABLES.index("names")].drop("time")
+    return Brain(config.name, *rows, kept.table("problems", body).select("file", "problem"), search.Index(kept, body, True), graph.Graph.stored(kept, body))
 
 
 def manifest_digest(manifest: DataFrame) -> str:

@@ -21,29 +21,22 @@ class BadConfig(ValueError):
 
 
 def yaml_object(text: str | bytes) -> dict:
-    """A mapping without anchors, aliases, repeated keys, deep nesting or bulk."""
+    """A mapping without anchors, aliases, repeated keys, deep nesting or bulk. It is
+    built from the parser's events as they come, so what is too much is not read on."""
     import yaml
 
-    raw = text.encode() if isinstance(text, str) else text
+    raw = text if isinstance(text, bytes) else text.encode()
     if len(raw) > MAX_BYTES:
         raise BadConfig("YAML above 1 MiB")
+    builder = _Builder()
     try:
-        depth = most = count = 0
-        for event in yaml.parse(raw.decode(), Loader=yaml.SafeLoader):
-            count += 1
-            if getattr(event, "anchor", None) is not None:
-                raise BadConfig("YAML anchors and aliases are not read")
-            depth += isinstance(event, yaml.CollectionStartEvent) - isinstance(event, yaml.CollectionEndEvent)
-            most = max(most, depth)
-            if most > MAX_DEPTH or count > MAX_EVENTS:
-                raise BadConfig("YAML is nested too deep or too long")
-        loader = _strict()(raw.decode())
-        try:
-            found = loader.get_single_data()
-        finally:
-            loader.dispose()
+        for event in yaml.parse(raw.decode(), Loader=getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+            builder.take(event)
     except (yaml.YAMLError, UnicodeDecodeError) as error:
         raise BadConfig(f"invalid YAML: {getattr(error, 'problem', None) or 'not UTF-8'}") from None
+    if len(builder.documents) > 1:
+        raise BadConfig("more than one YAML document")
+    found = builder.documents[0] if builder.documents else None
     if found is None:
         return {}
     if not isinstance(found, dict) or not all(isinstance(k, str) for k in found):
@@ -51,23 +44,56 @@ def yaml_object(text: str | bytes) -> dict:
     return found
 
 
-def _strict():
-    """The loader's class, made where it is used: a cached function would not travel
-    with a task."""
-    import yaml
-
-    class Strict(yaml.SafeLoader):
-        """Repeated keys are errors; dates stay text."""
-
-    def mapping(loader, node, deep=False):
-        keys = [k.value for k, _ in node.value]
-        if len(set(keys)) != len(keys):
-            raise BadConfig("repeated key")
-        return {loader.construct_object(k, deep=True): loader.construct_object(v, deep=True) for k, v in node.value}
-
-    Strict.add_constructor("tag:yaml.org,2002:map", mapping)
-    Strict.add_constructor("tag:yaml.org,2002:timestamp", lambda loader, node: loader.construct_scalar(node))
-    return Strict
+class _Builder:
+    """Values of YAML events. `open` has the containers that are not closed yet, each
+    with the key that waits for its value."""
+
+    WAITS = object()
+
+    def __init__(self) -> None:
+        import yaml
+
+        self.documents: list = []
+        self.open: list[list] = []
+        self.events = 0
+        self.resolver, self.constructor, self.scalar = yaml.resolver.Resolver(), yaml.constructor.SafeConstructor(), yaml.ScalarNode
+
+    def take(self, event) -> None:
+        self.events += 1
+        if self.events > MAX_EVENTS:
+            raise BadConfig("YAML has too many parts")
+        if getattr(event, "anchor", None) is not None:
+            raise BadConfig("YAML anchors and aliases are not read")
+        kind = type(event).__name__.removesuffix("Event")
+        if kind in ("MappingStart", "SequenceStart"):
+            if len(self.open) == MAX_DEPTH:
+                raise BadConfig("YAML is nested too deep")
+            self.open.append([{} if kind == "MappingStart" else [], self.WAITS])
+        elif kind in ("MappingEnd", "SequenceEnd"):
+            self.put(self.open.pop()[0])
+        elif kind == "Scalar":
+            self.put(self.value(event))
+
+    def value(self, event):
+        tag = event.tag if event.tag not in (None, "!") else self.resolver.resolve(self.scalar, event.value, event.implicit)
+        if tag.rpartition(":")[2] in ("str", "timestamp", "merge", "value"):
+            return event.value  # dates stay text
+        return self.constructor.construct_object(self.scalar(tag, event.value, event.start_mark, event.end_mark))
+
+    def put(self, value) -> None:
+        if not self.open:
+            self.documents.append(value)
+            return
+        held, key = self.open[-1]
+        if isinstance(held, list):
+            held.append(value)
+        elif key is self.WAITS:
+            if not isinstance(value, str | int | float | bool | None) or value in held:
+                raise BadConfig("repeated key" if isinstance(value, str) else "a key is one plain value")
+            self.open[-1][1] = value
+        else:
+            held[key] = value
+            self.open[-1][1] = self.WAITS
 
 
 @dataclass(frozen=True)

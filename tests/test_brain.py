@@ -181,16 +181,50 @@ def test_cases(spark, folder, home):
             checks.load_cases(spark, {"s": {"cases": bad}})
 
 
-def test_notes():
-    note = markdown.read_note("projects/some-name.md", "Intro\r\n\n## Same\n## Same\nx y\n\n```\n# no\n- [ ] no\n```\n### Last {#end}\n")
-    assert note["title"] == "some name" and [p["fragment"] for p in note["passages"]] == ["", "same", "same-1", "end"] and "x y" in note["passages"][2]["text"] and note["tasks_open"] == 0
-    assert markdown.section("# A\n## B\nx\n### C\ny\n## D\n", "b") == "## B\nx\n### C\ny\n" and markdown.section("# A\n", "z") is None
-    for bad in ("---\nx: 1\n", "# A {#a.md}\n", "# A {#a}\n# A {#a}\n", "---\nupdated: 2026-13-01\n---\n", "---\nstatus: odd\n---\n", "---\na: &x 1\nb: *x\n---\n", "---\na: 1\na: 2\n---\n"):
-        with pytest.raises(ValueError):
-            markdown.read_note("projects/x.md", bad)
-    for path, text in (("concepts/index.md", "---\ntype: x\n---\n"), ("concepts/log.md", "## soon\n"), ("concepts/a.md", "---\ntype: c\nverified: {by: x}\n---\n"), ("concepts/a.md", "---\ntype: c\nsources: [x]\n---\n")):
-        assert markdown.concept_problem(path, text)
-    assert markdown.concept_problem("concepts/log.md", "## 2026-09-01\n") is None and markdown.concept_problem("concepts/index.md", "---\nokf_version: 1\n---\n") is None
+def read_note(spark, path, text):
+    return markdown.parse_notes(spark.createDataFrame([(path, text)], "path string, text string")).first()
+
+
+def test_notes(spark):
+    note = read_note(spark, "projects/some-name.md", "Intro\r\n\n## Same\n## Same\nx y\n\n```\n# no\n- [ ] no\n```\n### Last {#end}\n")
+    assert note.title == "some name" and [p.fragment for p in note.passages] == ["", "same", "same-1", "end"] and "x y" in note.passages[2].text and note.tasks_open == 0
+    assert note.passages[2].text == "x y\n\n```\n# no\n- [ ] no\n```\n" and note.passages[0].text == "Intro" and note.lead == "Intro"
+    files = lambda *texts: spark.createDataFrame([(f"projects/{i}.md", t) for i, t in enumerate(texts)], "path string, text string")
+    assert [r.text for r in markdown.sections(files("# A\n## B\nx\n### C\ny\n## D\n", "# A\n"), "b").collect()] == ["## B\nx\n### C\ny\n"]
+    bad = ("---\nx: 1\n", "# A {#a.md}\n", "# A {#a}\n# A {#a}\n", "---\nupdated: 2026-13-01\n---\n", "---\nstatus: odd\n---\n", "---\na: &x 1\nb: *x\n---\n", "---\na: 1\na: 2\n---\n", "---\ntags: x\n---\n", "x" * (markdown.MAX_NOTE + 1))
+    rows = markdown.parse_notes(files(*bad)).collect()
+    assert len(rows) == len(bad) and all(r.problem and r.problem.startswith(r.path) and r.title is None for r in rows)
+    concepts = {"concepts/index.md": "---\ntype: x\n---\n", "concepts/log.md": "## soon\n", "concepts/a.md": "---\ntype: c\nverified: {by: x}\n---\n", "concepts/b.md": "---\ntype: c\nsources: [x]\n---\n", "concepts/c.md": "# no type\n"}
+    fine = {"concepts/x/log.md": "## 2026-09-01\n", "concepts/x/index.md": "# only a title\n", "concepts/d.md": "---\ntype: c\nstatus: stable\n---\n", "projects/e.md": "# E\n"}
+    told = markdown.concept_problems(spark.createDataFrame([*concepts.items(), *fine.items()], "path string, text string"))
+    assert {r.path for r in told.collect()} == set(concepts)
+    assert markdown.concept_problems(spark.createDataFrame([("concepts/index.md", "---\nokf_version: 1\n---\n")], "path string, text string")).count() == 0
+
+
+def test_headings(spark):
+    note = read_note(spark, "projects/x.md", "# snake_case *name*\n## `code` and __bold__\nTitle\n=====\nsub\n---\n> ## quoted\n\n    # code\n\n- item\n\n    ## in a list\n\n## a\n## a\n## a-1\n## a\n##\n## Ends ##\n#no\n\n---\n")
+    assert [p.fragment for p in note.passages] == ["", "code-and-bold", "sub", "quoted", "in-a-list", "a", "a-1", "a-1-1", "a-2", "section", "ends"]
+    assert note.title == "snake_case name" and set(note.slugs) >= {"snake_case-name", "title"} and note.passages[2].text == "> ## quoted\n"[:0]
+    assert [p.heading for p in note.passages][1:3] == ["code and bold", "sub"]
+    assert read_note(spark, "projects/a-b.md", "Big\n===\nrest\n").passages[0].asDict() == {"fragment": "", "title": "Big", "heading": "Big", "text": "rest"}
+
+
+def test_links(spark):
+    text = (
+        "[one](a.md) ![no](i.png) `[no](b.md)` \\[no\\](c.md) <!-- [no](d.md) --> <https://e.org/x>\n[two\nlines](two.md \"title\") ``a ` [no](f.md)\nover`` [ref][Key] and [key] [none][x]\n\n"
+        "    [no](code.md)\n    - [ ] no\n\n## Part\n> [quoted](q.md) [angle](<a b.md>) [par](p(1).md) [nest [x] y](n.md)\n\n<!--\n[no](g.md)\n-->\n[key]: k.md 'K'\n\n- a\n    - [ ] deep [t](t.md)\n> - [x] done *it*\n~~~ x\n[no](h.md)\n~~~\n#### [head](h1.md)\n"
+    )
+    note = read_note(spark, "projects/x.md", text)
+    got = {(c.target, c.fragment) for c in note.contexts}
+    assert got == {("a.md", ""), ("https://e.org/x", ""), ("two.md", ""), ("k.md", ""), ("q.md", "part"), ("a b.md", "part"), ("p(1).md", "part"), ("n.md", "part"), ("t.md", "part"), ("h1.md", "head")}
+    assert note.targets == sorted({t for t, _ in got}) and (note.tasks_open, note.tasks_done, note.next) == (1, 1, "deep t")
+
+
+def test_long_and_odd_notes(spark):
+    texts = ["", None, "\n", "# " + "a" * 100_000, "[" * 50_000, "`" * 20_001, "```\n" + "x\n" * 100_000, "[a](" * 20_000, "- [ ] t\n" * 3000, "<!-- " * 10_000, "> " * 20_000, "*" * 50_000 + "\n" + "_" * 50_000]
+    rows = markdown.parse_notes(spark.createDataFrame([(f"projects/n{i}.md", t) for i, t in enumerate(texts)], "path string, text string")).collect()
+    assert len(rows) == len(texts) and all(r.problem is None for r in rows)
+    assert {r.path: r.tasks_open for r in rows}["projects/n8.md"] == 3000
 
 
 def test_config(root, folder, tmp_path):
@@ -246,7 +280,10 @@ def test_gate_and_versions(spark, tmp_path):
         sinks.commit(spark, at, {"t": manifest}, note)
     assert ingest.gate(spark, at, manifest.orderBy("path"), "s") == "ready" and ingest.gate(spark, at, manifest.limit(1), "s") == "stale" and ingest.gate(spark, at, manifest, "other") == "rebuild"
     manifest.write.parquet(f"{at}/v-lost/t")
-    assert sinks.recover(spark, at) == ["v-lost"] and sinks.read_table(spark, at, "t").count() == 2 and len([p for p in (tmp_path / "p").iterdir() if p.name.startswith("v-")]) == 2
+    # Versions stay while queries may read them.
+    assert sinks.recover(spark, at) == [] and sinks.read_table(spark, at, "t").count() == 2
+    gone = sinks.recover(spark, at, keep_seconds=0)
+    assert "v-lost" in gone and len(gone) == 3 and sinks.read_table(spark, at, "t").count() == 2
 
 
 def test_sinks(spark, tmp_path):

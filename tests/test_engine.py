@@ -3,7 +3,7 @@ from datetime import datetime, timezone
 import pytest
 from pyspark.sql import functions as F
 
-from loomdex.functions import identity, temporal, text
+from loomdex.functions import identity, markdown, temporal, text
 from loomdex.operators import graph, ingest, search
 from loomdex.sources.brain import resolved_path
 
@@ -32,7 +32,13 @@ def test_scopes():
     assert temporal.period("2026-03-29", NOW, "Europe/Paris").since.isoformat()[:16] == "2026-03-28T23:00"
     assert temporal.scope("memories/meetings/2026-08", NOW).prefix == "memories/meetings"
     assert temporal.scope("repo:example/project", NOW).target == "repo:example/project"
-    for bad in ("brain.yaml", "sensors", "../x", "soon"):
+    for word, day in (("today", "2026-09-22"), ("yesterday", "2026-09-21")):
+        assert temporal.scope(word, NOW) == temporal.scope(day, NOW) == temporal.period(word, NOW) and temporal.period(word, NOW).previous < day
+    assert temporal.period("today", datetime(2026, 3, 29, 23, 30, tzinfo=timezone.utc), "Europe/Paris") == temporal.period("2026-03-30", NOW, "Europe/Paris")
+    prefixes = {"memories/meetings/undated": "memories/meetings/undated.jsonl", "memories/meetings/snapshot": "memories/meetings/snapshot.jsonl", "memories/meetings/2026-08.jsonl": "memories/meetings/2026-08.jsonl", "memories/meetings/": "memories/meetings", "projects/a": "projects/a"}
+    assert {v: temporal.scope(v, NOW).prefix for v in prefixes} == prefixes and temporal.scope("memories/meetings/2026-08.jsonl", NOW).since is None
+    assert temporal.scope("memories/meetings/2026-08-30", NOW).since.isoformat()[:16] == "2026-08-30T00:00"
+    for bad in ("brain.yaml", "sensors", "../x", "soon", "memories/../x"):
         with pytest.raises(ValueError):
             temporal.scope(bad, NOW)
 
@@ -68,7 +74,7 @@ def test_terms_and_json(spark):
     assert text.query_terms("the retention guide") == ["retention", "guide"] and text.query_terms("the") == ["the"]
     row = spark.sql("select '{\"a\":1,\"a\":2}' as dup, '{\"a/b\":{\"~\":[\"ok\"]}}' as deep").select(
         identity.strict_json(F.col("dup")).isNull().alias("bad"), identity.at_pointer(F.try_parse_json("deep"), "/a~1b/~0/0").alias("v"),
-        text.slug(F.lit("Next actions!")).alias("s"), text.plain(F.lit("## A [b](c) *d*")).alias("p"), temporal.canonical(F.lit("2026-09-01T02:00:00+02:00")).alias("t"), temporal.canonical(F.lit("2026-09-01T02:00:00")).alias("n"),
+        markdown.slug(F.lit("Next actions!")).alias("s"), markdown.plain(F.lit("## A [b](c) *d*")).alias("p"), temporal.canonical(F.lit("2026-09-01T02:00:00+02:00")).alias("t"), temporal.canonical(F.lit("2026-09-01T02:00:00")).alias("n"),
     ).first()
     assert (row.bad, row.v, row.s, row.p, row.t, row.n) == (True, "ok", "next-actions", "A b d", "2026-09-01T00:00:00.000000Z", None)
 
