@@ -220,7 +220,7 @@ def build(passages: DataFrame, root: str, stemmed: bool = False, note: dict | No
     ones) anew: one tokenisation, one shuffle of the postings."""
     spark, store = passages.sparkSession, store_at(passages.sparkSession, root)
     staged, path, n = _stage(passages, root)
-    at = store.apply({"owners": owners_of(staged), **tables(staged, stemmed)}, note={"format": FORMAT, "stemmed": stemmed, **(note or {})}, fresh=True, sizes={"postings": n})
+    at = store.apply({"owners": owners_of(staged), **tables(staged, stemmed)}, note={"format": FORMAT, "stemmed": stemmed, **(note or {})}, fresh=True, sizes={"postings": n, "vocabulary": n // 4})
     sinks.remove(spark, path)
     return Index(store, at, stemmed)
 
@@ -231,7 +231,7 @@ def refresh(index: Index, passages: DataFrame, removed: DataFrame | None = None,
     are others than before are written. Returns how many were added, changed,
     unchanged and removed."""
     store, spark = index.store, index.store.spark
-    staged, path, _ = _stage(passages, store.root)
+    staged, path, size = _stage(passages, store.root)
     fresh, before = owners_of(staged), index.store.owners(index.at)
     told = fresh.select("name", F.col("digest").alias("is")).join(before.select("name", F.col("digest").alias("was")), "name", "left")
     kind = F.when(F.col("was").isNull(), "added").when(F.col("was") == F.col("is"), "unchanged").otherwise("changed")
@@ -249,7 +249,7 @@ def refresh(index: Index, passages: DataFrame, removed: DataFrame | None = None,
     if some or counts["removed"]:
         live = staged.join(F.broadcast(new) if some <= BROADCAST else new, "owner", "left_semi")
         add = {"owners": owners_of(live), **tables(live, index.stemmed)} if some else {}
-        at = store.apply(add, gone, {**index.at["note"], **(note or {})})
+        at = store.apply(add, gone, {**index.at["note"], **(note or {})}, sizes={"postings": size, "vocabulary": size})
         index = Index(store, at, index.stemmed)
     sinks.remove(spark, path)
     sinks.remove(spark, f"{path}-kinds")

@@ -88,6 +88,12 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         stream.close()
 
 
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes below a path, without a job."""
+    fs, at = _fs(spark, path)
+    return fs.getContentSummary(at).getLength() if fs.exists(at) else 0
+
+
 def fingerprint(spark: SparkSession, path: str) -> str:
     """Of a table's files, without a job: their number, bytes and last change."""
     fs, at = _fs(spark, path)

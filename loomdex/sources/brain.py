@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,6 +38,8 @@ KEYS = {"passages": "ref", "links": "item", **graph.KEYS, **search.KEYS}
 FORMAT = 2
 #: Changed files that are named to Spark; of more, the whole folder is read.
 NAMED_FILES = 1000
+#: Items of a change whose tables are not counted before they are written.
+FEW_ITEMS = 500
 
 @dataclass(frozen=True)
 class Brain:
@@ -402,12 +405,14 @@ def refresh(spark: SparkSession, root: str, config: Config, tz: str = "UTC", sto
     notes, records, bad = _read(spark, root, changed, held is None)
     save = lambda df, name: (df.write.parquet(f"{step}/{name}"), spark.read.parquet(f"{step}/{name}"))[1]
     # Markdown and JSON are read once; everything else is made of what was read.
-    notes, records, bad = save(notes, "notes"), save(records, "records"), save(bad, "bad")
+    with ThreadPoolExecutor(3) as pool:
+        notes, records, bad = pool.map(save, (notes, records, bad), ("notes", "records", "bad"))
     before = kept.owners(held).select("name", "path", "digest") if held else spark.createDataFrame([], "name string, path string, digest string")
     # Stored owners of other files than those that are read now.
     elsewhere = before.join(paths, "path", "left_anti").where("path like 'memories/%' and name <> path").select(F.col("name").alias("ref"), "path")
     records, twice = sole(records, elsewhere)
-    records, twice = save(records, "sole"), save(twice, "twice")
+    with ThreadPoolExecutor(2) as pool:
+        records, twice = pool.map(save, (records, twice), ("sole", "twice"))
     brain = project(notes, records, config, tz)
     staged = save(search.counted(brain.passages), "counted")
     size = search.owners_of(staged).select("name", "passages", "tokens")
@@ -440,7 +445,9 @@ def refresh(spark: SparkSession, root: str, config: Config, tz: str = "UTC", sto
     )
     old = kinds.where("kind = 'changed'").select(F.col("name").alias("owner")).unionByName(lost.select(F.col("name").alias("owner")))
     old = old.unionByName(paths.select(F.explode(F.array(F.concat(F.lit("/"), "path"), F.concat(F.lit("!"), "path"))).alias("owner")))
-    body = kept.apply(tables, old, {**told}, fresh=held is None)
+    # A change of few items is one folder of each table, and needs no counting.
+    sizes = dict.fromkeys(tables, some) if some <= FEW_ITEMS else {}
+    body = kept.apply(tables, old, {**told}, fresh=held is None, sizes=sizes)
     sinks.remove(spark, step)
     return kept, body, counts
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,8 +30,10 @@ from pyspark.sql.types import StructType
 
 from loomdex import sinks
 
-#: Segments of one size that are merged, marks that are broadcast, keys that are literals.
-FAN, BROADCAST, LITERALS = 4, 200_000, 1000
+#: Segments of one size that are merged, and the size below which all are of one.
+FAN, LEAST_BYTES = 4, 1 << 20
+#: Marks that are broadcast, keys that are literals, tables that are written at once.
+BROADCAST, LITERALS, WRITERS = 200_000, 1000, 8
 #: Rows of a folder and of a page of a keyed table; most folders.
 FOLDER_ROWS, PAGE_ROWS, FOLDERS = 100_000, 200, 4096
 #: A key with more than a folder's rows is dealt over several files by its owners.
@@ -129,7 +132,8 @@ class Store:
     def apply(self, add: dict[str, DataFrame], gone: DataFrame | None = None, note: dict | None = None, fresh: bool = False, sizes: dict[str, int] | None = None) -> dict:
         """Commit new rows (tables with `owner`; `owners` has name instead) and forget
         older rows of the owners `gone` (a column owner). `fresh`: forget all that
-        there was. `sizes`: rows of tables that are known already."""
+        there was. `sizes`: about how many rows a table has, where that is known; others
+        with a key are counted."""
         before = None if fresh else self.head()
         number = sinks.next_number(self.spark, f"{self.root}/commits")
         segments, marks = (before["segments"], before["marks"]) if before else ([], [])
@@ -146,8 +150,8 @@ class Store:
                 sinks.remove(self.spark, f"{self.root}/{path}")
         if add:
             segment = self._written(add, number, sizes or {})
-            if segment["rows"]:
-                new = self._sums(self._read({}, [segment], "owners", [f"{self.root}/{segment['id']}/owners"]))
+            new = self._sums(self._read({}, [segment], "owners", [f"{self.root}/{segment['id']}/owners"]))
+            if new["owners"]:
                 sums = {k: sums.get(k, 0) + new.get(k, 0) for k in {**sums, **new}}
                 segments = [*segments, segment]
             else:
@@ -168,36 +172,37 @@ class Store:
         return {k: int(v) for k, v in row.asDict().items()}
 
     def _written(self, tables: dict[str, DataFrame], number: int, sizes: dict[str, int]) -> dict:
+        """Write the tables of a segment side by side: they are jobs of their own."""
         at = f"s-{uuid.uuid4().hex}"
-        told: dict[str, dict] = {}
-        for name, df in tables.items():
+
+        def one(name: str) -> dict:
             path = f"{self.root}/{at}/{name}"
-            if name == "owners":
-                df = df.withColumn("owner", F.col("name"))
+            df = tables[name].withColumn("owner", F.col("name")) if name == "owners" else tables[name]
             df = df.withColumn("_seq", F.lit(number))
-            schema = df.schema.json()
+            told = {"schema": df.schema.json(), "rows": sizes.get(name)}
             if name in self.keys:
-                folders = self._keyed(df, self.keys[name], path, sizes.get(name))
-                told[name] = {"folders": folders, "filled": sinks.subfolders(self.spark, path, "folder="), "schema": schema}
+                told["rows"] = df.count() if told["rows"] is None else told["rows"]
+                told["folders"] = self._keyed(df, self.keys[name], path, told["rows"])
+                told["filled"] = sinks.subfolders(self.spark, path, "folder=")
             else:
                 df.write.parquet(path)
-                told[name] = {"schema": schema}
-            told[name]["rows"] = self._read({}, [{"tables": told}], name, [path]).count()
-        return {"id": at, "seq": number, "tables": told, "rows": sum(t["rows"] for t in told.values())}
+            return told
+
+        with ThreadPoolExecutor(WRITERS) as pool:
+            told = dict(zip(tables, pool.map(one, tables), strict=True))
+        return {"id": at, "seq": number, "tables": told, "bytes": sinks.size_of(self.spark, f"{self.root}/{at}")}
 
-    def _keyed(self, df: DataFrame, key: str, path: str, rows: int | None) -> int:
+    def _keyed(self, df: DataFrame, key: str, path: str, rows: int) -> int:
         """Write in folders by key, in its order, with short pages."""
-        if rows is None:
-            rows = df.count()
-        folders = min(FOLDERS, 1 << max(0, math.ceil(math.log2(max(rows, 1) / FOLDER_ROWS)))) if rows > FOLDER_ROWS else 1
-        parts = max(folders, rows // FILE_ROWS)
+        folders = min(FOLDERS, 1 << math.ceil(math.log2(rows / FOLDER_ROWS))) if rows > FOLDER_ROWS else 1
         dealt = df.withColumn("folder", folder_of(F.col(key), folders))
         if rows > FILE_ROWS:
             # Of keys that alone exceed a file: as many parts as they need, by owner.
             often = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FILE_ROWS).select(F.col(key).alias("often"), F.ceil(F.col("n") / FILE_ROWS).cast("int").alias("deal"))
             dealt = dealt.join(F.broadcast(often), F.col(key) == F.col("often"), "left")  # at most rows / FILE_ROWS keys
-            dealt = dealt.withColumn("deal", F.pmod(F.xxhash64("owner"), F.coalesce("deal", F.lit(1)))).drop("often")
-            dealt = dealt.repartition(parts, "folder", "deal").drop("deal")
+            salt = F.col("owner") if "owner" in df.columns else F.col(key)
+            dealt = dealt.withColumn("deal", F.pmod(F.xxhash64(salt), F.coalesce("deal", F.lit(1)))).drop("often")
+            dealt = dealt.repartition(max(folders, rows // FILE_ROWS), "folder", "deal").drop("deal")
         else:
             dealt = dealt.repartitionById(folders, "folder") if folders > 1 else dealt.coalesce(1)
         pages = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.page.size.row.check.min": "100"}
@@ -209,7 +214,7 @@ class Store:
         segment needs."""
         tiers: dict[int, list[dict]] = {}
         for s in body["segments"]:
-            tiers.setdefault(int(math.log(max(s["rows"], 1), FAN)), []).append(s)
+            tiers.setdefault(int(math.log(max(s["bytes"], LEAST_BYTES), FAN)), []).append(s)
         due = next((t for t in tiers.values() if len(t) >= FAN), None)
         if due is None:
             return body
@@ -221,10 +226,9 @@ class Store:
             found = self._read(view, parts, name, [f"{self.root}/{s['id']}/{name}" for s in parts])
             found = found.drop("_seq").distinct() if name in self.unowned else self._dead_out(found, view)
             rows[name] = (found.drop("owner") if name == "owners" else found).drop("_seq")
-            sizes[name] = sum(s["tables"][name]["rows"] for s in parts)
+            sizes[name] = sum(s["tables"][name]["rows"] or 0 for s in parts)
         merged = self._written(rows, number, sizes)
-        rest = [s for s in body["segments"] if s not in due]
-        segments = [*rest, merged] if merged["rows"] else rest
+        segments = [*[s for s in body["segments"] if s not in due], merged]
         oldest = min((s["seq"] for s in segments), default=number)
         return {**body, "segments": segments, "marks": [m for m in body["marks"] if m["before"] > oldest]}
 
