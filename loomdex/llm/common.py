@@ -40,10 +40,15 @@ def scratch(spark: SparkSession) -> str:
     return f"{base}/loomdex-{uuid.uuid4().hex}"
 
 
+#: Tables of `written` that nobody has released yet, in order.
+_HELD: dict[str, SparkSession] = {}
+
+
 def written(df: DataFrame) -> DataFrame:
     """Cut lineage: write `df` to the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark)
+    _HELD[path] = spark
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
@@ -55,9 +60,34 @@ def release(*frames: DataFrame) -> None:
     for df in frames:
         path = getattr(df, "_written_at", None)
         if path is not None:
+            _HELD.pop(path, None)
             remove(df.sparkSession, path)
 
 
+def held() -> set[str]:
+    """The tables that are held now; see `tidy`."""
+    return set(_HELD)
+
+
+def tidy(before: set[str], *keep: DataFrame) -> None:
+    """Delete what was written after `before` was taken, but for `keep`: for callers
+    that have written what they made of it."""
+    stay = before | {getattr(df, "_written_at", "") for df in keep}
+    for path, spark in [(p, s) for p, s in _HELD.items() if p not in stay]:
+        del _HELD[path]
+        remove(spark, path)
+
+
+@atexit.register
+def _tidy_at_exit() -> None:
+    """Results that were handed out lazily read these tables until the session ends."""
+    for path, spark in list(_HELD.items()):
+        try:
+            remove(spark, path)
+        except Exception:  # noqa: BLE001 - the session has ended already
+            return
+
+
 def remove(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

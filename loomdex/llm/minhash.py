@@ -11,8 +11,8 @@ one order the bins, so a text costs O(n log n) and nothing is exploded.
 Likeness: equal pairs over the bins that either text fills.
 
 Each document meets the next one by descending doc_id. All documents are cut into
-CELLS at most by quantiles of their ids (an id that very many rows share has cells
-of its own, cut by the texts' hashes), whatever ids look like; the first document of
+CELLS at most by quantiles of their ids (an id that very many rows share, and rows
+without one, have cells of their own, cut by the texts' hashes), whatever ids look like; the first document of
 the next cell visits each cell as a guest. A cell has about CELL_ROWS documents, or
 1 / CELLS of all, and a text moves once.
 
@@ -40,8 +40,8 @@ PLACE, HASH = 31, 32
 _POS, _HASH = (1 << PLACE) - 1, (1 << HASH) - 1
 #: Documents of a cell, in which the next document is found by a window; most cells.
 CELL_ROWS, CELLS = 4096, 1 << 16
-#: Cells of an id that more rows share than a cell should have: by the top bits of a hash.
-SHARED_BITS = 8
+#: Most cells of an id that more rows share than a cell should have: by top bits of a hash.
+SHARED_BITS = 16
 
 
 def _held(df: DataFrame, name: str, value: Column) -> DataFrame:
@@ -132,17 +132,23 @@ def _cells(docs: DataFrame) -> Column:
     if cells > 1:
         found = keys.agg(F.percentile_approx("key", [i / cells for i in range(1, cells)], max(10_000, 4 * cells))).first()[0]
         bounds |= set(found)
-    # An id with more rows than four cells should have: at most CELLS / 4 of them.
-    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * max(CELL_ROWS, n // CELLS)).select("key").collect()
-    often = sorted(r.key for r in often)
-    bounds |= {k for x in often for k in (x, x + 1) if k < 1 << 63}
+    # Ids with more rows than four cells should have (at most CELLS / 4 of them), and
+    # rows without an id: as many cells as their rows ask for, by the top bits of the hash.
+    each = max(CELL_ROWS, n // CELLS)
+    bits = lambda m: min(SHARED_BITS, max(0, math.ceil(math.log2(max(1, m / each)))))
+    often = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 4 * each).collect()
+    parts = {r.key: bits(r.n) for r in often}
+    bounds |= {k for x in parts for k in (x, x + 1) if k < 1 << 63}
     cell = (_place(sorted(bounds)) if bounds else F.lit(0)).cast("bigint")
+    # Rows of one id follow each other by ascending hash, so the least comes first.
+    top = F.lit((1 << SHARED_BITS) - 1) - (F.shiftright("row", 64 - SHARED_BITS) + F.lit(1 << (SHARED_BITS - 1)))
+    cut = lambda held: F.call_function("shiftright", top.cast("bigint"), F.lit(SHARED_BITS) - held)
     part = F.lit(0).cast("bigint")
-    if often:
-        # Rows of one id follow each other by ascending hash, so the least comes first.
-        top = F.lit((1 << SHARED_BITS) - 1) - (F.shiftright("row", 64 - SHARED_BITS) + F.lit(1 << (SHARED_BITS - 1)))
-        part = F.when(F.array_contains(F.from_json(F.lit(json.dumps(often)), "array<bigint>"), F.col("key")), top).otherwise(0).cast("bigint")
-    return F.when(F.col("key").isNull(), F.lit(-1).cast("bigint")).otherwise(F.shiftleft(cell, SHARED_BITS) + part)
+    if parts:
+        shared = F.from_json(F.lit(json.dumps({str(k): v for k, v in sorted(parts.items())})), "map<string,int>")
+        part = F.coalesce(cut(F.element_at(shared, F.col("key").cast("string"))), part)
+    none = cut(F.lit(bits(docs.where("key is null").count()))) - F.lit(1 << SHARED_BITS)
+    return F.when(F.col("key").isNull(), none).otherwise(F.shiftleft(cell, SHARED_BITS) + part)
 
 
 def with_next(docs: DataFrame, columns: list[str], add) -> DataFrame:

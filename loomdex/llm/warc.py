@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomdex.llm.common import arrow_map, remove, scratch, table, written
+from loomdex.llm.common import MANY, OFTEN, arrow_map, remove, scratch, table, written
 
 LEAST = 100
 #: Bytes of an archive, and the share of its pages' bytes that compression leaves.
@@ -51,8 +51,9 @@ CAPTURES = (
 )
 
 
-def records(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> DataFrame:
-    """page_id and `value`: the WARC record, dealt in `parts` by page."""
+def records(pages: DataFrame, least: int = LEAST, parts: int | None = None, often: int = OFTEN) -> DataFrame:
+    """page_id and `value`: the WARC record, dealt in `parts` by page. Payloads of more
+    than `often` pages meet them by broadcast."""
     html = F.coalesce("html", F.lit(""))
     base = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), F.col("url").alias("url"), html.alias("html"),
@@ -60,10 +61,15 @@ def records(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> D
     )
     first = (
         base.where(F.col("n") >= least).groupBy("digest")
-        .agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies")
+        .agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     )
-    # Only ids and digests meet the groups; the payloads move once, by page.
-    refers = base.select("page_id", "digest").join(first, "digest").where("page_id is not null and page_id <> response")
+    # Only ids and digests meet the groups; the payloads move once, by page. A page of a
+    # very common payload has met its group before the others are dealt by digest.
+    own = base.select("page_id", "digest").where("page_id is not null")
+    common = first.where(F.col("copies") > often).select(F.col("digest").alias("hot"), F.col("response").alias("of_hot"))
+    met = own.join(F.broadcast(common), F.col("digest") == F.col("hot"), "left")
+    rare = met.where("hot is null").select("page_id", "digest").join(first.where(F.col("copies") <= often).drop("copies"), "digest")
+    refers = rare.unionByName(met.where("hot is not null").select("page_id", "digest", F.col("of_hot").alias("response"))).where("page_id <> response")
     refers = refers.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("response").alias("refers_to")).distinct()
     if parts:
         base, refers = base.repartition(parts, "page_id", "digest"), refers.repartition(parts, "p", "d")
@@ -90,7 +96,8 @@ def records(pages: DataFrame, least: int = LEAST, parts: int | None = None) -> D
 
 
 def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int = ARCHIVE_BYTES) -> None:
-    held = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500), F.lit(0))).first()[0]
+    held, rows = pages.agg(F.coalesce(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 500), F.lit(0)), F.count(F.lit(1))).first()
+    often = max(OFTEN, rows // MANY)  # so MANY payloads at most are common
     parts = int(held * PACKED / archive_bytes) + 1
 
     def pack(batch: pa.RecordBatch, state: dict) -> pa.RecordBatch:
@@ -103,7 +110,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST, archive_bytes: int =
             state["bytes"] = state.get("bytes", 0) + len(members[-1]) + len(NOTHING)
         return pa.RecordBatch.from_arrays([pa.array(members, pa.binary()), pa.array(roll, pa.int32())], ["value", "roll"])
 
-    packed = arrow_map(records(pages, least, max(8, parts)).select(F.col("value").cast("binary").alias("value")), pack, "value binary, roll int")
+    packed = arrow_map(records(pages, least, max(8, parts), often).select(F.col("value").cast("binary").alias("value")), pack, "value binary, roll int")
     (
         packed.select(F.col("value").cast("string").alias("value"), "roll").write.partitionBy("roll")
         .option("encoding", "ISO-8859-1").option("lineSep", NOTHING.decode("latin-1")).text(path)

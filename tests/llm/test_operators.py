@@ -440,3 +440,37 @@ def test_suffix_dedup(docs, empty, monkeypatch, hot, chunk):
     got = [tuple(r) for r in suffixes.dedup(docs).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert suffixes.dedup(empty).count() == 0
+
+
+def test_minhash_deals_rows_without_ids(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "CELL_ROWS", 4)
+    rows = [(None if i % 3 else i, f"word{i} and word{i % 7} then {i}", "en", "s") for i in range(90)] + [(500, f"same id {i} of many rows", "en", "s") for i in range(60)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    keyed = docs.select(F.col("doc_id").alias("key"), F.xxhash64("text").alias("row"))
+    sizes = keyed.select(minhash._cells(keyed).alias("cell"), "key").groupBy("cell", F.col("key").isNull().alias("none"), (F.col("key") == 500).alias("hot")).count().collect()
+    assert sum(r["count"] for r in sizes if r.none) == 60 and max(r["count"] for r in sizes if r.none) <= 12
+    assert max(r["count"] for r in sizes if r.hot) <= 12
+    found = [tuple(r)[:7] for r in minhash.fingerprints(docs).collect()]
+    assert sorted(found, key=str) == brute_fingerprints(rows)
+
+
+def test_warc_of_one_payload_on_very_many_pages(spark, monkeypatch):
+    body = "<p>" + "shared " * 30
+    pages = spark.createDataFrame([(i if i else None, f"http://h/{i}", body if i % 3 else f"<p>{i % 2} " + "x" * 200) for i in range(60)], "page_id bigint, url string, html string")
+    plain = sorted(map(tuple, warc.records(pages).select("page_id", "value").collect()), key=str)
+    assert sorted(map(tuple, warc.records(pages, often=5).select("page_id", "value").collect()), key=str) == plain
+    assert sum("WARC-Type: revisit" in v for _, v in plain) == 59 - 3
+
+
+def test_scratch_is_given_back(spark):
+    from loomdex.llm import common
+
+    before = common.held()
+    one, two = common.written(spark.range(3)), common.written(spark.range(4))
+    assert len(common.held() - before) == 2
+    common.tidy(before, two)
+    assert common.held() - before == {two._written_at} and two.count() == 4
+    common.release(two)
+    assert common.held() == before
+    with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
+        spark.read.parquet(one._written_at)
