@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomdex.llm import bpe, jaccard, lines, mixing, quality
-from loomdex.llm.common import table, written
+from loomdex.llm.common import held, release, table, tidy, written
 
 
 def _own(docs: DataFrame, name: str) -> str:
@@ -99,5 +99,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        before = held()
+        after = written(stage(spark, docs, sf_dir))
+        tidy(before, after)
+        release(docs)
+        docs = after
     return docs
