@@ -64,13 +64,13 @@ def records(pages: DataFrame, least: int = LEAST, parts: int | None = None, ofte
         .agg(F.min("page_id").alias("response"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     )
     # Only ids and digests meet the groups; the payloads move once, by page. A page of a
-    # very common payload has met its group before the others are dealt by digest.
+    # very common payload meets its group by broadcast, the others are dealt by digest.
+    first = written(first)
     own = base.select("page_id", "digest").where("page_id is not null")
-    common = first.where(F.col("copies") > often).select(F.col("digest").alias("hot"), F.col("response").alias("of_hot"))
-    met = own.join(F.broadcast(common), F.col("digest") == F.col("hot"), "left")
-    rare = met.where("hot is null").select("page_id", "digest").join(first.where(F.col("copies") <= often).drop("copies"), "digest")
-    refers = rare.unionByName(met.where("hot is not null").select("page_id", "digest", F.col("of_hot").alias("response"))).where("page_id <> response")
-    refers = refers.select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("response").alias("refers_to")).distinct()
+    common = first.where(F.col("copies") > often).drop("copies")
+    rare = first.where(F.col("copies") <= often).drop("copies")
+    refers = own.join(F.broadcast(common.select("digest")), "digest", "left_anti").join(rare, "digest").unionByName(own.join(F.broadcast(common), "digest"))
+    refers = refers.where("page_id <> response").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("response").alias("refers_to")).distinct()
     if parts:
         base, refers = base.repartition(parts, "page_id", "digest"), refers.repartition(parts, "p", "d")
     whole = base.join(refers, (base.page_id == refers.p) & (base.digest == refers.d), "left")
