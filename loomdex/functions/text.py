@@ -21,7 +21,7 @@ STOP = tuple(
     """.split()
 )
 TERM = r"[\p{L}\p{N}]+"
-MAX_TERMS, LEAD, EXCERPT_TOKENS = 32, 320, 48
+MAX_TERMS, LEAD, EXCERPT_TOKENS, EXCERPT_LEAD = 32, 320, 48, 8
 
 
 def tokens(text: Column) -> Column:
@@ -43,11 +43,40 @@ def lead(text: Column) -> Column:
     return F.substring(collapse(text), 1, LEAD)
 
 
+# Named characters of HTML that prose has; numbered ones follow from their numbers.
+ENTITIES = {
+    "amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "copy": "©", "reg": "®", "trade": "™", "middot": "·", "bull": "•", "hellip": "…", "ndash": "–", "mdash": "—",
+    "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£", "yen": "¥", "sect": "§", "para": "¶", "deg": "°", "times": "×", "divide": "÷",
+    "agrave": "à", "aacute": "á", "acirc": "â", "auml": "ä", "aring": "å", "aelig": "æ", "ccedil": "ç", "egrave": "è", "eacute": "é", "ecirc": "ê", "euml": "ë", "iacute": "í", "icirc": "î", "iuml": "ï",
+    "ntilde": "ñ", "oacute": "ó", "ocirc": "ô", "ouml": "ö", "oslash": "ø", "ugrave": "ù", "uacute": "ú", "ucirc": "û", "uuml": "ü", "szlig": "ß",
+    "Auml": "Ä", "Ouml": "Ö", "Uuml": "Ü", "Eacute": "É", "Agrave": "À", "Ccedil": "Ç",
+}
+
+
+def unescaped(text: Column) -> Column:
+    """Named and numbered characters of HTML by what they stand for; a name that is
+    not known stays. One pass, so what is decoded is not decoded again."""
+    named = F.create_map(*[F.lit(x) for pair in ENTITIES.items() for x in pair])
+
+    def decoded(part: Column) -> Column:
+        name = F.regexp_extract(part, r"\A&(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[A-Za-z][A-Za-z0-9]*);", 1)
+        hexed = name.rlike(r"\A#[xX]")
+        code = F.when(hexed, F.regexp_replace(name, r"\A#[xX]", "")).otherwise(F.hex(F.try_to_number(F.regexp_replace(name, r"\A#", ""), F.lit("9999999")).cast("bigint")))
+        number = F.conv(code, 16, 10).cast("bigint")
+        fine = name.startswith("#") & number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(fine, F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")).when(name != "", F.element_at(named, name))
+        return F.when(char.isNull(), part).otherwise(F.concat(char, F.substring(part, F.length(name) + 3, F.length(part))))
+
+    parts = F.transform(F.split(text, "(?=&[#A-Za-z])"), decoded)
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
+
+
 def html_text(html: Column) -> Column:
-    """Visible text: script and style go, blocks begin a line."""
-    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<(script|style)\b.*?</\1\s*>", "")
+    """Visible text: comments, scripts and styles go, blocks begin a line, characters
+    are what they stand for."""
+    out = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?</\1\s*>", "")
     out = F.regexp_replace(out, r"(?i)<(p|div|br|li|h1|h2|h3|tr)\b[^>]*>", "\n")
-    out = F.regexp_replace(out, r"(?s)<[^>]*>", "")
+    out = unescaped(F.regexp_replace(out, r"(?s)<[^>]*>", ""))
     return F.trim(F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n\s*\n+", "\n"))
 
 
@@ -134,18 +163,33 @@ def query_stems(text: str) -> list[str]:
     return list(dict.fromkeys(porter(fold(w)) for w in kept))[:MAX_TERMS]
 
 
-def excerpt(text: Column, terms: list[str], stemmed: bool = False) -> Column:
-    """At most EXCERPT_TOKENS words from shortly before the first match; of a text
-    without one, its beginning."""
-    words = F.split(collapse(text), " ")
-    wanted = F.array(*[F.lit(t) for t in terms]) if terms else F.array().cast("array<string>")
-    if stemmed:
-        # A stem begins its words, but for a last letter that stemming changes (y, e).
-        short = [t if len(t) < 4 else t[:-1] for t in terms]
-        first = lambda w: F.exists(tokens(w), lambda t: F.exists(F.array(*[F.lit(x) for x in short] or [F.lit("")]), lambda s: t.startswith(s)))
-    else:
-        first = lambda w: F.size(F.array_intersect(tokens(w), wanted)) > 0
-    hit = F.array_position(F.transform(words, first), True)
-    start = F.greatest(F.lit(1), hit.cast("int") - 8)
-    body = F.array_join(F.slice(words, start, EXCERPT_TOKENS), " ")
-    return F.concat(F.when(start > 1, F.lit(" … ")).otherwise(F.lit("")), body, F.when(F.size(words) >= start + EXCERPT_TOKENS, F.lit(" … ")).otherwise(F.lit("")))
+def excerpt(text: Column, wanted: dict[str, list[str]]) -> Column:
+    """At most EXCERPT_TOKENS words that hold as many different terms as any other
+    such window, the first of these, with up to EXCERPT_LEAD words before them; of a text
+    without a match, its beginning. `wanted`: the terms that each word of a text (in
+    lower case) stands for."""
+    numbers = {t: n for n, t in enumerate(dict.fromkeys(t for to in wanted.values() for t in to))}
+    pairs = [x for word, to in wanted.items() for x in (F.lit(word), F.array(*[F.lit(numbers[t]) for t in to]))]
+    known = F.create_map(*pairs) if pairs else F.create_map().cast("map<string,array<int>>")
+    none = F.array().cast("array<int>")
+
+    def cut(words: Column, hits: Column) -> Column:
+        # A window has a hit a word at most, so those of one that begins at a hit are near.
+        def window(h: Column, i: Column) -> Column:
+            near = F.filter(F.slice(hits, i + 1, F.lit(EXCERPT_TOKENS)), lambda x: x["at"] < h["at"] + EXCERPT_TOKENS)
+            terms = F.size(F.array_distinct(F.flatten(F.transform(near, lambda x: x["terms"]))))
+            return F.struct(terms.alias("terms"), (-h["at"]).alias("before"), F.element_at(near, -1)["at"].alias("last"))
+
+        best = F.array_max(F.transform(hits, window))
+        first = -best["before"]
+        lead_ = F.least(F.lit(EXCERPT_LEAD), F.lit(EXCERPT_TOKENS) - (best["last"] - first + 1))
+        start = F.when(F.size(hits) > 0, F.greatest(F.lit(0), first - lead_)).otherwise(0)
+        body = F.array_join(F.slice(words, start + 1, EXCERPT_TOKENS), " ")
+        return F.concat(F.when(start > 0, F.lit(" … ")).otherwise(F.lit("")), body, F.when(F.size(words) > start + EXCERPT_TOKENS, F.lit(" … ")).otherwise(F.lit("")))
+
+    def hits_of(words: Column) -> Column:
+        terms = lambda w: F.array_distinct(F.flatten(F.transform(tokens(w), lambda t: F.coalesce(F.element_at(known, t), none))))
+        return F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), terms(w).alias("terms"))), lambda x: F.size(x["terms"]) > 0)
+
+    words = F.split(collapse(F.coalesce(text, F.lit(""))), " ")
+    return F.get(F.transform(F.array(words), lambda w: F.get(F.transform(F.array(hits_of(w)), lambda h: cut(w, h)), 0)), 0)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 from datetime import datetime
 
@@ -14,6 +15,7 @@ from loomdex.functions.identity import at_pointer, bad_traversal, clean, is_iden
 from loomdex.functions.temporal import bound, canonical
 from loomdex.sources.brain import manifest_digest, record_problem
 from loomdex.sources.config import Config, Field, Program
+from loomdex.sources.segments import Store
 
 FIELDS = ("body", "updated", "observed", "ts")
 CATCH_UP = "INTERVAL 30 DAYS"
@@ -24,13 +26,28 @@ def guard_ids(rows: DataFrame) -> DataFrame:
     return rows.groupBy("source", "id").agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
 
 
-def _side(rows: DataFrame, prefix: str) -> DataFrame:
-    """A row an id, grouped on the key of the join that follows; a repeated id ends
-    the job before anything is written."""
+def _judged(stored: DataFrame, incoming: DataFrame, snapshot: bool) -> DataFrame:
+    """`upsert` with `rewritten`: whether the stored row becomes another. Both sides
+    meet in one group an id, so there is one shuffle; the guard is judged there."""
     held = F.struct(*FIELDS)
-    one = rows.groupBy("source", "id").agg(F.first(held).alias("h"), F.count(F.lit(1)).alias("copies"))
-    fine = F.when(F.col("copies") > 1, F.raise_error(F.concat(F.lit("more than one record has the id "), "source", F.lit(":"), F.col("id").cast("string")))).otherwise(F.lit(True))
-    return one.select("source", "id", *[F.col(f"h.{c}").alias(f"{prefix}_{c}") for c in FIELDS], fine.cast("boolean").alias(f"in_{prefix}"))
+    side = lambda rows, mark: rows.select("source", "id", held.alias("h"), F.lit(mark).alias("side"))
+    of = lambda mark: F.first(F.when(F.col("side") == mark, F.col("h")), ignorenulls=True).alias(mark)
+    many = lambda mark: F.count_if(F.col("side") == mark).alias(f"n_{mark}")
+    both = side(stored, "s").unionByName(side(incoming, "i")).groupBy("source", "id").agg(of("s"), many("s"), of("i"), many("i"))
+    told = F.concat(F.lit("more than one record has the id "), "source", F.lit(":"), F.col("id").cast("string"))
+    in_s, in_i = F.col("n_s") == 1, F.col("n_i") == 1
+    was, new_ = {c: F.col("s")[c] for c in FIELDS}, {c: F.col("i")[c] for c in FIELDS}
+    reliable = ~F.coalesce(was["updated"] > was["observed"], F.lit(False))
+    stale = reliable & F.coalesce(new_["updated"] < was["updated"], F.lit(False))
+    same = was["body"].eqNullSafe(new_["body"]) & was["ts"].eqNullSafe(new_["ts"]) & was["updated"].eqNullSafe(new_["updated"])
+    action = F.when((F.col("n_s") > 1) | (F.col("n_i") > 1), F.raise_error(told).cast("string"))
+    action = action.when(~in_i, "removed" if snapshot else "kept").when(~in_s, "added").when(stale | same, "unchanged").otherwise("updated")
+    both = both.withColumn("action", action)
+    new = F.col("action").isin("added", "updated")
+    kept = {c: F.when(new, new_[c]).otherwise(was[c]) for c in FIELDS}
+    seen = (F.col("action") == "unchanged") & was["observed"].isNull()
+    kept["observed"] = F.when(new | seen, new_["observed"]).otherwise(was["observed"])
+    return both.select("source", "id", "action", *[v.alias(c) for c, v in kept.items()], (new | (seen & new_["observed"].isNotNull())).alias("rewritten"))
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, snapshot: bool = False) -> DataFrame:
@@ -39,18 +56,7 @@ def upsert(stored: DataFrame, incoming: DataFrame, snapshot: bool = False) -> Da
     after it. An older `updated` never replaces a newer one, unless the stored one
     lies after its own observation (an unreliable clock). An unchanged row keeps its
     stored observation if it has one. An id that either side repeats is an error."""
-    both = _side(stored, "s").join(_side(incoming, "i"), ["source", "id"], "full_outer")
-    reliable = ~F.coalesce(F.col("s_updated") > F.col("s_observed"), F.lit(False))
-    stale = reliable & F.coalesce(F.col("i_updated") < F.col("s_updated"), F.lit(False))
-    same = F.col("s_body").eqNullSafe(F.col("i_body")) & F.col("s_ts").eqNullSafe(F.col("i_ts")) & F.col("s_updated").eqNullSafe(F.col("i_updated"))
-    action = (
-        F.when(F.coalesce("in_s", F.lit(False)) & F.col("in_i").isNull(), "removed" if snapshot else "kept")
-        .when(F.col("in_s").isNull() & F.col("in_i"), "added").when(stale, "unchanged").when(same, "unchanged").otherwise("updated")
-    )
-    new = F.col("action").isin("added", "updated")
-    kept = {c: F.when(new, F.col(f"i_{c}")).otherwise(F.col(f"s_{c}")) for c in FIELDS}
-    kept["observed"] = F.when(new | (F.col("action") == "unchanged") & F.col("s_observed").isNull(), F.col("i_observed")).otherwise(F.col("s_observed"))
-    return both.withColumn("action", action).select("source", "id", "action", *[v.alias(c) for c, v in kept.items()])
+    return _judged(stored, incoming, snapshot).drop("rewritten")
 
 
 def counters(result: DataFrame) -> DataFrame:
@@ -148,12 +154,50 @@ def collect(spark: SparkSession, lines: DataFrame, source: str, stored: DataFram
     return result.where("action <> 'removed'").drop("action"), told
 
 
-def store(spark: SparkSession, root: str, source: str, held: DataFrame, stored: DataFrame) -> str:
-    """Commit a source's rows beside the untouched ones of the others."""
-    from loomdex.functions.temporal import month
+# --- records in a store ---
+
+RECORDS = "source string, id string, body string, updated timestamp_ntz, observed timestamp_ntz, ts timestamp_ntz"
+
+
+def record_store(spark: SparkSession, root: str) -> Store:
+    """Records by key in segments: a change writes its rows, all others keep their files."""
+    return Store(spark, root, {"records": "key"})
+
 
-    whole = stored.where(F.col("source") != source).unionByName(held).withColumn("month", month(F.col("ts")))
-    return sinks.commit(spark, root, {"records": whole}, partition={"records": ["source", "month"]})
+def stored(spark: SparkSession, root: str, columns: str = RECORDS) -> DataFrame:
+    """The records that hold now; none before the first commit."""
+    kept = record_store(spark, root)
+    held = kept.head()
+    return kept.table("records", held).drop("key") if held else spark.createDataFrame([], columns)
+
+
+def apply_changes(spark: SparkSession, root: str, judged: DataFrame, note: dict | None = None) -> dict:
+    """Commit what `_judged` rows change: rows that are rewritten go to a new segment,
+    theirs and removed ones are marked in the older ones."""
+    kept = record_store(spark, root)
+    key = F.concat_ws(":", "source", F.col("id").cast("string"))
+    step = f"{root}/judged-{uuid.uuid4().hex}"
+    judged.where("rewritten or action = 'removed'").withColumn("owner", key).write.parquet(step)
+    found = spark.read.parquet(step)
+    live = found.where("rewritten")
+    owners = live.select(F.col("owner").alias("name"), F.lit("").alias("digest"))
+    try:
+        rows = live.drop("action", "rewritten").withColumn("key", F.col("owner"))
+        return kept.apply({"records": rows, "owners": owners}, found.where("action <> 'added'").select("owner"), note)
+    finally:
+        sinks.remove(spark, step)
+
+
+def store(spark: SparkSession, root: str, source: str, held: DataFrame, before: DataFrame) -> dict:
+    """Commit a source's rows `held` in place of the stored ones among `before`;
+    rows that stay as they are and other sources are not written again."""
+    name = F.col("source") == source
+    old = before.where(name).select(*held.columns)
+    same = held.exceptAll(old)
+    gone = old.select("source", "id").exceptAll(held.select("source", "id"))
+    fresh = same.join(old.select("source", "id", F.lit(True).alias("was")), ["source", "id"], "left")
+    judged = fresh.withColumns({"action": F.when(F.col("was"), "updated").otherwise("added"), "rewritten": F.lit(True)}).drop("was")
+    return apply_changes(spark, root, judged.unionByName(gone.withColumns({"action": F.lit("removed"), "rewritten": F.lit(False)}), allowMissingColumns=True))
 
 
 def coverage(runs: list[tuple[float, float, float]]) -> tuple[float, float] | None:
@@ -242,9 +286,3 @@ def gate(spark: SparkSession, root: str, manifest: DataFrame, signature: str) ->
     if held is None or held["note"].get("signature") != signature:
         return "rebuild"
     return "ready" if held["note"].get("manifest") == manifest_digest(manifest) else "stale"
-
-
-def write_partitions(rows: DataFrame, path: str) -> None:
-    """source/month partitions, each ordered by (ts, id)."""
-    sinks.write_partitions(rows, path)
-

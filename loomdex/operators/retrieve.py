@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from loomdex.functions.identity import SCHEME, address, parse_address, split_ref
 from loomdex.functions.markdown import sections
 from loomdex.functions.temporal import IDENTITY, Scope, in_scope, scope
-from loomdex.functions.text import excerpt, query_stems
+from loomdex.functions.text import excerpt, query_terms
 from loomdex.operators import graph, pages, search
 from loomdex.sources.brain import Brain, dated
 from loomdex.sources.segments import Keyed
@@ -112,7 +112,7 @@ def federated(brains: dict[str, Brain], query: Query, trust: dict[str, str] | No
         local = [r.ref for r in graph.local_refs(brain.graph.names, targets).collect()] if targets else []
         rows, hit = in_brain(brain, query, names, local, tz)
         exact |= hit
-        rows = pages.labelled(_decorated(rows, brain, query_stems(query.text)), name, "fragment").withColumns({"place": F.lit(place), "exact": F.lit(hit)})
+        rows = pages.labelled(_decorated(rows, brain, query.text), name, "fragment").withColumns({"place": F.lit(place), "exact": F.lit(hit)})
         found = rows if found is None else found.unionByName(rows)
         if brain.problems is not None:
             problems += [{"brain": name, "file": r.file, "error": r.problem} for r in brain.problems.limit(200).collect()]
@@ -126,14 +126,15 @@ def federated(brains: dict[str, Brain], query: Query, trust: dict[str, str] | No
     return Reply(pages.guarded(top, trust or {}, searched=True).drop("place", "exact"), problems, identity, health or [])
 
 
-def _decorated(rows: DataFrame, brain: Brain, terms: list[str]) -> DataFrame:
+def _decorated(rows: DataFrame, brain: Brain, query: str) -> DataFrame:
     """At most MAX_LIMIT rows of a search with excerpt, kind and source. They are
     fetched once, and what belongs to them is looked up by their refs, so no text and
     no item but theirs is read or moved."""
     held = rows.limit(MAX_LIMIT).collect()
     top, refs = rows.sparkSession.createDataFrame(held, rows.schema), sorted({r.ref for r in held})
     texts = graph.wanted_rows(Keyed(brain.index.store, "passages", brain.index.at) if brain.stored else brain.passages, "ref", refs)
-    texts = texts.select("ref", "fragment", excerpt(F.col("text"), terms, stemmed=True).alias("excerpt"))
+    wanted = brain.index.wanted(query, True) if brain.index else {t: [t] for t in query_terms(query)}
+    texts = texts.select("ref", "fragment", excerpt(F.col("text"), wanted).alias("excerpt"))
     about = graph.wanted_rows(brain.graph.items, "ref", refs).select("ref", "kind", "source")
     return top.join(F.broadcast(texts), ["ref", "fragment"], "left").join(F.broadcast(about), "ref", "left")
 

@@ -136,12 +136,15 @@ class Index:
             out.setdefault(r.term, []).append(r.stem)
         return out
 
+    def wanted(self, query: str, stemmed: bool) -> dict[str, list[str]]:
+        """The terms that the words of the texts stand for in this query."""
+        return self.words_of(query_stems(query)) if stemmed else {t: [t] for t in query_terms(query)}
+
     def find(self, query: str, where: Column | None = None, stemmed: bool | None = None) -> DataFrame:
         """ref, fragment, score of every matching passage. The score is doubled for
         distilled notes; `where` filters on the columns of passages, not the statistics."""
         stemmed = self.stemmed if stemmed is None else stemmed
-        wanted = self.words_of(query_stems(query)) if stemmed else {t: [t] for t in query_terms(query)}
-        hit = self.hits(wanted)
+        hit = self.hits(self.wanted(query, stemmed))
         keep = [c for c in hit.columns if c not in ("term", "f", "d")]
         n, mean = self.statistics()
         scored = _scores(hit, F.lit(n), F.lit(mean), keep)
@@ -152,9 +155,8 @@ class Index:
     def returned(self, top: DataFrame, query: str, texts: DataFrame, stemmed: bool | None = None) -> DataFrame:
         """`top` (bounded rows) with an excerpt: only their texts are read again."""
         stemmed = self.stemmed if stemmed is None else stemmed
-        terms = query_stems(query) if stemmed else query_terms(query)
         few = F.broadcast(top.select("ref", "fragment").distinct())
-        held = texts.join(few, ["ref", "fragment"], "left_semi").select("ref", "fragment", excerpt(F.col("text"), terms, stemmed).alias("excerpt"))
+        held = texts.join(few, ["ref", "fragment"], "left_semi").select("ref", "fragment", excerpt(F.col("text"), self.wanted(query, stemmed)).alias("excerpt"))
         return top.join(F.broadcast(held), ["ref", "fragment"], "left")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomdex import sinks
 from loomdex.functions.identity import at_pointer, strict_json
 from loomdex.functions.temporal import below, period
+from loomdex.functions.text import STOP
 from loomdex.operators import checks, graph, health, ingest, pages, search
 from loomdex.sources import adapters, corpus
 from loomdex.sources import brain as brains
@@ -88,6 +89,49 @@ def search_terms(spark, sf_dir):
     return search.ranked(_scored(spark, sf_dir).select("ref", "score"), 10)
 
 
+_STATE = """state AS (SELECT event_type || ':' || event_id AS ref, CASE WHEN event_id % 2 = 0 THEN 'second ' || event_type || ' w' || event_id % 13 ELSE 'first ' || event_type || ' w' || event_id % 17 END AS text
+  FROM events WHERE event_id % 2 = 0 OR (event_id % 3 <> 0 AND event_id % 5 <> 0)),
+tok AS (SELECT ref, string_split(text, ' ') AS toks FROM state), n AS (SELECT count(*) AS n_all, avg(len(toks)) AS avgd FROM tok),
+hit AS (SELECT ref, len(toks) AS d, term, len(list_filter(toks, lambda w: w = term)) AS f FROM tok, (SELECT unnest(['second', 'w3', 'click']) AS term)),
+df AS (SELECT term, count(*) AS n FROM hit WHERE f > 0 GROUP BY term),
+scored AS (SELECT ref, round(sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 0.000001) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avgd))), 6) AS score FROM hit JOIN df USING (term), n WHERE f > 0 GROUP BY ref)"""
+
+
+@query(f"WITH {_STATE} SELECT ref, score, (SELECT n_all FROM n) AS passages FROM scored ORDER BY score DESC, ref LIMIT 50")
+def search_refreshed(spark, sf_dir):
+    """An index after a change equals one of the state: two of three events are
+    indexed, then every second one is new or changed and each odd fifth one goes."""
+    e = corpus.event_items(spark, sf_dir)
+    n, kind = F.col("event_id"), F.col("source")
+    text = lambda word, m: F.concat(F.lit(f"{word} "), kind, F.lit(" w"), (n % m).cast("string")).alias("text")
+    first = e.where(n % 3 != 0).select("ref", F.lit("").alias("fragment"), text("first", 17))
+    second = e.where(n % 2 == 0).select("ref", F.lit("").alias("fragment"), text("second", 13))
+    gone = e.where((n % 5 == 0) & (n % 2 != 0)).select("ref")
+    name = "".join(c if c.isalnum() else "-" for c in sf_dir)
+    index = search.build(first, sinks.shared_folder(spark, f"index-changed-{name}"))
+    index.store.vacuum(0)
+    index, _ = search.refresh(index, second, gone)
+    top = search.ranked(index.find("second w3 click").select("ref", "score"), 50)
+    return top.select("ref", "score", F.lit(index.statistics()[0]).cast("bigint").alias("passages"))
+
+
+_STOPS = ", ".join(f"'{w}'" for w in STOP)
+
+
+@query(rf"""WITH {_ITEMS}, tok AS (SELECT ref, status, {_TOKENS} AS toks FROM items), stats AS (SELECT count(*) AS n_all, avg(len(toks)) AS avgd FROM tok),
+asked AS (SELECT item_id::VARCHAR AS name, list_distinct(regexp_extract_all(lower(left(text, 60)), '[\p{{L}}\p{{N}}]+')) AS words FROM benchmark),
+terms AS (SELECT name, unnest(CASE WHEN len(list_filter(words, lambda w: NOT list_contains([{_STOPS}], w))) > 0 THEN list_filter(words, lambda w: NOT list_contains([{_STOPS}], w)) ELSE words END) AS term FROM asked),
+post AS (SELECT ref, status, len(toks) AS d, unnest(toks) AS term FROM tok), hit AS (SELECT ref, status, d, term, count(*) AS f FROM post WHERE term IN (SELECT term FROM terms) GROUP BY ALL),
+df AS (SELECT term, count(*) AS n FROM hit GROUP BY term),
+scored AS (SELECT name, ref, status, round(sum(greatest(ln((n_all - n + 0.5) / (n + 0.5)), 0.000001) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avgd))), 6) AS score FROM terms JOIN hit USING (term) JOIN df USING (term), stats GROUP BY ALL),
+ranked AS (SELECT name, ref, score, row_number() OVER (PARTITION BY name ORDER BY status IN ('deprecated', 'archived'), score DESC, ref) AS rank FROM scored)
+SELECT name, ref, score, rank FROM ranked WHERE rank <= 5""")
+def search_batch(spark, sf_dir):
+    """The beginning of every benchmark passage as a question, all in one plan."""
+    asked = corpus.table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("name"), F.left("text", F.lit(60)).alias("query"))
+    return search.find_all(_index(spark, sf_dir, "words"), asked, 5, stemmed=False).select("name", "ref", "score", "rank")
+
+
 @query()
 def search_stemmed(spark, sf_dir):
     """Stems and accents have no SQL: the tests compare them with brute force."""
@@ -111,9 +155,16 @@ def search_weighted(spark, sf_dir):
     return search.ranked(found.select("ref", "status", "score"), 20, status="status")
 
 
-@query()
+@query(rf"""WITH {_BM25}, top AS (SELECT ref, row_number() OVER (ORDER BY score DESC, ref) AS rank FROM scored ORDER BY score DESC, ref LIMIT 10),
+w AS (SELECT rank, ref, string_split(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS words FROM top JOIN items USING (ref)),
+each AS (SELECT rank, ref, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM w),
+hits AS (SELECT rank, ref, n, i, unnest(list_distinct(regexp_extract_all(lower(word), '[\p{{L}}\p{{N}}]+'))) AS term FROM each), few AS (SELECT * FROM hits WHERE term IN ('tion', 'hand', 'eauxle')),
+windows AS (SELECT a.rank, a.ref, a.n, a.i, count(DISTINCT b.term) AS terms, max(b.i) AS last FROM few a JOIN few b ON a.rank = b.rank AND b.i BETWEEN a.i AND a.i + 47 GROUP BY ALL),
+best AS (SELECT *, greatest(0, i - least(8, 48 - (last - i + 1))) AS start FROM windows QUALIFY row_number() OVER (PARTITION BY rank ORDER BY terms DESC, i) = 1)
+SELECT rank, ref, CASE WHEN start > 0 THEN ' … ' ELSE '' END || array_to_string(list_slice(words, start + 1, start + 48), ' ') || CASE WHEN n > start + 48 THEN ' … ' ELSE '' END AS excerpt FROM best JOIN w USING (rank, ref)""")
 def search_excerpt(spark, sf_dir):
-    """The first ten with an excerpt; only the texts of these ten are read."""
+    """The first ten with the 48 words that hold most of the different words asked
+    for; only the texts of these ten are read."""
     index = _index(spark, sf_dir, "words")
     top = search.ranked(index.find(QUERY, stemmed=False).select("ref", "fragment", "score"), 10)
     texts = corpus.document_items(spark, sf_dir).select("ref", F.lit("").alias("fragment"), "text")
@@ -418,8 +469,10 @@ def page_links(spark, sf_dir):
     return corpus.page_links(spark, sf_dir)
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
-  '<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gis'), '<(p|div|br|li|h1|h2|h3|tr)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'gs'), '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g')) AS text FROM pages""")
+@query(r"""WITH bare AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''),
+  '<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', '', 'gis'), '<(p|div|br|li|h1|h2|h3|tr)\b[^>]*>', chr(10), 'gi'), '<[^>]*>', '', 'gs') AS t FROM pages),
+told AS (SELECT page_id, replace(replace(replace(replace(t, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS t FROM bare)
+SELECT page_id, trim(regexp_replace(regexp_replace(t, '[ \t]+', ' ', 'g'), '\n\s*\n+', chr(10), 'g')) AS text FROM told""")
 def html_text(spark, sf_dir):
     return corpus.page_text(spark, sf_dir)
 
@@ -774,11 +827,30 @@ def health_coverage(spark, sf_dir):
     return health.coverage(_sources(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('sensor', 'view', 'stale', false), ('sensor', 'mail', 'fresh', true), ('routine', 'daily', 'never', false)) t(kind, name, freshness, failed)")
+#: Each kind of event of each user is a program that ran when its last event of an even number came.
+_PROGRAMS = """programs AS (SELECT event_type || '-' || user_id AS name, any_value(user_id) AS k, max(ts) FILTER (event_id % 2 = 0) AS success, max(ts) AS last_end, max(event_id) % 11 = 0 AS failed FROM events GROUP BY event_type, user_id),
+p AS (SELECT *, k % 9 <> 4 AS enabled, 21600 * (k % 5) AS refresh, date_diff('microsecond', success, TIMESTAMP '2024-01-31') / 1e6 AS age FROM programs)"""
+
+
+def _programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, k and last run of each, and what is declared for it."""
+    e = corpus.table(spark, sf_dir, "events").withColumn("name", F.concat_ws("-", "event_type", F.col("user_id").cast("string")))
+    runs = e.groupBy("name").agg(F.first("user_id").alias("k"), F.max(F.when(F.col("event_id") % 2 == 0, F.col("ts"))).alias("success"), F.max("ts").alias("end"), (F.max("event_id") % 11 == 0).alias("failed"))
+    error = F.when(F.col("failed"), "refused").otherwise("")
+    return runs.select(
+        "name", "k", "success", F.col("end").alias("start"), "end", error.alias("error"), F.lit("").alias("action"), (F.col("k") % 9 != 4).alias("enabled"), (21600 * (F.col("k") % 5)).cast("bigint").alias("refresh"),
+        F.when(F.col("k") % 7 == 0, "snapshot").otherwise("window").alias("mode"), F.lit("external").alias("trust"), F.lit(86400).alias("lookback"), F.lit(300).alias("overlap"),
+    )
+
+
+@query(f"""WITH {_PROGRAMS}, q AS (SELECT *, CASE WHEN refresh = 0 THEN 'manual' WHEN age IS NULL THEN 'never' WHEN age <= 2 * refresh THEN 'fresh' ELSE 'stale' END AS freshness FROM p WHERE enabled)
+SELECT 'sensor' AS kind, name, freshness, failed FROM q WHERE refresh > 0 AND (failed OR freshness IN ('never', 'stale'))""")
 def health_attention(spark, sf_dir):
     """What runs on a schedule here and failed or is late."""
-    routines = health.routine_health(health.declared(spark, corpus.CONFIG.routines), _runs(spark), NOW, trusted=True)
-    return health.attention(_sources(spark, sf_dir), routines)
+    held = _programs(spark, sf_dir)
+    counts = spark.createDataFrame([], "source string, records bigint, latest timestamp_ntz")
+    known = held.select("name", "enabled", "refresh", "mode", "trust")
+    return health.attention(health.source_health(known, held.select("name", "success", "start", "end", "error", "action"), counts, NOW))
 
 
 @query(f"WITH {_BRAIN} SELECT count(*) FILTER (kind = 'note') AS notes, count(*) FILTER (kind = 'record') AS records, 0::BIGINT AS skipped, 2::BIGINT AS late, false AS healthy FROM brain")
@@ -789,19 +861,18 @@ def health_report(spark, sf_dir):
 # --- collection ---
 
 
-@query("SELECT * FROM (VALUES ('click', TIMESTAMP '2024-01-30 22:55:00'), ('view', TIMESTAMP '2024-01-30 22:55:00'), ('mail', TIMESTAMP '2024-01-30 22:55:00')) t(name, since)")
+@query(f"""WITH {_PROGRAMS} SELECT name, CASE WHEN k % 7 = 0 OR last_end - INTERVAL 300 SECOND >= TIMESTAMP '2024-01-31' THEN TIMESTAMP '2024-01-30' ELSE greatest(last_end - INTERVAL 300 SECOND, TIMESTAMP '2024-01-01') END AS since
+FROM p WHERE enabled AND refresh > 0 AND (success IS NULL OR floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(success)) >= refresh)""")
 def due_sensors(spark, sf_dir):
     """Enabled, scheduled, elapsed; from the last end less the overlap."""
-    rows = [(n, p.enabled, p.refresh, p.mode, p.lookback, p.overlap) for n, p in corpus.CONFIG.sensors.items()]
-    known = spark.createDataFrame(rows, "name string, enabled boolean, refresh bigint, mode string, lookback int, overlap int")
-    return ingest.due(known.join(_runs(spark).select("name", "success", F.col("end").alias("last_end")), "name", "left"), NOW)
+    return ingest.due(_programs(spark, sf_dir).withColumnRenamed("end", "last_end"), NOW)
 
 
-@query("SELECT 'daily' AS name, TIMESTAMP '2024-01-30' AS since")
+@query(f"""WITH {_PROGRAMS} SELECT name, CASE WHEN last_end < TIMESTAMP '2024-01-31' THEN last_end ELSE TIMESTAMP '2024-01-30' END AS since
+FROM p WHERE enabled AND refresh > 0 AND (success IS NULL OR floor(epoch(TIMESTAMP '2024-01-31')) - floor(epoch(success)) >= refresh)""")
 def due_routines(spark, sf_dir):
-    rows = [(n, p.enabled, p.refresh, p.lookback) for n, p in corpus.CONFIG.routines.items()]
-    known = spark.createDataFrame(rows, "name string, enabled boolean, refresh bigint, lookback int")
-    return ingest.due_routines(known.join(_runs(spark).select("name", "success", F.col("end").alias("last_end")), "name", "left"), NOW)
+    """Due programs cover the time since their last reviewed end."""
+    return ingest.due_routines(_programs(spark, sf_dir).withColumnRenamed("end", "last_end"), NOW)
 
 
 @query("""SELECT event_type AS source, event_id AS id, '2024-01' AS was, '2024-02' AS now FROM events WHERE event_id % 3 <> 0 AND event_id % 4 = 0 AND ts + INTERVAL 10 DAY >= TIMESTAMP '2024-02-01'""")
@@ -846,11 +917,13 @@ def git_commits(spark, sf_dir):
     return adapters.git_commits(log, day.since, day.until).select("id", "title", "time")
 
 
-@query("""SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS title, strftime(o_orderdate - INTERVAL 1 HOUR, '%Y-%m-%dT%H:%M:%S.%fZ') AS time FROM orders WHERE o_orderstatus <> 'P' AND month(o_orderdate) < 3""")
+@query("""WITH o AS (SELECT *, o_orderdate::DATE AS d, make_date(year(o_orderdate), 3, 31) AS m, CASE WHEN year(o_orderdate) < 1996 THEN make_date(year(o_orderdate), 9, 30) ELSE make_date(year(o_orderdate), 10, 31) END AS n FROM orders WHERE o_orderstatus <> 'P')
+SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS title, strftime(d::TIMESTAMP - CASE WHEN d > m - (isodow(m) % 7)::INTEGER AND d <= n - (isodow(n) % 7)::INTEGER THEN INTERVAL 2 HOUR ELSE INTERVAL 1 HOUR END, '%Y-%m-%dT%H:%M:%S.%fZ') AS time FROM o""")
 def calendar_all_day(spark, sf_dir):
-    """All-day events of winter begin at midnight in Paris, an hour before UTC's;
-    cancelled ones go. A calendar page holds the events of one day."""
-    o = corpus.table(spark, sf_dir, "orders").where("month(o_orderdate) < 3")
+    """All-day events begin at midnight in Paris, one or two hours before UTC's: the
+    clocks change after the midnight of a last Sunday. Cancelled ones go. A calendar
+    page holds the events of one day."""
+    o = corpus.table(spark, sf_dir, "orders")
     status = F.when(F.col("o_orderstatus") == "P", "cancelled").otherwise("confirmed")
     event = F.struct(F.col("o_orderkey").cast("string").alias("id"), status.alias("status"), F.col("o_orderpriority").alias("summary"), F.struct(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")).alias("start"))
     page = F.to_json(F.struct(F.lit("Europe/Paris").alias("timeZone"), F.collect_list(event).alias("items")))

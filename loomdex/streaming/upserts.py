@@ -1,5 +1,5 @@
-"""Streaming face of the window upsert: each micro-batch of new events updates the
-partitions (source) that it touches; the current version is named by a pointer."""
+"""Streaming face of the window upsert: the state is a store of segments by key, so
+each micro-batch writes the rows that it changes and no others."""
 
 from __future__ import annotations
 
@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from loomdex import sinks
-from loomdex.operators.ingest import upsert
+from loomdex.operators.ingest import _judged, apply_changes, record_store
+from loomdex.sources.segments import BROADCAST
 
 
 def newest_reliable(batch: DataFrame) -> DataFrame:
@@ -20,23 +20,25 @@ def newest_reliable(batch: DataFrame) -> DataFrame:
 
 
 def upsert_stream(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """stream: source, id, body, updated, observed, ts. A micro-batch that is run
-    again finds its number in the pointer and changes nothing."""
+    """stream: source, id, body, updated, observed, ts. A micro-batch meets the stored
+    rows of its own keys, and commits a segment of the rows that become others; one
+    that is run again finds its number in the commit and changes nothing."""
     spark = stream.sparkSession
 
     def merge(batch: DataFrame, epoch: int) -> None:
-        held = sinks.current(spark, path)
+        kept = record_store(spark, path)
+        held = kept.head()
         if held is not None and held["note"].get("epoch", -1) >= epoch:
             return
-        batch = newest_reliable(batch)
-        if held is None:
-            stored = batch.limit(0)
-        else:
-            stored = sinks.read_table(spark, path, "records").select(*batch.columns)
-        touched = [r.source for r in batch.select("source").distinct().limit(10_001).collect()]
-        mine = stored.where(F.col("source").isin(touched)) if len(touched) <= 10_000 else stored
-        rest = stored.where(~F.col("source").isin(touched)) if len(touched) <= 10_000 else stored.limit(0)
-        both = upsert(mine, batch).drop("action").unionByName(rest)
-        sinks.commit(spark, path, {"records": both}, {"epoch": epoch}, {"records": ["source"]})
+        batch = newest_reliable(batch).persist()
+        try:
+            keys = batch.select("source", "id")
+            few = batch.count() <= BROADCAST
+            mine = batch.limit(0)
+            if held is not None:
+                mine = kept.table("records", held).select(*batch.columns).join(F.broadcast(keys) if few else keys, ["source", "id"], "left_semi")
+            apply_changes(spark, path, _judged(mine, batch, False), {"epoch": epoch})
+        finally:
+            batch.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

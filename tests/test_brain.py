@@ -258,7 +258,7 @@ def test_collect(spark, tmp_path):
     assert told == {"source": "mail", "added": 2, "updated": 0, "unchanged": 0, "removed": 0}
     at = str(tmp_path / "records")
     ingest.store(spark, at, "mail", held, stored(spark))
-    kept = sinks.read_table(spark, at, "records").select(*stored(spark).columns)
+    kept = ingest.stored(spark, at).select(*stored(spark).columns)
     assert run(good, kept)[1]["unchanged"] == 2 and {r.id: str(r.ts)[:10] for r in kept.collect()} == {"a": "2026-08-01", "b": "None"}
     snapshot = config.Program(mode="snapshot", fields=settings.sensors["mail"].fields)
     assert run(good[:1], kept, program=snapshot)[1]["removed"] == 1

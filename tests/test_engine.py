@@ -161,7 +161,7 @@ def test_stems_equal_brute_force(spark):
 
 def test_excerpts(spark):
     long = " ".join(f"w{i}" for i in range(200))
-    cut = lambda t, terms: spark.createDataFrame([(t,)], "t string").select(text.excerpt(F.col("t"), terms)).first()[0]
+    cut = lambda t, terms: spark.createDataFrame([(t,)], "t string").select(text.excerpt(F.col("t"), {t: [t] for t in terms})).first()[0]
     assert cut(long, ["w100"]).startswith(" … w92 ") and cut(long, ["w100"]).endswith(" … ") and len(cut(long, ["w100"]).split()) <= 50
     assert cut("short text", ["none"]) == "short text" and cut("", ["x"]) == ""
 
@@ -177,25 +177,81 @@ def test_upsert_ends_on_repeated_ids(spark):
 
 
 def test_streaming_upsert(spark, tmp_path):
-    from loomdex import sinks
     from loomdex.streaming.upserts import newest_reliable, upsert_stream
 
     schema = "source string, id string, body string, updated int, observed int, ts int"
     rows = [("s", "a", "old", 1, 9, 1), ("s", "a", "new", 5, 9, 1), ("s", "a", "clock", 99, 9, 1), ("t", "b", "x", 1, 1, 1)]
     assert {r.body for r in newest_reliable(spark.createDataFrame(rows, schema)).collect()} == {"new", "x"}
     out = str(tmp_path / "out")
+    held = lambda: {(r.source, r.id): r.body for r in ingest.stored(spark, out).collect()}
 
     def run(new):
-        spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        if new:
+            spark.createDataFrame(new, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         upsert_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), out, str(tmp_path / "cp")).awaitTermination(120)
-        return {(r.source, r.id): r.body for r in sinks.read_table(spark, out, "records").collect()}
+        return held()
 
     assert run(rows) == {("s", "a"): "new", ("t", "b"): "x"}
+    first = ingest.record_store(spark, out).head()
     assert run([("s", "a", "stale", 2, 9, 1), ("s", "c", "z", 1, 1, 1)]) == {("s", "a"): "new", ("t", "b"): "x", ("s", "c"): "z"}
-    assert sinks.recover(spark, out) == []
+    # The second batch wrote its new row alone, and the first segment is as it was.
+    second = ingest.record_store(spark, out).head()
+    assert second["segments"][0] == first["segments"][0] and second["sums"]["owners"] == 3 and len(second["segments"]) == 2
+    # Started again without new rows, nothing changes; a repeated batch changes nothing either.
+    assert run([]) == held() and ingest.record_store(spark, out).head()["number"] == second["number"]
+    assert run([("s", "c", "z", 1, 1, 1)]) == held() and len(ingest.record_store(spark, out).head()["segments"]) == 2
+    # The stream equals one batch upsert after the other.
+    batch = ingest.upsert(newest_reliable(spark.createDataFrame(rows, schema)), spark.createDataFrame([("s", "a", "stale", 2, 9, 1), ("s", "c", "z", 1, 1, 1)], schema))
+    assert {(r.source, r.id): r.body for r in batch.collect()} == held()
+
+
+def test_a_snapshot_writes_only_what_differs(spark, tmp_path):
+    at = str(tmp_path / "r")
+    schema = "source string, id string, body string, updated int, observed int, ts int"
+    make = lambda rows: spark.createDataFrame(rows, schema)
+    columns = make([]).columns
+    ingest.store(spark, at, "s", make([("s", "a", "1", 1, 1, 1), ("s", "b", "1", 1, 1, 1)]), make([]))
+    ingest.store(spark, at, "t", make([("t", "a", "1", 1, 1, 1)]), ingest.stored(spark, at).select(columns))
+    files = {p for p in (tmp_path / "r").rglob("*.parquet")}
+    body = ingest.store(spark, at, "s", make([("s", "b", "2", 1, 1, 1), ("s", "c", "1", 1, 1, 1)]), ingest.stored(spark, at).select(columns))
+    assert {(r.source, r.id): r.body for r in ingest.stored(spark, at).collect()} == {("s", "b"): "2", ("s", "c"): "1", ("t", "a"): "1"}
+    assert all(p.exists() for p in files) and body["sums"]["owners"] == 3
 
 
 def test_entry_names_match():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_html_characters(spark):
+    cases = {
+        "a &amp;copy; b &copy; &#233;&#xE9;&#x1F600; &nope; &#0; &#xD800; & x &amp": "a &copy; b © éé😀 &nope; &#0; &#xD800; & x &amp",
+        "<!-- a > b --><p>one<!-- x -->two</p><script>if (a<b) {}</script>&lt;b&gt;": "\nonetwo<b>", "x<!-- open": "x",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases], "html string").select("html", text.html_text(F.col("html")).alias("t")).collect()
+    assert {r.html: r.t for r in rows} == cases
+
+
+def brute_excerpt(words, wanted):
+    import re
+
+    terms = [{t for x in re.findall(r"[^\W_]+", w.lower()) for t in wanted.get(x, [])} for w in words]
+    best, at = 0, None
+    for i, t in enumerate(terms):
+        n = len(set().union(*terms[i : i + 48]))
+        if t and n > best:
+            best, at = n, i
+    last = max((j for j in range(at, min(at + 48, len(words))) if terms[j]), default=at) if at is not None else None
+    start = 0 if at is None else max(0, at - min(8, 48 - (last - at + 1)))
+    return (" … " if start else "") + " ".join(words[start : start + 48]) + (" … " if len(words) > start + 48 else "")
+
+
+def test_excerpts_show_the_window_with_most_terms(spark):
+    import random
+
+    rng, wanted = random.Random(2), {"decision": ["decis"], "decisions": ["decis"], "café": ["cafe"], "red": ["red"], "x": ["x", "red"]}
+    texts = [" ".join(rng.choices(["hay", "Decisions,", "café", "red-hot", "x"], [60, 1, 1, 1, 1], k=rng.choice([0, 3, 60, 300]))) for _ in range(25)] + ["hay " * 60 + "red", "red " * 100]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.excerpt(F.col("t"), wanted).alias("e")).collect()
+    for r in rows:
+        assert r.e == brute_excerpt(r.t.split(), wanted), r.t
