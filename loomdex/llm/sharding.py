@@ -136,7 +136,7 @@ def metadata(docs: DataFrame, shards_of: int) -> DataFrame:
     out = written(placed.select(
         F.col("id").alias("doc_id"), "size", "text_crc32", "m", (F.col("size") * F.col("m")).alias("bytes"),
         F.least(F.greatest(F.floor((F.log2(F.col("size").cast("double")) - F.lit(small)) / F.lit(steps) * top), F.lit(0)), top).cast("int").alias("by_size"),
-        "by_source", "by_lang", F.coalesce(F.least(F.floor(part_of * top), top), F.lit(0)).cast("int").alias("by_id"),
+        "by_source", "by_lang", F.when(F.col("doc_id").isNull(), 0).otherwise(F.least(F.floor(part_of * top), top)).cast("int").alias("by_id"),
         F.shiftright("text_crc32", 16).cast("int").alias("by_text"), "by_row",
     ))
     release(rows, units)
