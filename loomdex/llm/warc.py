@@ -71,6 +71,7 @@ def records(pages: DataFrame, least: int = LEAST, parts: int | None = None, ofte
     rare = first.where(F.col("copies") <= often).drop("copies")
     refers = own.join(F.broadcast(common.select("digest")), "digest", "left_anti").join(rare, "digest").unionByName(own.join(F.broadcast(common), "digest"))
     refers = refers.where("page_id <> response").select(F.col("page_id").alias("p"), F.col("digest").alias("d"), F.col("response").alias("refers_to")).distinct()
+    refers = written(refers)  # a plan of its own, so the payloads are dealt once
     if parts:
         base, refers = base.repartition(parts, "page_id", "digest"), refers.repartition(parts, "p", "d")
     whole = base.join(refers, (base.page_id == refers.p) & (base.digest == refers.d), "left")
