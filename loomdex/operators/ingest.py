@@ -225,6 +225,23 @@ def covered(kept: tuple[float, float] | None, start: float, end: float, observed
     return ((start, end), True) if end >= kept[1] else (kept, False)
 
 
+def coverage_of(runs: Column) -> Column:
+    """`coverage` of an array of runs (start, end, observed) in their order: the kept
+    interval as a struct (start, end) of doubles, null where there is none."""
+    none = F.lit(None).cast("double")
+    pair = lambda a, b: F.struct(a.cast("double").alias("start"), b.cast("double").alias("end"))
+
+    def step(kept: Column, run: Column) -> Column:
+        end, until = F.least(run["end"], run["observed"]), F.least(kept["end"], run["observed"])
+        held = F.coalesce(kept["start"] < until, F.lit(False))
+        old = F.when(held, pair(kept["start"], until)).otherwise(pair(none, none))
+        touches = (run["start"] <= until) & (end >= kept["start"])
+        newer = F.when(touches, pair(F.least(run["start"], kept["start"]), F.greatest(end, until))).when(end >= until, pair(run["start"], end)).otherwise(old)
+        return F.when(end <= run["start"], old).when(~held, pair(run["start"], end)).otherwise(newer)
+
+    return F.aggregate(runs, pair(none, none), step, lambda k: F.when(k["start"].isNotNull(), k))
+
+
 def _ready(at: Column) -> Column:
     """Enabled, scheduled, and the schedule has passed since the last good run."""
     elapsed = F.unix_timestamp(at) - F.unix_timestamp("success")

@@ -488,22 +488,20 @@ def coverage_merge(spark, sf_dir):
     rows = corpus.event_items(spark, sf_dir).where("day(time) % 9 <> 4")
     days = rows.groupBy("source", F.to_date("time").alias("day")).agg(F.count(F.lit(1)).alias("n")).where("n > 0")
 
-    def fold(key, rows):
-        import pandas as pd
-
-        at = (pd.to_datetime(rows["day"]).sort_values() - pd.Timestamp("1970-01-01")).dt.total_seconds()
-        kept = ingest.coverage([(x, x + 86400, x + 86400) for x in at]) or (0.0, 0.0)
-        return pd.DataFrame({"source": [key[0]], "start_s": [kept[0]], "end_s": [kept[1]]})
-
-    return days.groupBy("source").applyInPandas(fold, "source string, start_s double, end_s double")
+    at = F.unix_timestamp(F.col("day").cast("timestamp")).cast("double")
+    run = F.struct(at.alias("start"), (at + 86400).alias("end"), (at + 86400).alias("observed"))
+    kept = days.groupBy("source").agg(ingest.coverage_of(F.sort_array(F.collect_list(run))).alias("k"))
+    return kept.select("source", F.col("k.start").alias("start_s"), F.col("k.end").alias("end_s"))
 
 
 @query()
 def stemmed_terms(spark, sf_dir):
     """Stems have no SQL: the tests compare them with brute force."""
-    from loomdex.functions.text import stems
+    from loomdex.functions.text import stem_of, tokens
 
-    return corpus.table(spark, sf_dir, "documents").select(F.explode(stems("text")).alias("stem")).groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+    # Each different word meets the stemmer once; its occurrences are counted before.
+    words = corpus.table(spark, sf_dir, "documents").select(F.explode(tokens(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return words.select(stem_of(F.col("word")).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
 # --- pages over the items of all tables ---

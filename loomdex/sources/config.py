@@ -66,6 +66,8 @@ class _Builder:
             raise BadConfig("YAML anchors and aliases are not read")
         kind = type(event).__name__.removesuffix("Event")
         if kind in ("MappingStart", "SequenceStart"):
+            if event.tag and not event.tag.endswith((":map", ":seq")):
+                raise BadConfig("YAML has an unknown tag")
             if len(self.open) == MAX_DEPTH:
                 raise BadConfig("YAML is nested too deep")
             self.open.append([{} if kind == "MappingStart" else [], self.WAITS])

@@ -255,3 +255,21 @@ def test_excerpts_show_the_window_with_most_terms(spark):
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.excerpt(F.col("t"), wanted).alias("e")).collect()
     for r in rows:
         assert r.e == brute_excerpt(r.t.split(), wanted), r.t
+
+
+def test_coverage_as_an_expression(spark):
+    import random
+
+    rng = random.Random(9)
+    runs = [[(a, a + rng.randrange(-1, 6), rng.randrange(0, 30)) for a in (rng.randrange(0, 20) for _ in range(rng.randrange(0, 7)))] for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(runs)), "i int, runs array<struct<start:int,end:int,observed:int>>")
+    for r in rows.select("i", ingest.coverage_of(F.col("runs")).alias("k")).collect():
+        assert (tuple(r.k) if r.k else None) == ingest.coverage(runs[r.i]), runs[r.i]
+
+
+def test_stems_of_a_vocabulary_equal_those_of_all_words(spark):
+    texts = ["Decisions decided CAFÉ Café", "straße decide", None, ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    each = rows.select(F.explode(text.stems("text")).alias("s")).groupBy("s").count()
+    once = rows.select(F.explode(text.tokens(F.col("text"))).alias("w")).groupBy("w").count().select(text.stem_of(F.col("w")).alias("s"), "count").groupBy("s").agg(F.sum("count").alias("count"))
+    assert sorted(map(tuple, each.collect())) == sorted(map(tuple, once.collect()))
