@@ -1,9 +1,8 @@
 """Byte-level BPE encoding and decoding.
 
 Ranked merges are folded over the byte arrays of the distinct words of a batch,
-with the rank table as a literal map that travels in the task's closure (about
-50,000 entries, fixed by the vocabulary file, so its size does not follow the
-data). Decoding concatenates the binary piece of each id.
+with the rank table broadcast to the tasks (about 50,000 entries, fixed by the
+vocabulary file, so its size does not follow the data). Decoding concatenates the binary piece of each id.
 
 Defined cases: a null text counts as empty and has no ids; a null doc_id stays
 null; repeated rows give repeated results; any further columns are ignored; a
