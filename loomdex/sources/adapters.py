@@ -25,7 +25,7 @@ from loomdex.functions.temporal import bound, canonical
 from loomdex.sources.brain import record_problem
 
 RECORD = "id string, title string, text string, time string, url string, links array<string>, partial boolean"
-MAX_TEXT, MAX_ROWS = 64 << 10, 10_000
+MAX_TEXT = 64 << 10
 PLAIN = ("txt", "md", "rst", "org", "csv", "tsv")
 KINDS = (*PLAIN, "html", "htm", "docx", "pptx", "xlsx", "pdf")
 
@@ -92,14 +92,11 @@ def from_array(reply: DataFrame, column: str = "value") -> DataFrame:
 
 def git_commits(log: DataFrame, start: datetime, end: datetime, bots: str = r"(?i)\[bot\]|(^|[^a-z])bot@") -> DataFrame:
     """Records of commits in [start, end) that people made. log: repo, value, with
-    value = sha, ISO time, name, email and subject between U+001F; an error beyond
-    MAX_ROWS."""
+    value = sha, ISO time, name, email and subject between U+001F. A log is read whole,
+    however many commits the window has."""
     part = lambda i: F.split("value", "\x1f")[i]
     rows = log.where(F.size(F.split("value", "\x1f")) == 5).select("repo", part(0).alias("sha"), F.try_to_timestamp(canonical(part(1))).cast("timestamp_ntz").alias("at"), part(2).alias("name"), F.lower(part(3)).alias("email"), part(4).alias("subject"))
     rows = rows.where((F.col("at") >= bound(start)) & (F.col("at") < bound(end)) & ~F.concat_ws(" ", "name", "email").rlike(bots)).dropDuplicates(["repo", "sha"])
-    found = rows.limit(MAX_ROWS + 1)
-    if found.count() > MAX_ROWS:
-        raise ValueError(f"more than {MAX_ROWS} commits: use a shorter window")
     stamp = F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     links = F.array_sort(F.array(F.concat(F.lit("repo:"), "repo"), F.concat(F.lit("person:"), "email")))
     return rows.select(*_record(id=F.concat_ws("@", "repo", "sha"), title=F.col("subject"), text=F.concat_ws(" ", "name", "subject"), time=stamp, links=links))

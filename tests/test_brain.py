@@ -353,6 +353,13 @@ def test_producers(spark):
         adapters.drive_folders(spark.createDataFrame([('{"files":[{"id":"a","name":"x"},{"id":"a","name":"y"}]}',)], "value string")).collect()
 
 
+def test_a_log_of_very_many_commits_is_read_whole(spark):
+    stamp = F.date_format(F.timestamp_seconds(F.lit(1_704_844_800) + F.col("id")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    log = spark.range(10_050).select(F.lit("demo").alias("repo"), F.concat_ws("\x1f", F.col("id").cast("string"), stamp, F.lit("someone"), F.lit("a@x.example"), F.lit("fix")).alias("value"))
+    found = adapters.git_commits(log, datetime(2024, 1, 10, tzinfo=timezone.utc), datetime(2024, 1, 11, tzinfo=timezone.utc))
+    assert found.select("id").distinct().count() == found.count() == 10_050
+
+
 def test_state(spark, tmp_path):
     (tmp_path / "state.jsonl").write_text('{"name":"mail","success":"2026-09-25T11:00:00Z"}\nnot json\n{"x":1}\n')
     runs = adapters.read_state(spark, str(tmp_path / "state.jsonl"))
