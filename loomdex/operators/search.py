@@ -1,9 +1,10 @@
 """Word search: stored postings, corpus statistics, BM25, best passage, federation.
 
 An index is a store of segments: postings (a row for each term of a passage and
-field) in folders and in order of the term, a vocabulary from stems to words, and of
+field) in order of the term, a vocabulary from stems to words, and of
 each ref how many passages and tokens it has, so that statistics follow every change.
-A query opens the folders of its terms and reads their pages. A change writes the
+Postings stay with their passage: a file holds some refs, in order of the term, so none
+is shuffled, and a query reads its terms' pages of every file. A change writes the
 passages of the refs that are new or others, and marks what is gone. Stems are looked
 up in the vocabulary, so the same postings serve whole words and stems.
 """
@@ -95,7 +96,11 @@ def bm25(passages: DataFrame, query: str, keep: list[str], stemmed: bool = False
 #: Tables of an index in a store, and the columns they are looked up by.
 KEYS = {"postings": "term", "vocabulary": "stem"}
 #: Of what is stored; an index of another format is built anew.
-FORMAT = 3
+FORMAT = 4
+#: Tables whose rows stay with their owners, in order of the key; tokens of a file of them.
+DEALT, FILE_TOKENS, LEAST_TOKENS = ("postings",), 1_500_000, 100_000
+#: A run of equal words in a sorted text of words with one blank between them.
+_RUN = r"([^ ]++)(?: \1(?= |\z))*+"
 
 
 @dataclass(frozen=True)
@@ -161,29 +166,35 @@ class Index:
 
 
 def runs(words: Column) -> Column:
-    """term, n of the different words of an array, counted in the row: equal words
-    are neighbours in the sorted array, so a word's count is the way to the next one."""
-    def of(s: Column) -> Column:
-        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
-        first = F.filter(places, lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
-        told = F.transform(F.array(first), lambda f: F.transform(f, lambda i, k: F.struct(F.get(s, i).alias("term"), (F.coalesce(F.get(f, k + 1), F.size(s)) - i).alias("n"))))
-        return F.get(told, 0)
+    """term, n of the different words (without blanks) of an array, counted in the row."""
+    each = F.get(F.transform(F.array(_sorted(words)), lambda s: F.arrays_zip(_found(s, 1).alias("term"), _found(s, 0).alias("run"))), 0)
+    return F.transform(each, lambda x: F.struct(x["term"].alias("term"), _length_of(x["run"], x["term"]).alias("n")))
 
-    return F.get(F.transform(F.array(F.sort_array(words)), of), 0)
+
+def _sorted(words: Column) -> Column:
+    """The words in order as one text: equal ones are neighbours, and a run of them is
+    found by one regular expression, without a lambda for each word."""
+    return F.array_join(F.sort_array(words), " ")
+
+
+def _found(text: Column, group: int) -> Column:
+    return F.regexp_extract_all(text, F.lit(_RUN), F.lit(group))
+
+
+def _length_of(run: Column, term: Column) -> Column:
+    """How often the run repeats its term."""
+    return ((F.octet_length(run) + 1) / (F.octet_length(term) + 1)).cast("int")
 
 
 def counted(passages: DataFrame) -> DataFrame:
     """owner (the ref), the other columns of passages, digest (of the whole row), d
-    and `terms` (term, n, f) of each passage. Texts are tokenised here and only here."""
+    and of each searched column its words in order (`_sorted`). Texts are tokenised here
+    and only here."""
     fields = _fields(passages)
     kept = [c for c in passages.columns if c not in fields]
-
-    def weighed(column: str) -> Column:
-        return F.transform(runs(tokens(F.col(column))), lambda x: F.struct(x["term"].alias("term"), x["n"].alias("n"), (F.lit(WEIGHTS[column]) * x["n"]).alias("f")))
-
-    each = [weighed(c) for c in fields]
-    out = passages.select(F.col("ref").alias("owner"), *kept, F.xxhash64(*passages.columns).alias("digest"), F.concat(*each).alias("terms"))
-    return out.withColumn("d", F.aggregate("terms", F.lit(0), lambda a, x: a + x["n"]))
+    out = passages.select(F.col("ref").alias("owner"), *kept, F.xxhash64(*passages.columns).alias("digest"), *[_sorted(tokens(F.col(c))).alias(f"words_{c}") for c in fields])
+    each = [F.when(F.col(f"words_{c}") == "", 0).otherwise(F.octet_length(f"words_{c}") - F.octet_length(F.replace(F.col(f"words_{c}"), F.lit(" "), F.lit(""))) + 1) for c in fields]
+    return out.withColumn("d", sum(each[1:], each[0]))
 
 
 def owners_of(staged: DataFrame) -> DataFrame:
@@ -192,37 +203,53 @@ def owners_of(staged: DataFrame) -> DataFrame:
     return staged.groupBy(F.col("owner").alias("name")).agg(digest.alias("digest"), F.count(F.lit(1)).alias("passages"), F.sum("d").cast("bigint").alias("tokens"))
 
 
-def tables(staged: DataFrame, stemmed: bool) -> dict[str, DataFrame]:
-    """Postings and, for stemmed search, the vocabulary: each different word meets the
-    stemmer once, whatever its occurrences."""
-    kept = [c for c in staged.columns if c not in ("terms", "digest")]
-    posts = staged.select(*kept, F.explode("terms").alias("t")).select(*kept, "t.term", "t.n", "t.f")
-    out = {"postings": posts}
+def tables(staged: DataFrame, stemmed: bool, files: int) -> dict[str, DataFrame]:
+    """Postings, a task for each of `files`, and, for stemmed search, the vocabulary: each
+    different word meets the stemmer once, whatever its occurrences. The counted passages
+    are dealt, not their postings."""
+    fields = [c for c in WEIGHTS if f"words_{c}" in staged.columns]
+    kept = [c for c in staged.columns if c != "digest" and c not in [f"words_{f}" for f in fields]]
+    rows = staged.repartition(files, "owner").select(*kept, *[_found(F.col(f"words_{c}"), 0).alias(f"_runs_{c}") for c in fields])
+    # The runs of all fields follow each other; where a field's runs end tells their weight.
+    ends = [sum((F.size(f"_runs_{c}") for c in fields[1 : i + 1]), F.size(f"_runs_{fields[0]}")).alias(f"_end_{c}") for i, c in enumerate(fields[:-1])]
+    rows = rows.select(*kept, *ends, F.concat(*[F.col(f"_runs_{c}") for c in fields]).alias("_runs"))
+    rows = rows.select(*kept, *[f"_end_{c}" for c in fields[:-1]], F.posexplode("_runs").alias("_at", "_run")).withColumn("term", F.substring_index("_run", " ", 1))
+    weight = F.coalesce(*[F.when(F.col("_at") < F.col(f"_end_{c}"), WEIGHTS[c]) for c in fields[:-1]], F.lit(WEIGHTS[fields[-1]]))
+    rows = rows.withColumns({"n": _length_of(F.col("_run"), F.col("term")), "_weight": weight})
+    out = {"postings": rows.select(*kept, "term", "n", (F.col("_weight") * F.col("n")).alias("f"))}
     if stemmed:
-        words = staged.select(F.explode("terms.term").alias("term")).distinct()
+        words = staged.select(F.explode(F.concat(*[_found(F.col(f"words_{c}"), 1) for c in fields])).alias("term")).distinct()
         out["vocabulary"] = words.select("term", stem_of(F.col("term")).alias("stem"))
     return out
 
 
 def store_at(spark: SparkSession, root: str) -> Store:
-    return Store(spark, root, KEYS, ("vocabulary",))
+    return Store(spark, root, KEYS, ("vocabulary",), DEALT)
+
+
+def files_for(staged: DataFrame) -> tuple[int, int]:
+    """Into how many files the postings are dealt, so that a task sorts them in memory,
+    and how many tokens there are."""
+    n = int(staged.agg(F.coalesce(F.sum("d"), F.lit(0))).first()[0])
+    few = min(staged.sparkSession.sparkContext.defaultParallelism, n // LEAST_TOKENS)
+    return max(1, few, -(-n // FILE_TOKENS)), n
 
 
-def _stage(passages: DataFrame, root: str) -> tuple[DataFrame, str, int]:
-    """The counted passages, written once below the store; their folder and how many
-    postings they make."""
+def _stage(passages: DataFrame, root: str) -> tuple[DataFrame, str, tuple[int, int]]:
+    """The counted passages, written once below the store; their folder and
+    `files_for`."""
     spark, path = passages.sparkSession, f"{root}/stage-{uuid.uuid4().hex}"
     counted(passages).write.parquet(path)
     staged = spark.read.parquet(path)
-    return staged, path, int(staged.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()[0])
+    return staged, path, files_for(staged)
 
 
 def build(passages: DataFrame, root: str, stemmed: bool = False, note: dict | None = None) -> Index:
     """Index `passages` (ref, fragment, further columns to filter on, and the searched
-    ones) anew: one tokenisation, one shuffle of the postings."""
+    ones) anew: one tokenisation, one shuffle of the passages' words."""
     spark, store = passages.sparkSession, store_at(passages.sparkSession, root)
-    staged, path, n = _stage(passages, root)
-    at = store.apply({"owners": owners_of(staged), **tables(staged, stemmed)}, note={"format": FORMAT, "stemmed": stemmed, **(note or {})}, fresh=True, sizes={"postings": n, "vocabulary": n // 4})
+    staged, path, (files, n) = _stage(passages, root)
+    at = store.apply({"owners": owners_of(staged), **tables(staged, stemmed, files)}, note={"format": FORMAT, "stemmed": stemmed, **(note or {})}, fresh=True, sizes={"postings": n, "vocabulary": n // 20})
     sinks.remove(spark, path)
     return Index(store, at, stemmed)
 
@@ -233,7 +260,7 @@ def refresh(index: Index, passages: DataFrame, removed: DataFrame | None = None,
     are others than before are written. Returns how many were added, changed,
     unchanged and removed."""
     store, spark = index.store, index.store.spark
-    staged, path, size = _stage(passages, store.root)
+    staged, path, (files, size) = _stage(passages, store.root)
     fresh, before = owners_of(staged), index.store.owners(index.at)
     told = fresh.select("name", F.col("digest").alias("is")).join(before.select("name", F.col("digest").alias("was")), "name", "left")
     kind = F.when(F.col("was").isNull(), "added").when(F.col("was") == F.col("is"), "unchanged").otherwise("changed")
@@ -250,8 +277,8 @@ def refresh(index: Index, passages: DataFrame, removed: DataFrame | None = None,
     some = counts["added"] + counts["changed"]
     if some or counts["removed"]:
         live = staged.join(F.broadcast(new) if some <= BROADCAST else new, "owner", "left_semi")
-        add = {"owners": owners_of(live), **tables(live, index.stemmed)} if some else {}
-        at = store.apply(add, gone, {**index.at["note"], **(note or {})}, sizes={"postings": size, "vocabulary": size})
+        add = {"owners": owners_of(live), **tables(live, index.stemmed, files)} if some else {}
+        at = store.apply(add, gone, {**index.at["note"], **(note or {})}, sizes={"postings": size, "vocabulary": size // 20})
         index = Index(store, at, index.stemmed)
     sinks.remove(spark, path)
     sinks.remove(spark, f"{path}-kinds")

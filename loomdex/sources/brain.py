@@ -35,7 +35,7 @@ ITEM = (
 TABLES = ("items", "passages", "names", "links", "edges", "problems")
 #: Tables of a stored brain that are looked up by a column, and their format.
 KEYS = {"passages": "ref", "links": "item", **graph.KEYS, **search.KEYS}
-FORMAT = 2
+FORMAT = 3
 #: Changed files that are named to Spark; of more, the whole folder is read.
 NAMED_FILES = 1000
 #: Items of a change whose tables are not counted before they are written.
@@ -392,7 +392,7 @@ def refresh(spark: SparkSession, root: str, config: Config, tz: str = "UTC", sto
     Returns the store, its commit and how many items were added, changed, unchanged,
     removed."""
     at = store or sinks.shared_folder(spark, f"brain-{hashlib.sha256(root.encode()).hexdigest()[:16]}")
-    kept = Store(spark, at, KEYS, ("vocabulary",))
+    kept = Store(spark, at, KEYS, ("vocabulary",), search.DEALT)
     told = {"format": FORMAT, "signature": f"{signature(config)}-{tz}"}
     held = kept.head()
     if held is not None and {k: held["note"].get(k) for k in told} != told:
@@ -435,7 +435,7 @@ def refresh(spark: SparkSession, root: str, config: Config, tz: str = "UTC", sto
     pick = lambda df, column: df.join(live, df[column] == live["owner"], "left_semi")
     items, edges = pick(brain.items, "ref"), pick(brain.edges, "item")
     tables = graph.tables(items, pick(brain.names, "item"), pick(brain.links, "item"), edges)
-    tables |= {"passages": pick(brain.passages, "ref").withColumn("owner", F.col("ref")), "links": pick(brain.links, "item").withColumn("owner", F.col("item")), **search.tables(staged.join(live, "owner", "left_semi"), True)}
+    tables |= {"passages": pick(brain.passages, "ref").withColumn("owner", F.col("ref")), "links": pick(brain.links, "item").withColumn("owner", F.col("item")), **search.tables(staged.join(live, "owner", "left_semi"), True, 1 if some <= FEW_ITEMS else search.files_for(staged)[0])}
     problems = notes.where("problem is not null").select(F.col("path").alias("file"), "problem").unionByName(bad).withColumn("again", F.lit(""))
     tables["problems"] = problems.unionByName(twice).withColumn("owner", F.concat(F.lit("!"), "file"))
     # A file is an owner of its line in the manifest, and of its problems.

@@ -9,7 +9,9 @@ are about FAN segments for each power of FAN.
 
 A table with a key lies in folders by a hash of the key and in its order there, in
 short pages: a lookup of some keys opens their folders and reads their pages. Each
-segment chooses its number of folders by its rows.
+segment chooses its number of folders by its rows. A `dealt` table stays with its owners
+instead: nothing is shuffled by the key, each file is in its order, and a lookup reads
+the key's pages of all files.
 
 Every owned table has the column `owner`; the table `owners` (owner, path, digest and
 what is summed over live owners) tells what a segment holds. Commits are numbered and
@@ -36,6 +38,8 @@ FAN, LEAST_BYTES = 4, 1 << 20
 BROADCAST, LITERALS, WRITERS = 200_000, 1000, 8
 #: Rows of a folder and of a page of a keyed table; most folders.
 FOLDER_ROWS, PAGE_ROWS, FOLDERS = 100_000, 200, 4096
+#: Rows of a page and about those of a file of a dealt table.
+DEALT_PAGE, DEALT_ROWS = 2000, 1_500_000
 #: A key with more than a folder's rows is dealt over several files by its owners.
 FILE_ROWS = 20_000_000
 
@@ -47,12 +51,14 @@ def folder_of(key: Column, folders: int) -> Column:
 @dataclass(frozen=True)
 class Store:
     """`keys`: the key column of each table that has one; `unowned`: tables whose rows
-    outlive their owners (vocabularies)."""
+    outlive their owners (vocabularies); `dealt`: tables with a key whose rows come in
+    tasks of some owners each and are written so."""
 
     spark: SparkSession
     root: str
     keys: dict[str, str] = field(default_factory=dict)
     unowned: tuple[str, ...] = ()
+    dealt: tuple[str, ...] = ()
 
     # --- what is committed ---
 
@@ -67,9 +73,12 @@ class Store:
 
     def table(self, name: str, at: dict | None = None) -> DataFrame:
         """All live rows of a table."""
-        held = at or self._head()
+        return self._live_of(name, at or self._head())
+
+    def _live_of(self, name: str, held: dict, where: Column | None = None) -> DataFrame:
         parts = [s for s in held["segments"] if name in s["tables"]]
-        return self._live(self._read(held, parts, name, [f"{self.root}/{s['id']}/{name}" for s in parts]), held, name)
+        rows = self._read(held, parts, name, [f"{self.root}/{s['id']}/{name}" for s in parts])
+        return self._live(rows if where is None else rows.where(where), held, name)
 
     def lookup(self, name: str, wanted: list[str], at: dict | None = None) -> DataFrame:
         """Live rows whose key is wanted: only their folders are opened. Many keys
@@ -78,6 +87,8 @@ class Store:
         if len(wanted) > LITERALS:
             asked = self.spark.createDataFrame([(w,) for w in set(wanted)], f"{key} string")
             return self.table(name, held).join(F.broadcast(asked) if len(wanted) <= BROADCAST else asked, key, "left_semi")
+        if name in self.dealt:
+            return self._live_of(name, held, F.col(key).isin(wanted))
         parts = [s for s in held["segments"] if name in s["tables"]]
         homes = self._homes(wanted, sorted({s["tables"][name]["folders"] for s in parts}))
         paths = []
@@ -180,7 +191,9 @@ class Store:
             df = tables[name].withColumn("owner", F.col("name")) if name == "owners" else tables[name]
             df = df.withColumn("_seq", F.lit(number))
             told = {"schema": df.schema.json(), "rows": sizes.get(name)}
-            if name in self.keys:
+            if name in self.dealt:
+                df.sortWithinPartitions(self.keys[name]).write.options(**_pages(DEALT_PAGE)).parquet(path)
+            elif name in self.keys:
                 told["rows"] = df.count() if told["rows"] is None else told["rows"]
                 told["folders"] = self._keyed(df, self.keys[name], path, told["rows"])
                 told["filled"] = sinks.subfolders(self.spark, path, "folder=")
@@ -205,8 +218,7 @@ class Store:
             dealt = dealt.repartition(max(folders, rows // FILE_ROWS), "folder", "deal").drop("deal")
         else:
             dealt = dealt.repartitionById(folders, "folder") if folders > 1 else dealt.coalesce(1)
-        pages = {"parquet.page.row.count.limit": str(PAGE_ROWS), "parquet.page.size.row.check.min": "100"}
-        dealt.sortWithinPartitions("folder", key).write.options(**pages).partitionBy("folder").parquet(path)
+        dealt.sortWithinPartitions("folder", key).write.options(**_pages(PAGE_ROWS)).partitionBy("folder").parquet(path)
         return folders
 
     def _merged(self, body: dict, number: int) -> dict:
@@ -227,6 +239,8 @@ class Store:
             found = found.drop("_seq").distinct() if name in self.unowned else self._dead_out(found, view)
             rows[name] = (found.drop("owner") if name == "owners" else found).drop("_seq")
             sizes[name] = sum(s["tables"][name]["rows"] or 0 for s in parts)
+            if name in self.dealt:
+                rows[name] = rows[name].repartition(max(1, -(-sizes[name] // DEALT_ROWS)), "owner")
         merged = self._written(rows, number, sizes)
         segments = [*[s for s in body["segments"] if s not in due], merged]
         oldest = min((s["seq"] for s in segments), default=number)
@@ -271,6 +285,10 @@ class Keyed:
         return self._some(self.store.lookup(self.name, wanted, self.at))
 
 
+def _pages(rows: int) -> dict[str, str]:
+    return {"parquet.page.row.count.limit": str(rows), "parquet.page.size.row.check.min": "100"}
+
+
 def _hash(jvm, hashed, string, text: str) -> int:
     value = jvm.org.apache.spark.unsafe.types.UTF8String.fromString(text)
     return hashed.hash(value, string, 42, True, False)

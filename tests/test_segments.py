@@ -110,6 +110,19 @@ def test_many_questions_in_one_plan(spark, tmp_path):
             assert sorted(got.get(name, [])) == sorted((r["rank"], r.ref, r.score) for r in found.collect())
 
 
+def test_postings_stay_with_their_passages(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(search, "FILE_TOKENS", 200)
+    texts = {f"r{i}": " ".join(f"w{(i * 7 + j * j) % 23}" for j in range(30)) for i in range(40)}
+    index = search.build(passages(spark, texts), str(tmp_path / "i"))
+    rows = spark.read.parquet(str(tmp_path / "i" / index.at["segments"][0]["id"] / "postings")).select("ref", "term", F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("at")).collect()
+    homes, order = {}, {}
+    for r in sorted(rows, key=lambda r: r["at"]):
+        homes.setdefault(r.ref, set()).add(r.file)
+        order.setdefault(r.file, []).append(r.term)
+    assert len(order) > 2 and all(len(h) == 1 for h in homes.values()) and all(t == sorted(t) for t in order.values())
+    assert scores(index, "w1 w2 none") == {r.ref: round(r.score, 9) for r in search.bm25(passages(spark, texts), "w1 w2 none", ["ref"]).collect()}
+
+
 def test_runs(spark):
     got = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],)], "w array<string>").select(search.runs(F.col("w")).alias("r")).collect()
     assert [[tuple(x) for x in r.r] for r in got] == [[("a", 1), ("b", 2)], [], [("x", 1)]]
