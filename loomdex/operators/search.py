@@ -297,7 +297,9 @@ def open_index(spark: SparkSession, root: str) -> Index | None:
 def find_all(index: Index, queries: DataFrame, limit: int, stemmed: bool | None = None) -> DataFrame:
     """name, ref, fragment, score, rank of the first `limit` refs of every query (name,
     query): a table of queries and terms meets the postings once, and all queries are
-    scored and cut in one plan. The order is that of `ranked` with one best passage."""
+    scored and cut in one plan. The order is that of `ranked` with one best passage. What
+    was found is dealt by ref once; all sums of a passage and its ref are made there, and
+    `limit` rows a task and query are left to meet."""
     spark = index.store.spark
     stemmed = index.stemmed if stemmed is None else stemmed
     cut = query_stems if stemmed else query_terms
@@ -316,7 +318,7 @@ def find_all(index: Index, queries: DataFrame, limit: int, stemmed: bool | None
     few = asked.limit(BROADCAST + 1).count() <= BROADCAST
     posts = index.store.table("postings", index.at)
     wanted = asked.select("term", "as").distinct()
-    hit = posts.join(F.broadcast(wanted) if few else wanted, "term").drop("term", "n").withColumnRenamed("as", "term")
+    hit = posts.join(F.broadcast(wanted) if few else wanted, "term").drop("term", "n").withColumnRenamed("as", "term").repartition("ref")
     keep = [c for c in hit.columns if c not in ("term", "f", "d")]
     hit = hit.groupBy(*keep, "d", "term").agg(F.sum("f").alias("f"))
     n, mean = index.statistics()

@@ -3,6 +3,7 @@ opens few files."""
 
 import json
 import random
+import re
 from datetime import datetime, timezone
 
 import pytest
@@ -123,6 +124,15 @@ def test_postings_stay_with_their_passages(spark, tmp_path, monkeypatch):
     assert scores(index, "w1 w2 none") == {r.ref: round(r.score, 9) for r in search.bm25(passages(spark, texts), "w1 w2 none", ["ref"]).collect()}
 
 
+def test_questions_deal_their_postings_once(spark, tmp_path):
+    index = search.build(passages(spark, {f"r{i}": f"alpha w{i}" for i in range(9)}), str(tmp_path / "d"))
+    found = search.find_all(index, spark.createDataFrame([("q", "alpha w1"), ("p", "alpha")], "name string, query string"), 5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Sums of a passage need no shuffle beside that by ref.
+    assert "hashpartitioning(ref#" in plan and not any("fragment#" in x for x in re.findall(r"hashpartitioning\(([^)]*)\)", plan))
+    assert [(r.ref, r["rank"]) for r in found.where("name = 'q' and rank = 1").collect()] == [("r1", 1)]
+
+
 def test_runs(spark):
     got = spark.createDataFrame([(["b", "a", "b"],), ([],), (["x"],)], "w array<string>").select(search.runs(F.col("w")).alias("r")).collect()
     assert [[tuple(x) for x in r.r] for r in got] == [[("a", 1), ("b", 2)], [], [("x", 1)]]
