@@ -71,19 +71,21 @@ def linking(links: Rows, wanted: Wanted) -> DataFrame:
 # --- the stored graph ---
 
 
-def tables(items: DataFrame, names: DataFrame, links: DataFrame, edges: DataFrame) -> dict[str, DataFrame]:
+def tables(items: DataFrame, names: DataFrame, links: DataFrame, edges: DataFrame, files: int = 0) -> dict[str, DataFrame]:
     """The tables of KEYS from items (ref, time, ...), names (name, item), links (item,
     target, time) and edges (item, subject, relation, target, origin, time). Names have
     their item's time; a link and a claim have a row for each prefix of their target
-    that ends before a '#', the claim with its relation."""
+    that ends before a '#', the claim with its relation. `files`: for a store where all
+    is dealt, into how many tasks links and claims are, before they are exploded."""
+    deal = lambda df: df.repartition(files, "item") if files else df
     at = items.select(F.col("ref").alias("item"), "time").dropDuplicates(["item"])
     named = names.select("name", "item").join(at, "item", "left")
     none = F.lit(None).cast("string")
     bare = links.select("item", none.alias("subject"), none.alias("relation"), "target", none.alias("origin"), "time")
     said = edges.select("item", "subject", F.coalesce("relation", F.lit("")).alias("relation"), "target", "origin", "time")
-    reach = bare.unionByName(said).withColumn("key", F.explode(F.array_distinct(candidate_targets(F.col("target")))))
+    reach = deal(bare.unionByName(said)).withColumn("key", F.explode(F.array_distinct(candidate_targets(F.col("target")))))
     own = lambda df, c: df.withColumn("owner", F.col(c))
-    return {"items": own(items, "ref"), "names": own(named, "item"), "owned": own(named, "item"), "reach": own(reach, "item"), "edges": own(edges, "item")}
+    return {"items": own(items, "ref"), "names": own(named, "item"), "owned": own(named, "item"), "reach": own(reach, "item"), "edges": own(deal(edges), "item")}
 
 
 @dataclass(frozen=True)

@@ -256,19 +256,27 @@ _WANTED = ["customer:7", "nation:3"]
 def _graph(spark: SparkSession, sf_dir: str) -> graph.Graph:
     """The stored graph of the star schema's keys, written once for the tables' files."""
     name = "".join(c if c.isalnum() else "-" for c in sf_dir)
-    kept = Store(spark, sinks.shared_folder(spark, f"graph-{name}"), graph.KEYS)
-    told = {"format": "1", "manifest": " ".join(sinks.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "supplier", "nation"))}
+    kept = Store(spark, sinks.shared_folder(spark, f"graph-{name}"), graph.KEYS, (), tuple(graph.KEYS))
+    told = {"format": "2", "manifest": " ".join(sinks.fingerprint(spark, f"{sf_dir}/{t}.parquet") for t in ("orders", "customer", "supplier", "nation"))}
     held = kept.head()
     if held is None or held["note"] != told:
         held = _graph_build(spark, sf_dir, kept, told)
     return graph.Graph.stored(kept, held)
 
 
+#: Rows of the tables that one task of the stored graph makes its rows of.
+GRAPH_ROWS = 500_000
+
+
 def _graph_build(spark: SparkSession, sf_dir: str, kept: Store, told: dict) -> dict:
+    """All rows stay with their item: nothing is shuffled by what it is looked up by, and
+    no task makes more than it sorts in memory."""
     edges = corpus.order_edges(spark, sf_dir)
-    items = edges.select(F.col("item").alias("ref"), "time").distinct()
+    n = edges.count()
+    files = max(1, -(-n // GRAPH_ROWS), min(spark.sparkContext.defaultParallelism, n // 20_000))
+    items = edges.select(F.col("item").alias("ref"), "time").repartition(files, "ref").distinct()
     owners = items.select(F.col("ref").alias("name"), F.lit("").alias("digest"))
-    return kept.apply({"owners": owners, **graph.tables(items, corpus.names(spark, sf_dir), corpus.links(spark, sf_dir), edges)}, note=told, fresh=True)
+    return kept.apply({"owners": owners, **graph.tables(items, corpus.names(spark, sf_dir), corpus.links(spark, sf_dir), edges, files)}, note=told, fresh=True)
 
 
 @query(f"WITH {_INCOMING} SELECT * FROM (SELECT relation, item, row_number() OVER (PARTITION BY relation ORDER BY time DESC NULLS LAST, item) AS rank FROM found) WHERE rank <= 20")

@@ -242,3 +242,19 @@ def _scans(df):
     again = df._jdf
     again.collectToPython()
     yield from walk(again.queryExecution().executedPlan())
+
+
+def test_a_dealt_graph_answers_like_its_tables(spark, tmp_path):
+    edges = spark.range(300).select(F.concat(F.lit("o:"), "id").alias("item"), F.concat(F.lit("o:"), "id").alias("subject"), F.lit("by").alias("relation"), F.concat(F.lit("c:"), F.col("id") % 7, F.when(F.col("id") % 3 == 0, F.lit("#part")).otherwise(F.lit(""))).alias("target"), F.lit("").alias("origin"), F.lit(None).cast("timestamp_ntz").alias("time"))
+    links = edges.select(F.concat(F.lit("l"), "item").alias("item"), "target", "time")
+    items, names = edges.select(F.col("item").alias("ref"), "time"), edges.select(F.concat(F.lit("n:"), "item").alias("name"), "item")
+    store = segments.Store(spark, str(tmp_path / "g"), graph.KEYS, (), tuple(graph.KEYS))
+    at = store.apply({"owners": items.select(F.col("ref").alias("name"), F.lit("").alias("digest")), **graph.tables(items, names, links, edges, 3)}, fresh=True)
+    folder = tmp_path / "g" / at["segments"][0]["id"]
+    assert len(list((folder / "reach").glob("*.parquet"))) == len(list((folder / "edges").glob("*.parquet"))) == 3 and not list(folder.rglob("folder=*"))
+    held, plain = graph.Graph.stored(store, at), graph.Graph.of(items, names, links, edges)
+    rows = lambda df: sorted(map(str, df.collect()))
+    for wanted in (["c:3", "c:5#part"], ["none"]):
+        for part in (0, 1):
+            assert rows(graph.backlinks(held.edges, held.links, wanted)[part]) == rows(graph.backlinks(plain.edges, plain.links, wanted)[part])
+    assert rows(graph.claims(held.claims, ["o:4"]).select("target")) == rows(graph.claims(plain.claims, ["o:4"]).select("target")) and graph.expanded({"d": held}, "n:o:9") == graph.expanded({"d": plain}, "n:o:9")
