@@ -669,7 +669,7 @@ _NOTES = """n AS (SELECT *, 'projects/' || c_custkey || '.md' AS path, 'brain://
 @query(f"""WITH {_NOTES} SELECT path AS ref, c_name AS title, 'project' AS type, status, CASE WHEN c_custkey % 7 <> 0 THEN DATE '2024-01-01' + (c_custkey % 60)::INTEGER END AS day, 'Held in nation by desk.' AS lead,
 (1 + (c_custkey % 3 = 0)::INTEGER)::INTEGER AS tasks_open, 1::INTEGER AS tasks_done, 'call ' || c_custkey AS next, 2::INTEGER AS weight FROM n""")
 def note_items(spark, sf_dir):
-    return brains.note_items(corpus.notes(spark, sf_dir)).select("ref", "title", "type", "status", "day", "lead", "tasks_open", "tasks_done", "next", "weight")
+    return brains.note_items(corpus.notes(spark, sf_dir, "title", "updated", "type", "status", "lead", "tasks_open", "tasks_done", "next")).select("ref", "title", "type", "status", "day", "lead", "tasks_open", "tasks_done", "next", "weight")
 
 
 @query(f"""WITH {_NOTES} SELECT path AS ref, '' AS fragment, c_name AS heading, 'Held in [nation](../concepts/nations.md#n-' || c_nationkey || ') by [desk](brain://demo/projects/' || (c_custkey + 1) || '.md?rel=located-in).' AS text FROM n
@@ -682,12 +682,12 @@ def note_passages(spark, sf_dir):
 @query(f"""WITH {_NOTES} SELECT path AS item, uri AS subject, '' AS relation, 'brain://demo/concepts/nations.md#n-' || c_nationkey AS target, uri || '#' || lower(replace(c_name, '#', '')) AS origin FROM n
 UNION ALL SELECT path, uri, 'located-in', 'brain://demo/projects/' || (c_custkey + 1) || '.md', uri || '#' || lower(replace(c_name, '#', '')) FROM n""")
 def note_claims(spark, sf_dir):
-    return brains.note_claims(corpus.notes(spark, sf_dir), corpus.CONFIG)
+    return brains.note_claims(corpus.notes(spark, sf_dir, "entity", "contexts"), corpus.CONFIG)
 
 
 @query(f"WITH {_NOTES} SELECT uri AS name, path AS item FROM n UNION ALL SELECT 'customer:' || c_custkey, path FROM n")
 def note_names(spark, sf_dir):
-    return brains.note_names(corpus.notes(spark, sf_dir), corpus.CONFIG)
+    return brains.note_names(corpus.notes(spark, sf_dir, "entity", "aliases"), corpus.CONFIG)
 
 
 @query("""SELECT event_id, CASE event_id % 10 WHEN 1 THEN 'unknown keys' WHEN 2 THEN 'time needs ISO 8601 and a zone' WHEN 3 THEN 'id is a nonempty text without control characters'
@@ -762,8 +762,9 @@ def validate_links(spark, sf_dir):
 UNION ALL SELECT 'brain://demo/projects/' || (max(c_custkey) + 1) || '.md', 'unresolved' FROM customer""")
 def validate_addresses(spark, sf_dir):
     """Addresses of this brain that name nothing."""
-    notes, none = corpus.notes(spark, sf_dir), spark.createDataFrame([], "ref string")
-    return checks.unresolved_addresses(brains.note_claims(notes, corpus.CONFIG), brains.note_names(notes, corpus.CONFIG), notes, none, corpus.CONFIG)[0]
+    notes = lambda *wanted: corpus.notes(spark, sf_dir, *wanted)
+    claims, named = brains.note_claims(notes("entity", "contexts"), corpus.CONFIG), brains.note_names(notes("entity", "aliases"), corpus.CONFIG)
+    return checks.unresolved_addresses(claims, named, notes("slugs"), spark.createDataFrame([], "ref string"), corpus.CONFIG)[0]
 
 
 @query("""SELECT 'concepts/' || lang || '/' || doc_id || '.md' AS path, CASE doc_id % 3 WHEN 0 THEN 'a concept needs a type' ELSE 'a concept''s status is draft, stable or deprecated' END AS problem FROM documents WHERE doc_id % 3 <> 2""")

@@ -113,9 +113,9 @@ def _project(key: Column) -> Column:
     return F.concat(F.lit("projects/"), key.cast("string"), F.lit(".md"))
 
 
-def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The struct of each customer's note, read from its Markdown."""
-    return parse_notes(customer_notes(spark, sf_dir))
+def notes(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
+    """The struct of each customer's note, or the wanted columns, read from its Markdown."""
+    return parse_notes(customer_notes(spark, sf_dir), *wanted)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

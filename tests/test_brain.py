@@ -360,6 +360,16 @@ def test_a_log_of_very_many_commits_is_read_whole(spark):
     assert found.select("id").distinct().count() == found.count() == 10_050
 
 
+def test_wanted_columns_of_notes_equal_those_of_all(spark):
+    notes = {**{p: t for p, t in NOTES.items() if p.endswith(".md")}, "projects/bad.md": "---\nstatus: what\n---\n# x\n", "projects/links.md": "# T\n\nSee [a](b.md) and [c].\n\n[c]: d.md\n\n## S\n- [ ] one\n- [x] two\n"}
+    files = spark.createDataFrame(sorted(notes.items()), "path string, text string")
+    whole = {r.path: r for r in markdown.parse_notes(files).collect()}
+    for wanted in (("entity", "aliases"), ("slugs",), ("entity", "contexts"), ("title", "lead", "tasks_open", "tasks_done", "next"), ("targets",), ("passages",)):
+        part = markdown.parse_notes(files, *wanted)
+        assert {*part.columns} == {"path", "problem", *wanted} and "REPARTITION_BY_NUM" in part._jdf.queryExecution().executedPlan().toString()
+        assert {r.path: tuple(r) for r in part.collect()} == {p: tuple(r[c] for c in part.columns) for p, r in whole.items()}
+
+
 def test_state(spark, tmp_path):
     (tmp_path / "state.jsonl").write_text('{"name":"mail","success":"2026-09-25T11:00:00Z"}\nnot json\n{"x":1}\n')
     runs = adapters.read_state(spark, str(tmp_path / "state.jsonl"))
