@@ -56,7 +56,7 @@ class Words(dict):
     def __missing__(self, word: bytes) -> bytes:
         import xxhash
 
-        if len(self) > 300_000:
+        if len(self) > 150_000:
             self.clear()
         found = self[word] = xxhash.xxh64_digest(word)
         return found
@@ -119,6 +119,15 @@ def overlap_bound(a: bytes, b: bytes, na: int, nb: int) -> int:
     return (na + nb - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
+def repeated(f: np.ndarray) -> np.ndarray:
+    """Which values of `f` it holds more than once."""
+    s = np.sort(f)
+    many = np.unique(s[1:][s[1:] == s[:-1]])
+    if not len(many):
+        return np.zeros(len(f), bool)
+    return many[np.minimum(np.searchsorted(many, f), len(many) - 1)] == f
+
+
 class Bitmaps:
     """Bitmaps of the rows of a block, in a matrix for each length."""
 
@@ -344,18 +353,26 @@ class Rows:
         columns, with the counts of all blocks added."""
         percent = self.percent
         columns = self.sig.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * (100 - percent) / 100
-        shards = shards_for(columns * 10, 16e6)
+        shards = shards_for(columns * 10, 12e6)
         common = self.common(labels, np.zeros(0, np.uint64), shards)
         common = self.common(labels, common, shards)
 
         def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
             f = np.concatenate([np.frombuffer(x, np.uint64) for x in rows.f])
-            row = [np.frombuffer(x, np.uint16) for x in rows.row]
+            # Most columns have one row: of these nothing is made.
+            kept = repeated(f)
+            if not kept.any():
+                return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64), "shared": np.zeros(0, np.int64)})
+            cuts = np.cumsum([0, *(len(x) // 8 for x in rows.f)])
+            row = [np.frombuffer(x, np.uint16)[kept[i:j]] for x, i, j in zip(rows.row, cuts[:-1], cuts[1:], strict=True)]
+            f = f[kept]
             small = np.concatenate([r >> np.uint16(15) for r in row]).astype(bool)
             who = np.concatenate([np.frombuffer(w, "<i8").reshape(-1, 3)[r & np.uint16((1 << 15) - 1)] for w, r in zip(rows.who, row, strict=True)])
             base = np.cumsum([0, *map(len, rows.bits)])
             place = np.concatenate([(r & np.uint16((1 << 15) - 1)).astype(np.int64) + x for r, x in zip(row, base, strict=False)])
-            maps = Bitmaps([b for batch in rows.bits for b in batch])
+            met, place = np.unique(place, return_inverse=True)
+            bits = [b for batch in rows.bits for b in batch]
+            maps = Bitmaps([bits[i] for i in met.tolist()])
             order = np.lexsort((who[:, 0], who[:, 2], f))
             f, small, who, place = f[order], small[order], who[order], place[order]
             edge = np.flatnonzero(np.r_[True, f[1:] != f[:-1]])

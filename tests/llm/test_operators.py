@@ -462,6 +462,11 @@ def test_warc_of_one_payload_on_very_many_pages(spark, monkeypatch):
     assert sum("WARC-Type: revisit" in v for _, v in plain) == 59 - 3
 
 
+def test_columns_of_one_row_are_left_out():
+    for f in ([], [5], [7, 1, 7, 9, 1, 3], [2, 2], [1 << 63, 4, (1 << 64) - 1, 1 << 63]):
+        assert jaccard.repeated(np.array(f, np.uint64)).tolist() == [f.count(x) > 1 for x in f]
+
+
 def test_scratch_is_given_back(spark):
     from loomdex.llm import common
 
